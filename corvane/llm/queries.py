@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontaminate, line_rules
+from corvane.llm import decontaminate, line_rules, packing, reshard, simhash, sstable, suffix_dedup
 from corvane.llm.common import table
 
 
@@ -63,5 +63,46 @@ FROM w JOIN kept k USING (doc_id) LEFT JOIN cov USING (doc_id)
 """
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op6_line_rules": op6_line_rules}
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), 2048)
+
+
+def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sstable.write_shards(table(spark, sf_dir, "documents"), sstable.new_folder(spark), tokenizer(), end_id=2)
+    return sstable.read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+#: The old layout that op7 reshards: documents by a hash of their source, which leaves one shard far larger than the rest.
+OLD_SHARDS = 12
+
+
+def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reshard.reshard(table(spark, sf_dir, "documents"), F.xxhash64("source"), OLD_SHARDS, 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50, digest=True)
+
+
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
+    "op4_sstable": op4_sstable,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_line_rules": op6_line_rules,
+    "op7_reshard": op7_reshard,
+    "op9_suffix_dedup": op9_suffix_dedup,
+}
 ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_rules": _op6_sql()}
