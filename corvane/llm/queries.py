@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontaminate, line_rules, packing, reshard, simhash, sstable, suffix_dedup
-from corvane.llm.common import table
+from corvane.llm import decontaminate, line_rules, packing, quality, reshard, simhash, sstable, suffix_dedup
+from corvane.llm.common import crc32_mod, table
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50, digest=True)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    out = quality.score(docs, model)
+    return out.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
@@ -103,6 +110,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_line_rules": op6_line_rules,
     "op7_reshard": op7_reshard,
+    "op10_quality": op10_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_rules": _op6_sql()}
