@@ -97,12 +97,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     ).withColumn("n_hit", covered(F.col("spans")).cast("long"))
 
 
-def remove_spans(text: Column, spans: Column) -> Column:
-    """The text without the words of the spans and what follows each of them up to the next word."""
-    runs = F.regexp_extract_all(text, F.lit(RUNS), F.lit(0))
-    first = F.when(F.element_at(runs, 1).rlike(f"^(?:{RUNS.split('|')[0]})$"), 0).otherwise(1)  # index of the first word's run
-    kept = F.filter(runs, lambda r, i: (i < first) | ~F.exists(spans, lambda s: (F.floor((i - first) / 2) >= s["start"]) & (F.floor((i - first) / 2) < s["end"])))
-    return F.when(F.size(spans) > 0, F.array_join(kept, "")).otherwise(text)
+def merged(spans: Column) -> Column:
+    """Overlapping and touching spans, sorted by start, as one."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    last = lambda acc: F.element_at(acc, -1)
+    return F.aggregate(
+        spans,
+        none,
+        lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
+    )
+
+
+def remove_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs (with spans) whose texts lack the words of the spans and what follows each of them up to the next word."""
+    text = F.col(text_col)
+    # Columns of their own, so that no step is worked out again for each run of a text.
+    docs = docs.withColumn("_spans", merged(F.col("spans")))
+    docs = docs.withColumn("_runs", F.when(F.size("_spans") > 0, F.regexp_extract_all(text, F.lit(RUNS), F.lit(0))))
+    docs = docs.withColumn("_first", F.when(F.get("_runs", F.lit(0)).rlike(f"^(?:{RUNS.split('|')[0]})"), 0).otherwise(1))  # index of the first word's run
+    word = lambda i: F.floor((i - F.col("_first")) / 2)
+    kept = F.filter("_runs", lambda r, i: (i < F.col("_first")) | ~F.exists("_spans", lambda s: (word(i) >= s["start"]) & (word(i) < s["end"])))
+    docs = docs.withColumn("_kept", kept)
+    return docs.withColumn(text_col, F.when(F.size("_spans") > 0, F.array_join("_kept", "")).otherwise(text)).drop("_spans", "_runs", "_first", "_kept")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, drop_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,4 +128,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, drop_share: f
     """
     names = docs.columns
     judged = decontaminate(docs, benchmark, window, id_col, text_col).where(F.col("n_hit") <= F.col("n_words") * drop_share)
-    return judged.withColumn(text_col, remove_spans(F.col(text_col), F.col("spans"))).select(*names)
+    return remove_spans(judged, text_col).select(*names)

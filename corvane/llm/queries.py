@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import brown, decontaminate, line_rules, packing, quality, reshard, simhash, sstable, suffix_dedup
+from corvane.llm import brown, decontaminate, line_rules, packing, quality, reshard, revisits, simhash, sstable, suffix_dedup
 from corvane.llm.common import crc32_mod, table
 
 
@@ -100,6 +100,49 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50, digest=True)
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Archive records from raw pages: each page is a full response, and later a revisit of its address in another spelling.
+
+    Every fifth revisit names a stale entity tag, every seventh none but a modification date, every eleventh comes
+    before its response.
+    """
+    p = F.col("page_id")
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    day = F.concat(F.lit("day "), p % 1000)
+    full = pages.select(
+        (p * 2).alias("record_id"), F.lit("response").alias("kind"), "url", (p * 10).alias("date"), F.lit(200).alias("status"),
+        F.create_map(F.lit("ETag"), tag, F.lit("Last-Modified"), day, F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), (p * 10).cast("string")).alias("headers"), F.col("html").alias("body"),
+    )
+    sent = F.when(p % 7 == 0, F.lit(None)).when(p % 5 == 0, F.lit('"stale"')).otherwise(F.concat(F.lit("W/"), tag))
+    again = pages.select(
+        (p * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), F.concat("url", F.lit("#again")).alias("url"), F.when(p % 11 == 0, p * 10 - 3).otherwise(p * 10 + 5).alias("date"), F.lit(304).alias("status"),
+        F.create_map(F.lit("etag"), sent, F.lit("last-modified"), day, F.lit("Date"), (p * 10 + 5).cast("string"), F.lit("Content-Length"), F.lit("0")).alias("headers"), F.lit(None).cast("string").alias("body"),
+    )
+    return full.unionByName(again)
+
+
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = revisits.resolve(captures(table(spark, sf_dir, "pages")))
+    return out.select("record_id", F.coalesce("target_id", F.lit(-1)).alias("target_id"), "url_key", "outcome", F.coalesce("status", F.lit(0)).alias("status"), F.col("headers")["date"].alias("date"), F.col("headers")["content-type"].alias("content_type"), F.md5("body").alias("body_md5"))
+
+
+OP8_SQL = r"""
+WITH c AS (SELECT page_id, html, md5(html) AS tag, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:https?)://', '') AS bare FROM pages),
+k AS (SELECT page_id, html, tag, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*', 0)), ':(?:80|443)$', ''), '^www\.', '')
+  || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS stem,
+  list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[a-z]+|gclid|fbclid|ref)='))) AS q FROM c),
+u AS (SELECT page_id, html, tag, stem || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM k),
+r AS (SELECT page_id, url_key, tag, CASE WHEN page_id % 11 = 0 THEN page_id * 10 - 3 ELSE page_id * 10 + 5 END AS at FROM u),
+j AS (SELECT r.*, t.page_id AS t_page, t.tag AS t_tag, t.html AS t_html FROM r LEFT JOIN u t ON t.url_key = r.url_key AND t.page_id * 10 < r.at
+  QUALIFY row_number() OVER (PARTITION BY r.page_id ORDER BY t.page_id DESC NULLS LAST) = 1),
+o AS (SELECT *, CASE WHEN t_page IS NULL THEN 'no response'
+  WHEN page_id % 7 <> 0 THEN CASE WHEN page_id % 5 <> 0 AND tag = t_tag THEN 'resolved' ELSE 'mismatch' END
+  WHEN page_id % 1000 = t_page % 1000 THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j)
+SELECT page_id * 2 + 1 AS record_id, coalesce(t_page * 2, -1) AS target_id, url_key, outcome, CASE WHEN outcome = 'resolved' THEN 200 ELSE 0 END AS status,
+  CAST(page_id * 10 + 5 AS VARCHAR) AS date, CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type, CASE WHEN outcome = 'resolved' THEN t_tag END AS body_md5 FROM o
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -115,7 +158,8 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_line_rules": op6_line_rules,
     "op7_reshard": op7_reshard,
+    "op8_revisits": op8_revisits,
     "op10_quality": op10_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
-ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_rules": _op6_sql()}
+ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_rules": _op6_sql(), "op8_revisits": OP8_SQL}

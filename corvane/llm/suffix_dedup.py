@@ -408,3 +408,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: st
         return texts.set_column(i, text_col, pa.array(kept_texts, pa.string())).select(names)
 
     return texts.groupBy("dbucket").cogroup(spans.groupBy("dbucket")).applyInArrow(cut, schema)
+
+
+def keep_texts(docs: DataFrame, length: int = 50, gram: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """remove_repeats() without the rows whose whole text went; null, empty and blank texts stay as they are."""
+    marked = docs.withColumn("_blank", F.trim(F.coalesce(F.col(text_col), F.lit(""))) == "")
+    return remove_repeats(marked, length, gram, id_col, text_col).where(F.col("_blank") | (F.trim(text_col) != "")).select(*docs.columns)
