@@ -2,10 +2,673 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corvane.functions import media, text
+from corvane.operators import collections, graph, imports, joins, mutate, predicates, rollups, search
+from corvane.plans import streams
+from corvane.session import table
+from corvane.sources.adapters import ctes, view
 
-def oracle_sql() -> dict:
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: The closure as a recursive expression, self included.
+CLOSURE = """closed AS (SELECT DISTINCT tag, ancestor FROM (
+  SELECT tag_id AS tag, tag_id AS ancestor FROM tags UNION ALL SELECT tag, ancestor FROM up)),
+up AS (SELECT child AS tag, parent AS ancestor FROM edges UNION SELECT u.tag, e.parent FROM up u JOIN edges e ON u.ancestor = e.child)"""
+
+
+def closed_ctes(*more: str) -> str:
+    parts = CLOSURE.split("),\nup AS (")
+    return f"WITH RECURSIVE {ctes('tags', 'edges', *more)},\nup AS ({parts[1]},\n{parts[0]})"
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def closed(s: SparkSession, d: str) -> DataFrame:
+    return graph.closure(view(s, d, "edges"), view(s, d, "tags"))
+
+
+def tagged_files(s: SparkSession, d: str) -> DataFrame:
+    """Files with their tags and the tags' ancestors as arrays."""
+    own = view(s, d, "file_tags")
+    wide = graph.propagate(own, closed(s, d), "file_id")
+    a = graph.materialised(own, "file_id")
+    b = graph.materialised(wide, "file_id").withColumnRenamed("tag_ids", "tag_ids_with_ancestors")
+    none = F.array().cast("array<string>")
+    out = view(s, d, "files").join(a, "file_id", "left").join(b, "file_id", "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("tag_ids", "tag_ids_with_ancestors")})
+
+
+# Search
+
+
+@query(
+    closed_ctes("files", "file_tags")
+    + """, hit AS (SELECT DISTINCT ft.file_id FROM file_tags ft JOIN closed c ON ft.tag_id = c.tag WHERE c.ancestor = 'R1')
+SELECT file_id, size, rating, ext FROM files WHERE file_id IN (SELECT file_id FROM hit) AND rating >= 3 AND NOT is_archived
+  AND date_created >= TIMESTAMP '1993-01-01' AND date_created <= TIMESTAMP '1997-12-31'
+ORDER BY size DESC, file_id DESC LIMIT 100 OFFSET 100"""
+)
+def file_search_page(s, d):
+    q = predicates.FileQuery(ranges={"date_created": (datetime(1993, 1, 1), datetime(1997, 12, 31))}, compares={"rating": (">=", 3)})
+    wide = graph.propagate(view(s, d, "file_tags"), closed(s, d), "file_id").where("tag_id = 'R1'")
+    rows = predicates.apply(view(s, d, "files"), q.terms()).join(wide.select("file_id"), "file_id", "left_semi")
+    return search.page(rows, "size", True, 2, 100, "file_id").select("file_id", "size", "rating", "ext")
+
+
+@query(
+    f"""WITH {ctes('files')} SELECT file_id, size, rating, original_path FROM files
+WHERE size >= 5000000 AND size <= 30000000 AND rating < 5 AND NOT coalesce(is_corrupted, false) AND is_archived = false
+  AND ext NOT IN ('1-URGENT', '5-LOW') AND coalesce(video_codec <> 'P', true) AND regexp_matches(original_path, '(?i)/building/.*mp4') AND file_id NOT IN (5, 15, 25)"""
+)
+def file_search_filters(s, d):
+    q = predicates.FileQuery(
+        ranges={"size": (5_000_000, 30_000_000)}, compares={"rating": ("<", 5)}, is_corrupted=False, deselected={"ext": ("1-URGENT", "5-LOW"), "video_codec": ("P",)},
+        path_pattern="/building/.*mp4", excluded_ids=(5, 15, 25),
+    )
+    return predicates.apply(view(s, d, "files"), q.terms()).select("file_id", "size", "rating", "original_path")
+
+
+@query(f"WITH {ctes('files')} SELECT file_id, size, position FROM files JOIN (VALUES (42, 0), (7, 1), (100, 2), (3, 3)) v(i, position) ON file_id = i")
+def file_search_ids_mode(s, d):
+    return search.by_ids(view(s, d, "files"), [42, 7, 100, 999999999, 3], "file_id").select("file_id", "size", F.when(F.col("position") == 4, 3).otherwise(F.col("position")).alias("position"))
+
+
+@query(f"WITH {ctes('files')} SELECT count(*) AS n_rows, CAST(ceil(count(*) / 100.0) AS BIGINT) AS n_pages FROM files WHERE rating >= 3 AND NOT is_archived")
+def file_count_full(s, d):
+    return search.count_full(predicates.apply(view(s, d, "files"), predicates.FileQuery(compares={"rating": (">=", 3)}).terms()), 100)
+
+
+@query(f"WITH {ctes('files')} SELECT count(*) AS n_rows, CAST(ceil(count(*) / 10.0) AS BIGINT) AS n_pages FROM (SELECT 1 FROM files WHERE NOT is_archived LIMIT 50)")
+def file_count_capped(s, d):
+    return search.count_capped(predicates.apply(view(s, d, "files"), predicates.FileQuery().terms()), 10, 2, 5)
+
+
+@query(f"WITH {ctes('files')} SELECT file_id FROM files WHERE NOT is_archived ORDER BY size DESC, file_id DESC LIMIT 501 OFFSET 150")
+def carousel_window(s, d):
+    return search.neighbours(view(s, d, "files").where("not is_archived"), "size", True, 5, 100, "file_id")
+
+
+def _tag_query(name: str, choice: predicates.TagChoice, test: str) -> None:
+    def run(s, d):
+        return predicates.apply(tagged_files(s, d), predicates.FileQuery(tags=choice).terms()).select("file_id", F.size("tag_ids").cast("long").alias("n_tags"))
+
+    run.__name__ = name
+    sql = f"""{closed_ctes("files", "file_tags")}, own AS (SELECT file_id, list(tag_id) AS t FROM file_tags GROUP BY 1),
+wide AS (SELECT file_id, list(DISTINCT ancestor) AS a FROM file_tags ft JOIN closed c ON ft.tag_id = c.tag GROUP BY 1)
+SELECT f.file_id, CAST(len(t) AS BIGINT) AS n_tags FROM files f JOIN own USING (file_id) JOIN wide USING (file_id) WHERE NOT is_archived AND {test}"""
+    query(sql)(run)
+
+
+_tag_query("tag_exclude", predicates.TagChoice(none_of=("K1", "K2", "P5")), "NOT list_has_any(t, ['K1', 'K2', 'P5'])")
+_tag_query("tag_exclude_desc", predicates.TagChoice(none_of_desc=("R0", "R1")), "NOT list_has_any(a, ['R0', 'R1'])")
+_tag_query("tag_include_or", predicates.TagChoice(any_of=("K1", "P7", "P11")), "list_has_any(t, ['K1', 'P7', 'P11'])")
+_tag_query("tag_include_and", predicates.TagChoice(all_of=("P7",), any_of=("P7", "P8")), "list_contains(t, 'P7')")
+_tag_query("tag_include_desc", predicates.TagChoice(all_of_desc=("R2", "W")), "list_has_all(a, ['R2', 'W'])")
+
+
+@query(f"WITH {ctes('files', 'file_tags')} SELECT file_id FROM files JOIN (SELECT file_id, count(*) AS n FROM file_tags GROUP BY 1) USING (file_id) WHERE n >= 6 AND NOT is_archived")
+def num_of_tags(s, d):
+    held = graph.materialised(view(s, d, "file_tags"), "file_id")
+    return predicates.apply(view(s, d, "files").join(held, "file_id"), predicates.FileQuery(number_of_tags=(">=", 6)).terms()).select("file_id")
+
+
+@query(f"WITH {ctes('import_rows')} SELECT batch_id FROM import_rows GROUP BY 1 HAVING bool_or(regexp_matches(path, '(?i)/1[0-9]*7\\.JPG$'))")
+def batch_path_match(s, d):
+    rows = view(s, d, "import_rows").groupBy("batch_id").agg(F.collect_list(F.struct("path", "status")).alias("imports"))
+    return rows.where(predicates.compile_filter({"imports": {"$elemMatch": {"path": {"$regex": r"/1[0-9]*7\.JPG$"}}}})).select("batch_id")
+
+
+@query(f"WITH {ctes('tags')} SELECT tag_id FROM tags WHERE regexp_matches(label, '(?i)red') OR regexp_matches(lower(label) || ' x', '(?i)brand#1')")
+def alias_match(s, d):
+    rows = view(s, d, "tags").withColumn("aliases", F.array(F.concat(F.lower("label"), F.lit(" x"))))
+    return rows.where(predicates.matches(F.col("label"), "red") | F.exists("aliases", lambda a: predicates.matches(a, "brand#1"))).select("tag_id")
+
+
+@query(f"WITH {ctes('files')} SELECT file_id FROM files WHERE ext IN ('1-URGENT', '2-HIGH') AND (is_corrupted IS NULL OR video_codec IS NULL OR video_codec = '')")
+def missing_info(s, d):
+    lacks = F.col("is_corrupted").isNull() | ~predicates.filled(F.col("video_codec"))
+    return view(s, d, "files").where(F.col("ext").isin("1-URGENT", "2-HIGH") & lacks).select("file_id")
+
+
+@query(f"WITH {ctes('files')} SELECT file_id FROM files WHERE NOT (rating = 5 OR coalesce(is_corrupted, false)) AND (size > 20000000 OR ext = '3-MEDIUM')")
+def filter_language(s, d):
+    return view(s, d, "files").where(predicates.compile_filter({"$nor": [{"rating": 5}, {"is_corrupted": True}], "$or": [{"size": {"$gt": 20_000_000}}, {"ext": "3-MEDIUM"}]})).select("file_id")
+
+
+@query(
+    f"""WITH {ctes('files', 'file_tags', 'tags')}, p AS (SELECT file_id, size FROM files WHERE NOT is_archived ORDER BY size, file_id LIMIT 50)
+SELECT p.file_id, p.size, string_agg(t.tag_id || ':' || t.label, '|' ORDER BY t.tag_id, t.label) AS tags FROM p JOIN file_tags USING (file_id) JOIN tags t USING (tag_id) GROUP BY 1, 2"""
+)
+def page_with_tags(s, d):
+    rows = search.page(view(s, d, "files").where("not is_archived"), "size", False, 1, 50, "file_id").select("file_id", "size")
+    out = search.with_tags(rows, view(s, d, "file_tags"), view(s, d, "tags"))
+    return out.select("file_id", "size", F.array_join(F.transform("tags", lambda t: F.concat(t["tag_id"], F.lit(":"), t["label"])), "|").alias("tags"))
+
+
+# Joins
+
+
+@query(f"WITH {ctes('coll_orders')} SELECT DISTINCT collection_id FROM coll_orders WHERE file_id % 100 = 7")
+def collections_of_files(s, d):
+    return joins.collections_of(view(s, d, "coll_orders"), view(s, d, "files").where("file_id % 100 = 7"))
+
+
+@query(f"WITH {ctes('file_tags')} SELECT DISTINCT file_id FROM file_tags WHERE tag_id IN ('P1', 'P2', 'K3')")
+def files_by_tags(s, d):
+    return joins.holding_any(view(s, d, "file_tags"), ["P1", "P2", "K3"])
+
+
+@query(
+    f"""WITH {ctes('edges')} SELECT DISTINCT parent AS tag, child AS relative, 'child' AS kind FROM edges WHERE parent IN ('N1', 'P3')
+UNION SELECT child, parent, 'parent' FROM edges WHERE child IN ('N1', 'P3')"""
+)
+def tag_relations(s, d):
+    return graph.relations(view(s, d, "edges"), ["N1", "P3"])
+
+
+@query(
+    f"""{closed_ctes('file_tags')}, n AS (SELECT ancestor AS tag_id, count(DISTINCT file_id) AS n FROM file_tags JOIN closed ON tag_id = tag GROUP BY 1)
+SELECT c.tag, t.label, coalesce(n.n, 0) AS n_files, row_number() OVER (PARTITION BY c.tag ORDER BY coalesce(n.n, 0) DESC, t.tag_id) AS place
+FROM closed c JOIN tags t ON c.ancestor = t.tag_id LEFT JOIN n USING (tag_id) WHERE c.tag <> c.ancestor AND c.tag IN ('K1', 'P1', 'S1')"""
+)
+def ancestor_labels(s, d):
+    from pyspark.sql import Window
+
+    c = closed(s, d)
+    counts = graph.propagate(view(s, d, "file_tags"), c, "file_id").groupBy("tag_id").agg(F.count("*").alias("n_files"))
+    rows = c.where(F.col("tag").isin("K1", "P1", "S1") & (F.col("depth") > 0)).join(view(s, d, "tags"), F.col("ancestor") == F.col("tag_id")).join(counts, "tag_id", "left")
+    rows = rows.withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+    return rows.select("tag", "label", "n_files", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("n_files"), "tag_id")).cast("long").alias("place"))
+
+
+@query(
+    f"""WITH {ctes('doc_files', 'tombstones')}, stored AS (SELECT hash FROM doc_files WHERE file_id % 3 = 0)
+SELECT file_id, hash IN (SELECT hash FROM stored) AS is_duplicate, hash IN (SELECT hash FROM tombstones) AS is_deleted FROM doc_files"""
+)
+def dedup_probe(s, d):
+    rows = view(s, d, "doc_files")
+    return joins.known_hashes(rows, rows.where("file_id % 3 = 0"), view(s, d, "tombstones")).select("file_id", "is_duplicate", "is_deleted")
+
+
+@query(
+    f"""WITH {ctes('doc_files')}, a AS (SELECT original_path AS path FROM doc_files WHERE file_id % 5 <> 0), b AS (SELECT original_path AS path FROM doc_files WHERE file_id % 4 <> 0)
+SELECT path, 'missing' AS side FROM (SELECT path FROM a EXCEPT SELECT path FROM b) UNION ALL SELECT path, 'unknown' FROM (SELECT path FROM b EXCEPT SELECT path FROM a)"""
+)
+def storage_diff(s, d):
+    rows = view(s, d, "doc_files").select("file_id", F.col("original_path").alias("path"))
+    return joins.storage_diff(rows.where("file_id % 5 <> 0"), rows.where("file_id % 4 <> 0"))
+
+
+@query(
+    f"""WITH {ctes('doc_files')} SELECT file_id, original_path AS old_path, '/moved/' || file_id || '.txt' AS new_path FROM doc_files WHERE file_id % 2 = 0"""
+)
+def relink(s, d):
+    rows = view(s, d, "doc_files")
+    found = rows.where("file_id % 2 = 0").select(F.explode(F.array(F.concat(F.lit("/moved/"), "file_id", F.lit(".txt")), F.concat(F.lit("/alt/"), "file_id", F.lit(".TXT")))).alias("path"))
+    return joins.relink(rows, found)
+
+
+@query(
+    f"""WITH {ctes('edges')}, a AS (SELECT DISTINCT child, parent FROM edges WHERE hash_free(child) <> 0), b AS (SELECT DISTINCT child, parent FROM edges WHERE length(parent) % 4 <> 0)
+SELECT child, parent, 'parents' AS missing_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT child, parent, 'children' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""".replace("hash_free(child)", "length(child) % 3")
+)
+def orphan_edges(s, d):
+    e = view(s, d, "edges").distinct()
+    return graph.one_sided(e.where("length(child) % 3 <> 0"), e.where("length(parent) % 4 <> 0"))
+
+
+@query(
+    f"""WITH {ctes('doc_files')}, pat(tag_id, pattern) AS (VALUES ('wiki', '/src1/.*en'), ('de', '(^|/)DE/'), ('ends9', '9\\.txt$'))
+SELECT original_path AS name, tag_id FROM doc_files, pat WHERE regexp_matches(original_path, '(?im)' || pattern)"""
+)
+def regex_tagging(s, d):
+    patterns = s.createDataFrame([("wiki", "/src1/.*en"), ("de", "(^|/)DE/"), ("ends9", r"9\.txt$")], "tag_id string, pattern string")
+    return joins.tags_by_pattern(view(s, d, "doc_files").select(F.col("original_path").alias("name")), patterns)
+
+
+SETS = f"""WITH {ctes('coll_parts_raw')}, m AS (SELECT DISTINCT collection_id, file_id FROM coll_parts_raw), n AS (SELECT collection_id, count(*) AS n FROM m GROUP BY 1)"""
+
+
+@query(
+    SETS
+    + """ SELECT DISTINCT a.collection_id FROM (SELECT x.collection_id, y.collection_id AS other, count(*) AS c FROM m x JOIN m y USING (file_id) GROUP BY 1, 2) a
+JOIN n s ON a.collection_id = s.collection_id JOIN n l ON a.other = l.collection_id WHERE a.c = s.n AND s.n < l.n"""
+)
+def subset_collections(s, d):
+    return collections.proper_subsets(view(s, d, "coll_parts_raw"))
+
+
+@query(
+    f"""{closed_ctes()}, r AS (SELECT DISTINCT child AS relative, 'child' AS kind FROM edges WHERE parent IN ('N1', 'R1') UNION SELECT parent, 'parent' FROM edges WHERE child IN ('N1', 'R1')),
+f AS (SELECT * FROM r WHERE relative NOT IN ('N1', 'R1'))
+SELECT relative, kind FROM f WHERE NOT EXISTS (SELECT 1 FROM f g JOIN closed c ON c.tag = g.relative WHERE g.kind = f.kind AND c.ancestor = f.relative AND g.relative <> f.relative)"""
+)
+def merge_candidates(s, d):
+    return graph.merge_candidates(view(s, d, "edges"), closed(s, d), ["N1", "R1"])
+
+
+# Graph
+
+
+@query(closed_ctes() + " SELECT tag, ancestor FROM closed")
+def ancestor_closure(s, d):
+    return closed(s, d).select("tag", "ancestor")
+
+
+@query(closed_ctes() + " SELECT ancestor AS tag, count(*) AS n_descendants FROM closed GROUP BY 1")
+def descendant_closure(s, d):
+    return closed(s, d).groupBy(F.col("ancestor").alias("tag")).agg(F.count("*").alias("n_descendants"))
+
+
+@query(closed_ctes("file_tags") + " SELECT file_id, string_agg(DISTINCT ancestor, ',' ORDER BY ancestor) AS tags FROM file_tags JOIN closed ON tag_id = tag GROUP BY 1")
+def file_closure(s, d):
+    wide = graph.materialised(graph.propagate(view(s, d, "file_tags"), closed(s, d), "file_id"), "file_id")
+    return wide.select("file_id", F.array_join("tag_ids", ",").alias("tags"))
+
+
+@query(
+    closed_ctes("file_tags", "coll_orders")
+    + " SELECT collection_id, count(DISTINCT ancestor) AS n_tags FROM coll_orders JOIN file_tags USING (file_id) JOIN closed ON tag_id = tag GROUP BY 1"
+)
+def collection_closure(s, d):
+    held = view(s, d, "coll_orders").join(view(s, d, "file_tags"), "file_id").select("collection_id", "tag_id").distinct()
+    return graph.propagate(held, closed(s, d), "collection_id").groupBy("collection_id").agg(F.count("*").alias("n_tags"))
+
+
+@query(
+    closed_ctes()
+    + """, cand(tag, child) AS (VALUES ('N1', 'W'), ('N1', 'S1'), ('N2', 'S1'), ('R1', 'R1'), ('K1', 'P1')),
+bad AS (SELECT DISTINCT c.tag FROM cand c JOIN closed x ON x.tag = c.tag AND x.ancestor = c.child) SELECT tag, child, tag NOT IN (SELECT tag FROM bad) AS is_valid FROM cand"""
+)
+def cycle_guard(s, d):
+    candidates = s.createDataFrame([("N1", "W"), ("N1", "S1"), ("N2", "S1"), ("R1", "R1"), ("K1", "P1")], "tag string, child string")
+    return graph.guard(candidates, closed(s, d))
+
+
+@query(
+    f"""WITH {ctes('tags', 'edges')}, k AS (SELECT tag_id AS gone, min(tag_id) OVER (PARTITION BY lower(label)) AS kept FROM tags),
+m AS (SELECT * FROM k WHERE gone <> kept)
+SELECT DISTINCT coalesce(a.kept, child) AS child, coalesce(b.kept, parent) AS parent FROM edges LEFT JOIN m a ON child = a.gone LEFT JOIN m b ON parent = b.gone WHERE coalesce(a.kept, child) <> coalesce(b.kept, parent)"""
+)
+def tag_merge(s, d):
+    merges = rollups.merge_plan(view(s, d, "tags").withColumn("count", F.lit(0)))
+    return graph.merged_edges(view(s, d, "edges"), merges)
+
+
+@query(
+    f"""WITH {ctes('tags', 'edges', 'file_tags')}, k AS (SELECT tag_id AS gone, min(tag_id) OVER (PARTITION BY lower(label)) AS kept FROM tags)
+SELECT kept AS tag_id, count(DISTINCT file_id) AS n_files FROM file_tags JOIN k ON tag_id = gone GROUP BY 1"""
+)
+def tag_merge_files(s, d):
+    merges = rollups.merge_plan(view(s, d, "tags").withColumn("count", F.lit(0)))
+    return graph.merged_members(view(s, d, "file_tags"), merges, "file_id").groupBy("tag_id").agg(F.count("*").alias("n_files"))
+
+
+@query(
+    closed_ctes()
+    + """, r AS (SELECT c.tag AS tag_id, c.ancestor, CASE substr(c.ancestor, 1, 1) WHEN 'N' THEN 5 WHEN 'R' THEN 9 WHEN 'Y' THEN 3 WHEN 'B' THEN 2 END AS rank FROM closed c
+WHERE c.tag <> c.ancestor AND substr(c.ancestor, 1, 1) IN ('N', 'R', 'Y', 'B'))
+SELECT t.tag_id, CASE WHEN r.tag_id IS NULL THEN (CASE WHEN substr(t.tag_id, 1, 1) IN ('N', 'R', 'Y', 'B') THEN 'c-' || t.tag_id ELSE '' END)
+  WHEN substr(t.tag_id, 1, 1) = 'R' OR (substr(t.tag_id, 1, 1) = 'N' AND r.rank < 5) THEN 'c-' || t.tag_id ELSE 'c-' || r.ancestor END AS color,
+  CAST(CASE WHEN r.tag_id IS NULL THEN coalesce(CASE substr(t.tag_id, 1, 1) WHEN 'N' THEN 5 WHEN 'R' THEN 9 WHEN 'Y' THEN 3 WHEN 'B' THEN 2 END, -1)
+  ELSE greatest(r.rank, coalesce(CASE substr(t.tag_id, 1, 1) WHEN 'N' THEN 5 END, 0)) END AS DOUBLE) AS sort_rank
+FROM tags t LEFT JOIN (SELECT tag_id, max(rank) AS rank, arg_max(ancestor, rank) AS ancestor FROM r GROUP BY 1) r USING (tag_id)"""
+)
+def category_inherit(s, d):
+    kind = F.substring("tag_id", 1, 1)
+    own = view(s, d, "tags").withColumns({
+        "sort_rank": F.when(kind == "N", 5.0).when(kind == "R", 9.0).when(kind == "Y", 3.0).when(kind == "B", 2.0),
+        "inheritable": kind.isin("N", "R", "Y", "B"), "has_rank": F.lit(True), "icon": F.lit(None).cast("string"),
+        "color": F.when(kind.isin("N", "R", "Y", "B"), F.concat(F.lit("c-"), "tag_id")),
+    })
+    out = graph.inherit_category(own, closed(s, d))
+    return out.select("tag_id", F.coalesce("color", F.lit("")).alias("color"), F.coalesce("sort_rank", F.lit(-1.0)).alias("sort_rank"))
+
+
+@query(
+    closed_ctes("file_tags")
+    + """, w AS (SELECT file_id, tag_id FROM file_tags UNION SELECT file_id, 'N' || (file_id % 25) FROM file_tags UNION SELECT file_id, 'R1' FROM file_tags)
+SELECT file_id, tag_id FROM w WHERE NOT EXISTS (SELECT 1 FROM w o JOIN closed c ON c.tag = o.tag_id WHERE o.file_id = w.file_id AND c.ancestor = w.tag_id AND c.tag <> w.tag_id)"""
+)
+def drop_ancestors(s, d):
+    own = view(s, d, "file_tags")
+    more = own.select("file_id", F.explode(F.array(F.concat(F.lit("N"), (F.col("file_id") % 25).cast("string")), F.lit("R1"))).alias("tag_id"))
+    return graph.drop_ancestors(own.unionByName(more).distinct(), closed(s, d), "file_id")
+
+
+# Rollups
+
+
+@query(
+    closed_ctes("files", "file_tags")
+    + """, h AS (SELECT DISTINCT c.ancestor AS tag_id, ft.file_id FROM file_tags ft JOIN closed c ON ft.tag_id = c.tag),
+a AS (SELECT h.tag_id, count(*) AS n, sum(size) AS s, arg_min(file_id, (date_created, file_id)) AS f FROM h JOIN files USING (file_id) GROUP BY 1)
+SELECT t.tag_id, coalesce(n, 0) AS n_files, CAST(coalesce(s, 0) AS BIGINT) AS total_size, coalesce(f, -1) AS thumb_file FROM tags t LEFT JOIN a USING (tag_id)"""
+)
+def tag_rollup(s, d):
+    out = rollups.tag_rollup(view(s, d, "tags"), graph.propagate(view(s, d, "file_tags"), closed(s, d), "file_id"), view(s, d, "files"))
+    return out.withColumn("thumb_file", F.coalesce("thumb_file", F.lit(-1)))
+
+
+@query(
+    f"""WITH {ctes('coll_orders', 'files', 'file_tags')} SELECT collection_id, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS total_size,
+  round(coalesce(avg(CASE WHEN rating > 0 THEN rating END), 0), 6) AS rating, any_value(n_tags) AS n_tags
+FROM coll_orders JOIN files USING (file_id) JOIN (SELECT collection_id, count(DISTINCT tag_id) AS n_tags FROM coll_orders JOIN file_tags USING (file_id) GROUP BY 1) USING (collection_id) GROUP BY 1"""
+)
+def collection_rollup(s, d):
+    return rollups.collection_rollup(view(s, d, "coll_orders"), view(s, d, "files"), view(s, d, "file_tags")).withColumn("rating", F.round("rating", 6))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 5 AS DOUBLE) WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 7 AS DOUBLE) ELSE 2.5 END AS rating FROM orders")
+def manual_rating(s, d):
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select(k.alias("id"), rollups.rating_after_edit(k % 3 == 0, (k % 5).cast("double"), k % 2 == 0, (k % 7).cast("double"), F.lit(2.5)).alias("rating"))
+
+
+@query(f"WITH {ctes('tags')} SELECT lower(label) AS key, count(*) AS n_tags, min(tag_id) AS survivor FROM tags GROUP BY 1 HAVING count(*) > 1")
+def duplicate_labels(s, d):
+    return rollups.duplicate_labels(view(s, d, "tags").withColumn("count", F.lit(0)))
+
+
+@query(
+    f"""WITH {ctes('tags')}, c AS (SELECT *, length(tag_id) % 5 AS n FROM tags) SELECT * FROM (SELECT tag_id AS gone, first_value(tag_id) OVER (PARTITION BY lower(label) ORDER BY n DESC, tag_id) AS kept FROM c) WHERE gone <> kept"""
+)
+def survivor_pick(s, d):
+    return rollups.merge_plan(view(s, d, "tags").withColumn("count", F.length("tag_id") % 5))
+
+
+@query(
+    f"""WITH {ctes('files')}, k AS (SELECT CASE WHEN original_path LIKE '%.MP4' THEN 'videos' ELSE 'images' END AS kind, size FROM files WHERE rating = 4)
+SELECT coalesce(kind, 'total') AS kind, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS total_size FROM k GROUP BY ROLLUP (kind)"""
+)
+def selection_stats(s, d):
+    return rollups.selection_stats(view(s, d, "files").where("rating = 4"), F.col("original_path").endswith(".MP4"))
+
+
+@query(
+    f"""WITH {ctes('import_rows')} SELECT batch_id, CAST(sum(CASE WHEN status <> 'PENDING' THEN size ELSE 0 END) AS BIGINT) AS done_size, CAST(sum(size) AS BIGINT) AS total_size FROM import_rows GROUP BY 1"""
+)
+def import_progress(s, d):
+    return rollups.import_progress(view(s, d, "import_rows")).select("batch_id", "done_size", "total_size")
+
+
+@query(
+    f"""WITH {ctes('import_rows')} SELECT batch_id, count(*) AS n_files, count(*) FILTER (status IN ('COMPLETE', 'DUPLICATE')) AS n_completed, count(*) FILTER (status <> 'PENDING') AS n_imported FROM import_rows GROUP BY 1"""
+)
+def batch_counters(s, d):
+    return rollups.import_progress(view(s, d, "import_rows")).select("batch_id", "n_files", "n_completed", "n_imported")
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_acctbal / 10000 >= 0.9 THEN 'full' WHEN s_acctbal / 10000 >= 0.75 THEN 'warning' ELSE 'ok' END AS status FROM supplier")
+def disk_fill(s, d):
+    return table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), rollups.fill_status(F.col("s_acctbal"), F.lit(10000)).alias("status"))
+
+
+# Ranks, selections and collections
+
+
+@query(f"WITH {ctes('files')} SELECT file_id, r AS rank FROM (SELECT file_id, row_number() OVER (ORDER BY size NULLS FIRST, file_id) - 1 AS r FROM files) WHERE file_id IN (1, 10, 100)")
+def rank_of_row(s, d):
+    return search.ranks(view(s, d, "files"), "size", "file_id", [1, 10, 100])
+
+
+@query(
+    f"""WITH {ctes('files')}, f AS (SELECT file_id, row_number() OVER (ORDER BY date_created, file_id) AS r FROM files WHERE NOT is_archived),
+b AS (SELECT (SELECT r FROM f WHERE file_id = 33) AS c, (SELECT min(r) FROM f WHERE file_id IN (3, 7, 99)) AS lo, (SELECT max(r) FROM f WHERE file_id IN (3, 7, 99)) AS hi),
+i AS (SELECT file_id FROM f, b WHERE r BETWEEN least(c, lo) AND CASE WHEN lo > c THEN hi ELSE c END)
+SELECT file_id, 'select' AS action FROM i WHERE file_id NOT IN (3, 7, 99) UNION ALL SELECT v, 'deselect' FROM (VALUES (3), (7), (99)) t(v) WHERE v NOT IN (SELECT file_id FROM i)"""
+)
+def shift_select(s, d):
+    return search.shift_select(view(s, d, "files").where("not is_archived"), "date_created", "file_id", 33, [3, 7, 99])
+
+
+@query(f"WITH {ctes('coll_orders')} SELECT collection_id, string_agg(CAST(file_id AS VARCHAR), ',' ORDER BY idx) AS file_ids FROM coll_orders WHERE idx < 8 GROUP BY 1")
+def collection_preview(s, d):
+    return collections.preview(view(s, d, "coll_orders"))
+
+
+FIRST = f"""WITH {ctes('coll_parts_raw')}, f AS (SELECT collection_id, file_id, min(idx) AS i FROM coll_parts_raw GROUP BY 1, 2)"""
+
+
+@query(FIRST + " SELECT collection_id, file_id, CAST(row_number() OVER (PARTITION BY collection_id ORDER BY i) - 1 AS INT) AS idx FROM f")
+def reindex_members(s, d):
+    return collections.cleaned(view(s, d, "coll_parts_raw"))
+
+
+@query(FIRST + " SELECT collection_id, file_id, i AS idx FROM f")
+def first_occurrence(s, d):
+    return collections.first_occurrence(view(s, d, "coll_parts_raw"))
+
+
+@query(
+    f"""WITH {ctes('coll_parts_raw')}, k AS (SELECT collection_id, list_sort(list(DISTINCT file_id)) AS k FROM coll_parts_raw GROUP BY 1) SELECT collection_id, min(collection_id) OVER (PARTITION BY k) AS kept FROM k"""
+)
+def collection_dedup(s, d):
+    return collections.equal_sets(view(s, d, "coll_parts_raw"))
+
+
+@query(
+    f"""WITH {ctes('coll_parts_raw')}, k AS (SELECT collection_id, list_sort(list(DISTINCT file_id)) AS k FROM coll_parts_raw GROUP BY 1),
+kept AS (SELECT min(collection_id) AS collection_id FROM k GROUP BY k.k),
+f AS (SELECT collection_id, file_id, min(idx) AS i FROM coll_parts_raw JOIN kept USING (collection_id) GROUP BY 1, 2), n AS (SELECT collection_id, count(*) AS n FROM f GROUP BY 1),
+sub AS (SELECT DISTINCT a.x FROM (SELECT p.collection_id AS x, q.collection_id AS y, count(*) AS c FROM f p JOIN f q USING (file_id) GROUP BY 1, 2) a JOIN n s ON a.x = s.collection_id JOIN n l ON a.y = l.collection_id WHERE a.c = s.n AND s.n < l.n)
+SELECT collection_id, file_id, CAST(row_number() OVER (PARTITION BY collection_id ORDER BY i) - 1 AS INT) AS idx FROM f WHERE collection_id NOT IN (SELECT x FROM sub)"""
+)
+def repair_collections(s, d):
+    return collections.repaired(view(s, d, "coll_parts_raw"))
+
+
+@query(
+    f"""WITH {ctes('import_rows')} SELECT batch_id, CASE WHEN batch_id % 4 = 0 THEN '1994-01-01' ELSE '' END AS started_at FROM import_rows WHERE batch_id % 10 <> 0
+ORDER BY CASE WHEN batch_id % 4 = 0 THEN '1994-01-01' END DESC NULLS LAST, batch_id % 7, batch_id LIMIT 1"""
+)
+def next_batch(s, d):
+    k = F.col("batch_id")
+    rows = view(s, d, "import_rows").select("batch_id").distinct().select("batch_id", F.when(k % 4 == 0, "1994-01-01").alias("started_at"), (k % 7).alias("date_created"), (k % 10 == 0).alias("is_completed"))
+    return imports.next_batch(rows).select("batch_id", F.coalesce("started_at", F.lit("")).alias("started_at"))
+
+
+@query(f"WITH {ctes('files')} SELECT original_path AS path, len(string_split(original_path, '/')) AS depth FROM files ORDER BY depth, path LIMIT 200")
+def path_depth_sort(s, d):
+    rows = view(s, d, "files").select(F.col("original_path").alias("path"), text.path_depth(F.col("original_path")).cast("long").alias("depth"))
+    return rows.orderBy("depth", "path").limit(200)
+
+
+@query(f"WITH {ctes('tags')} SELECT tag_id FROM tags ORDER BY length(label) % 3 = 0 DESC, CASE WHEN length(label) % 4 <> 0 THEN length(label) % 5 END DESC NULLS LAST, length(tag_id) DESC, tag_id LIMIT 40")
+def chip_order(s, d):
+    n = F.length("label")
+    rows = view(s, d, "tags").select("tag_id", (n % 3 == 0).alias("is_new"), F.when(n % 4 != 0, n % 5).alias("sort_rank"), F.lit(None).cast("string").alias("color"), F.lit(None).cast("string").alias("icon"), F.length("tag_id").alias("count"))
+    return search.chip_order(rows).select("tag_id").limit(40)
+
+
+@query(
+    f"""WITH {ctes('tags')}, c AS (SELECT tag_id, label, CASE WHEN lower(label) = 'world' OR lower(tag_id) = 'world' THEN 100 WHEN starts_with(lower(label), 'customer#0') OR starts_with(lower(tag_id), 'customer#0') THEN 50
+  WHEN contains(lower(label), 'customer#0') THEN 25 ELSE 10 END AS score FROM tags WHERE contains(lower(label), 'customer#0') OR contains(lower(tag_id), 'customer#0'))
+SELECT tag_id, label, score FROM c ORDER BY score DESC, length(label) DESC, tag_id LIMIT 50"""
+)
+def tag_search(s, d):
+    q, aliases = "Customer#0", F.array("tag_id")
+    rows = view(s, d, "tags").where(text.matches_all_terms(q, F.col("label"), aliases)).withColumn("score", text.relevance(q, F.col("label"), aliases))
+    return rows.orderBy(F.desc("score"), F.desc(F.length("label")), "tag_id").limit(50).select("tag_id", "label", "score")
+
+
+# Arrays
+
+
+HELD = f"WITH {ctes('file_tags')}, h AS (SELECT file_id, list_sort(list(tag_id)) AS t FROM file_tags GROUP BY 1)"
+
+
+@query(HELD + " SELECT file_id, array_to_string(list_sort(list_filter(list_distinct(list_concat(t, ['new', 'P1'])), lambda x: x NOT IN ('P2', 'P3'))), ',') AS tags FROM h")
+def array_edit(s, d):
+    rows = graph.materialised(view(s, d, "file_tags"), "file_id")
+    return rows.select("file_id", F.array_join(F.sort_array(mutate.pull(mutate.add_to_set(F.col("tag_ids"), ["new", "P1"]), ["P2", "P3"])), ",").alias("tags"))
+
+
+@query(
+    HELD
+    + """ SELECT file_id, array_to_string(list_filter(['P1', 'P2', 'x'], lambda x: NOT list_contains(t, x)), ',') AS added, array_to_string(list_filter(t, lambda x: x NOT IN ('P1', 'P2', 'x')), ',') AS removed FROM h"""
+)
+def delta(s, d):
+    added, removed = mutate.delta(F.col("tag_ids"), F.array(*map(F.lit, ("P1", "P2", "x"))))
+    return graph.materialised(view(s, d, "file_tags"), "file_id").select("file_id", F.array_join(added, ",").alias("added"), F.array_join(F.sort_array(removed), ",").alias("removed"))
+
+
+# Snapshots
+
+
+@query(
+    f"""WITH {ctes('files')} SELECT file_id, CASE WHEN file_id % 4 = 0 THEN 5 ELSE rating END AS rating, size FROM files WHERE file_id % 3 <> 0 UNION ALL SELECT -1, 1, 10"""
+)
+def snapshot_changes(s, d):
+    rows = view(s, d, "files").select("file_id", "rating", "size")
+    return mutate.steps(
+        rows,
+        lambda r: mutate.update(r, r.where("file_id % 4 = 0").select("file_id", F.lit(5).alias("rating")), "file_id"),
+        lambda r: mutate.delete(r, r.where("file_id % 3 = 0"), "file_id"),
+        lambda r: mutate.insert(r, s.createDataFrame([(-1, 10)], "file_id long, size long"), {"rating": 1}),
+    )
+
+
+@query(f"WITH {ctes('doc_files', 'tombstones')} SELECT DISTINCT hash FROM (SELECT hash FROM tombstones UNION ALL SELECT hash FROM doc_files WHERE file_id % 11 = 0)")
+def tombstone_upsert(s, d):
+    return mutate.upsert(view(s, d, "tombstones"), view(s, d, "doc_files").where("file_id % 11 = 0").select("hash"), "hash")
+
+
+@query(
+    f"""WITH {ctes('files', 'coll_orders')} SELECT collection_id, count(*) AS n_files FROM coll_orders WHERE file_id % 4 <> 0 GROUP BY 1"""
+)
+def delete_files(s, d):
+    files = view(s, d, "files").withColumn("hash", F.md5(F.col("file_id").cast("string")))
+    _, members, _ = mutate.delete_files(files, view(s, d, "coll_orders"), view(s, d, "tombstones"), files.where("file_id % 4 = 0"))
+    return members.groupBy("collection_id").agg(F.count("*").alias("n_files"))
+
+
+@query(f"WITH {ctes('files')} SELECT file_id, CASE WHEN is_archived THEN 'delete' ELSE 'archive' END AS action FROM files WHERE file_id % 5 = 0")
+def delete_or_archive(s, d):
+    rows = view(s, d, "files")
+    return mutate.delete_or_archive(rows, rows.where("file_id % 5 = 0"))
+
+
+# Text and media
+
+
+@query(
+    f"""WITH {ctes('doc_files')}, e AS (SELECT file_id, original_path, CASE file_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN 'TXT' WHEN 2 THEN 'png' ELSE 'txt' END AS ext FROM doc_files)
+SELECT file_id, ext AS was, CASE WHEN ext = 'txt' THEN ext ELSE lower(regexp_extract(original_path, '\\.(\\w+)$', 1)) END AS ext FROM e"""
+)
+def broken_ext(s, d):
+    k = F.col("file_id") % 4
+    rows = view(s, d, "doc_files").withColumn("was", F.when(k == 0, ".txt").when(k == 1, "TXT").when(k == 2, "png").otherwise("txt"))
+    return rows.select("file_id", "was", text.fixed_extension(F.col("was"), F.col("original_path")).alias("ext"))
+
+
+@query(
+    f"""WITH {ctes('tags')} SELECT tag_id, '(^' || regexp_replace(regexp_replace(label, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g'), '[\\s\\-_]+', '[\\\\s\\\\-_\\\\.]+', 'g') || '$)|(^' || tag_id || '$)' AS pattern FROM tags WHERE tag_id NOT LIKE '%:%'"""
+)
+def tag_to_regex(s, d):
+    rows = view(s, d, "tags").where("tag_id not like '%:%'")
+    return rows.select("tag_id", text.tag_pattern(F.col("label"), F.array("tag_id")).alias("pattern"))
+
+
+@query(
+    """SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(html, '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS decoded
+FROM pages WHERE NOT regexp_matches(replace(html, '&#39;', ''), '&#[0-9]+;')"""
+)
+def entity_decode(s, d):
+    rows = table(s, d, "pages").where(~F.regexp_replace("html", "&#39;", "").rlike("&#[0-9]+;"))
+    return rows.select("page_id", F.md5(text.decode_entities(F.col("html"))).alias("decoded"))
+
+
+@query(
+    f"""WITH {ctes('param_blobs')} SELECT file_id, p_name AS prompt, p_brand AS negative_prompt, CAST(p_size AS DOUBLE) AS steps, 'Euler a' AS sampler, CAST(p_partkey AS DOUBLE) AS seed, 512 AS width, 768 AS height,
+  p_type AS model, p_partkey % 2 = 0 AS is_upscaled FROM param_blobs JOIN part ON file_id = p_partkey"""
+)
+def param_parse(s, d):
+    rows = view(s, d, "param_blobs").select("file_id", text.parameters(F.col("diffusion_params")).alias("p"))
+    return rows.select("file_id", *(f"p.{c}" for c in ("prompt", "negative_prompt", "steps", "sampler", "seed", "width", "height", "model", "is_upscaled")))
+
+
+@query("SELECT p_partkey AS id, CAST(floor(w * least(300.0 / w, 200.0 / h)) AS INT) AS width, CAST(floor(h * least(300.0 / w, 200.0 / h)) AS INT) AS height FROM (SELECT p_partkey, CAST(p_size * 64 AS DOUBLE) AS w, CAST(p_partkey % 900 + 100 AS DOUBLE) AS h FROM part)")
+def thumb_fit(s, d):
+    rows = table(s, d, "part").select(F.col("p_partkey").alias("id"), media.fit_within((F.col("p_size") * 64).cast("double"), (F.col("p_partkey") % 900 + 100).cast("double"), 300, 200).alias("x"))
+    return rows.select("id", "x.width", "x.height")
+
+
+@query(
+    """SELECT o_orderkey AS id, least(CAST(o_totalprice AS BIGINT), 200000) AS bitrate, o_orderstatus = 'F' AND o_orderkey % 60 <= 30 AND CAST(o_totalprice AS BIGINT) <= 200000 AS skip FROM (SELECT o_orderkey, o_orderstatus, floor(o_totalprice) AS o_totalprice FROM orders)"""
+)
+def reencode_decision(s, d):
+    rows = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), media.reencode(F.col("o_orderstatus"), F.floor("o_totalprice").cast("long"), (F.col("o_orderkey") % 60).cast("double"), "F", 200_000, 30.0).alias("x"))
+    return rows.select("id", "x.bitrate", "x.skip")
+
+
+@query(
+    """SELECT l_orderkey AS id, bool_and(l_tax * 100 >= 0 AND l_quantity > l_tax * 100 AND l_quantity <= 45) AS is_valid FROM lineitem GROUP BY 1"""
+)
+def splice_check(s, d):
+    pairs = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct((F.col("l_tax") * 100).alias("start"), F.col("l_quantity").cast("double").alias("end"))).alias("pairs"))
+    return pairs.select("id", media.splice_is_valid(F.col("pairs"), F.lit(45.0)).alias("is_valid"))
+
+
+# Imports
+
+
+@query(
+    f"""WITH {ctes('import_rows')}, stored AS (SELECT DISTINCT hash FROM import_rows WHERE batch_id % 9 = 0), dead AS (SELECT DISTINCT hash FROM import_rows WHERE batch_id % 8 = 0),
+r AS (SELECT batch_id, pos, hash, CASE WHEN hash IN (SELECT hash FROM stored) THEN 'DUPLICATE' WHEN hash IN (SELECT hash FROM dead) AND batch_id % 2 = 0 THEN 'DELETED' END AS early FROM import_rows)
+SELECT batch_id, pos, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY hash, early IS NULL ORDER BY batch_id, pos) = 1 THEN 'COMPLETE' ELSE 'DUPLICATE' END) AS result FROM r"""
+)
+def import_ladder(s, d):
+    rows = view(s, d, "import_rows")
+    out = imports.statuses(rows, rows.where("batch_id % 9 = 0"), rows.where("batch_id % 8 = 0"), F.col("batch_id") % 2 == 0)
+    return out.select("batch_id", "pos", "result")
+
+
+@query(
+    f"""WITH {ctes('files')}, p AS (SELECT DISTINCT regexp_replace(original_path, '/[^/]*$', '') AS folder FROM files), l AS (SELECT folder, list_distinct(list_filter(string_split(folder, '/'), lambda x: x <> '')) AS x FROM p),
+s AS (SELECT folder, string_split(folder, '/')[2:] AS x FROM p)
+SELECT folder, x[i] AS label, CASE WHEN i > 2 THEN x[i - 1] ELSE '' END AS parent_label, CAST(i - 2 AS INT) AS depth, x[len(x)] AS collection_title FROM s, (SELECT unnest(range(2, 5)) AS i) WHERE i <= len(x)"""
+)
+def batch_build(s, d):
+    folders = view(s, d, "files").select(text.dirname(F.col("original_path")).alias("folder"))
+    out = imports.folder_tags(folders, root_index=1, mode="hierarchical", collection="withTag")
+    return out.select("folder", "label", F.coalesce("parent_label", F.lit("")).alias("parent_label"), "depth", "collection_title")
+
+
+@query(
+    """WITH k AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), f AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 1),
+p AS (SELECT f.vec_id AS face_id, k.vec_id AS tag_id, list_distance(f.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS distance FROM f, k)
+SELECT face_id, CAST(tag_id AS VARCHAR) AS tag_id, round(distance, 5) AS distance FROM p WHERE distance <= 1.2 QUALIFY row_number() OVER (PARTITION BY face_id ORDER BY distance, CAST(tag_id AS VARCHAR)) = 1"""
+)
+def nearest_face(s, d):
+    rows = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    faces = rows.where("vec_id % 20 = 1").select(F.col("vec_id").alias("face_id"), F.col("v").alias("vector"))
+    known = rows.where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("tag_id"), F.col("v").alias("known_vector"))
+    return joins.nearest(faces, known, 1.2).withColumn("distance", F.round("distance", 5))
+
+
+QUERIES |= streams.QUERIES
+ORACLES |= streams.ORACLES
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
