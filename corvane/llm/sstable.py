@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, shared_dir, shuffle_width
-from corvane.llm.tokens import WordEncoder, batches
+from corvane.llm.tokens import batches, encoder_for
 
 #: Fixed values of the file format.
 MAGIC = b"CVSSTAB1"
@@ -210,7 +210,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [f"{folder}/{path.rsplit('/', 1)[1]}"], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens]})
 
         for batch in batches(rows):
-            encoder = encoder or WordEncoder(tokenizer_path)
+            encoder = encoder or encoder_for(tokenizer_path)
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text").to_pylist())):
                 ordinal = ordinal + 1 if doc == last else 0
                 last = doc

@@ -15,7 +15,7 @@ class WordEncoder:
     Each word is encoded once and kept; the memo is emptied when it holds `memo` words, so memory stays bounded.
     """
 
-    def __init__(self, path: str, memo: int = 1_500_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -32,10 +32,11 @@ class WordEncoder:
         known = self.known
         new = list({w for words in split for w in words if w not in known})
         plain = [w for w in new if BAR.encode() not in w] if len(self.bar) == 1 else []
-        for at in range(0, len(plain), 2_000):
-            # Many words in one call, with a control character between them whose one id tells where each ends.
-            part = plain[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode(f" {BAR} ".join(w.decode() for w in part), add_special_tokens=False).ids, "<u4")
+        # Many words in one string, with a control character between them whose one id tells where each ends.
+        parts = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+        lines = [f" {BAR} ".join(w.decode() for w in part) for part in parts]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
             ends = [*np.flatnonzero(ids == self.bar[0]).tolist(), len(ids)]
             packed, start = ids.tobytes(), 0
             for word, end in zip(part, ends, strict=True):
@@ -47,6 +48,16 @@ class WordEncoder:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+#: Encoders of this worker process: tasks that follow each other find the words known.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def batches(rows, size: int = 4 << 20):
     """Arrow batches cut so that their texts (column "text") hold about so many bytes each."""
     for batch in rows:
