@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import broadcast_blocks, union
+
 
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
@@ -32,8 +34,10 @@ def relink(files: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def tags_by_pattern(names: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(name, tag_id) wherever a tag's pattern occurs in a name, case aside; patterns are few, so each distinct name meets all of them."""
-    return names.select("name").distinct().join(F.broadcast(patterns), F.expr("name rlike concat('(?im)', pattern)")).select("name", "tag_id")
+    """(name, tag_id) wherever a tag's pattern occurs in a name, case aside; each distinct name meets the patterns in blocks."""
+    own = names.select("name").distinct()
+    met = [own.join(block, F.expr("name rlike concat('(?im)', pattern)")) for block in broadcast_blocks(patterns.select("tag_id", "pattern"))]
+    return union(met).select("name", "tag_id")
 
 
 def holding_any(file_tags: DataFrame, tag_ids: list) -> DataFrame:
@@ -45,8 +49,9 @@ def collections_of(members: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def nearest(faces: DataFrame, known: DataFrame, most: float = 0.45) -> DataFrame:
-    """(face_id, tag_id, distance): for each vector the nearest known one within a distance; known ones are a small, stated set."""
+    """(face_id, tag_id, distance): for each vector the nearest known one within a distance; the known ones are a stated set, met in blocks."""
     gap = F.sqrt(F.aggregate(F.zip_with("vector", "known_vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    pairs = faces.join(F.broadcast(known), F.size("vector") == F.size("known_vector")).withColumn("distance", gap).where(F.col("distance") <= most)
+    met = [faces.join(block, F.size("vector") == F.size("known_vector")) for block in broadcast_blocks(known.select("tag_id", "known_vector"), 10_000)]
+    pairs = union(met).withColumn("distance", gap).where(F.col("distance") <= most)
     w = Window.partitionBy("face_id").orderBy("distance", "tag_id")
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("face_id", "tag_id", "distance")

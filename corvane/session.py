@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,3 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return df.checkpoint()
+
+
+def broadcast_blocks(df: DataFrame, rows: int = 100_000) -> list[DataFrame]:
+    """df in parts of about so many rows, each small enough to broadcast; a counted small table is one part."""
+    parts = max(1, -(-df.count() // rows))
+    return [F.broadcast(df if parts == 1 else df.where(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == i)) for i in range(parts)]
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
