@@ -116,9 +116,12 @@ def sequences(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, id_c
     parts = materialize(pieces(docs, tokenizer_path, max_tokens, 0, id_col, text_col, with_ids=True), "pieces")
     placed = pack(parts, max_tokens)
     key = ["doc_id", "piece", "ids_crc32", "length", "start"]
-    held = parts.dropDuplicates(key)  # equal keys hold equal ids, so one copy serves repeated rows
-    on = [placed[k].eqNullSafe(held[k]) for k in key]
-    rows = placed.join(held, F.expr("true") if not on else on[0] & on[1] & on[2] & on[3] & on[4]).select(placed["sequence_id"], placed["offset"], placed["length"], held["ids"])
+    # Equal keys hold equal ids, so one copy serves repeated rows.
+    held = parts.dropDuplicates(key).select(*(F.col(k).alias(f"_{k}") for k in key), "ids")
+    same = placed["doc_id"].eqNullSafe(held["_doc_id"])
+    for k in key[1:]:
+        same &= placed[k] == held[f"_{k}"]
+    rows = placed.join(held, same).select("sequence_id", "offset", "length", "ids")
 
     def joined(pdf):
         import pandas as pd
