@@ -32,6 +32,8 @@ from corvane.llm.common import materialize, shuffle_width
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: The identifier of a gram keeps so many bits.
 GRAM_BITS = np.uint64(48)
+#: Bytes of text whose anchors are worked out at a time; the arrays for them stay in the cache.
+CHUNK = 512 << 10
 ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("uid", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("n", "u1")])
 SPAN = np.dtype([("uid", "<i8"), ("start", "<i4"), ("end", "<i4")])
 ASK = np.dtype([("uid", "<i8"), ("h", "<u8"), ("pos", "<i4"), ("lo", "u1"), ("n", "u1")])
@@ -204,15 +206,23 @@ def find_repeats(docs: DataFrame, shift: int, buckets: int, doc_buckets: int, le
         return [kind] * len(parts), [int(key[e]) for e in edges], [pack(p) for p in parts]
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
-        size = 0
+        # Anchors are worked out over CHUNK bytes at a time, and settled among batch_bytes of text.
+        chunk: list[tuple[int, bytes]] = []
+        entries: list[np.ndarray] = []
+        chunk_size = size = 0
+
+        def work_out() -> None:
+            uids = np.array([u for u, _ in chunk], np.int64)
+            sizes = np.array([len(t) for _, t in chunk], np.int64)
+            doc, start, n, pos, h, c = anchors(b"".join(t for _, t in chunk), sizes, length, gram)
+            e = np.empty(len(doc), ENTRY)
+            e["h"], e["c"], e["uid"], e["pos"], e["lo"], e["n"] = h, c, uids[doc] if len(doc) else doc, pos, pos - start, n
+            entries.append(e)
+            chunk.clear()
 
         def settle() -> pa.RecordBatch:
-            uids = np.array([u for u, _ in held], np.int64)
-            sizes = np.array([len(t) for _, t in held], np.int64)
-            doc, start, n, pos, h, c = anchors(b"".join(t for _, t in held), sizes, length, gram)
-            e = np.empty(len(doc), ENTRY)
-            e["h"], e["c"], e["uid"], e["pos"], e["lo"], e["n"] = h, c, uids[doc], pos, pos - start, n
+            e = np.concatenate(entries)
+            entries.clear()
             e = e[np.lexsort((e["uid"], e["c"], e["h"]))]
             new = _groups(e["h"], e["c"])
             if len(e):
@@ -232,12 +242,18 @@ def find_repeats(docs: DataFrame, shift: int, buckets: int, doc_buckets: int, le
 
         for batch in rows:
             for uid, text in zip(batch.column("_uid").to_pylist(), batch.column("text").to_pylist()):
-                held.append((uid, (text or "").encode()))
-                size += len(held[-1][1])
+                chunk.append((uid, (text or "").encode()))
+                chunk_size += len(chunk[-1][1])
+                size += len(chunk[-1][1])
+                if chunk_size >= CHUNK or size >= batch_bytes:
+                    work_out()
+                    chunk_size = 0
                 if size >= batch_bytes:
                     yield settle()
-                    held, size = [], 0
-        if held:
+                    size = 0
+        if chunk:
+            work_out()
+        if entries:
             yield settle()
 
     def meet(table: pa.Table) -> pa.Table:
@@ -272,7 +288,7 @@ def find_repeats(docs: DataFrame, shift: int, buckets: int, doc_buckets: int, le
     return scanned.groupBy("bucket").applyInArrow(meet, "kind int, dbucket long, data binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, batch_bytes: int = 8 << 20, bucket_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text"):
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, batch_bytes: int = 8 << 20, bucket_bytes: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text"):
     """(texts, spans, shift) for remove_repeats(): texts (_uid, dbucket and the columns of docs) and spans to remove (dbucket, data)."""
     import pyarrow as pa
 
@@ -280,7 +296,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, batch_byte
     keyed, shift = with_uids(docs, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     doc_buckets = max(1, total // bucket_bytes, shuffle_width(spark)) | 1
-    buckets = max(1, total // (bucket_bytes // 2), shuffle_width(spark))
+    buckets = max(1, total // bucket_bytes, shuffle_width(spark))
     plain = keyed.select("_uid", F.col(text_col).alias("text"))
     found = materialize(find_repeats(plain, shift, buckets, doc_buckets, length, gram, batch_bytes), "repeats")
     texts = keyed.withColumn("dbucket", F.pmod(F.col("_uid"), F.lit(doc_buckets)))
