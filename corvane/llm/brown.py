@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER_TABLE).split()
 
 
-def _texts(rows, size: int) -> Iterator[list[list[bytes]]]:
+def _texts(rows, size: int = 1 << 20) -> Iterator[list[list[bytes]]]:
     """Words of texts (column "text"), about `size` bytes at a time."""
     held, n = [], 0
     for batch in rows:
@@ -48,37 +49,58 @@ def _texts(rows, size: int) -> Iterator[list[list[bytes]]]:
         yield held
 
 
-def count_words(train: DataFrame, batch_bytes: int) -> DataFrame:
-    """(word, c) over all texts; the end of each text is a word too."""
+def _numbers(texts: list[list[bytes]], ids: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
+    """All words with an end before, between and after the texts, and their numbers; len(ids) - 1 for words without one."""
+    flat = [END]
+    for words in texts:
+        flat += words
+        flat.append(END)
+    return flat, np.fromiter(map(ids.get, flat, repeat(len(ids) - 1)), np.int64, len(flat))
+
+
+def count_words(train: DataFrame, held: int) -> DataFrame:
+    """(word, c) over all texts; the end of each text is a word too. Tasks send what they counted when they hold that many words."""
     import pyarrow as pa
 
+    def sent(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _texts(rows, batch_bytes):
-            seen: Counter = Counter()
+        seen: Counter = Counter()
+        for texts in _texts(rows):
             for words in texts:
                 seen.update(words)
             seen[END] += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            if len(seen) >= held:
+                yield sent(seen)
+                seen.clear()
+        if seen:
+            yield sent(seen)
 
     return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def count_pairs(train: DataFrame, ids: dict[bytes, int], batch_bytes: int) -> DataFrame:
+def count_pairs(train: DataFrame, ids: dict[bytes, int], held: int) -> DataFrame:
     """(v, w, n): neighbouring frequent words, by number; len(ids): any other word, len(ids) + 1: an end of a text."""
     import pyarrow as pa
 
     f = len(ids)
+    numbers = {**ids, END: f + 1}
+
+    def sent(parts: list[np.ndarray]) -> pa.RecordBatch:
+        pair, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array((pair // (f + 2)).astype(np.int32)), pa.array((pair % (f + 2)).astype(np.int32)), pa.array(n.astype(np.int64))], ["v", "w", "n"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _texts(rows, batch_bytes):
-            flat = [END]
-            for words in texts:
-                flat += words
-                flat.append(END)
-            codes = np.fromiter((ids.get(w, f) for w in flat), np.int64, len(flat))
-            codes[np.fromiter((w is END for w in flat), bool, len(flat))] = f + 1
-            pair, n = np.unique(codes[:-1] * (f + 2) + codes[1:], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((pair // (f + 2)).astype(np.int32)), pa.array((pair % (f + 2)).astype(np.int32)), pa.array(n.astype(np.int64))], ["v", "w", "n"])
+        parts: list[np.ndarray] = []
+        for texts in _texts(rows):
+            _, codes = _numbers(texts, numbers)
+            parts.append(codes[:-1] * (f + 2) + codes[1:])
+            if sum(map(len, parts)) >= 10 * held:
+                yield sent(parts)
+                parts = []
+        if parts:
+            yield sent(parts)
 
     return train.select("text").mapInArrow(run, "v int, w int, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
 
@@ -116,14 +138,17 @@ def exchange(classes: np.ndarray, left: np.ndarray, right: np.ndarray, movable:
     np.add.at(table.T, classes, left)  # table[before, class]
     for w in range(movable):
         a, before, after = classes[w], left[w], right[w]
+        n_before, n_after = before.sum(), after.sum()
+        out_sum, in_sum = table.sum(1)[:n_classes], table.sum(0)[:n_classes]
+        if a < n_classes:  # other classes keep what they have, wherever the word goes
+            out_sum[a] -= n_after
+            in_sum[a] -= n_before
         table[:, a] -= before
         table[a, :] -= after
         np.maximum(table, 0, out=table)  # pairs of the word with itself are taken off twice
-        out_sum, in_sum = table.sum(1)[:n_classes], table.sum(0)[:n_classes]
-        n_before, n_after = before.sum(), after.sum()
         gain = (_xlogx(table[:, :n_classes] + before[:, None]) - _xlogx(table[:, :n_classes])).sum(0)
         gain += (_xlogx(table[:n_classes, :] + after) - _xlogx(table[:n_classes, :])).sum(1)
-        gain -= _xlogx(out_sum + n_after) - _xlogx(out_sum) + _xlogx(in_sum + n_before) - _xlogx(in_sum)
+        gain -= _xlogx(np.maximum(out_sum, 0) + n_after) - _xlogx(np.maximum(out_sum, 0)) + _xlogx(np.maximum(in_sum, 0) + n_before) - _xlogx(np.maximum(in_sum, 0))
         b = int(gain.argmax())
         if gain[b] <= gain[a] + 1e-9:
             b = a
@@ -134,7 +159,7 @@ def exchange(classes: np.ndarray, left: np.ndarray, right: np.ndarray, movable:
     return classes, moves
 
 
-def place_rare(train: DataFrame, ids: dict[bytes, int], classes: np.ndarray, fit: np.ndarray, n_classes: int, batch_bytes: int) -> DataFrame:
+def place_rare(train: DataFrame, ids: dict[bytes, int], classes: np.ndarray, fit: np.ndarray, n_classes: int, held: int) -> DataFrame:
     """(word, n, class): for each word without a number, the class of best fit to all its neighbours.
 
     fit: (neighbour's class, class) scores of the word before, and then those of the word after. Batches send a word's
@@ -143,41 +168,46 @@ def place_rare(train: DataFrame, ids: dict[bytes, int], classes: np.ndarray, fit
     import pyarrow as pa
 
     f, width = len(ids), len(fit) // 2
+    fit = fit.astype(np.float32)
+    numbers = {**ids, END: f + 1}
     class_of = classes.astype(np.uint8)
     most = 2 * n_classes  # neighbours of two bytes each against scores of four
 
+    def sent(rare: dict[bytes, int], number: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        near = near[np.argsort(number, kind="stable")]
+        counts = np.bincount(number, minlength=len(rare))
+        ends = np.cumsum(counts)
+        raw = near.tobytes()
+        data = [raw[2 * (e - n) : 2 * e] for e, n in zip(ends.tolist(), counts.tolist())]
+        for i in np.flatnonzero(counts > most).tolist():
+            part = near[ends[i] - counts[i] : ends[i]].astype(np.int64)
+            data[i] = (fit[part[:, 0]].sum(0) + fit[width + part[:, 1]].sum(0)).astype("<f4").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(list(rare), pa.binary()), pa.array(counts.astype(np.int64)), pa.array(data, pa.binary())], ["word", "n", "near"])
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _texts(rows, batch_bytes):
-            rare: dict[bytes, int] = {}
-            flat: list[bytes] = [END]
-            for words in texts:
-                flat += words
-                flat.append(END)
-            codes = np.fromiter((ids.get(w, f) for w in flat), np.int64, len(flat))
-            codes[np.fromiter((w is END for w in flat), bool, len(flat))] = f + 1
+        rare: dict[bytes, int] = {}
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for texts in _texts(rows):
+            flat, codes = _numbers(texts, numbers)
             at = np.flatnonzero(codes == f)
-            if not len(at):
-                continue
-            number = np.fromiter((rare.setdefault(flat[i], len(rare)) for i in at.tolist()), np.int64, len(at))
-            near = np.stack([class_of[codes[at - 1]], class_of[codes[at + 1]]], 1)
-            by = np.argsort(number, kind="stable")
-            near = near[by]
-            counts = np.bincount(number, minlength=len(rare))
-            ends = np.cumsum(counts)
-            raw = near.tobytes()
-            data = [raw[2 * (e - n) : 2 * e] for e, n in zip(ends.tolist(), counts.tolist())]
-            for i in np.flatnonzero(counts > most).tolist():
-                part = near[ends[i] - counts[i] : ends[i]].astype(np.int64)
-                data[i] = (fit[part[:, 0]].sum(0) + fit[width + part[:, 1]].sum(0)).astype("<f4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(rare), pa.binary()), pa.array(counts.astype(np.int64)), pa.array(data, pa.binary())], ["word", "n", "near"])
+            own = list(compress(flat, (codes == f).tolist()))
+            new = [w for w in dict.fromkeys(own) if w not in rare]
+            rare.update(zip(new, range(len(rare), len(rare) + len(new))))
+            number = np.fromiter(map(rare.__getitem__, own), np.int32, len(own))
+            found.append((number, np.stack([class_of[codes[at - 1]], class_of[codes[at + 1]]], 1)))
+            if len(rare) >= held:
+                yield sent(rare, *map(np.concatenate, zip(*found)))
+                rare, found = {}, []
+        if rare:
+            yield sent(rare, *map(np.concatenate, zip(*found)))
 
     def choose(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_n, last_score = None, 0, None
 
         for batch in rows:
-            for part in (batch.slice(i, 20_000) for i in range(0, batch.num_rows, 20_000)):
+            for part in (batch.slice(i, 10_000) for i in range(0, batch.num_rows, 10_000)):
                 words, ns, near = part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2).to_pylist()
-                scores = np.zeros((len(words), n_classes))
+                scores = np.zeros((len(words), n_classes), np.float32)
                 listed = np.flatnonzero(ns <= most)
                 if len(listed):
                     codes = np.frombuffer(b"".join(near[i] for i in listed), np.uint8).reshape(-1, 2).astype(np.int64)
@@ -249,7 +279,7 @@ def encode(docs: DataFrame, table: DataFrame, totals: Totals, unseen: int, block
         for doc, held, text in zip(texts.column("doc_id").to_pylist(), texts.column("held_out").to_pylist(), texts.column("text").to_pylist()):
             words = words_of(text)
             words.append(END)
-            at = np.fromiter((number.get(w, none) for w in words), np.int64, len(words))
+            at = np.fromiter(map(number.get, words, repeat(none)), np.int64, len(words))
             out.append((doc, held, len(words), int((c[at] > 0).sum()), float(base[at].sum()), float(emit[at].sum()), pack.compress(codes[at].tobytes())))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
         return pa.table({n: pa.array(col, t) for n, col, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "base_score", "emit", "codes"), zip(*out), kinds)})
@@ -304,7 +334,7 @@ def log_transitions(counts: np.ndarray, by_class: np.ndarray, unseen: int, weigh
         return np.log10(out)
 
 
-def score(docs: DataFrame, n_classes: int = 48, frequent_share: float = 1e-4, rounds: int = 5, folds: int = 10, held_out_fold: int = 0, batch_bytes: int = 24 << 20, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, n_classes: int = 48, frequent_share: float = 1e-4, rounds: int = 5, folds: int = 10, held_out_fold: int = 0, held_words: int = 250_000, block_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row of docs.
 
     The model learns from all texts outside the held-out fold (by crc32 of the id as text, null as the empty text).
@@ -316,14 +346,14 @@ def score(docs: DataFrame, n_classes: int = 48, frequent_share: float = 1e-4, ro
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_mod(id_col, folds) == held_out_fold).alias("held_out"), F.col(text_col).alias("text"))
     train = rows.where("not held_out")
-    vocabulary = materialize(count_words(train, batch_bytes), "vocabulary")
+    vocabulary = materialize(count_words(train, held_words), "vocabulary")
     tokens, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     common = vocabulary.where((F.col("c") >= frequent_share * tokens) & (F.col("word") != F.lit(END))).orderBy(F.desc("c"), "word").collect()  # at most 1 / frequent_share rows
     ids = {bytes(r["word"]): i for i, r in enumerate(common)}
     f, rare_class, end_class = len(ids), n_classes, n_classes + 1
     classes = np.r_[np.arange(f) % n_classes, rare_class, end_class].astype(np.int64)
     if f:
-        pairs = materialize(count_pairs(train, ids, batch_bytes), "pairs")
+        pairs = materialize(count_pairs(train, ids, held_words), "pairs")
         for _ in range(rounds):
             left, right = class_vectors(pairs, classes, n_classes + 2)
             classes, moves = exchange(classes, left, right, f, n_classes)
@@ -337,7 +367,7 @@ def score(docs: DataFrame, n_classes: int = 48, frequent_share: float = 1e-4, ro
     expected = np.outer(around.sum(1), around.sum(0)) / max(around.sum(), 1)
     tie = np.log((around + 1) / (expected + 1))
     fit = np.vstack([tie[:, :n_classes], tie[:n_classes, :].T])
-    placed = place_rare(train, ids, classes, fit, n_classes, batch_bytes).select("word", "c", (F.col("class") + n_classes).alias("class"))
+    placed = place_rare(train, ids, classes, fit, n_classes, held_words).select("word", "c", (F.col("class") + n_classes).alias("class"))
     spark = docs.sparkSession
     ends = train.count()
     fixed = [(bytearray(r["word"]), r["c"], int(k)) for r, k in zip(common, classes)] + ([(bytearray(END), ends, 2 * n_classes)] if ends else [])

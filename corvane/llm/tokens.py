@@ -60,8 +60,10 @@ def encoder_for(path: str) -> WordEncoder:
 
 def batches(rows, size: int = 4 << 20):
     """Arrow batches cut so that their texts (column "text") hold about so many bytes each."""
+    import pyarrow.compute as pc
+
     for batch in rows:
-        lengths = [len(t or "") for t in batch.column("text").to_pylist()] if batch.num_rows > 1 else [0]
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(lengths):
             held += n
