@@ -15,8 +15,8 @@ from corvane.llm.common import with_window_hashes
 
 #: White space that parts words.
 SPACE = r"[\x20\x09-\x0D]+"
-SPACE_CHARS = " \t\n\x0b\x0c\r"
-SYMBOL_CHARS = "#*$%&|<>"
+NO_SPACE = r"[^\x20\x09-\x0D]"
+SYMBOL = "[#*$%&|<>]"
 #: Fixed phrases of page furniture and legal footers; a short line that holds one is boilerplate.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies",
@@ -42,12 +42,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, SPACE_CHARS, "")).cast("long")
+def has_word(text: Column) -> Column:
+    return text.rlike(NO_SPACE)
+
+
+def word_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, "")).cast("long")
 
 
 def symbol_count(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOL_CHARS, ""))).cast("long")
+    return (F.size(F.split(text, SYMBOL, -1)) - 1).cast("long")
 
 
 def with_repeat_words(docs: DataFrame, words: str, window: int, out: str) -> DataFrame:
@@ -68,24 +72,33 @@ def with_repeat_words(docs: DataFrame, words: str, window: int, out: str) -> Dat
     return docs.withColumn(out, total.cast("long")).drop("_hashes", "_sorted", "_same", "_places")
 
 
-def line_verdicts(lines: Column, rules: LineRules) -> Column:
-    """For each line whether it stays; lines without a word stay as they are."""
-    low = F.lower
-    phrase = "|".join(p.replace(".", r"\.") for p in BOILERPLATE)
+def line_facts(lines: Column, rules: LineRules) -> Column:
+    """For each line an array element with its words' number and characters, and its lower-case form if it is short."""
+
+    def facts(line: Column) -> Column:
+        pieces = F.split(line, SPACE)
+        return F.struct(line.alias("line"), F.size(F.filter(pieces, lambda w: w != "")).alias("n_words"), word_chars(pieces).alias("chars"))
+
+    return F.transform(lines, facts)
+
+
+def line_verdicts(facts: Column, rules: LineRules) -> Column:
+    """The facts of lines that stay; lines without a word stay as they are. Costly patterns run only on lines that hold their marks."""
 
-    def stays(line: Column) -> Column:
-        bare = F.greatest(word_chars(line), F.lit(1))
-        n_words = F.size(words_of(line))
-        bars = F.regexp_count(line, F.lit(r"(?:^|[\x20\x09])[|>»](?=[\x20\x09]|$)"))
-        shouts = F.regexp_count(line, F.lit(r"!!(?=[\x20\x09-\x0D]|$)"))
+    def stays(x: Column) -> Column:
+        line, n_words = x["line"], x["n_words"]
+        bars = F.when(line.contains("|") | line.contains(">") | line.contains("»"), F.regexp_count(line, F.lit(r"(?:^|[\x20\x09])[|>»](?=[\x20\x09]|$)"))).otherwise(0)
+        shouts = F.when(line.contains("!!"), F.regexp_count(line, F.lit(r"!!(?=[\x20\x09-\x0D]|$)"))).otherwise(0)
+        phrase = F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda p: x["low"].contains(p))
         return ~(
-            (symbol_count(line) > bare * rules.max_symbol_share)
+            (symbol_count(line) > x["chars"] * rules.max_symbol_share)
             | (bars > rules.max_nav_bars)
             | (shouts > F.greatest(F.lit(2), n_words * rules.max_shout_share))
-            | ((n_words <= rules.boilerplate_words) & low(line).rlike(phrase))
+            | phrase
         )
 
-    return F.filter(lines, lambda line: (word_chars(line) == 0) | stays(line))
+    low = F.transform(facts, lambda x: x.withField("low", F.when(x["n_words"] <= rules.boilerplate_words, F.lower(x["line"])).otherwise("")))
+    return F.filter(low, lambda x: (x["n_words"] == 0) | stays(x))
 
 
 def line_first(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text") -> DataFrame:
@@ -94,11 +107,11 @@ def line_first(docs: DataFrame, rules: LineRules = LineRules(), text_col: str =
     Null is read as the empty text; a text without words loses nothing. Repeated rows are judged alike.
     """
     text = _text(F.col(text_col))
-    out = docs.drop("clean_text", "lines_removed", "lost_share", "_lines", "_kept").withColumn("_lines", F.split(text, "\n", -1))
-    out = out.withColumn("_kept", line_verdicts(F.col("_lines"), rules))
-    out = out.withColumns({"clean_text": F.array_join("_kept", "\n"), "lines_removed": (F.size("_lines") - F.size("_kept")).cast("long")}).drop("_lines", "_kept")
-    whole = word_chars(text)
-    return out.withColumn("lost_share", F.when(whole == 0, 0.0).otherwise((whole - word_chars(F.col("clean_text"))) / whole))
+    out = docs.drop("clean_text", "lines_removed", "lost_share", "_facts", "_kept", "_whole", "_left").withColumn("_facts", line_facts(F.split(text, "\n", -1), rules))
+    out = out.withColumn("_kept", line_verdicts(F.col("_facts"), rules))
+    chars = lambda facts: F.aggregate(facts, F.lit(0).cast("long"), lambda n, x: n + x["chars"])
+    out = out.withColumns({"clean_text": F.array_join(F.transform("_kept", lambda x: x["line"]), "\n"), "lines_removed": (F.size("_facts") - F.size("_kept")).cast("long"), "_whole": chars("_facts"), "_left": chars("_kept")})
+    return out.withColumn("lost_share", F.when(F.col("_whole") == 0, 0.0).otherwise((F.col("_whole") - F.col("_left")) / F.col("_whole"))).drop("_facts", "_kept", "_whole", "_left")
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text") -> DataFrame:
@@ -111,7 +124,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed beside the columns of docs."""
     text = _text(F.col(text_col))
     out = with_repeat_words(docs.withColumn("_words", words_of(text)), "_words", window, "n_repeat_words")
-    worded = F.filter(F.split(text, "\n", -1), lambda line: word_chars(line) > 0)
-    out = out.withColumns({"n_words": F.size("_words").cast("long"), "word_chars": word_chars(text), "n_symbols": symbol_count(text), "_lines": worded})
+    worded = F.filter(F.split(text, "\n", -1), has_word)
+    out = out.withColumns({"n_words": F.size("_words").cast("long"), "word_chars": word_chars(F.col("_words")), "n_symbols": symbol_count(text), "_lines": worded})
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_words", "_lines")
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
