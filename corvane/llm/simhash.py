@@ -197,10 +197,15 @@ def near_duplicates(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str
     return marked.join(owned.select("fp", "component"), "fp").select("doc_id", "_h", "fp", "component")
 
 
-def dedup(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each group of near-duplicates, the one that near_duplicates() names; columns stay."""
-    kept = near_duplicates(docs, tau, shingle, id_col, text_col).select("component.doc_id", "component._h").distinct()
+def one_of_each(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of docs that each component of grouped names, once; columns stay."""
+    kept = grouped.select("component.doc_id", "component._h").distinct()
     keyed = docs.withColumn("_hash", F.xxhash64(text_col))
     on = keyed[id_col].cast("long").eqNullSafe(kept["doc_id"]) & (keyed["_hash"] == kept["_h"])
     out = keyed.join(kept, on, "left_semi").withColumn("_copy", F.row_number().over(Window.partitionBy(id_col, "_hash").orderBy(F.lit(1))))
     return out.where("_copy = 1").select(*docs.columns)
+
+
+def dedup(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of near-duplicates, the one that near_duplicates() names; columns stay."""
+    return one_of_each(docs, near_duplicates(docs, tau, shingle, id_col, text_col), id_col, text_col)

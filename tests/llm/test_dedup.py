@@ -7,6 +7,7 @@ import re
 
 import xxhash
 
+import corpus_pipeline
 from corvane.llm import simhash, suffix_dedup
 from corvane.llm.components import components
 
@@ -94,6 +95,33 @@ def test_near_duplicates_match_brute_force(spark):
     assert simhash.dedup(frame.limit(0)).count() == 0
 
 
+def edited(words, changes, r):
+    """words with that many words replaced, well apart."""
+    out = list(words)
+    for k in r.sample(range(len(out) // 6), changes):
+        out[6 * k + 2] = f"new{r.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_pipeline_stage_finds_all_pairs_of_jaccard_08(spark):
+    r = random.Random(11)
+    docs, line = [], "this line stands in many of the documents and says nothing of its own"
+    for k in range(40):
+        base = [f"w{r.randrange(4000)}" for _ in range(200)]
+        docs += [" ".join(base) + " " + line] + [edited(base, n, r) + " " + line for n in (1, 2, 3, 4, 5, 6)[: 1 + k % 6]]
+    docs += [" ".join(f"v{j}" for j in range(i, i + 120)) for i in range(0, 200, 9)]  # chains of overlapping texts
+    docs += ["", None, " \n", "one two", "ONE  two", "one two three four five", "one two three four five six"]
+    r.shuffle(docs)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in docs)]
+    near = [(a, b) for a, b in itertools.combinations(range(len(docs)), 2) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    assert sum(len(sets[a] & sets[b]) < 0.9 * len(sets[a] | sets[b]) for a, b in near) > 40
+    of = classes(range(len(docs)), near)
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(docs)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_dedup(spark, frame, "").collect()
+    assert sorted(x["doc_id"] for x in kept) == sorted(set(of.values())) and kept[0].asDict().keys() == {"doc_id", "text", "lang"}
+    assert corpus_pipeline.near_dedup(spark, frame.limit(0), "").count() == 0
+
+
 def brute(docs, size=50):
     seen, out = {}, []
     for i, t in docs:
