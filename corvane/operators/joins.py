@@ -48,10 +48,20 @@ def collections_of(members: DataFrame, files: DataFrame) -> DataFrame:
     return members.join(files.select("file_id").distinct(), "file_id", "left_semi").select("collection_id").distinct()
 
 
+def _gap() -> Column:
+    return F.sqrt(F.aggregate(F.zip_with("vector", "known_vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+
+
 def nearest(faces: DataFrame, known: DataFrame, most: float = 0.45) -> DataFrame:
     """(face_id, tag_id, distance): for each vector the nearest known one within a distance; the known ones are a stated set, met in blocks."""
-    gap = F.sqrt(F.aggregate(F.zip_with("vector", "known_vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     met = [faces.join(block, F.size("vector") == F.size("known_vector")) for block in broadcast_blocks(known.select("tag_id", "known_vector"), 10_000)]
-    pairs = union(met).withColumn("distance", gap).where(F.col("distance") <= most)
+    pairs = union(met).withColumn("distance", _gap()).where(F.col("distance") <= most)
     w = Window.partitionBy("face_id").orderBy("distance", "tag_id")
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("face_id", "tag_id", "distance")
+
+
+def nearest_other(faces: DataFrame, known: DataFrame, most: float = 0.45) -> DataFrame:
+    """(face_id, tag_id, distance): as nearest(), but each vector's own row is left out and blocks of faces meet all known ones, which may be the larger side."""
+    met = [known.join(block, (F.size("vector") == F.size("known_vector")) & (F.col("face_id").cast("string") != F.col("tag_id"))) for block in broadcast_blocks(faces.select("face_id", "vector"), 10_000)]
+    near = [x.withColumn("distance", _gap()).where(F.col("distance") <= most).groupBy("face_id").agg(F.min(F.struct("distance", "tag_id")).alias("x")) for x in met]
+    return union(near).select("face_id", "x.tag_id", "x.distance")

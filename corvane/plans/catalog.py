@@ -662,6 +662,17 @@ def nearest_face(s, d):
     return joins.nearest(faces, known, 1.2).withColumn("distance", F.round("distance", 5))
 
 
+@query(
+    """WITH p AS (SELECT f.vec_id AS face_id, k.vec_id AS tag_id, list_distance(f.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS distance FROM embeddings f JOIN embeddings k ON f.vec_id % 20 = 0 AND f.vec_id <> k.vec_id)
+SELECT face_id, CAST(tag_id AS VARCHAR) AS tag_id, round(distance, 5) AS distance FROM p WHERE distance <= 1.2 QUALIFY row_number() OVER (PARTITION BY face_id ORDER BY distance, CAST(tag_id AS VARCHAR)) = 1"""
+)
+def nearest_face_all(s, d):
+    rows = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    faces = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("face_id"), F.col("v").alias("vector"))
+    known = rows.select(F.col("vec_id").cast("string").alias("tag_id"), F.col("v").alias("known_vector"))
+    return joins.nearest_other(faces, known, 1.2).withColumn("distance", F.round("distance", 5))
+
+
 QUERIES |= streams.QUERIES
 ORACLES |= streams.ORACLES
 

@@ -1,10 +1,18 @@
 """Small tables with the edge cases of each operator."""
 
+import hashlib
+import html
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import media, text
 from corvane.operators import collections, graph, imports, joins, mutate, predicates, rollups, search
+from corvane.plans import catalog
+from corvane.streaming import events
+
+SF = "/root/testdata/sf0.001"
 
 
 def pairs(df):
@@ -252,3 +260,9 @@ def test_sources(spark, tmp_path):
     assert (out["name"], out["size"], out["side_text"]) == ("a.jpg", 1, "Steps: 3")
     held = spark.createDataFrame([(1, 4), (2, 4), (3, 4)], "key int, size long")
     assert [r["storage"] for r in files.choose_storage(held, [("x", 5), ("y", 5)]).orderBy("key").collect()] == ["x", "y", None]
+
+
+def test_nearest_face_is_searched_among_all_rows(spark, tmp_path):
+    spark.createDataFrame([(0, [0.0, 0.0]), (7, [0.1, 0.0]), (20, [5.0, 5.0]), (33, [5.0, 5.2]), (40, [9.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["face_id"]: (r["tag_id"], round(r["distance"], 4)) for r in catalog.queries()["nearest_face_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: ("7", 0.1), 20: ("33", 0.2)}
