@@ -585,13 +585,19 @@ def tag_to_regex(s, d):
     return rows.select("tag_id", text.tag_pattern(F.col("label"), F.array("tag_id")).alias("pattern"))
 
 
+@query(
+    f"""WITH {ctes('tags')} SELECT tag_id, '(^' || regexp_replace(regexp_replace(label, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g'), '[\\s\\-_]+', '[\\\\s\\\\-_\\\\.]+', 'g') || '$)|(^' || tag_id || '$)' AS pattern FROM tags"""
+)
+def tag_to_regex_all(s, d):
+    return view(s, d, "tags").select("tag_id", text.tag_pattern(F.col("label"), F.array("tag_id")).alias("pattern"))
+
+
 @query(
     """SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(html, '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS decoded
 FROM pages WHERE NOT regexp_matches(replace(html, '&#39;', ''), '&#[0-9]+;')"""
 )
 def entity_decode(s, d):
-    rows = table(s, d, "pages").where(~F.regexp_replace("html", "&#39;", "").rlike("&#[0-9]+;"))
-    return rows.select("page_id", F.md5(text.decode_entities(F.col("html"))).alias("decoded"))
+    return table(s, d, "pages").select("page_id", F.md5(text.decode_entities(F.col("html"))).alias("decoded"))
 
 
 @query(

@@ -266,3 +266,10 @@ def test_nearest_face_is_searched_among_all_rows(spark, tmp_path):
     spark.createDataFrame([(0, [0.0, 0.0]), (7, [0.1, 0.0]), (20, [5.0, 5.0]), (33, [5.0, 5.2]), (40, [9.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["face_id"]: (r["tag_id"], round(r["distance"], 4)) for r in catalog.queries()["nearest_face_all"](spark, str(tmp_path)).collect()}
     assert got == {0: ("7", 0.1), 20: ("33", 0.2)}
+
+
+def test_entity_decode_keeps_all_pages(spark, tmp_path):
+    pages = [(1, "a &lt; b"), (2, "&#169; &#8364; &#128512;"), (3, "it&#39;s"), (4, "x")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["decoded"] for r in catalog.queries()["entity_decode"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(html.unescape(t).encode()).hexdigest() for i, t in pages}
