@@ -485,15 +485,25 @@ def next_batch(s, d):
 
 @query(f"WITH {ctes('files')} SELECT original_path AS path, len(string_split(original_path, '/')) AS depth FROM files ORDER BY depth, path LIMIT 200")
 def path_depth_sort(s, d):
+    return path_depth_sort_all(s, d).limit(200)
+
+
+@query(f"WITH {ctes('files')} SELECT original_path AS path, len(string_split(original_path, '/')) AS depth FROM files ORDER BY depth, path")
+def path_depth_sort_all(s, d):
     rows = view(s, d, "files").select(F.col("original_path").alias("path"), text.path_depth(F.col("original_path")).cast("long").alias("depth"))
-    return rows.orderBy("depth", "path").limit(200)
+    return rows.orderBy("depth", "path")
 
 
 @query(f"WITH {ctes('tags')} SELECT tag_id FROM tags ORDER BY length(label) % 3 = 0 DESC, CASE WHEN length(label) % 4 <> 0 THEN length(label) % 5 END DESC NULLS LAST, length(tag_id) DESC, tag_id LIMIT 40")
 def chip_order(s, d):
+    return chip_order_all(s, d).limit(40)
+
+
+@query(f"WITH {ctes('tags')} SELECT tag_id FROM tags ORDER BY length(label) % 3 = 0 DESC, CASE WHEN length(label) % 4 <> 0 THEN length(label) % 5 END DESC NULLS LAST, length(tag_id) DESC, tag_id")
+def chip_order_all(s, d):
     n = F.length("label")
     rows = view(s, d, "tags").select("tag_id", (n % 3 == 0).alias("is_new"), F.when(n % 4 != 0, n % 5).alias("sort_rank"), F.lit(None).cast("string").alias("color"), F.lit(None).cast("string").alias("icon"), F.length("tag_id").alias("count"))
-    return search.chip_order(rows).select("tag_id").limit(40)
+    return search.chip_order(rows).select("tag_id")
 
 
 @query(

@@ -273,3 +273,13 @@ def test_entity_decode_keeps_all_pages(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["decoded"] for r in catalog.queries()["entity_decode"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.md5(html.unescape(t).encode()).hexdigest() for i, t in pages}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_whole_orders_and_patterns(spark):
+    q = catalog.queries()
+    paths = [(r["depth"], r["path"]) for r in q["path_depth_sort_all"](spark, SF).collect()]
+    assert len(paths) == catalog.view(spark, SF, "files").count() > 200 and paths == sorted(paths)
+    n = catalog.view(spark, SF, "tags").count()
+    chips = [r["tag_id"] for r in q["chip_order_all"](spark, SF).collect()]
+    assert len(set(chips)) == n > 40 and chips[:40] == [r["tag_id"] for r in q["chip_order"](spark, SF).collect()]
