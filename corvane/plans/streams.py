@@ -21,7 +21,7 @@ def event_fold(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
     rows.write.parquet(f"{home}/in")
     stream = ev.read_events(spark, f"{home}/in", rows.schema.simpleString()[7:-1].replace(":", " "))
-    out = ev.fold(spark, stream, f"fold_{uuid.uuid4().hex}", "user_id", ["event_id"], ["event_id", "event_type"], f"{home}/state")
+    out = ev.fold(spark, stream, "user_id", ["event_id"], ["event_id", "event_type"], f"{home}/state")
     return out.select("user_id", "event_id", "event_type", "n_events")
 
 

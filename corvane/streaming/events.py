@@ -17,11 +17,23 @@ def latest_state(events: DataFrame, key: str, order: list[str], value: list[str]
     return events.groupBy(key).agg(newest.alias("last"), F.count("*").alias("n_events")).select(key, "last.*", "n_events")
 
 
-def fold(spark: SparkSession, events: DataFrame, name: str, key: str, order: list[str], value: list[str], checkpoint: str) -> DataFrame:
-    """Run the stream until it has caught up; the state as a table in memory (for views of bounded size)."""
-    query = latest_state(events, key, order, value).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def fold(spark: SparkSession, events: DataFrame, key: str, order: list[str], value: list[str], checkpoint: str) -> DataFrame:
+    """Run the stream until it has caught up; the state of all keys, from Parquet.
+
+    Each micro-batch writes the keys it changed to a folder of its own beside the checkpoint; the latest row of a key counts.
+    A batch that is run again writes the same folder again.
+    """
+    state = latest_state(events, key, order, value)
+    home = f"{checkpoint.rstrip('/')}-rows"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{home}/batch-{number:09d}")
+
+    state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([], state.schema).withColumn("_batch", F.lit(0).cast("long")).write.mode("overwrite").parquet(f"{home}/empty")
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(home)
+    names = state.columns
+    return rows.groupBy(key).agg(F.max_by(F.struct(*(F.col(c) for c in names if c != key)), "_batch").alias("last")).select(key, "last.*")
 
 
 def import_stream(rows: DataFrame, store: str, checkpoint: str) -> None:
@@ -32,7 +44,8 @@ def import_stream(rows: DataFrame, store: str, checkpoint: str) -> None:
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(store).select("hash") if number else None
+        earlier = [f"{store}/batch-{n:09d}" for n in range(number)]  # not its own folder, which is there if the batch is run again
+        known = spark.read.schema(batch.schema).parquet(*earlier).select("hash") if number else None
         fresh = batch.dropDuplicates(["hash"])
         fresh = fresh.join(known, "hash", "left_anti").select(*batch.columns) if known is not None else fresh
         fresh.write.mode("overwrite").parquet(f"{store}/batch-{number:09d}")

@@ -283,3 +283,24 @@ def test_whole_orders_and_patterns(spark):
     n = catalog.view(spark, SF, "tags").count()
     chips = [r["tag_id"] for r in q["chip_order_all"](spark, SF).collect()]
     assert len(set(chips)) == n > 40 and chips[:40] == [r["tag_id"] for r in q["chip_order"](spark, SF).collect()]
+    assert q["tag_to_regex_all"](spark, SF).count() == n > q["tag_to_regex"](spark, SF).count()
+
+
+def test_fold_over_several_runs(spark, tmp_path):
+    schema = "event_id long, user_id long, event_type string"
+    for part in ([(1, 1, "a"), (2, 1, "b"), (3, 2, "c")], [(4, 1, "d"), (5, 3, "e"), (0, 2, "z")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = events.fold(spark, events.read_events(spark, f"{tmp_path}/in", schema), "user_id", ["event_id"], ["event_id", "event_type"], f"{tmp_path}/state")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 4, "d", 3), (2, 3, "c", 2), (3, 5, "e", 1)]
+
+
+def test_import_batch_run_again_keeps_its_rows(spark, tmp_path):
+    schema = "id long, hash string"
+    for part in ([(1, "a"), (2, "b")], [(3, "b"), (4, "c")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        events.import_stream(events.read_events(spark, f"{tmp_path}/in", schema), f"{tmp_path}/store", f"{tmp_path}/state")
+    for f in [*(tmp_path / "state/commits").glob("1"), *(tmp_path / "state/commits").glob(".1.crc")]:
+        f.unlink()  # as if the run had ended between write and commit
+    events.import_stream(events.read_events(spark, f"{tmp_path}/in", schema), f"{tmp_path}/store", f"{tmp_path}/state")
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/store").collect()
+    assert sorted(r["hash"] for r in stored) == ["a", "b", "c"]
