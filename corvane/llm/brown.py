@@ -1,329 +1,414 @@
 """Language-model scores from Brown class bigrams.
 
-1. Count all words of the training texts.
-2. Exchange clustering: words of at least a given share of the tokens (so at
-   most 1 / share of them, whatever the corpus) move between classes while the
-   likelihood of the class bigrams grows. Word vectors by neighbouring class are
-   counted in Spark; each round's moves are made on the driver.
-3. Every other word goes, by all its neighbours in the corpus, to the rare side
-   of the class it fits best.
-4. Each block of texts fetches count and class of its distinct words by a
-   shuffled join; texts are kept as class codes.
-5. Class transitions are counted over all training texts, smoothed with the
-   class distribution and a Good-Turing share for unseen words, and every text
-   is scored: transition times emission, token by token.
+1. Every text is split into words once: blocks of texts keep their tokens as
+   numbers of a dictionary of their own, and all later steps work on numbers.
+2. The dictionaries, exploded and summed in Spark, give the vocabulary. Each
+   word belongs to a bucket; a block asks each bucket for the words it holds.
+3. Exchange clustering of all words, round by round until the likelihood of the
+   class bigrams settles. The most frequent words (the core, a fixed number)
+   move one by one on the driver against exact counts of each other. All other
+   words move at once in Spark, each to the class its neighbours' present
+   classes fit best. The likelihood is counted anew after every round; a round
+   that lowers it is undone.
+4. Class transitions over all training texts, smoothed with the class
+   distribution and a Good-Turing share for unseen words, times the emission of
+   the word from its class, give the score of every text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import compress, repeat
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import LOWER_TABLE, crc32_mod, materialize, shuffle_width
 
-END = b"\n"  # no word holds white space
 SINGLE = 1 << 15  # marks codes of words seen once
+#: Types, and occurrences of words outside the core, that one bucket of the vocabulary may hold on average.
+BUCKET_TYPES, BUCKET_TOKENS = 250_000, 50_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER_TABLE).split()
 
 
-def _texts(rows, size: int = 1 << 20) -> Iterator[list[list[bytes]]]:
-    """Words of texts (column "text"), about `size` bytes at a time."""
-    held, n = [], 0
-    for batch in rows:
-        for text in batch.column("text").to_pylist():
-            held.append(words_of(text))
-            n += len(text or "")
-            if n >= size:
-                yield held
-                held, n = [], 0
-    if held:
-        yield held
+def _zip(values: np.ndarray) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
 
-def _numbers(texts: list[list[bytes]], ids: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
-    """All words with an end before, between and after the texts, and their numbers; len(ids) - 1 for words without one."""
-    flat = [END]
-    for words in texts:
-        flat += words
-        flat.append(END)
-    return flat, np.fromiter(map(ids.get, flat, repeat(len(ids) - 1)), np.int64, len(flat))
 
+def _unzip(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
 
-def count_words(train: DataFrame, held: int) -> DataFrame:
-    """(word, c) over all texts; the end of each text is a word too. Tasks send what they counted when they hold that many words."""
-    import pyarrow as pa
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
-    def sent(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for texts in _texts(rows):
-            for words in texts:
-                seen.update(words)
-            seen[END] += len(texts)
-            if len(seen) >= held:
-                yield sent(seen)
-                seen.clear()
-        if seen:
-            yield sent(seen)
+class _Numbers(dict):
+    """Words to numbers in order of appearance, from 1; 0 is the end of a text."""
 
-    return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
 
 
-def count_pairs(train: DataFrame, ids: dict[bytes, int], held: int) -> DataFrame:
-    """(v, w, n): neighbouring frequent words, by number; len(ids): any other word, len(ids) + 1: an end of a text."""
-    import pyarrow as pa
+BLOCK = "block long, docs array<long>, held array<boolean>, lengths array<int>, n_train long, codes binary, words array<binary>, counts array<long>"
 
-    f = len(ids)
-    numbers = {**ids, END: f + 1}
 
-    def sent(parts: list[np.ndarray]) -> pa.RecordBatch:
-        pair, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array((pair // (f + 2)).astype(np.int32)), pa.array((pair % (f + 2)).astype(np.int32)), pa.array(n.astype(np.int64))], ["v", "w", "n"])
+def blocks_of(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """Texts (doc_id, held_out, text) as blocks of about so many bytes: training texts first, each with an end, as numbers
+    into the block's words, which stand by count in the training texts."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def block(number: int, ids: _Numbers, texts: list[tuple]) -> pa.RecordBatch:
+        texts.sort(key=lambda t: t[1])
+        lengths = [len(t[2]) for t in texts]
+        flat = np.concatenate([t[2] for t in texts])
+        n_train = sum(len(codes) for _, held, codes in texts if not held)
+        counts = np.bincount(flat[:n_train], minlength=len(ids) + 1)[1:]
+        order = np.argsort(-counts, kind="stable")
+        place = np.zeros(len(ids) + 1, np.int32)
+        place[order + 1] = np.arange(1, len(ids) + 1)
+        names = list(ids)
+        columns = [[number], [[t[0] for t in texts]], [[t[1] for t in texts]], [lengths], [n_train], [_zip(place[flat])], [[names[i] for i in order.tolist()]], [counts[order].tolist()]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "docs", "held", "lengths", "n_train", "codes", "words", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, texts, size = TaskContext.get().partitionId() << 32, _Numbers(), [], 0
+        for batch in batches:
+            for doc, held, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words = words_of(text)
+                codes = np.zeros(len(words) + 1, np.int32)
+                codes[:-1] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+                texts.append((doc, held, codes))
+                size += len(text or "")
+                if size >= block_bytes:
+                    yield block(number, ids, texts)
+                    number, ids, texts, size = number + 1, _Numbers(), [], 0
+        if texts:
+            yield block(number, ids, texts)
+
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, BLOCK)
+
+
+def summed(rows: DataFrame, column: str, size: int, parts: int = 16) -> np.ndarray:
+    """The sum of packed arrays of one size: added up within tasks, then within `parts` tasks, then here."""
+    import pyarrow as pa
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[np.ndarray] = []
-        for texts in _texts(rows):
-            _, codes = _numbers(texts, numbers)
-            parts.append(codes[:-1] * (f + 2) + codes[1:])
-            if sum(map(len, parts)) >= 10 * held:
-                yield sent(parts)
-                parts = []
-        if parts:
-            yield sent(parts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                total += _unzip(data, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([_zip(total)], pa.binary())], [column])
 
-    return train.select("text").mapInArrow(run, "v int, w int, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    once = rows.select(column).mapInArrow(run, f"{column} binary")
+    twice = once.repartition(parts).mapInArrow(run, f"{column} binary")
+    return np.sum([np.zeros(size, np.int64), *(_unzip(bytes(r[0]), "<i8") for r in twice.collect())], axis=0)  # at most `parts` rows
 
 
-def class_vectors(pairs: DataFrame, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word number, counts by the class before it and by the class after it; at most words x classes cells."""
-    import pyarrow as pa
+@dataclass
+class Model:
+    """Class bigrams of a corpus. Classes are 0 to n_classes - 1, then the end of a text, then words not placed or not seen.
+
+    A word's code is its place in the core, or core + class outside it.
+    """
 
-    size = len(classes)
+    n_classes: int
+    core: list[bytes] = field(default_factory=list)
+    core_classes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    tokens: int = 0
+    types: int = 0
+    ends: int = 0
+    counts: np.ndarray | None = None  # (size + 1) x (size + 1); the last row and column: words seen once
+    likelihoods: list[float] = field(default_factory=list)
+    asks: DataFrame | None = None  # (bucket, block, words of the block in the bucket)
+    answers: DataFrame | None = None  # the same with the words' codes
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = np.zeros(size * n_classes), np.zeros(size * n_classes)
-        for batch in rows:
-            v, w, n = (batch.column(i).to_numpy() for i in range(3))
-            left += np.bincount(w.astype(np.int64) * n_classes + classes[v], n, size * n_classes)
-            right += np.bincount(v.astype(np.int64) * n_classes + classes[w], n, size * n_classes)
-        both = np.concatenate([left, right]).astype(np.int64)
-        at = np.flatnonzero(both)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(both[at])], ["i", "n"])
+    @property
+    def size(self) -> int:
+        return self.n_classes + 2
 
-    got = pairs.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    both = np.zeros(2 * size * n_classes)
-    both[got.column("i").to_numpy()] = got.column("n").to_numpy()
-    return both[: size * n_classes].reshape(size, n_classes), both[size * n_classes :].reshape(size, n_classes)
+    def class_of_code(self) -> np.ndarray:
+        return np.r_[self.core_classes, np.arange(self.size)].astype(np.int64)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-12))
 
 
-def exchange(classes: np.ndarray, left: np.ndarray, right: np.ndarray, movable: int, n_classes: int) -> tuple[np.ndarray, int]:
-    """One pass over the movable words, the most frequent first: each goes to the class in which the class bigrams gain most."""
-    classes, moves = classes.copy(), 0
-    table = np.zeros((left.shape[1], left.shape[1]))
-    np.add.at(table.T, classes, left)  # table[before, class]
-    for w in range(movable):
-        a, before, after = classes[w], left[w], right[w]
-        n_before, n_after = before.sum(), after.sum()
-        out_sum, in_sum = table.sum(1)[:n_classes], table.sum(0)[:n_classes]
-        if a < n_classes:  # other classes keep what they have, wherever the word goes
-            out_sum[a] -= n_after
-            in_sum[a] -= n_before
-        table[:, a] -= before
-        table[a, :] -= after
-        np.maximum(table, 0, out=table)  # pairs of the word with itself are taken off twice
-        gain = (_xlogx(table[:, :n_classes] + before[:, None]) - _xlogx(table[:, :n_classes])).sum(0)
-        gain += (_xlogx(table[:n_classes, :] + after) - _xlogx(table[:n_classes, :])).sum(1)
-        gain -= _xlogx(np.maximum(out_sum, 0) + n_after) - _xlogx(np.maximum(out_sum, 0)) + _xlogx(np.maximum(in_sum, 0) + n_before) - _xlogx(np.maximum(in_sum, 0))
+def likelihood(table: np.ndarray) -> float:
+    """What of the log-likelihood of class bigrams depends on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def core_pairs(blocks: DataFrame, core: list[bytes]) -> np.ndarray:
+    """Counts of core word after core word, (core, core), over the training texts."""
+    import pyarrow as pa
+
+    f = len(core)
+    numbers = {w: i for i, w in enumerate(core)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(f * f, np.int64)
+        for batch in batches:
+            for n, codes, words in zip(*(batch.column(c).to_pylist() for c in ("n_train", "codes", "words"))):
+                of = np.fromiter((numbers.get(w, f) for w in [b"", *words]), np.int64, len(words) + 1)
+                k = of[_unzip(codes, "<i4")[:n]]
+                both = np.flatnonzero((k[:-1] < f) & (k[1:] < f))
+                total += np.bincount(k[both] * f + k[both + 1], minlength=f * f)
+        yield pa.RecordBatch.from_arrays([pa.array([_zip(total)], pa.binary())], ["pairs"])
+
+    return summed(blocks.select("n_train", "codes", "words").mapInArrow(run, "pairs binary"), "pairs", f * f).reshape(f, f)
+
+
+def exchange(classes: np.ndarray, pairs: np.ndarray, before: np.ndarray, after: np.ndarray, table: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """One pass over the core words, the most frequent first: each goes to the class in which the likelihood is highest.
+
+    pairs: core by core. before, after: counts of each core word by the classes of its neighbours outside the core.
+    table: class by class. Returns classes, the table of them, and how many words moved; all counts are exact.
+    """
+    classes, table, moves = classes.copy(), table.astype(float), 0
+    size, k = len(table), np.arange(n_classes)
+    tokens = table.sum(0)
+    for w in range(len(classes)):
+        a, own = classes[w], float(pairs[w, w])
+        left = before[w] + np.bincount(classes, pairs[:, w], size)
+        right = after[w] + np.bincount(classes, pairs[w, :], size)
+        left[a] -= own
+        right[a] -= own
+        n = left.sum() + own
+        table[:, a] -= left
+        table[a, :] -= right
+        table[a, a] -= own
+        tokens[a] -= n
+        column, row, diagonal = table[:, :n_classes], table[:n_classes, :], table[k, k]
+        gain = (_xlogx(column + left[:, None]) - _xlogx(column)).sum(0) + (_xlogx(row + right) - _xlogx(row)).sum(1)
+        gain -= _xlogx(diagonal + left[k]) + _xlogx(diagonal + right[k]) - _xlogx(diagonal)
+        gain += _xlogx(diagonal + left[k] + right[k] + own)
+        gain -= 2 * (_xlogx(tokens[k] + n) - _xlogx(tokens[k]))
         b = int(gain.argmax())
-        if gain[b] <= gain[a] + 1e-9:
+        if gain[b] <= gain[a] + 1e-9 * max(1.0, abs(gain[a])):
             b = a
-        table[:, b] += before
-        table[b, :] += after
+        table[:, b] += left
+        table[b, :] += right
+        table[b, b] += own
+        tokens[b] += n
         moves += b != a
         classes[w] = b
-    return classes, moves
+    return classes, table, moves
+
+
+ANSWER = "bucket long, block long, places binary, numbers binary, codes binary, counts binary"
+
+
+def _answers(asks, code_of: np.ndarray, core: int):
+    """What a bucket tells each block that asks: codes by number, the core's as they are."""
+    import pyarrow as pa
+
+    out: list[list] = [[] for _ in range(6)]
+    for bucket, block, words in zip(asks.column("bucket").to_pylist(), asks.column("block").to_pylist(), asks.column("words")):
+        held = words.values
+        place, number, c, own = (held.field(x).to_numpy(zero_copy_only=False) for x in ("place", "number", "c", "core"))
+        code = np.where(own >= 0, own, core + code_of[number]) | np.where(c == 1, SINGLE, 0)
+        for column, value in zip(out, (bucket, block, _zip(place.astype("<i4")), _zip(number.astype("<i4")), _zip(code.astype("<u2")), _zip(c.astype("<i8")))):
+            column.append(value)
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("bucket", "block", "places", "numbers", "codes", "counts"), out, kinds)})
+
 
+def _opened(block, answers, unseen: int):
+    """The local words' codes (unseen where no bucket knows them), buckets, numbers and counts."""
+    n = len(block.column("words")[0].values) + 1
+    code, bucket, number, c = np.full(n, unseen, np.int64), np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for b, p, i, k, m in zip(*(answers.column(x).to_pylist() for x in ("bucket", "places", "numbers", "codes", "counts"))):
+        at = _unzip(p, "<i4")
+        code[at], bucket[at], number[at], c[at] = _unzip(k, "<u2"), b, _unzip(i, "<i4"), _unzip(m, "<i8")
+    return code, bucket, number, c
 
-def place_rare(train: DataFrame, ids: dict[bytes, int], classes: np.ndarray, fit: np.ndarray, n_classes: int, held: int) -> DataFrame:
-    """(word, n, class): for each word without a number, the class of best fit to all its neighbours.
 
-    fit: (neighbour's class, class) scores of the word before, and then those of the word after. Batches send a word's
-    neighbours, or their summed scores where those are shorter; rows of a word are added up in a stream.
+def neighbourhoods(blocks: DataFrame, model: Model) -> DataFrame:
+    """Rows (bucket, numbers, counts, near, stats) of the training texts under the present classes.
+
+    With a bucket: its words in a block by number, how often they occur there, and the codes of the word before and the
+    word after at each place. Without one: the block's class bigrams and the core's neighbours outside the core.
     """
     import pyarrow as pa
 
-    f, width = len(ids), len(fit) // 2
-    fit = fit.astype(np.float32)
-    numbers = {**ids, END: f + 1}
-    class_of = classes.astype(np.uint8)
-    most = 2 * n_classes  # neighbours of two bytes each against scores of four
-
-    def sent(rare: dict[bytes, int], number: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-        near = near[np.argsort(number, kind="stable")]
-        counts = np.bincount(number, minlength=len(rare))
-        ends = np.cumsum(counts)
-        raw = near.tobytes()
-        data = [raw[2 * (e - n) : 2 * e] for e, n in zip(ends.tolist(), counts.tolist())]
-        for i in np.flatnonzero(counts > most).tolist():
-            part = near[ends[i] - counts[i] : ends[i]].astype(np.int64)
-            data[i] = (fit[part[:, 0]].sum(0) + fit[width + part[:, 1]].sum(0)).astype("<f4").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(list(rare), pa.binary()), pa.array(counts.astype(np.int64)), pa.array(data, pa.binary())], ["word", "n", "near"])
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare: dict[bytes, int] = {}
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for texts in _texts(rows):
-            flat, codes = _numbers(texts, numbers)
-            at = np.flatnonzero(codes == f)
-            own = list(compress(flat, (codes == f).tolist()))
-            new = [w for w in dict.fromkeys(own) if w not in rare]
-            rare.update(zip(new, range(len(rare), len(rare) + len(new))))
-            number = np.fromiter(map(rare.__getitem__, own), np.int32, len(own))
-            found.append((number, np.stack([class_of[codes[at - 1]], class_of[codes[at + 1]]], 1)))
-            if len(rare) >= held:
-                yield sent(rare, *map(np.concatenate, zip(*found)))
-                rare, found = {}, []
-        if rare:
-            yield sent(rare, *map(np.concatenate, zip(*found)))
-
-    def choose(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_n, last_score = None, 0, None
-
-        for batch in rows:
-            for part in (batch.slice(i, 10_000) for i in range(0, batch.num_rows, 10_000)):
-                words, ns, near = part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2).to_pylist()
-                scores = np.zeros((len(words), n_classes), np.float32)
-                listed = np.flatnonzero(ns <= most)
-                if len(listed):
-                    codes = np.frombuffer(b"".join(near[i] for i in listed), np.uint8).reshape(-1, 2).astype(np.int64)
-                    starts = np.cumsum(ns[listed]) - ns[listed]
-                    scores[listed] = np.add.reduceat(fit[codes[:, 0]] + fit[width + codes[:, 1]], starts, axis=0)
-                for i in np.flatnonzero(ns > most).tolist():
-                    scores[i] = np.frombuffer(near[i], "<f4")
-                new = np.fromiter((i == 0 or words[i] != words[i - 1] for i in range(len(words))), bool, len(words))
-                at = np.flatnonzero(new)
-                sums, totals, names = np.add.reduceat(scores, at, axis=0), np.add.reduceat(ns, at), [words[i] for i in at]
-                if last is not None:
-                    if names[0] == last:
-                        sums[0] += last_score
-                        totals[0] += last_n
-                    else:
-                        names.insert(0, last)
-                        sums, totals = np.vstack([last_score, sums]), np.r_[last_n, totals]
-                last, last_n, last_score = names[-1], totals[-1], sums[-1]
-                yield _chosen(names[:-1], totals[:-1], sums[:-1])
-        if last is not None:
-            yield _chosen([last], np.array([last_n]), last_score[None])
-
-    def _chosen(names, totals, sums) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(totals, pa.int64()), pa.array(sums.argmax(1).astype(np.int32) if len(names) else np.empty(0, np.int32))], ["word", "c", "class"])
-
-    sent = train.select("text").mapInArrow(run, "word binary, n long, near binary")
-    return sent.repartition(shuffle_width(train.sparkSession), "word").sortWithinPartitions("word").mapInArrow(choose, "word binary, c long, class int")
-
-
-@dataclass(frozen=True)
-class Totals:
-    tokens: int
-    types: int
-    by_class: np.ndarray
-
-
-def encode(docs: DataFrame, table: DataFrame, totals: Totals, unseen: int, blocks: int) -> DataFrame:
-    """Each row of docs with its counts, base and emission sums, and the class codes of its tokens (packed).
-
-    table: (word, c, class) of all words; classes `unseen` stands for words outside it. Texts are dealt into blocks,
-    and each block asks for its distinct words once.
+    f, size = len(model.core), model.size
+    end, unseen = f + size - 2, f + size - 1
+    class_of = model.class_of_code()
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        code_of, bucket_of, number_of, _ = _opened(block, answers, unseen)
+        code_of[0] = end
+        local = _unzip(block.column("codes")[0].as_py(), "<i4")[: block.column("n_train")[0].as_py()]
+        code = code_of[local]
+        single = np.flatnonzero(code >= SINGLE)
+        code &= ~SINGLE
+        before = np.r_[end, code[:-1]]
+        after = np.r_[code[1:], end]
+        cls, cls_before = class_of[code], class_of[before]
+        n = size + 1
+        counts = np.bincount(cls_before * n + cls, minlength=n * n)
+        counts += np.bincount(cls_before[single] * n + size, minlength=n * n)
+        counts += np.bincount(size * n + class_of[after[single]], minlength=n * n)
+        in_core = code < f
+        at = np.flatnonzero(in_core & (before >= f))
+        left = np.bincount(code[at] * size + before[at] - f, minlength=f * size)
+        at = np.flatnonzero(in_core & (after >= f))
+        right = np.bincount(code[at] * size + after[at] - f, minlength=f * size)
+        rows = [(None, None, None, None, _zip(np.concatenate([counts, left, right]).astype("<i8")))]
+        at = np.flatnonzero(~in_core & (code != end))
+        words = np.flatnonzero(bucket_of >= 0)
+        words = words[np.lexsort((number_of[words], bucket_of[words]))]
+        rank = np.zeros(len(code_of), np.int32)
+        rank[words] = np.arange(len(words))
+        of = rank[local[at]]
+        by = np.argsort(of, kind="stable")
+        near = np.stack([before[at[by]], after[at[by]]], 1).astype("<u2")
+        times = np.bincount(of, minlength=len(words))
+        ends = np.cumsum(times)
+        for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(bucket_of[words])) + 1):
+            part = part[times[part] > 0]
+            if len(part):
+                rows.append((int(bucket_of[words[part[0]]]), _zip(number_of[words[part]].astype("<i4")), _zip(times[part].astype("<i4")), _zip(near[ends[part[0]] - times[part[0]] : ends[part[-1]]]), None))
+        kinds = [pa.int64(), *[pa.binary()] * 4]
+        return pa.table({x: pa.array(c, k) for x, c, k in zip(("bucket", "numbers", "counts", "near", "stats"), zip(*rows), kinds)})
+
+    def guarded(block: pa.Table, answers: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            raise ValueError("answers for a block that isn't there")
+        return run(block, answers)
+
+    own = blocks.select("block", "n_train", "codes", "words")
+    return own.groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(guarded, "bucket long, numbers binary, counts binary, near binary, stats binary")
+
+
+def moved(near: DataFrame, model: Model, fit: np.ndarray) -> DataFrame:
+    """Answers after all words outside the core went to the class that fits their neighbours best.
+
+    fit: (2, codes, classes), what a word before and a word after of each code say for each class.
     """
     import pyarrow as pa
-    import zstandard
 
-    floor = np.log10(totals.tokens + 0.1 * (totals.types + 1))
-    width = shuffle_width(docs.sparkSession)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(max(width, min(blocks, 4 * width)), "block")
+    core, n_classes = len(model.core), model.n_classes
+    fit = fit.astype(np.float32)
 
-    def distinct(texts: pa.Table) -> pa.Table:
-        found: set[bytes] = {END}
-        for text in texts.column("text").to_pylist():
-            found.update(words_of(text))
-        return pa.table({"block": pa.array([texts.column("block")[0].as_py()] * len(found), pa.int64()), "word": pa.array(list(found), pa.binary())})
+    def run(near: pa.Table, asks: pa.Table) -> pa.Table:
+        if not asks.num_rows:
+            return _answers(asks, np.zeros(0, np.int64), core)
+        types = max(int(words.values.field("number").to_numpy(zero_copy_only=False).max(initial=-1)) for words in asks.column("words")) + 1
+        scores = np.zeros((types, n_classes), np.float32)
+        for numbers, counts, codes in zip(*(near.column(x).to_pylist() for x in ("numbers", "counts", "near"))):
+            numbers, counts, codes = _unzip(numbers, "<i4"), _unzip(counts, "<i4"), _unzip(codes, "<u2").reshape(-1, 2)
+            ends = np.cumsum(counts)
+            for i in range(0, len(numbers), 20_000):
+                a, b = ends[i] - counts[i], ends[min(i + 20_000, len(numbers)) - 1]
+                said = fit[0][codes[a:b, 0]] + fit[1][codes[a:b, 1]]
+                scores[numbers[i : i + 20_000]] += np.add.reduceat(said, ends[i : i + 20_000] - counts[i : i + 20_000] - a, axis=0)
+        return _answers(asks, scores.argmax(1), core)
+
+    placed = near.where("bucket is not null").select("bucket", "numbers", "counts", "near")
+    return placed.groupBy("bucket").cogroup(model.asks.groupBy("bucket")).applyInArrow(run, ANSWER)
+
+
+def _fit(table: np.ndarray, class_of: np.ndarray, n_classes: int) -> np.ndarray:
+    tokens = table.sum(0)
+    tie = np.log(table + 0.5) - np.log(np.outer(tokens, tokens) / max(tokens.sum(), 1) + 0.5)
+    return np.stack([tie[:, :n_classes][class_of], tie[:n_classes, :].T[class_of]])
+
+
+def train(blocks: DataFrame, n_classes: int, core_words: int, rounds: int, settled: float) -> Model:
+    """Vocabulary and classes of the training texts of blocks; model.counts are the transitions of the classes kept."""
+    if not 0 < n_classes <= 250 or not 0 < core_words <= 8_192:
+        raise ValueError("n_classes must be 1 to 250, core_words 1 to 8,192")
+    model = Model(n_classes)
+    local = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", F.col("w.words").alias("word"), (F.col("place") + 1).alias("place"), F.col("w.counts").alias("n"))
+    vocabulary = materialize(local.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
+    model.ends = blocks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
+    words, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    model.tokens, model.types = words + model.ends, types + (model.ends > 0)
+    core = vocabulary.orderBy(F.desc("c"), "word").limit(core_words).collect()  # core_words rows at most
+    model.core = [bytes(r["word"]) for r in core]
+    f, size = len(core), model.size
+    spark = blocks.sparkSession
+    buckets = max(1, types // BUCKET_TYPES, words // BUCKET_TOKENS, min(shuffle_width(spark), 1 + types // 10_000))
+    first = spark.createDataFrame([(bytearray(w), i) for i, w in enumerate(model.core)], "word binary, core int")
+    numbered = vocabulary.join(F.broadcast(first), "word", "left").withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    numbered = numbered.select("word", "c", F.coalesce("core", F.lit(-1)).alias("core"), "bucket", (F.row_number().over(Window.partitionBy("bucket").orderBy("word")) - 1).alias("number"))
+    asks = local.select("block", "word", "place").join(numbered, "word").groupBy("bucket", "block").agg(F.collect_list(F.struct("place", "number", "c", "core")).alias("words"))
+    model.asks = materialize(asks, "asks")
+    unplaced = n_classes + 1
+
+    def start(batches):
+        import pyarrow as pa
 
-    with np.errstate(divide="ignore"):
-        class_log = np.log10(totals.by_class)
-
-    def code(texts: pa.Table, known: pa.Table) -> pa.Table:
-        number = {w: i for i, w in enumerate(known.column("word").to_pylist())}
-        c = np.r_[known.column("c").to_numpy(), 0].astype(np.int64)
-        cls = np.r_[known.column("class").to_numpy(), unseen].astype(np.int64)
-        base = np.log10(c + 0.1) - floor
-        emit = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.where(c > 0, class_log[cls], 0), 0)
-        codes = (cls + np.where(c == 1, SINGLE, 0)).astype("<u2")
-        none = len(number)
-        out: list[tuple] = []
-        pack = zstandard.ZstdCompressor(level=1)
-        for doc, held, text in zip(texts.column("doc_id").to_pylist(), texts.column("held_out").to_pylist(), texts.column("text").to_pylist()):
-            words = words_of(text)
-            words.append(END)
-            at = np.fromiter(map(number.get, words, repeat(none)), np.int64, len(words))
-            out.append((doc, held, len(words), int((c[at] > 0).sum()), float(base[at].sum()), float(emit[at].sum()), pack.compress(codes[at].tobytes())))
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-        return pa.table({n: pa.array(col, t) for n, col, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "base_score", "emit", "codes"), zip(*out), kinds)})
-
-    asked = dealt.groupBy("block").applyInArrow(distinct, "block long, word binary")
-    known = asked.join(table, "word").select("block", "word", "c", "class")
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(code, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emit double, codes binary")
-
-
-def transitions(coded: DataFrame, size: int) -> np.ndarray:
-    """(size + 1, size + 1) counts over the training rows: class before, class; the last row and column: words seen once."""
-    import pyarrow as pa
-    import zstandard
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            most = max((int(w.values.field("number").to_numpy(zero_copy_only=False).max(initial=-1)) for w in rows.column("words")), default=-1)
+            yield from _answers(rows, np.full(most + 1, unplaced), f).to_batches()
 
+    model.answers = materialize(model.asks.mapInArrow(start, ANSWER), "answers")
+    model.core_classes = np.arange(f) % n_classes
+    pairs = core_pairs(blocks, model.core) if f else np.zeros((0, 0), np.int64)
     n = size + 1
+    kept = None
+    for number in range(rounds + 1):
+        near = materialize(neighbourhoods(blocks, model), "near")
+        stats = summed(near.where("bucket is null"), "stats", n * n + 2 * f * size)
+        counts, left, right = np.split(stats, [n * n, n * n + f * size])
+        counts = counts.reshape(n, n)
+        now = likelihood(counts[:size, :size].astype(float))
+        if number:
+            model.likelihoods.append(now)
+            if kept is not None and now <= kept[0]:  # the round made it worse
+                _, model.counts, model.core_classes, model.answers = kept
+                break
+            gained, kept = now - kept[0] if kept else np.inf, (now, counts, model.core_classes, model.answers)
+            model.counts = counts
+            if number == rounds or gained <= settled * abs(now):
+                break
+        table, left, right = counts[:size, :size].astype(float), left.reshape(f, size), right.reshape(f, size)
+        for _ in range(20 if not number else 3):
+            model.core_classes, table, moves = exchange(model.core_classes, pairs, left, right, table, n_classes)
+            if not moves:
+                break
+        if types > f or not number:
+            model.answers = materialize(moved(near, model, _fit(table, model.class_of_code(), n_classes)), "answers")
+    return model
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n * n, np.int64)
-        open_ = zstandard.ZstdDecompressor()
-        for batch in rows:
-            for data in batch.column(0).to_pylist():
-                codes = np.frombuffer(open_.decompress(data), "<u2").astype(np.int64)
-                cls, single = codes & ~SINGLE, codes >= SINGLE
-                before = np.r_[cls[-1:], cls[:-1]]  # a text begins after an end
-                lone = np.r_[False, single[:-1]]
-                total += np.bincount(before * n + cls, minlength=n * n)
-                total += np.bincount(before[single] * n + size, minlength=n * n)
-                total += np.bincount(size * n + cls[lone], minlength=n * n)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "n"])
-
-    got = coded.where("not held_out").select("codes").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n * n)
-    out[got.column("i").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(n, n)
+
+def word_classes(blocks: DataFrame, model: Model) -> DataFrame:
+    """(word, c, class) of every word of the training texts."""
+    import pyarrow as pa
+
+    class_of = model.class_of_code()
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        code, bucket, _, c = _opened(block, answers, len(class_of) - 1)
+        at = np.flatnonzero(bucket[1:] >= 0)
+        words = block.column("words")[0].values
+        return pa.table({"word": words.take(pa.array(at)), "c": pa.array(c[at + 1]), "class": pa.array(class_of[code[at + 1] & ~SINGLE].astype(np.int32))})
+
+    return blocks.select("block", "words").groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(run, "word binary, c long, class int").distinct()
 
 
 def log_transitions(counts: np.ndarray, by_class: np.ndarray, unseen: int, weight: float = 50.0) -> np.ndarray:
-    """log10 of the smoothed probability of each class after each; class `unseen` gets the share of words seen once."""
+    """log10 of the smoothed probability of each class after each; class `unseen` gets the share of words seen once.
+
+    counts: the last row and column are those of words seen once, what stands before them and what follows.
+    """
     size = len(counts) - 1
     tokens = by_class.sum()
-    overall = by_class / max(tokens, 1) if tokens else np.ones(size) * (np.arange(size) != unseen) / max(size - 1, 1)
+    overall = by_class / tokens if tokens else np.ones(size) * (np.arange(size) != unseen) / max(size - 1, 1)
     new = (counts[:size, size].sum() + 0.5) / (tokens + 1)
-    pairs, lone = counts[:size, :size].copy(), counts[:size, size].copy()
+    pairs, lone = counts[:size, :size].astype(float), counts[:size, size].astype(float)
     pairs[unseen] = counts[size, :size]  # what follows words seen once stands for what follows unseen ones
     rows = pairs.sum(1)
     lone[unseen] = new * rows[unseen]
@@ -334,64 +419,54 @@ def log_transitions(counts: np.ndarray, by_class: np.ndarray, unseen: int, weigh
         return np.log10(out)
 
 
-def score(docs: DataFrame, n_classes: int = 48, frequent_share: float = 1e-4, rounds: int = 5, folds: int = 10, held_out_fold: int = 0, held_words: int = 250_000, block_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(blocks: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every text of blocks."""
+    import pyarrow as pa
+
+    size = model.size
+    class_of, end, unseen = model.class_of_code(), len(model.core) + size - 2, len(model.core) + size - 1
+    counts = model.counts if model.counts is not None else np.zeros((size + 1, size + 1), np.int64)
+    step = log_transitions(counts, counts[:size, :size].sum(0).astype(float), size - 1)
+    tokens, ends = model.tokens, model.ends
+    floor = np.log10(tokens + 0.1 * (model.types + 1))
+    with np.errstate(divide="ignore"):
+        class_log = np.log10(counts[:size, :size].sum(0))
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        code, _, _, c = _opened(block, answers, unseen)
+        code[0], c[0] = end, ends
+        cls_of = class_of[code & ~SINGLE]
+        known = c > 0
+        emit = np.where(known, np.log10(np.maximum(c, 1)) - np.where(known, class_log[cls_of], 0), 0)
+        local = _unzip(block.column("codes")[0].as_py(), "<i4")
+        cls = cls_of[local]
+        lengths = block.column("lengths")[0].values.to_numpy()
+        starts = np.cumsum(lengths) - lengths
+        score = np.add.reduceat(emit[local] + step[np.r_[size - 2, cls[:-1]], cls], starts)
+        base = np.add.reduceat((np.log10(c + 0.1) - floor)[local], starts)
+        return pa.table({
+            "doc_id": block.column("docs")[0].values, "held_out": block.column("held")[0].values, "n_tokens": pa.array(lengths.astype(np.int64)),
+            "n_known": pa.array(np.add.reduceat(known[local].astype(np.int64), starts)), "train_tokens": pa.array(np.full(len(lengths), tokens)),
+            "base_score": pa.array(base), "score": pa.array(score), "perplexity": pa.array(10 ** np.minimum(-score / lengths, 300.0)),
+        })
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    return blocks.drop("counts").groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def blocks_and_model(docs: DataFrame, n_classes: int = 64, core_words: int = 1_024, rounds: int = 12, settled: float = 1e-3, folds: int = 10, held_out_fold: int = 0, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_mod(id_col, folds) == held_out_fold).alias("held_out"), F.col(text_col).alias("text"))
+    blocks = materialize(blocks_of(rows, block_bytes), "blocks")
+    return blocks, train(blocks, n_classes, core_words, rounds, settled)
+
+
+def score(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row of docs.
 
     The model learns from all texts outside the held-out fold (by crc32 of the id as text, null as the empty text).
-    Null and empty texts are one end. Repeated rows count as often as they stand there. Without training texts every
-    word is unseen. frequent_share bounds the words that exchange classes to 1 / frequent_share; all others are placed
-    by step 3, and every count covers all texts.
+    Null and empty texts are one end. Repeated rows count as often as they stand there. Of words that fit two classes
+    alike the least class counts. Without training texts every word is unseen; without rows there are none. core_words
+    bounds only which words move one by one; every word takes part in every round. Rounds end when the likelihood
+    gains less than the share `settled`, or after `rounds`.
     """
-    import pyarrow as pa
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_mod(id_col, folds) == held_out_fold).alias("held_out"), F.col(text_col).alias("text"))
-    train = rows.where("not held_out")
-    vocabulary = materialize(count_words(train, held_words), "vocabulary")
-    tokens, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    common = vocabulary.where((F.col("c") >= frequent_share * tokens) & (F.col("word") != F.lit(END))).orderBy(F.desc("c"), "word").collect()  # at most 1 / frequent_share rows
-    ids = {bytes(r["word"]): i for i, r in enumerate(common)}
-    f, rare_class, end_class = len(ids), n_classes, n_classes + 1
-    classes = np.r_[np.arange(f) % n_classes, rare_class, end_class].astype(np.int64)
-    if f:
-        pairs = materialize(count_pairs(train, ids, held_words), "pairs")
-        for _ in range(rounds):
-            left, right = class_vectors(pairs, classes, n_classes + 2)
-            classes, moves = exchange(classes, left, right, f, n_classes)
-            if moves <= f // 200:
-                break
-        left, _ = class_vectors(pairs, classes, n_classes + 2)
-    else:
-        left = np.zeros((2, n_classes + 2))
-    around = np.zeros((n_classes + 2, n_classes + 2))
-    np.add.at(around.T, classes, left)
-    expected = np.outer(around.sum(1), around.sum(0)) / max(around.sum(), 1)
-    tie = np.log((around + 1) / (expected + 1))
-    fit = np.vstack([tie[:, :n_classes], tie[:n_classes, :].T])
-    placed = place_rare(train, ids, classes, fit, n_classes, held_words).select("word", "c", (F.col("class") + n_classes).alias("class"))
-    spark = docs.sparkSession
-    ends = train.count()
-    fixed = [(bytearray(r["word"]), r["c"], int(k)) for r, k in zip(common, classes)] + ([(bytearray(END), ends, 2 * n_classes)] if ends else [])
-    table = materialize(placed.unionByName(spark.createDataFrame(fixed, "word binary, c long, class int")), "classes")
-    by_class = np.zeros(2 * n_classes + 2)
-    for r in table.groupBy("class").agg(F.sum("c").alias("c")).collect():  # one row a class
-        by_class[r["class"]] = r["c"]
-    unseen = 2 * n_classes + 1
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = max(1, size // block_bytes, shuffle_width(spark))
-    coded = materialize(encode(rows, table, Totals(tokens, types, by_class), unseen, blocks), "coded")
-    step = log_transitions(transitions(coded, 2 * n_classes + 2), by_class, unseen)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        open_ = zstandard.ZstdDecompressor()
-        for batch in batches:
-            scores = []
-            for emit, data in zip(batch.column("emit").to_pylist(), batch.column("codes").to_pylist()):
-                cls = np.frombuffer(open_.decompress(data), "<u2").astype(np.int64) & ~SINGLE
-                scores.append(emit + float(step[np.r_[2 * n_classes, cls[:-1]], cls].sum()))
-            n = batch.column("n_tokens").to_numpy()
-            names = ["doc_id", "held_out", "n_tokens", "n_known"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array([tokens] * len(n), pa.int64()), batch.column("base_score"), pa.array(scores, pa.float64()), pa.array(10 ** np.minimum(-np.array(scores) / n, 300.0))], [*names, "train_tokens", "base_score", "score", "perplexity"])
-
-    return coded.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return scores(*blocks_and_model(docs, **options))

@@ -58,18 +58,48 @@ def test_prior_and_risk():
 
 def test_scores_against_plain_counts(spark):
     docs, _ = corpus()
-    docs = [(i, t) for i, t, *_ in docs] + [(None, "Alone Words here"), (7, None), (8, ""), (3, "the the"), (3, "the the"), (9, "Ünseen \x0b\x0c thing")]
+    docs = [(i, t) for i, t, *_ in docs] + [(None, "Alone Words here"), (7, None), (8, ""), (3, "the the"), (3, "the the"), (9, "Ünseen \x0b\x0c thing"), (11, "long " * 20_000)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    got = sorted((tuple(x)[:7] for x in brown.score(frame, n_classes=6, frequent_share=0.01, held_words=40, block_bytes=2000).collect()), key=str)
+    blocks, model = brown.blocks_and_model(frame, n_classes=6, core_words=5, block_bytes=2000)
+    got = sorted((tuple(x)[:7] for x in brown.scores(blocks, model).collect()), key=str)
     split = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})), "\n"]) for i, t in docs]
     held = [zlib.crc32((str(i) if i is not None else "").encode()) % 10 == 0 for i, _ in split]
     c = Counter(w for (_, ws), h in zip(split, held) if not h for w in ws)
     n, v = sum(c.values()), len(c)
-    want = [(i, h, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for (i, ws), h in zip(split, held)]
-    assert [x[:5] for x in got] == [x[:5] for x in sorted(want, key=str)]
-    assert all(abs(a[5] - b[5]) < 1e-6 for a, b in zip(got, sorted(want, key=str)))
+    known = {bytes(r["word"]).decode(): (r["c"], r["class"]) for r in brown.word_classes(blocks, model).collect()}
+    assert {w: k for w, (k, _) in known.items()} == {w: k for w, k in c.items() if w != "\n"}
+    # The score by its definition: transition of the classes times emission of the word, counted again from the classes.
+    end, unseen = 6, 7
+    cls = {w: k for w, (_, k) in known.items()} | {"\n": end}
+    pairs, lone_left, lone_right, total = Counter(), Counter(), Counter(), Counter()
+    for (_, ws), h in zip(split, held):
+        if not h:
+            total.update(cls[w] for w in ws)
+            for a, b in zip(["\n", *ws], ws):
+                pairs[cls[a], cls[b]] += 1
+                lone_left[cls[a]] += c[b] == 1
+                lone_right[cls[b]] += c[a] == 1 and a != "\n"
+    new = (sum(lone_left.values()) + 0.5) / (n + 1)
+
+    def step(a, b):
+        row = sum(lone_right.values()) if a == unseen else total[a]
+        lone = new * row if a == unseen else lone_left[a]
+        share = (lone + 50 * new) / (row + 50)
+        seen = lone_right[b] if a == unseen else pairs[a, b]
+        return share if b == unseen else (seen + 50 * total[b] / n) / (row + 50) * (1 - share)
+
+    def plain(ws):
+        at = [cls.get(w, unseen) for w in ws]
+        return sum(math.log10(step(a, b)) + (math.log10(c[w] / total[b]) if b != unseen else 0) for a, b, w in zip([end, *at], at, ws))
+
+    want = [(i, h, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), plain(ws)) for (i, ws), h in zip(split, held)]
+    for a, b in zip(got, sorted(want, key=str), strict=True):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 * abs(b[5]) and abs(a[6] - b[6]) < 1e-6 * abs(b[6])
     assert sum(x[6] for x in got if x[1]) > sum(x[5] for x in got if x[1])
+    assert model.likelihoods == sorted(model.likelihoods) or model.likelihoods[:-1] == sorted(model.likelihoods[:-1])
+    assert abs(brown.likelihood(model.counts[:8, :8].astype(float)) - max(model.likelihoods)) < 1e-6
     assert brown.score(frame.limit(0)).count() == 0
+    assert all(r["n_known"] == 0 for r in brown.score(spark.createDataFrame([(2, "a b"), (2, "c")], "doc_id long, text string"), folds=1).collect())  # nothing to learn from
 
 
 def test_transitions_are_probabilities():
@@ -94,10 +124,12 @@ def test_exchange_finds_the_classes():
         return f(table) - f(table.sum(0)) - f(table.sum(1))
 
     classes = np.array([0, 0, 0, 1, 1, 1, 1, 0])
-    before = gain(classes)
+    before, none = gain(classes), np.zeros((8, 4))
     for _ in range(6):
-        one = np.eye(2)[classes]
-        classes, _ = brown.exchange(classes, n.T @ one, n @ one, 8, 2)
+        one = np.eye(4)[classes]
+        classes, table, _ = brown.exchange(classes, n.astype(int), none, none, one.T @ n.astype(int) @ one, 2)
+        one = np.eye(4)[classes]
+        assert np.allclose(table, one.T @ n.astype(int) @ one)
     assert gain(classes) > before and len(set(classes[:4])) == len(set(classes[4:])) == 1 and classes[0] != classes[4]
 
 
