@@ -2,8 +2,8 @@
 
 1. Every text is split into words once: blocks of texts keep their tokens as
    numbers of a dictionary of their own, and all later steps work on numbers.
-2. The dictionaries, exploded and summed in Spark, give the vocabulary. Each
-   word belongs to a bucket; a block asks each bucket for the words it holds.
+2. The dictionaries, dealt by hash of the word, give the vocabulary. Each word
+   belongs to a bucket; a bucket tells each block the codes of the words it asked for.
 3. Exchange clustering of all words, round by round until the likelihood of the
    class bigrams settles. The most frequent words (the core, a fixed number)
    move one by one on the driver against exact counts of each other. All other
@@ -21,18 +21,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER_TABLE, crc32_mod, materialize, shuffle_width
+from corvane.llm.common import crc32_mod, materialize, shared_dir, shuffle_width
+from corvane.llm.tokens import batches
 
 SINGLE = 1 << 15  # marks codes of words seen once
-#: Types, and occurrences of words outside the core, that one bucket of the vocabulary may hold on average.
-BUCKET_TYPES, BUCKET_TOKENS = 250_000, 50_000_000
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(LOWER_TABLE).split()
+#: Words of blocks, and occurrences outside the core, that one bucket of the vocabulary may hold on average.
+BUCKET_WORDS, BUCKET_TOKENS = 1_000_000, 50_000_000
 
 
 def _zip(values: np.ndarray) -> bytes:
@@ -47,55 +44,126 @@ def _unzip(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-class _Numbers(dict):
-    """Words to numbers in order of appearance, from 1; 0 is the end of a text."""
+def split(texts):
+    """(words in a row, how many each text has) of an Arrow array of texts: A-Z in lower case, parted by ASCII white space."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at either end leaves an empty word
+    upto = np.r_[0, np.cumsum(filled)]
+    ends = upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return words.filter(pc.greater(pc.binary_length(words), 0)), np.diff(ends)
+
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) + 1
-        return n
+def word_hashes(words) -> np.ndarray:
+    """Numbers that spread words (an Arrow array of strings): from both ends and the length; equal for equal words."""
+    offsets, data = words.buffers()[1:]
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    eights = np.ndarray((at[-1] + 1,), "<u8", (data.to_pybytes()[: at[-1]] if data else b"") + bytes(8), 0, (1,))
+    size = np.diff(at)
+    keep = np.where(size >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (8 * np.minimum(size, 7)).astype(np.uint64)) - np.uint64(1))
+    first = eights[at[:-1]] & keep
+    last = np.where(size >= 8, eights[np.maximum(at[1:] - 8, 0)], first)
+    h = (first ^ size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = ((h ^ h >> np.uint64(29)) + last) * np.uint64(0x165667B19E3779F9)
+    return h ^ h >> np.uint64(32)
 
 
-BLOCK = "block long, docs array<long>, held array<boolean>, lengths array<int>, n_train long, codes binary, words array<binary>, counts array<long>"
+BLOCK = "block long, docs array<long>, held array<boolean>, lengths array<int>, n_train long, codes binary, words array<binary>, counts binary"
 
 
 def blocks_of(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """Texts (doc_id, held_out, text) as blocks of about so many bytes: training texts first, each with an end, as numbers
-    into the block's words, which stand by count in the training texts."""
+    """Texts (doc_id, held_out, text) as blocks of about so many bytes: training texts first, each with an end (0), as
+    numbers into the block's words, which stand by hash; counts: how often each stands in the training texts."""
     import pyarrow as pa
     from pyspark import TaskContext
 
-    def block(number: int, ids: _Numbers, texts: list[tuple]) -> pa.RecordBatch:
-        texts.sort(key=lambda t: t[1])
-        lengths = [len(t[2]) for t in texts]
-        flat = np.concatenate([t[2] for t in texts])
-        n_train = sum(len(codes) for _, held, codes in texts if not held)
-        counts = np.bincount(flat[:n_train], minlength=len(ids) + 1)[1:]
-        order = np.argsort(-counts, kind="stable")
-        place = np.zeros(len(ids) + 1, np.int32)
-        place[order + 1] = np.arange(1, len(ids) + 1)
-        names = list(ids)
-        columns = [[number], [[t[0] for t in texts]], [[t[1] for t in texts]], [lengths], [n_train], [_zip(place[flat])], [[names[i] for i in order.tolist()]], [counts[order].tolist()]]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "docs", "held", "lengths", "n_train", "codes", "words", "counts"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, texts, size = TaskContext.get().partitionId() << 32, _Numbers(), [], 0
-        for batch in batches:
-            for doc, held, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = words_of(text)
-                codes = np.zeros(len(words) + 1, np.int32)
-                codes[:-1] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-                texts.append((doc, held, codes))
-                size += len(text or "")
-                if size >= block_bytes:
-                    yield block(number, ids, texts)
-                    number, ids, texts, size = number + 1, _Numbers(), [], 0
-        if texts:
-            yield block(number, ids, texts)
+    def block(number: int, parts: list[tuple]) -> pa.RecordBatch:
+        docs = [d for part in parts for d in part[0]]
+        held = np.concatenate([part[1] for part in parts])
+        sizes = np.concatenate([part[3] for part in parts])
+        coded = pa.concat_arrays([part[2] for part in parts]).dictionary_encode()
+        words = coded.dictionary
+        order = np.argsort(word_hashes(words), kind="stable")
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(1, len(words) + 1)
+        codes = place[coded.indices.to_numpy()] if len(words) else np.empty(0, np.int32)
+        ends = np.cumsum(sizes)
+        turn = np.argsort(held, kind="stable")
+        texts = [np.r_[codes[ends[i] - sizes[i] : ends[i]], np.int32(0)] for i in turn.tolist()]
+        flat = np.concatenate(texts)
+        n_train = int((sizes + 1)[~held].sum())
+        counts = np.bincount(flat[:n_train], minlength=len(words) + 1)[1:]
+        columns = [[number], [[docs[i] for i in turn.tolist()]], [held[turn].tolist()], [(sizes[turn] + 1).tolist()], [n_train], [_zip(flat.astype("<i4"))]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+        names = words.take(pa.array(order)).cast(pa.binary())
+        arrays = [*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.array([_zip(counts.astype("<i8"))], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["block", "docs", "held", "lengths", "n_train", "codes", "words", "counts"])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, parts, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches(rows):
+            text = batch.column("text")
+            words, sizes = split(text)
+            parts.append((batch.column("doc_id").to_pylist(), batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), words, sizes))
+            size += text.nbytes
+            if size >= block_bytes:
+                yield block(number, parts)
+                number, parts, size = number + 1, [], 0
+        if parts:
+            yield block(number, parts)
 
     return rows.select("doc_id", "held_out", "text").mapInArrow(run, BLOCK)
 
 
+ASK = "bucket long, block long, numbers binary, times binary, counts binary, types long, tokens long, top array<struct<word:binary,number:int,c:bigint>>"
+
+
+def vocabulary(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
+    """The words of all blocks, dealt by hash into buckets. One row for each block and bucket: numbers within the bucket of
+    the block's words there (-1: in no training text), how often each stands in the block's training texts, and in all.
+    One more row for each bucket (no block): types, tokens, and its `most` most frequent words."""
+    import pyarrow as pa
+
+    def spread(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                words, times = batch.column("words")[i].values, _unzip(batch.column("counts")[i].as_py(), "<i8")
+                if not len(words):
+                    continue
+                of = (word_hashes(words) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                edges = np.r_[starts, len(words)]
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), words)
+                parts = [_zip(t) for t in np.split(times, starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(of[starts].astype(np.int64)), pa.array([block] * len(starts), pa.int64()), lists, pa.array(parts, pa.binary())], ["bucket", "block", "words", "times"])
+
+    def number(rows: pa.Table) -> pa.Table:
+        lists = rows.column("words")
+        sizes = [len(x) for c in lists.chunks for x in c]
+        coded = pa.concat_arrays([c.flatten() for c in lists.chunks]).dictionary_encode()
+        at = coded.indices.to_numpy()
+        times = [_unzip(x, "<i8") for x in rows.column("times").to_pylist()]
+        c = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(c, at, np.concatenate(times))
+        numbers = np.where(c > 0, np.cumsum(c > 0) - 1, -1)
+        ends = np.cumsum(sizes)
+        parts = [at[e - n : e] for e, n in zip(ends, sizes)]
+        words = coded.dictionary
+        top = sorted(((words[int(i)].as_py(), int(numbers[i]), int(c[i])) for i in (np.argpartition(-c, most)[:most] if len(c) > most else range(len(c))) if c[i] > 0), key=lambda t: (-t[2], t[0]))
+        n, bucket = len(parts), rows.column("bucket")[0].as_py()
+        return pa.table({
+            "bucket": pa.array([bucket] * (n + 1), pa.int64()), "block": pa.array([*rows.column("block").to_pylist(), None], pa.int64()),
+            "numbers": pa.array([*(_zip(numbers[p].astype("<i4")) for p in parts), None], pa.binary()), "times": pa.array([*(_zip(t) for t in times), None], pa.binary()),
+            "counts": pa.array([*(_zip(c[p].astype("<i8")) for p in parts), None], pa.binary()), "types": pa.array([None] * n + [int((c > 0).sum())], pa.int64()), "tokens": pa.array([None] * n + [int(c.sum())], pa.int64()),
+            "top": pa.array([None] * n + [[{"word": w, "number": i, "c": k} for w, i, k in top]], pa.list_(pa.struct([("word", pa.binary()), ("number", pa.int32()), ("c", pa.int64())]))),
+        })
+
+    dealt = blocks.select("block", "words", "counts").mapInArrow(spread, "bucket long, block long, words array<binary>, times binary")
+    return dealt.groupBy("bucket").applyInArrow(number, ASK)
+
+
 def summed(rows: DataFrame, column: str, size: int, parts: int = 16) -> np.ndarray:
     """The sum of packed arrays of one size: added up within tasks, then within `parts` tasks, then here."""
     import pyarrow as pa
@@ -120,15 +188,15 @@ class Model:
     """
 
     n_classes: int
-    core: list[bytes] = field(default_factory=list)
+    core: list[tuple] = field(default_factory=list)  # (word, bucket, number), the most frequent first
     core_classes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     tokens: int = 0
     types: int = 0
     ends: int = 0
     counts: np.ndarray | None = None  # (size + 1) x (size + 1); the last row and column: words seen once
     likelihoods: list[float] = field(default_factory=list)
-    asks: DataFrame | None = None  # (bucket, block, words of the block in the bucket)
-    answers: DataFrame | None = None  # the same with the words' codes
+    asks: DataFrame | None = None  # vocabulary(), its rows of blocks
+    answers: DataFrame | None = None  # (bucket, block, codes) of the words asked for, in their order
 
     @property
     def size(self) -> int:
@@ -150,18 +218,19 @@ def likelihood(table: np.ndarray) -> float:
 def core_pairs(blocks: DataFrame, core: list[bytes]) -> np.ndarray:
     """Counts of core word after core word, (core, core), over the training texts."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     f = len(core)
-    numbers = {w: i for i, w in enumerate(core)}
+    known = pa.array(core, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(f * f, np.int64)
         for batch in batches:
-            for n, codes, words in zip(*(batch.column(c).to_pylist() for c in ("n_train", "codes", "words"))):
-                of = np.fromiter((numbers.get(w, f) for w in [b"", *words]), np.int64, len(words) + 1)
+            for n, codes, words in zip(batch.column("n_train").to_pylist(), batch.column("codes").to_pylist(), batch.column("words")):
+                of = np.r_[f, pc.fill_null(pc.index_in(words.values, known), f).to_numpy(zero_copy_only=False)].astype(np.int32)
                 k = of[_unzip(codes, "<i4")[:n]]
                 both = np.flatnonzero((k[:-1] < f) & (k[1:] < f))
-                total += np.bincount(k[both] * f + k[both + 1], minlength=f * f)
+                total += np.bincount(k[both].astype(np.int64) * f + k[both + 1], minlength=f * f)
         yield pa.RecordBatch.from_arrays([pa.array([_zip(total)], pa.binary())], ["pairs"])
 
     return summed(blocks.select("n_train", "codes", "words").mapInArrow(run, "pairs binary"), "pairs", f * f).reshape(f, f)
@@ -204,90 +273,88 @@ def exchange(classes: np.ndarray, pairs: np.ndarray, before: np.ndarray, after:
     return classes, table, moves
 
 
-ANSWER = "bucket long, block long, places binary, numbers binary, codes binary, counts binary"
+ANSWER = "bucket long, block long, codes binary"
 
 
-def _answers(asks, code_of: np.ndarray, core: int):
-    """What a bucket tells each block that asks: codes by number, the core's as they are."""
+def _answers(asks, codes: np.ndarray):
+    """What a bucket tells each block that asks: the codes of its words, by number; the last code is that of words in no training text."""
     import pyarrow as pa
 
-    out: list[list] = [[] for _ in range(6)]
-    for bucket, block, words in zip(asks.column("bucket").to_pylist(), asks.column("block").to_pylist(), asks.column("words")):
-        held = words.values
-        place, number, c, own = (held.field(x).to_numpy(zero_copy_only=False) for x in ("place", "number", "c", "core"))
-        code = np.where(own >= 0, own, core + code_of[number]) | np.where(c == 1, SINGLE, 0)
-        for column, value in zip(out, (bucket, block, _zip(place.astype("<i4")), _zip(number.astype("<i4")), _zip(code.astype("<u2")), _zip(c.astype("<i8")))):
-            column.append(value)
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(("bucket", "block", "places", "numbers", "codes", "counts"), out, kinds)})
+    said = []
+    for numbers, counts in zip(asks.column("numbers").to_pylist(), asks.column("counts").to_pylist()):
+        said.append(_zip((codes[_unzip(numbers, "<i4")] | np.where(_unzip(counts, "<i8") == 1, SINGLE, 0)).astype("<u2")))
+    return pa.table({"bucket": asks.column("bucket"), "block": asks.column("block"), "codes": pa.array(said, pa.binary())})
+
+
+def _of_bucket(core: list[tuple], bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the core words of a bucket, and their places in the core."""
+    own = [(number, i) for i, (_, b, number) in enumerate(core) if b == bucket]
+    return np.array([n for n, _ in own], np.int64), np.array([i for _, i in own], np.int64)
+
+
+def _types(asks) -> int:
+    return max((int(_unzip(x, "<i4").max(initial=-1)) for x in asks.column("numbers").to_pylist()), default=-1) + 1
+
+
+def _codes_of_words(answers, end: int) -> np.ndarray:
+    """Codes by local number: the end of a text, then the block's words, which stand by hash as buckets do."""
+    rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column("codes").to_pylist()))
+    return np.concatenate([np.array([end], "<u2"), *(_unzip(c, "<u2") for _, c in rows)])
 
 
-def _opened(block, answers, unseen: int):
-    """The local words' codes (unseen where no bucket knows them), buckets, numbers and counts."""
-    n = len(block.column("words")[0].values) + 1
-    code, bucket, number, c = np.full(n, unseen, np.int64), np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for b, p, i, k, m in zip(*(answers.column(x).to_pylist() for x in ("bucket", "places", "numbers", "codes", "counts"))):
-        at = _unzip(p, "<i4")
-        code[at], bucket[at], number[at], c[at] = _unzip(k, "<u2"), b, _unzip(i, "<i4"), _unzip(m, "<i8")
-    return code, bucket, number, c
+def _order(numbers: np.ndarray) -> np.ndarray:
+    """Places in ascending order of number, ties as they stand; two passes over 16 bits each."""
+    by = np.argsort((numbers & 0xFFFF).astype(np.uint16), kind="stable")
+    return by[np.argsort((numbers >> 16).astype(np.uint16)[by], kind="stable")] if len(numbers) and numbers.max() >> 16 else by
 
 
 def neighbourhoods(blocks: DataFrame, model: Model) -> DataFrame:
-    """Rows (bucket, numbers, counts, near, stats) of the training texts under the present classes.
+    """Rows (bucket, block, near, stats) of the training texts under the present classes.
 
-    With a bucket: its words in a block by number, how often they occur there, and the codes of the word before and the
-    word after at each place. Without one: the block's class bigrams and the core's neighbours outside the core.
+    With a bucket: the codes of the word before and the word after each occurrence of the block's words there that are
+    outside the core, word by word. Without one: the block's class bigrams and the core's neighbours outside the core.
     """
     import pyarrow as pa
 
     f, size = len(model.core), model.size
-    end, unseen = f + size - 2, f + size - 1
-    class_of = model.class_of_code()
+    end = f + size - 2
+    class_of = model.class_of_code().astype(np.int32)
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        code_of, bucket_of, number_of, _ = _opened(block, answers, unseen)
-        code_of[0] = end
+        code_of = _codes_of_words(answers, end)
         local = _unzip(block.column("codes")[0].as_py(), "<i4")[: block.column("n_train")[0].as_py()]
         code = code_of[local]
         single = np.flatnonzero(code >= SINGLE)
-        code &= ~SINGLE
-        before = np.r_[end, code[:-1]]
-        after = np.r_[code[1:], end]
-        cls, cls_before = class_of[code], class_of[before]
+        code &= np.uint16(SINGLE - 1)
+        before = np.r_[np.uint16(end), code[:-1]]
+        after = np.r_[code[1:], np.uint16(end)]
+        cls = class_of[code]
         n = size + 1
-        counts = np.bincount(cls_before * n + cls, minlength=n * n)
-        counts += np.bincount(cls_before[single] * n + size, minlength=n * n)
+        counts = np.bincount(np.r_[class_of[end], cls[:-1]] * np.int32(n) + cls, minlength=n * n)
+        counts += np.bincount(class_of[before[single]] * n + size, minlength=n * n)
         counts += np.bincount(size * n + class_of[after[single]], minlength=n * n)
         in_core = code < f
         at = np.flatnonzero(in_core & (before >= f))
-        left = np.bincount(code[at] * size + before[at] - f, minlength=f * size)
+        left = np.bincount(code[at].astype(np.int64) * size + before[at] - f, minlength=f * size)
         at = np.flatnonzero(in_core & (after >= f))
-        right = np.bincount(code[at] * size + after[at] - f, minlength=f * size)
-        rows = [(None, None, None, None, _zip(np.concatenate([counts, left, right]).astype("<i8")))]
-        at = np.flatnonzero(~in_core & (code != end))
-        words = np.flatnonzero(bucket_of >= 0)
-        words = words[np.lexsort((number_of[words], bucket_of[words]))]
-        rank = np.zeros(len(code_of), np.int32)
-        rank[words] = np.arange(len(words))
-        of = rank[local[at]]
-        by = np.argsort(of, kind="stable")
-        near = np.stack([before[at[by]], after[at[by]]], 1).astype("<u2")
-        times = np.bincount(of, minlength=len(words))
-        ends = np.cumsum(times)
-        for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(bucket_of[words])) + 1):
-            part = part[times[part] > 0]
-            if len(part):
-                rows.append((int(bucket_of[words[part[0]]]), _zip(number_of[words[part]].astype("<i4")), _zip(times[part].astype("<i4")), _zip(near[ends[part[0]] - times[part[0]] : ends[part[-1]]]), None))
-        kinds = [pa.int64(), *[pa.binary()] * 4]
-        return pa.table({x: pa.array(c, k) for x, c, k in zip(("bucket", "numbers", "counts", "near", "stats"), zip(*rows), kinds)})
-
-    def guarded(block: pa.Table, answers: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            raise ValueError("answers for a block that isn't there")
-        return run(block, answers)
-
-    own = blocks.select("block", "n_train", "codes", "words")
-    return own.groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(guarded, "bucket long, numbers binary, counts binary, near binary, stats binary")
+        right = np.bincount(code[at].astype(np.int64) * size + after[at] - f, minlength=f * size)
+        rows = [(None, None, None, _zip(np.concatenate([counts, left, right]).astype("<i8")))]
+        at = np.flatnonzero(~in_core & (local > 0))
+        of = local[at]
+        at = at[_order(of)]
+        near = np.stack([before[at], after[at]], 1)
+        sizes = [(b, len(_unzip(c, "<u2"))) for b, c in sorted(zip(answers.column("bucket").to_pylist(), answers.column("codes").to_pylist()))]
+        upto = np.r_[0, np.cumsum(np.bincount(of, minlength=len(code_of)))]
+        place = 1
+        for bucket, words in sizes:
+            a, b = upto[place], upto[place + words]
+            if b > a:
+                rows.append((bucket, block.column("block")[0].as_py(), _zip(near[a:b]), None))
+            place += words
+        return pa.table({x: pa.array(c, k) for x, c, k in zip(("bucket", "block", "near", "stats"), zip(*rows), [pa.int64(), pa.int64(), pa.binary(), pa.binary()])})
+
+    own = blocks.select("block", "n_train", "codes")
+    return own.groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(run, "bucket long, block long, near binary, stats binary")
 
 
 def moved(near: DataFrame, model: Model, fit: np.ndarray) -> DataFrame:
@@ -297,24 +364,33 @@ def moved(near: DataFrame, model: Model, fit: np.ndarray) -> DataFrame:
     """
     import pyarrow as pa
 
-    core, n_classes = len(model.core), model.n_classes
+    core, n_classes, f = model.core, model.n_classes, len(model.core)
     fit = fit.astype(np.float32)
 
     def run(near: pa.Table, asks: pa.Table) -> pa.Table:
-        if not asks.num_rows:
-            return _answers(asks, np.zeros(0, np.int64), core)
-        types = max(int(words.values.field("number").to_numpy(zero_copy_only=False).max(initial=-1)) for words in asks.column("words")) + 1
-        scores = np.zeros((types, n_classes), np.float32)
-        for numbers, counts, codes in zip(*(near.column(x).to_pylist() for x in ("numbers", "counts", "near"))):
-            numbers, counts, codes = _unzip(numbers, "<i4"), _unzip(counts, "<i4"), _unzip(codes, "<u2").reshape(-1, 2)
-            ends = np.cumsum(counts)
-            for i in range(0, len(numbers), 20_000):
-                a, b = ends[i] - counts[i], ends[min(i + 20_000, len(numbers)) - 1]
-                said = fit[0][codes[a:b, 0]] + fit[1][codes[a:b, 1]]
-                scores[numbers[i : i + 20_000]] += np.add.reduceat(said, ends[i : i + 20_000] - counts[i : i + 20_000] - a, axis=0)
-        return _answers(asks, scores.argmax(1), core)
-
-    placed = near.where("bucket is not null").select("bucket", "numbers", "counts", "near")
+        own, places = _of_bucket(core, asks.column("bucket")[0].as_py())
+        scores = np.zeros((_types(asks), n_classes), np.float32)
+        free = np.ones(len(scores), bool)
+        free[own] = False
+        where = {b: i for i, b in enumerate(asks.column("block").to_pylist())}
+        for block, codes in zip(near.column("block").to_pylist(), near.column("near").to_pylist()):
+            numbers, times = (_unzip(asks.column(x)[where[block]].as_py(), k) for x, k in (("numbers", "<i4"), ("times", "<i8")))
+            met = np.flatnonzero((numbers >= 0) & (times > 0))
+            met = met[free[numbers[met]]]
+            numbers, ends, codes = numbers[met], np.cumsum(times[met]), _unzip(codes, "<u2").reshape(-1, 2)
+            starts = ends - times[met]
+            at = 0
+            while at < len(numbers):  # about 16,000 occurrences a turn, so that what they say stays in the cache
+                to = max(at + 1, int(np.searchsorted(ends, starts[at] + 16_384)))
+                said = fit[0].take(codes[starts[at] : ends[to - 1], 0], axis=0)
+                said += fit[1].take(codes[starts[at] : ends[to - 1], 1], axis=0)
+                scores[numbers[at:to]] += np.add.reduceat(said, starts[at:to] - starts[at], axis=0)
+                at = to
+        codes = np.r_[f + scores.argmax(1) if len(scores) else np.empty(0, np.int64), f + n_classes + 1].astype(np.int64)
+        codes[own] = places
+        return _answers(asks, codes)
+
+    placed = near.where("bucket is not null").select("bucket", "block", "near")
     return placed.groupBy("bucket").cogroup(model.asks.groupBy("bucket")).applyInArrow(run, ANSWER)
 
 
@@ -326,41 +402,36 @@ def _fit(table: np.ndarray, class_of: np.ndarray, n_classes: int) -> np.ndarray:
 
 def train(blocks: DataFrame, n_classes: int, core_words: int, rounds: int, settled: float) -> Model:
     """Vocabulary and classes of the training texts of blocks; model.counts are the transitions of the classes kept."""
-    if not 0 < n_classes <= 250 or not 0 < core_words <= 8_192:
-        raise ValueError("n_classes must be 1 to 250, core_words 1 to 8,192")
+    if not 0 < n_classes <= 250 or not 0 < core_words <= 4_096:
+        raise ValueError("n_classes must be 1 to 250, core_words 1 to 4,096")
     model = Model(n_classes)
-    local = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", F.col("w.words").alias("word"), (F.col("place") + 1).alias("place"), F.col("w.counts").alias("n"))
-    vocabulary = materialize(local.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
-    model.ends = blocks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
-    words, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model.tokens, model.types = words + model.ends, types + (model.ends > 0)
-    core = vocabulary.orderBy(F.desc("c"), "word").limit(core_words).collect()  # core_words rows at most
-    model.core = [bytes(r["word"]) for r in core]
-    f, size = len(core), model.size
-    spark = blocks.sparkSession
-    buckets = max(1, types // BUCKET_TYPES, words // BUCKET_TOKENS, min(shuffle_width(spark), 1 + types // 10_000))
-    first = spark.createDataFrame([(bytearray(w), i) for i, w in enumerate(model.core)], "word binary, core int")
-    numbered = vocabulary.join(F.broadcast(first), "word", "left").withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
-    numbered = numbered.select("word", "c", F.coalesce("core", F.lit(-1)).alias("core"), "bucket", (F.row_number().over(Window.partitionBy("bucket").orderBy("word")) - 1).alias("number"))
-    asks = local.select("block", "word", "place").join(numbered, "word").groupBy("bucket", "block").agg(F.collect_list(F.struct("place", "number", "c", "core")).alias("words"))
-    model.asks = materialize(asks, "asks")
-    unplaced = n_classes + 1
-
-    def start(batches):
-        import pyarrow as pa
+    words, tokens, model.ends = blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()
+    buckets = max(1, words // BUCKET_WORDS, tokens // BUCKET_TOKENS, min(shuffle_width(blocks.sparkSession), words // 20_000))
+    asks = materialize(vocabulary(blocks, buckets, core_words), "asks")
+    totals = asks.where("block is null")
+    types = totals.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    model.tokens, model.types = tokens, types + (model.ends > 0)
+    top = totals.select("bucket", F.explode("top").alias("t")).select("bucket", "t.*").orderBy(F.desc("c"), "word").limit(core_words).collect()  # core_words rows at most
+    model.core = [(bytes(r["word"]), r["bucket"], r["number"]) for r in top]
+    f, size = len(model.core), model.size
+    model.asks = asks.where("block is not null").select("bucket", "block", "numbers", "times", "counts")
+    core = model.core
 
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            most = max((int(w.values.field("number").to_numpy(zero_copy_only=False).max(initial=-1)) for w in rows.column("words")), default=-1)
-            yield from _answers(rows, np.full(most + 1, unplaced), f).to_batches()
+    def start(asks):
+        own, places = _of_bucket(core, asks.column("bucket")[0].as_py())
+        codes = np.full(_types(asks) + 1, f + n_classes + 1)
+        codes[own] = places
+        return _answers(asks, codes)
 
-    model.answers = materialize(model.asks.mapInArrow(start, ANSWER), "answers")
+    home = shared_dir(blocks.sparkSession)
+    model.answers = materialize(model.asks.groupBy("bucket").applyInArrow(start, ANSWER), "answers", to=f"{home}-answers-0")
     model.core_classes = np.arange(f) % n_classes
-    pairs = core_pairs(blocks, model.core) if f else np.zeros((0, 0), np.int64)
+    pairs = core_pairs(blocks, [w for w, _, _ in core]) if f else np.zeros((0, 0), np.int64)
     n = size + 1
     kept = None
     for number in range(rounds + 1):
-        near = materialize(neighbourhoods(blocks, model), "near")
+        # Only the answers of this round and the one before are needed, and no older neighbourhoods: their folders are written over.
+        near = materialize(neighbourhoods(blocks, model), "near", to=f"{home}-near")
         stats = summed(near.where("bucket is null"), "stats", n * n + 2 * f * size)
         counts, left, right = np.split(stats, [n * n, n * n + f * size])
         counts = counts.reshape(n, n)
@@ -377,13 +448,17 @@ def train(blocks: DataFrame, n_classes: int, core_words: int, rounds: int, settl
         table, left, right = counts[:size, :size].astype(float), left.reshape(f, size), right.reshape(f, size)
         for _ in range(20 if not number else 3):
             model.core_classes, table, moves = exchange(model.core_classes, pairs, left, right, table, n_classes)
-            if not moves:
+            if moves <= f // 200:
                 break
         if types > f or not number:
-            model.answers = materialize(moved(near, model, _fit(table, model.class_of_code(), n_classes)), "answers")
+            model.answers = materialize(moved(near, model, _fit(table, model.class_of_code(), n_classes)), "answers", to=f"{home}-answers-{(number + 1) % 2}")
     return model
 
 
+def _with_counts(model: Model) -> DataFrame:
+    return model.answers.join(model.asks.select("bucket", "block", "counts"), ["bucket", "block"])
+
+
 def word_classes(blocks: DataFrame, model: Model) -> DataFrame:
     """(word, c, class) of every word of the training texts."""
     import pyarrow as pa
@@ -391,12 +466,18 @@ def word_classes(blocks: DataFrame, model: Model) -> DataFrame:
     class_of = model.class_of_code()
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        code, bucket, _, c = _opened(block, answers, len(class_of) - 1)
-        at = np.flatnonzero(bucket[1:] >= 0)
-        words = block.column("words")[0].values
-        return pa.table({"word": words.take(pa.array(at)), "c": pa.array(c[at + 1]), "class": pa.array(class_of[code[at + 1] & ~SINGLE].astype(np.int32))})
+        code = _codes_of_words(answers, 0)[1:]
+        c = _counts(answers)
+        at = np.flatnonzero(c > 0)
+        words = block.column("words").chunk(0).flatten()
+        return pa.table({"word": words.take(pa.array(at)), "c": pa.array(c[at]), "class": pa.array(class_of[code[at] & (SINGLE - 1)].astype(np.int32))})
+
+    return blocks.select("block", "words").groupBy("block").cogroup(_with_counts(model).groupBy("block")).applyInArrow(run, "word binary, c long, class int").distinct()
+
 
-    return blocks.select("block", "words").groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(run, "word binary, c long, class int").distinct()
+def _counts(answers) -> np.ndarray:
+    rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
+    return np.concatenate([np.empty(0, np.int64), *(_unzip(c, "<i8") for _, c in rows)])
 
 
 def log_transitions(counts: np.ndarray, by_class: np.ndarray, unseen: int, weight: float = 50.0) -> np.ndarray:
@@ -424,7 +505,7 @@ def scores(blocks: DataFrame, model: Model) -> DataFrame:
     import pyarrow as pa
 
     size = model.size
-    class_of, end, unseen = model.class_of_code(), len(model.core) + size - 2, len(model.core) + size - 1
+    class_of, end = model.class_of_code(), len(model.core) + size - 2
     counts = model.counts if model.counts is not None else np.zeros((size + 1, size + 1), np.int64)
     step = log_transitions(counts, counts[:size, :size].sum(0).astype(float), size - 1)
     tokens, ends = model.tokens, model.ends
@@ -433,28 +514,28 @@ def scores(blocks: DataFrame, model: Model) -> DataFrame:
         class_log = np.log10(counts[:size, :size].sum(0))
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        code, _, _, c = _opened(block, answers, unseen)
-        code[0], c[0] = end, ends
-        cls_of = class_of[code & ~SINGLE]
+        cls_of = class_of[_codes_of_words(answers, end) & (SINGLE - 1)]
+        c = np.r_[ends, _counts(answers)]
         known = c > 0
         emit = np.where(known, np.log10(np.maximum(c, 1)) - np.where(known, class_log[cls_of], 0), 0)
         local = _unzip(block.column("codes")[0].as_py(), "<i4")
         cls = cls_of[local]
-        lengths = block.column("lengths")[0].values.to_numpy()
+        lengths = block.column("lengths").chunk(0).flatten().to_numpy()
         starts = np.cumsum(lengths) - lengths
         score = np.add.reduceat(emit[local] + step[np.r_[size - 2, cls[:-1]], cls], starts)
         base = np.add.reduceat((np.log10(c + 0.1) - floor)[local], starts)
         return pa.table({
-            "doc_id": block.column("docs")[0].values, "held_out": block.column("held")[0].values, "n_tokens": pa.array(lengths.astype(np.int64)),
+            "doc_id": block.column("docs").chunk(0).flatten(), "held_out": block.column("held").chunk(0).flatten(), "n_tokens": pa.array(lengths.astype(np.int64)),
             "n_known": pa.array(np.add.reduceat(known[local].astype(np.int64), starts)), "train_tokens": pa.array(np.full(len(lengths), tokens)),
             "base_score": pa.array(base), "score": pa.array(score), "perplexity": pa.array(10 ** np.minimum(-score / lengths, 300.0)),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return blocks.drop("counts").groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(run, schema)
+    own = blocks.select("block", "docs", "held", "lengths", "codes")
+    return own.groupBy("block").cogroup(_with_counts(model).groupBy("block")).applyInArrow(run, schema)
 
 
-def blocks_and_model(docs: DataFrame, n_classes: int = 64, core_words: int = 1_024, rounds: int = 12, settled: float = 1e-3, folds: int = 10, held_out_fold: int = 0, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+def blocks_and_model(docs: DataFrame, n_classes: int = 48, core_words: int = 1_024, rounds: int = 12, settled: float = 2e-3, folds: int = 10, held_out_fold: int = 0, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_mod(id_col, folds) == held_out_fold).alias("held_out"), F.col(text_col).alias("text"))
     blocks = materialize(blocks_of(rows, block_bytes), "blocks")
     return blocks, train(blocks, n_classes, core_words, rounds, settled)

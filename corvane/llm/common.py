@@ -18,8 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; set here only where it is unset (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "/tmp/checkpoints/corvane"
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{root.rstrip('/')}/corvane-{uuid.uuid4().hex}"
 
 
@@ -35,12 +36,15 @@ def _shuffles_freed(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, name: str, free: bool = True) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
+def materialize(df: DataFrame, name: str, free: bool = True, to: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation.
+
+    A path in `to` is written over: what stood there, which df must not read, is no longer needed.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}-{name}"
+    path = to or f"{shared_dir(spark)}-{name}"
     with _shuffles_freed(spark) if free else contextlib.nullcontext():
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
