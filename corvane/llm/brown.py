@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import crc32_mod, materialize, shared_dir, shuffle_width
+from corvane.llm.common import crc32_mod, deflated, inflated, materialize, shared_dir, shuffle_width, summed
 from corvane.llm.tokens import batches
 
 SINGLE = 1 << 15  # marks codes of words seen once
@@ -32,18 +32,6 @@ SINGLE = 1 << 15  # marks codes of words seen once
 BUCKET_WORDS, BUCKET_TOKENS = 1_000_000, 50_000_000
 
 
-def _zip(values: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
-
-def _unzip(data: bytes, kind: str) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
 def split(texts):
     """(words in a row, how many each text has) of an Arrow array of texts: A-Z in lower case, parted by ASCII white space."""
     import pyarrow.compute as pc
@@ -95,10 +83,10 @@ def blocks_of(rows: DataFrame, block_bytes: int) -> DataFrame:
         flat = np.concatenate(texts)
         n_train = int((sizes + 1)[~held].sum())
         counts = np.bincount(flat[:n_train], minlength=len(words) + 1)[1:]
-        columns = [[number], [[docs[i] for i in turn.tolist()]], [held[turn].tolist()], [(sizes[turn] + 1).tolist()], [n_train], [_zip(flat.astype("<i4"))]]
+        columns = [[number], [[docs[i] for i in turn.tolist()]], [held[turn].tolist()], [(sizes[turn] + 1).tolist()], [n_train], [deflated(flat.astype("<i4"))]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
         names = words.take(pa.array(order)).cast(pa.binary())
-        arrays = [*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.array([_zip(counts.astype("<i8"))], pa.binary())]
+        arrays = [*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.array([deflated(counts.astype("<i8"))], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["block", "docs", "held", "lengths", "n_train", "codes", "words", "counts"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,14 +117,14 @@ def vocabulary(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
     def spread(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for i, block in enumerate(batch.column("block").to_pylist()):
-                words, times = batch.column("words")[i].values, _unzip(batch.column("counts")[i].as_py(), "<i8")
+                words, times = batch.column("words")[i].values, inflated(batch.column("counts")[i].as_py(), "<i8")
                 if not len(words):
                     continue
                 of = (word_hashes(words) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
                 starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 edges = np.r_[starts, len(words)]
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), words)
-                parts = [_zip(t) for t in np.split(times, starts[1:])]
+                parts = [deflated(t) for t in np.split(times, starts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(of[starts].astype(np.int64)), pa.array([block] * len(starts), pa.int64()), lists, pa.array(parts, pa.binary())], ["bucket", "block", "words", "times"])
 
     def number(rows: pa.Table) -> pa.Table:
@@ -144,7 +132,7 @@ def vocabulary(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
         sizes = [len(x) for c in lists.chunks for x in c]
         coded = pa.concat_arrays([c.flatten() for c in lists.chunks]).dictionary_encode()
         at = coded.indices.to_numpy()
-        times = [_unzip(x, "<i8") for x in rows.column("times").to_pylist()]
+        times = [inflated(x, "<i8") for x in rows.column("times").to_pylist()]
         c = np.zeros(len(coded.dictionary), np.int64)
         np.add.at(c, at, np.concatenate(times))
         numbers = np.where(c > 0, np.cumsum(c > 0) - 1, -1)
@@ -155,8 +143,8 @@ def vocabulary(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
         n, bucket = len(parts), rows.column("bucket")[0].as_py()
         return pa.table({
             "bucket": pa.array([bucket] * (n + 1), pa.int64()), "block": pa.array([*rows.column("block").to_pylist(), None], pa.int64()),
-            "numbers": pa.array([*(_zip(numbers[p].astype("<i4")) for p in parts), None], pa.binary()), "times": pa.array([*(_zip(t) for t in times), None], pa.binary()),
-            "counts": pa.array([*(_zip(c[p].astype("<i8")) for p in parts), None], pa.binary()), "types": pa.array([None] * n + [int((c > 0).sum())], pa.int64()), "tokens": pa.array([None] * n + [int(c.sum())], pa.int64()),
+            "numbers": pa.array([*(deflated(numbers[p].astype("<i4")) for p in parts), None], pa.binary()), "times": pa.array([*(deflated(t) for t in times), None], pa.binary()),
+            "counts": pa.array([*(deflated(c[p].astype("<i8")) for p in parts), None], pa.binary()), "types": pa.array([None] * n + [int((c > 0).sum())], pa.int64()), "tokens": pa.array([None] * n + [int(c.sum())], pa.int64()),
             "top": pa.array([None] * n + [[{"word": w, "number": i, "c": k} for w, i, k in top]], pa.list_(pa.struct([("word", pa.binary()), ("number", pa.int32()), ("c", pa.int64())]))),
         })
 
@@ -164,22 +152,6 @@ def vocabulary(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(number, ASK)
 
 
-def summed(rows: DataFrame, column: str, size: int, parts: int = 16) -> np.ndarray:
-    """The sum of packed arrays of one size: added up within tasks, then within `parts` tasks, then here."""
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                total += _unzip(data, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([_zip(total)], pa.binary())], [column])
-
-    once = rows.select(column).mapInArrow(run, f"{column} binary")
-    twice = once.repartition(parts).mapInArrow(run, f"{column} binary")
-    return np.sum([np.zeros(size, np.int64), *(_unzip(bytes(r[0]), "<i8") for r in twice.collect())], axis=0)  # at most `parts` rows
-
-
 @dataclass
 class Model:
     """Class bigrams of a corpus. Classes are 0 to n_classes - 1, then the end of a text, then words not placed or not seen.
@@ -228,10 +200,10 @@ def core_pairs(blocks: DataFrame, core: list[bytes]) -> np.ndarray:
         for batch in batches:
             for n, codes, words in zip(batch.column("n_train").to_pylist(), batch.column("codes").to_pylist(), batch.column("words")):
                 of = np.r_[f, pc.fill_null(pc.index_in(words.values, known), f).to_numpy(zero_copy_only=False)].astype(np.int32)
-                k = of[_unzip(codes, "<i4")[:n]]
+                k = of[inflated(codes, "<i4")[:n]]
                 both = np.flatnonzero((k[:-1] < f) & (k[1:] < f))
                 total += np.bincount(k[both].astype(np.int64) * f + k[both + 1], minlength=f * f)
-        yield pa.RecordBatch.from_arrays([pa.array([_zip(total)], pa.binary())], ["pairs"])
+        yield pa.RecordBatch.from_arrays([pa.array([deflated(total)], pa.binary())], ["pairs"])
 
     return summed(blocks.select("n_train", "codes", "words").mapInArrow(run, "pairs binary"), "pairs", f * f).reshape(f, f)
 
@@ -282,7 +254,7 @@ def _answers(asks, codes: np.ndarray):
 
     said = []
     for numbers, counts in zip(asks.column("numbers").to_pylist(), asks.column("counts").to_pylist()):
-        said.append(_zip((codes[_unzip(numbers, "<i4")] | np.where(_unzip(counts, "<i8") == 1, SINGLE, 0)).astype("<u2")))
+        said.append(deflated((codes[inflated(numbers, "<i4")] | np.where(inflated(counts, "<i8") == 1, SINGLE, 0)).astype("<u2")))
     return pa.table({"bucket": asks.column("bucket"), "block": asks.column("block"), "codes": pa.array(said, pa.binary())})
 
 
@@ -293,13 +265,13 @@ def _of_bucket(core: list[tuple], bucket: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _types(asks) -> int:
-    return max((int(_unzip(x, "<i4").max(initial=-1)) for x in asks.column("numbers").to_pylist()), default=-1) + 1
+    return max((int(inflated(x, "<i4").max(initial=-1)) for x in asks.column("numbers").to_pylist()), default=-1) + 1
 
 
 def _codes_of_words(answers, end: int) -> np.ndarray:
     """Codes by local number: the end of a text, then the block's words, which stand by hash as buckets do."""
     rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column("codes").to_pylist()))
-    return np.concatenate([np.array([end], "<u2"), *(_unzip(c, "<u2") for _, c in rows)])
+    return np.concatenate([np.array([end], "<u2"), *(inflated(c, "<u2") for _, c in rows)])
 
 
 def _order(numbers: np.ndarray) -> np.ndarray:
@@ -322,7 +294,7 @@ def neighbourhoods(blocks: DataFrame, model: Model) -> DataFrame:
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         code_of = _codes_of_words(answers, end)
-        local = _unzip(block.column("codes")[0].as_py(), "<i4")[: block.column("n_train")[0].as_py()]
+        local = inflated(block.column("codes")[0].as_py(), "<i4")[: block.column("n_train")[0].as_py()]
         code = code_of[local]
         single = np.flatnonzero(code >= SINGLE)
         code &= np.uint16(SINGLE - 1)
@@ -338,18 +310,18 @@ def neighbourhoods(blocks: DataFrame, model: Model) -> DataFrame:
         left = np.bincount(code[at].astype(np.int64) * size + before[at] - f, minlength=f * size)
         at = np.flatnonzero(in_core & (after >= f))
         right = np.bincount(code[at].astype(np.int64) * size + after[at] - f, minlength=f * size)
-        rows = [(None, None, None, _zip(np.concatenate([counts, left, right]).astype("<i8")))]
+        rows = [(None, None, None, deflated(np.concatenate([counts, left, right]).astype("<i8")))]
         at = np.flatnonzero(~in_core & (local > 0))
         of = local[at]
         at = at[_order(of)]
         near = np.stack([before[at], after[at]], 1)
-        sizes = [(b, len(_unzip(c, "<u2"))) for b, c in sorted(zip(answers.column("bucket").to_pylist(), answers.column("codes").to_pylist()))]
+        sizes = [(b, len(inflated(c, "<u2"))) for b, c in sorted(zip(answers.column("bucket").to_pylist(), answers.column("codes").to_pylist()))]
         upto = np.r_[0, np.cumsum(np.bincount(of, minlength=len(code_of)))]
         place = 1
         for bucket, words in sizes:
             a, b = upto[place], upto[place + words]
             if b > a:
-                rows.append((bucket, block.column("block")[0].as_py(), _zip(near[a:b]), None))
+                rows.append((bucket, block.column("block")[0].as_py(), deflated(near[a:b]), None))
             place += words
         return pa.table({x: pa.array(c, k) for x, c, k in zip(("bucket", "block", "near", "stats"), zip(*rows), [pa.int64(), pa.int64(), pa.binary(), pa.binary()])})
 
@@ -374,10 +346,10 @@ def moved(near: DataFrame, model: Model, fit: np.ndarray) -> DataFrame:
         free[own] = False
         where = {b: i for i, b in enumerate(asks.column("block").to_pylist())}
         for block, codes in zip(near.column("block").to_pylist(), near.column("near").to_pylist()):
-            numbers, times = (_unzip(asks.column(x)[where[block]].as_py(), k) for x, k in (("numbers", "<i4"), ("times", "<i8")))
+            numbers, times = (inflated(asks.column(x)[where[block]].as_py(), k) for x, k in (("numbers", "<i4"), ("times", "<i8")))
             met = np.flatnonzero((numbers >= 0) & (times > 0))
             met = met[free[numbers[met]]]
-            numbers, ends, codes = numbers[met], np.cumsum(times[met]), _unzip(codes, "<u2").reshape(-1, 2)
+            numbers, ends, codes = numbers[met], np.cumsum(times[met]), inflated(codes, "<u2").reshape(-1, 2)
             starts = ends - times[met]
             at = 0
             while at < len(numbers):  # about 16,000 occurrences a turn, so that what they say stays in the cache
@@ -477,7 +449,7 @@ def word_classes(blocks: DataFrame, model: Model) -> DataFrame:
 
 def _counts(answers) -> np.ndarray:
     rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
-    return np.concatenate([np.empty(0, np.int64), *(_unzip(c, "<i8") for _, c in rows)])
+    return np.concatenate([np.empty(0, np.int64), *(inflated(c, "<i8") for _, c in rows)])
 
 
 def log_transitions(counts: np.ndarray, by_class: np.ndarray, unseen: int, weight: float = 50.0) -> np.ndarray:
@@ -518,7 +490,7 @@ def scores(blocks: DataFrame, model: Model) -> DataFrame:
         c = np.r_[ends, _counts(answers)]
         known = c > 0
         emit = np.where(known, np.log10(np.maximum(c, 1)) - np.where(known, class_log[cls_of], 0), 0)
-        local = _unzip(block.column("codes")[0].as_py(), "<i4")
+        local = inflated(block.column("codes")[0].as_py(), "<i4")
         cls = cls_of[local]
         lengths = block.column("lengths").chunk(0).flatten().to_numpy()
         starts = np.cumsum(lengths) - lengths
@@ -535,7 +507,7 @@ def scores(blocks: DataFrame, model: Model) -> DataFrame:
     return own.groupBy("block").cogroup(_with_counts(model).groupBy("block")).applyInArrow(run, schema)
 
 
-def blocks_and_model(docs: DataFrame, n_classes: int = 48, core_words: int = 1_024, rounds: int = 12, settled: float = 2e-3, folds: int = 10, held_out_fold: int = 0, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+def blocks_and_model(docs: DataFrame, n_classes: int = 48, core_words: int = 1_024, rounds: int = 12, settled: float = 2e-3, folds: int = 10, held_out_fold: int = 0, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_mod(id_col, folds) == held_out_fold).alias("held_out"), F.col(text_col).alias("text"))
     blocks = materialize(blocks_of(rows, block_bytes), "blocks")
     return blocks, train(blocks, n_classes, core_words, rounds, settled)

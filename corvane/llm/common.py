@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,67 @@ def shuffle_width(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def deflated(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def inflated(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def summed(rows: DataFrame, column: str, size: int, parts: int = 16) -> np.ndarray:
+    """The sum of packed arrays of one size: added up within tasks, then within `parts` tasks, then here."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                total += inflated(data, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([deflated(total)], pa.binary())], [column])
+
+    once = rows.select(column).mapInArrow(run, f"{column} binary")
+    twice = once.repartition(parts).mapInArrow(run, f"{column} binary")
+    return np.sum([np.zeros(size, np.int64), *(inflated(bytes(r[0]), "<i8") for r in twice.collect())], axis=0)  # at most `parts` rows
+
+
+#: Rows that share a key up to which they may meet in one task.
+HOT = 1_000
+
+
+def join_by_key(rows: DataFrame, groups: DataFrame, key: list[str], spread: Column, n: str = "n", least: int = HOT) -> DataFrame:
+    """rows left-joined with groups, one row of small values a key with the number of its rows in column n, which is dropped.
+
+    Keys with more than `least` rows are broadcast, at most a millionth of all rows; all others are shuffled. spread tells
+    rows of a key apart, so that a hot key's rows are no single task in that shuffle either. Null keys meet nothing.
+    """
+    values = [c for c in groups.columns if c not in (*key, n)]
+    hot = groups.where(F.col(n) > least).select(*key, F.struct(*values).alias("_hot"))
+    once = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(0))
+    rest = groups.where(F.col(n) <= least).select(*key, F.struct(*values).alias("_rest"), F.lit(0).cast("long").alias("_salt"))
+    out = once.withColumn("_salt", F.col("_salt").cast("long")).join(rest, [*key, "_salt"], "left")
+    return out.select(*rows.columns, *(F.coalesce(F.col("_hot")[c], F.col("_rest")[c]).alias(c) for c in values))
+
+
+def hot_bound(rows: int) -> int:
+    """For join_by_key: from how many rows a key is hot, so that hot keys are at most a million."""
+    return max(HOT, rows // 1_000_000)
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text): a user's row as one struct beside what an operator reads of it, so that no name of either can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
+def unpacked(rows: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The user's columns again, some of them with new values."""
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in names))
+
+
 def with_window_hashes(df: DataFrame, words: str, length: int, out: str) -> DataFrame:
     """df with array<bigint> out: a hash for each window of `length` words, in order; empty where there are fewer words.
 
