@@ -16,10 +16,10 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER_TABLE, materialize
+from corvane.llm.common import LOWER_TABLE, hot_bound, join_by_key, materialize, packed, unpacked
 from corvane.llm.components import components
 
 BITS = 64
@@ -163,8 +163,8 @@ def _probes(code: Column, place: Column, masks: list[int]) -> Column:
     return F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: code.bitwiseXOR(m).bitwiseOR(place))
 
 
-def links(fps: DataFrame, plan: Plan, tau: int = 4) -> DataFrame:
-    """(a, b), a < b: distinct fingerprints that differ in at most tau bits."""
+def keyed(fps: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """(entered, probes): fingerprints (a) by their keys, and (b) by all keys within the thresholds."""
     enter, probe = [], []
     for i, (bits, t) in enumerate(zip(plan.partitions, plan.thresholds)):
         if t < 0:
@@ -174,10 +174,39 @@ def links(fps: DataFrame, plan: Plan, tau: int = 4) -> DataFrame:
         code = key(F.col("fp"), bits)
         enter.append(code.bitwiseOR(place))
         probe.append(_probes(code, place, masks))
-    entered = fps.select(F.col("fp").alias("a"), F.explode(F.array(*enter)).alias("code"))
-    probes = fps.select(F.col("fp").alias("b"), F.explode(F.concat(*probe)).alias("code"))
-    met = entered.join(probes, "code").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau))
-    return met.select("a", "b").distinct()
+    return fps.select(F.col("fp").alias("a"), F.explode(F.array(*enter)).alias("code")), fps.select(F.col("fp").alias("b"), F.explode(F.concat(*probe)).alias("code"))
+
+
+def _near(a: str, b: str, tau: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= tau
+
+
+def links(fps: DataFrame, plan: Plan, tau: int = 4) -> DataFrame:
+    """(a, b), a < b: distinct fingerprints that differ in at most tau bits."""
+    entered, probes = keyed(fps, plan)
+    return entered.join(probes, "code").where((F.col("a") < F.col("b")) & _near("a", "b", tau)).select("a", "b").distinct()
+
+
+def linked(fps: DataFrame, plan: Plan, tau: int = 4) -> DataFrame:
+    """(node, component) over the links of links(), without listing all of them.
+
+    Every bucket is linked to its least member where that is near enough; pairs are then met only in buckets that still
+    hold several components, and only between those. A group of near copies is one component by then.
+    """
+    entered, probes = keyed(fps, plan)
+    first = entered.groupBy("code").agg(F.min("a").alias("a"))
+    stars = materialize(first.join(probes, "code").where((F.col("a") != F.col("b")) & _near("a", "b", tau)).select("a", "b").distinct(), "stars-met")
+    parts = components(stars)
+    owned = fps.select("fp").join(parts, fps["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"))
+    owned = materialize(owned, "owned")
+    entered, probes = keyed(owned, plan)
+    left = entered.join(owned.select(F.col("fp").alias("a"), F.col("part").alias("pa")), "a")
+    right = probes.join(owned.select(F.col("fp").alias("b"), F.col("part").alias("pb")), "b")
+    spans = left.groupBy("code").agg(F.min("pa").alias("x"), F.max("pa").alias("y"))
+    mixed = right.groupBy("code").agg(F.min("pb").alias("u"), F.max("pb").alias("v")).join(spans, "code").where("x <> y or u <> v or x <> u").select("code")
+    met = left.join(mixed, "code", "left_semi").join(right, "code").where((F.col("pa") < F.col("pb")) & _near("a", "b", tau)).select("pa", "pb").distinct()
+    joined = components(stars.unionByName(materialize(met.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "pairs-met")))
+    return joined
 
 
 def near_duplicates(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,20 +219,19 @@ def near_duplicates(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str
     marked = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h"))
     fps = materialize(marked.groupBy("fp").agg(least.alias("first")), "distinct")
-    plan = make_plan(fps, tau)
-    parts = components(links(fps, plan, tau))
-    owned = fps.join(parts, fps["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("part"))
-    owned = owned.join(owned.groupBy("part").agg(F.min("first").alias("component")), "part")
+    parts = linked(fps, make_plan(fps, tau), tau)
+    owned = materialize(fps.join(parts, fps["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("part")), "parts")
+    least_of = owned.groupBy("part").agg(F.min("first").alias("component"), F.count("*").alias("n"))
+    owned = join_by_key(owned, least_of, ["part"], F.col("fp"), least=hot_bound(owned.count()))
     return marked.join(owned.select("fp", "component"), "fp").select("doc_id", "_h", "fp", "component")
 
 
 def one_of_each(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of docs that each component of grouped names, once; columns stay."""
     kept = grouped.select("component.doc_id", "component._h").distinct()
-    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
-    on = keyed[id_col].cast("long").eqNullSafe(kept["doc_id"]) & (keyed["_hash"] == kept["_h"])
-    out = keyed.join(kept, on, "left_semi").withColumn("_copy", F.row_number().over(Window.partitionBy(id_col, "_hash").orderBy(F.lit(1))))
-    return out.where("_copy = 1").select(*docs.columns)
+    rows = packed(docs, id_col, text_col).select("row", "id", F.xxhash64("text").alias("hash"))
+    out = rows.join(kept, rows["id"].cast("long").eqNullSafe(kept["doc_id"]) & (rows["hash"] == kept["_h"]), "left_semi")
+    return unpacked(out.groupBy("id", "hash").agg(F.first("row").alias("row")), docs.columns)
 
 
 def dedup(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
