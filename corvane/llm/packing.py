@@ -86,10 +86,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id:
 def pack(parts: DataFrame, max_tokens: int = 2048, group_size: int = 50_000) -> DataFrame:
     """parts (as from pieces()) with sequence_id and offset added; sequences hold max_tokens at most.
 
-    group_size bounds what one task packs; it does not drop or cut anything. An empty table stays empty.
+    group_size is about what one task packs, whatever repeats, as rows are dealt one by one; nothing is dropped or cut.
+    Repeated rows are placed each on its own. An empty table stays empty.
     """
     groups = max(1, -(-parts.count() // group_size))
-    keyed = parts.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("_group"))
+    keyed = parts.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("_group"))
 
     def packed(pdf):
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
@@ -107,12 +108,17 @@ def pack(parts: DataFrame, max_tokens: int = 2048, group_size: int = 50_000) ->
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Where each piece of each document goes: PIECES, sequence_id, offset. The pieces are tokenised once and kept in the shared folder."""
+    """Where each piece of each document goes: PIECES, sequence_id, offset. The pieces are tokenised once and kept in the shared folder.
+
+    Null and empty texts are one piece of the end id; rows that share an id, have none or are repeated keep pieces of their
+    own; no rows give none. Other columns of docs aren't read.
+    """
     return pack(materialize(pieces(docs, tokenizer_path, max_tokens, 0, id_col, text_col), "pieces"), max_tokens)
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The packed sequences themselves: sequence_id, n_tokens, n_pieces and ids (array, at most max_tokens)."""
+    """The packed sequences themselves: sequence_id, n_tokens, n_pieces and ids (array, at most max_tokens); nulls, ties,
+    repeats and empty tables as in pack_documents()."""
     parts = materialize(pieces(docs, tokenizer_path, max_tokens, 0, id_col, text_col, with_ids=True), "pieces")
     placed = pack(parts, max_tokens)
     key = ["doc_id", "piece", "ids_crc32", "length", "start"]
