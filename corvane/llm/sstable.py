@@ -184,14 +184,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """Encode all texts and write them in ascending order of ids; returns the manifest of the shards.
 
     folder is a URI that executors share (file, s3, gs or hdfs). Manifest: part, seq (order of shards), path,
-    n_docs, n_tokens. Files get names of their own and only those in the manifest count, so a task that runs again
+    n_docs, n_tokens, first_key, last_key. Files get names of their own and only those in the manifest count, so a task that runs again
     does no harm. Null and empty texts hold end_id alone; rows that share an id stay apart, by ordinal; an empty
     table makes an empty manifest.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
-    schema = "part int, seq int, path string, n_docs long, n_tokens long"
+    schema = "part int, seq int, path string, n_docs long, n_tokens long, first_key binary, last_key binary"
     width = shuffle_width(spark)
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             fs.create_dir(root, recursive=True)
             with fs.open_output_stream(path) as f:
                 f.write(writer.finish())
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [f"{folder}/{path.rsplit('/', 1)[1]}"], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens]})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [f"{folder}/{path.rsplit('/', 1)[1]}"], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens], "first_key": [writer.keys[0]], "last_key": [writer.keys[-1]]})
 
         for batch in batches(rows):
             encoder = encoder or encoder_for(tokenizer_path)
@@ -223,12 +223,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             yield flush(writer, seq)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(width, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows that share an id, or have none, may be dealt to several partitions, by a hash of the text.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(width, *order).sortWithinPartitions(*order, "text")
     return materialize(ordered.mapInArrow(write, schema), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """Every document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids (packed)."""
+    """Every document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids (packed).
+
+    Rows that share an id or have none come out each on its own; an empty manifest gives no rows.
+    """
     import pyarrow as pa
 
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
@@ -258,6 +263,40 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return placed.repartition(width, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def lookup(manifest: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, ids): the packed ids of every row whose id is among ids, by the shards' key ranges, Bloom filters and indexes.
+
+    Only shards whose range holds an id are opened, and of those only the blocks a key may stand in. Repeated ids are
+    asked once; null finds the rows without an id; ids nobody has find nothing.
+    """
+    import pyarrow as pa
+
+    ranges = sorted((bytes(r["first_key"]), bytes(r["last_key"]), r["path"]) for r in manifest.select("first_key", "last_key", "path").collect())  # one row a shard
+    paths = [path for *_, path in ranges]
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts = [a for a, *_ in ranges], [b for _, b, _ in ranges]
+        for batch in rows:
+            shard, asked = [], []
+            for doc in batch.column(0).to_pylist():
+                at = bisect.bisect_left(lasts, key_of(doc))
+                while at < len(firsts) and firsts[at] <= key_of(doc, 0xFFFFFFFF):
+                    shard.append(at)
+                    asked.append(doc)
+                    at += 1
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(asked, pa.int64())], ["shard", "doc_id"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        fs, at = _filesystem(paths[group.column("shard")[0].as_py()])
+        with fs.open_input_file(at) as file:
+            reader = ShardReader(file)
+            found = [(doc, ids) for doc in group.column("doc_id").to_pylist() for ids in reader.get(doc)]
+        return pa.table({"doc_id": pa.array([d for d, _ in found], pa.int64()), "ids": pa.array([i for _, i in found], pa.binary())})
+
+    wanted = ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    return wanted.mapInArrow(ask, "shard int, doc_id long").groupBy("shard").applyInArrow(answer, "doc_id long, ids binary")
+
+
 def new_folder(spark) -> str:
     """A folder for shards beside the checkpoints."""
     return f"{shared_dir(spark)}-sst"
