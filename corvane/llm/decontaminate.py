@@ -11,16 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ascii_lower, materialize, with_window_hashes
+from corvane.llm.common import ascii_lower, materialize, packed, unpacked, with_window_hashes
 
 #: What separates words, after lower-casing A-Z.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Runs of word characters and of others in a text whose case is unchanged.
 RUNS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Windows of the benchmark up to which they are broadcast (about 200 bytes each).
-BROADCAST_WINDOWS = 500_000
-#: Hash that stands for a document itself among the hashes of its windows; the place tells it from a window.
-MARKER = 0x5EED5EED5EED5EED
+BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -40,29 +38,24 @@ def benchmark_windows(benchmark: DataFrame, window: int = 10, item_col: str = "i
     return out.groupBy("h", "len", "w").agg(F.collect_set("_item").alias("items"))
 
 
-def find_candidates(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct (id, text hash) of docs: (_id, _h, n_words, found), whether it has candidates or not.
+def find_candidates(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """docs (number, text) with candidates: number, n_words, found, for those that have any.
 
-    found: array<struct<start, len, w, items>> of the windows whose hashes are in the set, not verified yet; _h: hash
-    of the text, which with the id names a row, so rows that share an id keep apart.
+    found: array<struct<start, len, w, items>> of the windows whose hashes are in the set, not verified yet.
     """
-    spark = docs.sparkSession
     hit_set = materialize(benchmark_windows(benchmark, window), "windows")
     sizes = {r["len"]: r["n"] for r in hit_set.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
-    small = sum(sizes.values()) <= BROADCAST_WINDOWS
-    words = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), words_of(F.col(text_col)).alias("_words"))
-    words = words.withColumn("_n", F.size("_words"))
+    bytes_ = hit_set.agg(F.sum(F.octet_length(F.array_join("w", " ")) + 16 * F.size("items"))).first()[0] or 0
+    small = sum(sizes.values()) <= BROADCAST_WINDOWS and bytes_ <= BROADCAST_BYTES
+    words = docs.select("number", words_of(F.col("text")).alias("_words"))
     out = None
     for length in sorted(sizes) or [window]:
-        probes = with_window_hashes(words, "_words", length, "_hashes")
-        # Place -1 stands for the row itself, whose marker is in the set: the one pass also yields what rows without hits need.
-        probes = probes.select("_id", "_h", "_n", F.posexplode_outer(F.concat(F.array(F.lit(MARKER).cast("bigint")), F.col("_hashes"))).alias("_pos", "h"))
-        own = hit_set.where(F.col("len") == length).select("h", "w", "items").unionByName(spark.createDataFrame([(MARKER, None, None)], "h bigint, w array<string>, items array<string>"))
+        probes = with_window_hashes(words, "_words", length, "_hashes").select("number", F.posexplode_outer("_hashes").alias("_pos", "h"))
+        own = hit_set.where(F.col("len") == length).select("h", "w", "items")
         joined = probes.join(F.broadcast(own) if small else own, "h")
-        found = F.when((F.col("_pos") > 0) & F.col("w").isNotNull(), F.struct((F.col("_pos") - 1).alias("start"), F.lit(length).alias("len"), "w", "items"))
-        rows = joined.where((F.col("_pos") == 0) | F.col("w").isNotNull()).select("_id", "_h", F.col("_n").alias("n_words"), found.alias("found"))
+        rows = joined.select("number", F.struct(F.col("_pos").alias("start"), F.lit(length).alias("len"), "w", "items").alias("found"))
         out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("_id", "_h").agg(F.max("n_words").cast("long").alias("n_words"), F.collect_list("found").alias("found"))
+    return out.groupBy("number").agg(F.collect_list("found").alias("found"))
 
 
 def covered(spans: Column) -> Column:
@@ -76,27 +69,36 @@ def covered(spans: Column) -> Column:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs with n_words, n_hit, items and spans added (columns of those names are replaced).
+NO_CANDIDATES = "array<struct<start:int,len:int,w:array<string>,items:array<string>>>"
 
-    Null and empty texts have no words and no hits. Rows that share an id, or are repeated, are judged one by one.
-    An empty benchmark hits nothing.
-    """
-    names = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
-    base = docs.select(*names).withColumn("_h", F.xxhash64(text_col))
-    candidates = find_candidates(docs, benchmark, window, id_col, text_col)
-    joined = base.join(candidates, base[id_col].eqNullSafe(candidates["_id"]) & (base["_h"] == candidates["_h"])).select(*(base[c] for c in names), candidates["n_words"], candidates["found"])
-    # Verified word by word; only texts with candidates are split again.
-    joined = joined.withColumn("_words", F.when(F.size("found") > 0, words_of(F.col(text_col))))
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, text, n_words, n_hit, items, spans) of every row of docs."""
+    rows = materialize(packed(docs, id_col, text_col).select("row", F.monotonically_increasing_id().alias("number")), "rows").withColumn("text", F.col("row")[text_col])
+    found = find_candidates(rows.select("number", "text"), benchmark, window)
+    joined = rows.select("row", "text", "number").join(found, "number", "left").withColumn("found", F.coalesce("found", F.array().cast(NO_CANDIDATES)))
+    # Verified word by word.
+    joined = joined.withColumn("_words", words_of(F.col("text")))
     joined = joined.withColumn("_true", F.filter("found", lambda c: F.slice("_words", c["start"] + 1, c["len"]) == c["w"]))
     return joined.select(
-        *names,
-        "n_words",
+        "row",
+        "text",
+        F.size("_words").cast("long").alias("n_words"),
         F.array_sort(F.array_distinct(F.transform("_true", lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["len"]).alias("end"))))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("_true", lambda c: c["items"])))).alias("items"),
     ).withColumn("n_hit", covered(F.col("spans")).cast("long"))
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of docs with n_words, n_hit, items and spans added (columns of those names are replaced).
+
+    Null and empty texts have no words and no hits. Rows that share an id, or are repeated, are judged one by one.
+    An empty benchmark hits nothing, and no rows give none.
+    """
+    names = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
+    return _judged(docs, benchmark, window, id_col, text_col).select(*(F.col("row")[c].alias(c) for c in names), "n_words", "n_hit", "items", "spans")
+
+
 def merged(spans: Column) -> Column:
     """Overlapping and touching spans, sorted by start, as one."""
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -109,7 +111,10 @@ def merged(spans: Column) -> Column:
 
 
 def remove_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs (with spans) whose texts lack the words of the spans and what follows each of them up to the next word."""
+    """docs (with spans) whose texts lack the words of the spans and what follows each of them up to the next word.
+
+    Null and empty texts, and those without spans, stay as they are. Columns _spans, _runs, _first and _kept are not kept.
+    """
     text = F.col(text_col)
     # Columns of their own, so that no step is worked out again for each run of a text.
     docs = docs.withColumn("_spans", merged(F.col("spans")))
@@ -124,8 +129,8 @@ def remove_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, drop_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without benchmark passages: spans are cut; a document with more than drop_share of its words hit goes.
 
-    Columns stay those of docs; documents without a hit come out as they went in.
+    Columns, whatever their names, stay those of docs with their values; documents without a hit, null and empty texts
+    come out as they went in, repeated rows each on its own. An empty benchmark changes nothing.
     """
-    names = docs.columns
-    judged = decontaminate(docs, benchmark, window, id_col, text_col).where(F.col("n_hit") <= F.col("n_words") * drop_share)
-    return remove_spans(judged, text_col).select(*names)
+    judged = _judged(docs, benchmark, window, id_col, text_col).where(F.col("n_hit") <= F.col("n_words") * drop_share)
+    return unpacked(remove_spans(judged), docs.columns, **{text_col: F.col("text")})
