@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import with_window_hashes
+from corvane.llm.common import packed, unpacked, with_window_hashes
 
 #: White space that parts words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,17 +19,29 @@ NO_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOL = "[#*$%&|<>]"
 #: Fixed phrases of page furniture and legal footers; a short line that holds one is boilerplate.
 BOILERPLATE = (
+    # English
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies",
     "copyright ©", "subscribe to our newsletter", "sign up for", "click here", "read more", "share this",
     "javascript is disabled", "enable javascript", "lorem ipsum", "powered by", "back to top", "skip to content",
+    # French
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "cliquez ici", "en savoir plus", "lire la suite", "abonnez-vous", "utilise des cookies", "retour en haut",
+    # German
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "impressum", "hier klicken", "mehr erfahren", "weiterlesen", "newsletter abonnieren", "verwendet cookies", "nach oben",
+    # Spanish
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "aviso legal", "haga clic aquí", "leer más", "seguir leyendo", "suscríbete a", "utiliza cookies", "volver arriba",
 )
 
 
+#: A word that ends as sentences do, perhaps before closing quotes or brackets.
+SENTENCE_END = r"[.!?…:;。！？][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)"
+
+
 @dataclass(frozen=True)
 class LineRules:
     max_symbol_share: float = 0.12  # symbols in the line's characters
     max_nav_bars: int = 3  # "|" or ">" separators standing alone: a menu or table row
     max_shout_share: float = 0.5  # words that end in two exclamation marks
+    unended_words: int = 4  # a line of so many words or more in which none ends a sentence is no prose
     boilerplate_words: int = 25  # a boilerplate phrase condemns lines of up to so many words
     max_lost_share: float = 0.5  # of the characters in words; above, the document goes
 
@@ -93,6 +105,7 @@ def line_verdicts(facts: Column, rules: LineRules) -> Column:
         return ~(
             (symbol_count(line) > x["chars"] * rules.max_symbol_share)
             | (bars > rules.max_nav_bars)
+            | ((n_words >= rules.unended_words) & ~line.rlike(SENTENCE_END))
             | (shouts > F.greatest(F.lit(2), n_words * rules.max_shout_share))
             | phrase
         )
@@ -115,13 +128,18 @@ def line_first(docs: DataFrame, rules: LineRules = LineRules(), text_col: str =
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text") -> DataFrame:
-    """Documents that keep enough text, with the failing lines removed; columns stay those of docs."""
-    kept = line_first(docs, rules, text_col).where(F.col("lost_share") <= rules.max_lost_share)
-    return kept.withColumn(text_col, F.when(F.col("lines_removed") > 0, F.col("clean_text")).otherwise(F.col(text_col))).select(*docs.columns)
+    """Documents that keep enough text, with the failing lines removed.
+
+    Columns, whatever their names, stay those of docs with their values. Null and empty texts, and texts no line of which
+    fails, come out as they went in, repeated rows each on its own; no rows give none.
+    """
+    kept = line_first(packed(docs, text_col, text_col), rules).where(F.col("lost_share") <= rules.max_lost_share)
+    return unpacked(kept, docs.columns, **{text_col: F.when(F.col("lines_removed") > 0, F.col("clean_text")).otherwise(F.col("text"))})
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8) -> DataFrame:
-    """Per row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed beside the columns of docs."""
+    """Per row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed beside the columns of docs (of
+    those names they are replaced). A null text has no words and no lines; repeated rows count each on its own; no rows give none."""
     text = _text(F.col(text_col))
     out = with_repeat_words(docs.withColumn("_words", words_of(text)), "_words", window, "n_repeat_words")
     worded = F.filter(F.split(text, "\n", -1), has_word)

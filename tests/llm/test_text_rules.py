@@ -90,3 +90,33 @@ def test_lines_go_and_documents_that_lose_too_much(spark):
     out = {r["doc_id"]: r["text"] for r in line_rules.clean(docs).collect()}
     assert out == {1: f"{prose}\n{prose}", 3: prose, 4: None, 5: ""}
     assert hashlib.sha256(out[3].encode()).hexdigest()
+
+
+def test_clashing_names_come_out_as_they_went_in(spark):
+    prose = "This is a plain sentence of quite ordinary words, and nothing is wrong with it."
+    names = ["items", "spans", "n_words", "n_hit", "found", "_words", "_spans", "row", "id", "number", "h", "lines_removed", "clean_text", "lost_share", "_facts", "_kept", "a.b"]
+    rows = [(i, prose if i else None, *(f"{c}{i}" for c in names)) for i in range(4)]
+    frame = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    bench = spark.createDataFrame([("b", "one two three four five six seven eight nine ten eleven")], "item_id string, text string")
+    for out in (decontaminate.clean(frame, bench), line_rules.clean(frame)):
+        assert out.columns == frame.columns
+        assert sorted(tuple(r) for r in out.collect()) == rows
+
+
+def test_line_rules_on_empty_tables_and_very_long_texts(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert line_rules.clean(empty).count() == 0 and line_rules.base_counts(empty).count() == 0
+    long = "A sentence of some words that is repeated. " * 5000
+    out = line_rules.base_counts(spark.createDataFrame([(1, long), (1, long), (2, "x" * 2_000_000)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_repeat_words"]) for r in out] == [(40_000, 40_000), (40_000, 40_000), (1, 0)]
+    assert line_rules.clean(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()["text"] == long
+
+
+def test_lines_without_a_sentence_go(spark):
+    docs = spark.createDataFrame([(1, "Ein ganzer Satz steht hier.\nStart Kontakt Karte Suche\nUnd noch ein Satz steht da!\nAlle Rechte vorbehalten."), (2, "Titel\nWas soll das sein?")], "doc_id long, text string")
+    assert [r["text"] for r in line_rules.clean(docs).orderBy("doc_id").collect()] == ["Ein ganzer Satz steht hier.\nUnd noch ein Satz steht da!", "Titel\nWas soll das sein?"]
+
+
+def test_decontamination_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    test_decontamination_matches_brute_force(spark)
