@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.common import hot_bound, join_by_key, materialize
+
 #: Header fields that a not-modified answer may renew.
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that only track visitors.
@@ -50,25 +52,32 @@ def resolve(records: DataFrame) -> DataFrame:
     """
     base = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url_key"), F.col("date").cast("long").alias("at"), "status", plain_headers(F.col("headers")).alias("headers"), "body")
     full = base.where((F.col("kind") == "response") & (F.col("status") == 200) & F.col("body").isNotNull() & F.col("url_key").isNotNull() & F.col("at").isNotNull()).dropDuplicates(["record_id"])
-    revisits = base.where("kind = 'revisit'").select("record_id", "url_key", "at", F.col("headers").alias("own")).withColumn("row", F.monotonically_increasing_id())
+    # Written once, so that a revisit's number is the same wherever it is asked for.
+    revisits = materialize(base.where("kind = 'revisit'").select("record_id", "url_key", "at", F.col("headers").alias("own")).withColumn("row", F.monotonically_increasing_id()), "revisits")
     bounds = base.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
     low, span = bounds["low"] or 0, max(1, (bounds["high"] or 0) - (bounds["low"] or 0) + 1)
     part = F.least(F.lit(SLICES - 1), F.floor((F.col("at") - low) / F.lit(span) * SLICES)).cast("int")
-    seen_type = f"struct<at:bigint,record_id:{dict(full.dtypes)['record_id']}>"
-    # Only keys go through the as-of join, and a URL's captures are dealt into slices of time, so a hot URL is no single group.
-    events = full.select("url_key", "at", F.struct("at", "record_id").alias("seen"), F.lit(None).cast("long").alias("row")).unionByName(
-        revisits.where("url_key is not null and at is not null").select("url_key", "at", F.lit(None).cast(seen_type).alias("seen"), "row")
-    ).withColumn("part", part)
+    # Only moments go through the as-of join, each once, and a URL's moments are dealt into slices of time: a hot URL is no single group.
+    moments = full.groupBy("url_key", "at").agg(F.max(F.struct("at", "record_id")).alias("seen")).withColumn("n", F.lit(0).cast("long"))
+    asked_at = revisits.where("url_key is not null and at is not null").groupBy("url_key", "at").agg(F.count("*").alias("n"))
+    events = moments.unionByName(asked_at, allowMissingColumns=True).withColumn("part", part)
     in_slice = Window.partitionBy("url_key", "part").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    nearest = events.withColumn("before", F.max("seen").over(in_slice)).where("row is not null").select("url_key", "part", "row", "before")
+    nearest = events.withColumn("before", F.max("seen").over(in_slice)).where("n > 0").select("url_key", "part", "at", "n", "before")
     ends = events.where("seen is not null").groupBy("url_key", "part").agg(F.max("seen").alias("last"))
     asked = nearest.select("url_key", "part").distinct()
     slices = asked.join(ends, ["url_key", "part"], "full")
     earlier = Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most SLICES rows
     carried = slices.withColumn("carried", F.max("last").over(earlier)).select("url_key", "part", "carried")
-    found = nearest.join(carried, ["url_key", "part"], "left").select("row", F.coalesce("before", "carried")["record_id"].alias("target_id"))
+    answers = nearest.join(carried, ["url_key", "part"], "left").select("url_key", "at", "n", F.coalesce("before", "carried")["record_id"].alias("target_id"))
+    most = hot_bound(revisits.count())
+    found = materialize(join_by_key(revisits, answers, ["url_key", "at"], F.col("row"), least=most), "found")
+    # A response asked for by very many revisits is there several times, and each revisit asks one of them.
+    copies = found.where("target_id is not null").groupBy("target_id").agg(F.floor(F.count("*") / most).alias("copies"))
+    copies = materialize(copies.where("copies > 0"), "hot")  # at most a million
+    asking = found.join(F.broadcast(copies), "target_id", "left").withColumn("copy", F.pmod(F.xxhash64("row"), F.coalesce("copies", F.lit(0)) + 1)).drop("copies")
     targets = full.select(F.col("record_id").alias("target_id"), F.col("headers").alias("theirs"), F.col("status").alias("target_status"), F.col("body").alias("target_body"))
-    out = revisits.join(found, "row", "left").join(targets, "target_id", "left")
+    targets = targets.join(F.broadcast(copies), "target_id", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(0).cast("long"))))).drop("copies")
+    out = asking.join(targets, ["target_id", "copy"], "left")
     tag, their_tag = F.col("own")["etag"], F.col("theirs")["etag"]
     date, their_date = F.col("own")["last-modified"], F.col("theirs")["last-modified"]
     outcome = (
