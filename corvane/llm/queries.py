@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import brown, decontaminate, line_rules, packing, quality, reshard, revisits, simhash, sstable, suffix_dedup
-from corvane.llm.common import crc32_mod, table
+from corvane.llm.common import crc32_mod, materialize, shared_dir, table
 
 
 def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -44,7 +44,8 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op6_sql() -> str:
     r = line_rules.LineRules()
-    phrase = "|".join(p.replace(".", r"\.") for p in line_rules.BOILERPLATE)
+    phrase = "|".join(p.replace(".", r"\.").replace("'", "''") for p in line_rules.BOILERPLATE)
+    end = line_rules.SENTENCE_END.replace("'", "''")
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, string_split(t, chr(10)) AS ls FROM d),
@@ -57,6 +58,7 @@ judged AS (SELECT doc_id, l, length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g
   len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x = '|' OR x = '>' OR x = '»')) AS bars,
   len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: ends_with(x, '!!'))) AS shouts, lower(l) AS low FROM lines),
 kept AS (SELECT doc_id, sum(c) AS whole, sum(CASE WHEN c > 0 AND (sym > greatest(c, 1) * {r.max_symbol_share} OR bars > {r.max_nav_bars} OR shouts > greatest(2, nw * {r.max_shout_share})
+  OR (nw >= {r.unended_words} AND NOT regexp_matches(l, '{end}'))
   OR (nw <= {r.boilerplate_words} AND regexp_matches(low, '{phrase}'))) THEN c ELSE 0 END) AS lost,
   count(*) FILTER (c > 0) - count(DISTINCT l) FILTER (c > 0) AS dups FROM judged GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
@@ -92,8 +94,12 @@ OLD_SHARDS = 12
 
 
 def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reshard.reshard(table(spark, sf_dir, "documents"), F.xxhash64("source"), OLD_SHARDS, 16)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    layout = reshard.reshard(table(spark, sf_dir, "documents"), F.xxhash64("source"), OLD_SHARDS, 16)
+    folder = f"{shared_dir(spark)}-shards"
+    out = reshard.files(layout, folder, reshard.rewrite(layout, folder))
+    data = F.coalesce(F.encode("row.text", "UTF-8"), F.lit(b""))
+    size = (F.length(data) + 1).cast("long").alias("size")
+    return out.select("row.doc_id", size, F.crc32(data).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,9 +151,10 @@ SELECT page_id * 2 + 1 AS record_id, coalesce(t_page * 2, -1) AS target_id, url_
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    out = quality.score(docs, model)
-    return out.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    common = quality.commonness(docs)
+    rows = materialize(quality.featured(docs, common), "features")
+    out = quality.scored(rows, quality.train_on(rows, table(spark, sf_dir, "labels"), common))
+    return out.select(F.col("id").alias("doc_id"), (crc32_mod("id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {

@@ -11,6 +11,7 @@ size whose totals are added up in a small table.
 from __future__ import annotations
 
 from collections import deque
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,21 +68,37 @@ def transfers(old: list[int], capacity: list[int]) -> list[list[int]]:
     return [[room[n + j, i] for j in range(m)] for i in range(n)]
 
 
-def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 16, rows_per_block: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: doc_id, size, text_crc32, old_shard, shard, slot (gapless from 0), moved.
+@dataclass(frozen=True)
+class Layout:
+    """rows: number, old_shard, size, text_crc32 and row (the user's columns); plan: number, old_shard, shard, slot, size, text_crc32 of each."""
+
+    rows: DataFrame
+    plan: DataFrame
+
+    @property
+    def changed(self) -> list[int]:
+        """New shards that gain or lose a row."""
+        moved = self.plan.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
+        return sorted(r["shard"] for r in moved.collect())  # at most one row per shard
+
+
+def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 16, rows_per_block: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> Layout:
+    """Where each row of docs goes, and its place there (slot, gapless from 0).
 
     Sizes are UTF-8 bytes plus one; a null text has size one and the CRC of nothing. New shards get near equal bytes:
-    a shard misses its capacity by parts of the rows at its cuts only. Repeated rows are rows of their own; which of
-    two equal rows comes first makes no difference. old_shard null counts as shard 0.
+    a shard misses its capacity by parts of the rows at its cuts only. Repeated rows are rows of their own, told apart by
+    a number, and so are rows without an id; old_shard null counts as shard 0. An empty table makes an empty layout.
     """
     data = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.monotonically_increasing_id().alias("number"),
         (F.length(data) + 1).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.coalesce(F.pmod(old_shard, F.lit(old_shards)), F.lit(0)).cast("int").alias("old_shard"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
     )
-    rows = materialize(rows, "sizes")
+    whole = materialize(rows, "rows")
+    rows = whole.drop("row")
     found = {r["old_shard"]: (r["bytes"], r["n"]) for r in rows.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}  # one row per old shard
     old = [found.get(i, (0, 0))[0] for i in range(old_shards)]
     flow = transfers(old, even_capacities(sum(old), shards))
@@ -92,39 +109,52 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 1
             if row[j]:
                 cuts.append((i, at, at + row[j], j))
                 at += row[j]
-    spark = docs.sparkSession
     blocks = max(1, -(-sum(n for _, n in found.values()) // rows_per_block))
     # Large rows first: they stay where they are, and the cuts fall between small ones.
     small = (F.lit(63) - F.floor(F.log2("size"))).cast("long")
-    rows = rows.withColumn("block", small * blocks + F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)))
+    rows = rows.withColumn("block", small * blocks + F.pmod(F.xxhash64("number"), F.lit(blocks)))
     sums = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"))
     before = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("old_shard", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("old_shard", "block").orderBy(F.desc("size"), "doc_id", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("old_shard", "block").orderBy(F.desc("size"), "number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("size").over(inside)).join(sums, ["old_shard", "block"])
     placed = placed.withColumn("middle", F.col("base") + F.col("upto") - F.col("size") / 2)
     shard = F.lit(0)
     for i, start, end, j in cuts:  # at most old shards plus new shards
         shard = F.when((F.col("old_shard") == i) & (F.col("middle") > start) & (F.col("middle") <= end), F.lit(j)).otherwise(shard)
-    here = Window.partitionBy("old_shard", "block", "shard").orderBy(F.desc("size"), "doc_id", "text_crc32")
+    here = Window.partitionBy("old_shard", "block", "shard").orderBy(F.desc("size"), "number")
     placed = placed.withColumn("shard", shard.cast("int")).withColumn("n", F.row_number().over(here) - 1)
-    placed = materialize(placed.select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", "n"), "placed")
+    placed = materialize(placed.select("number", "size", "text_crc32", "old_shard", "block", "shard", "n"), "placed")
     counts = placed.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "old_shard", "block", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("base"))
     out = placed.join(counts, ["shard", "old_shard", "block"])
-    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("n")).cast("long").alias("slot"), (F.col("shard") != F.col("old_shard")).alias("moved"))
+    plan = out.select("number", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("n")).cast("long").alias("slot"))
+    return Layout(whole, materialize(plan, "plan"))
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Write the whole rows of each new shard that gains or loses a row, one folder a shard; returns those shards.
+def rewrite(layout: Layout, folder: str) -> list[int]:
+    """Write the whole rows of each new shard that gains or loses a row, one folder (shard=N) a shard; returns those shards.
 
-    Rows are found by id and CRC of the text, so rows that share both go together to the first of their places.
+    Every row goes where the plan has it, also those without an id and repeated ones. No rows write nothing.
     """
-    changed = plan.where("moved").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
-    to = plan.groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("shard"))
-    to = to.join(changed, "shard", "left_semi")
-    keyed = docs.withColumn("_crc", F.crc32(F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))))
-    out = keyed.join(to, keyed[id_col].eqNullSafe(to["doc_id"]) & (keyed["_crc"] == to["text_crc32"])).select(*(keyed[c] for c in docs.columns if c != "shard"), to["shard"])
+    changed = layout.changed
+    if not changed:
+        return changed
+    to = layout.plan.where(F.col("shard").isin(*changed)).select("number", "shard", "slot", "old_shard")
+    out = layout.rows.select("number", "row").join(to, "number")
+    # Several files a shard, so that a large one is no single task.
+    spread = max(1, int(layout.rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // max(1, len(changed)))
+    out = out.withColumn("_part", F.pmod("slot", F.lit(spread))).repartition("shard", "_part").drop("_part")
     out.write.partitionBy("shard").parquet(folder)
-    return sorted(r["shard"] for r in changed.collect())  # at most one row per shard
+    return changed
+
+
+def files(layout: Layout, folder: str, changed: list[int]) -> DataFrame:
+    """row, shard, slot and old_shard of every row, read from the rewritten folder and, for shards that stay, from where they are."""
+    kept = layout.plan.where(~F.col("shard").isin(*changed)) if changed else layout.plan
+    stays = layout.rows.select("number", "row").join(kept.select("number", "shard", "slot", "old_shard"), "number")
+    if not changed:
+        return stays.select("row", "shard", "slot", "old_shard")
+    schema = layout.rows.select("number", "row").join(layout.plan.select("number", "slot", "old_shard", "shard"), "number").schema
+    return layout.rows.sparkSession.read.schema(schema).parquet(folder).select("row", "shard", "slot", "old_shard").unionByName(stays.select("row", "shard", "slot", "old_shard"))

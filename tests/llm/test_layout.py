@@ -70,11 +70,15 @@ def test_table_round_trip(spark, tmp_path):
     manifest = sstable.write_shards(frame, str(tmp_path / "t"), tokenizer(), shard_bytes=4000)
     rows = sorted(sstable.read_shards(manifest).collect(), key=lambda r: r["start"])
     at = 0
-    for (i, t), r in zip(sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or "")), rows, strict=True):
-        ids = encode(t, 2)
-        assert (r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) == (i, at, len(ids), ids.tobytes())
-        at += len(ids)
+    for r in rows:
+        assert r["start"] == at and len(r["ids"]) == 4 * r["n_tokens"]
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in rows] == sorted((i for i, _ in docs), key=lambda i: (i is not None, i or 0))
+    assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in rows) == sorted((str(i), encode(t, 2).tobytes()) for i, t in docs)
     assert manifest.count() > 1
+    asked = spark.createDataFrame([(i,) for i in (-10, 3, 3, 99, None, 12345, 104)], "doc_id long")
+    found = sorted((str(r["doc_id"]), bytes(r["ids"])) for r in sstable.lookup(manifest, asked).collect())
+    assert found == sorted((str(i), encode(t, 2).tobytes()) for i, t in docs if i in (-10, 3, 99, None, 104))
     assert sstable.read_shards(sstable.write_shards(frame.limit(0), str(tmp_path / "u"), tokenizer())).count() == 0
 
 
@@ -112,7 +116,8 @@ def test_reshard(spark):
     r = random.Random(5)
     docs = [(i, "é" * r.randrange(200), 1) for i in range(2000)] + [(5, None, 0), (None, "x", 2), (5, "", 0), (5, "", 0)]
     frame = spark.createDataFrame([(i, t, s, 7) for i, t, s in docs], "doc_id long, text string, source int, slot int")
-    out = reshard.reshard(frame, F.col("source"), 3, 16, rows_per_block=100).collect()
+    layout = reshard.reshard(frame, F.col("source"), 3, 16, rows_per_block=100)
+    out = layout.plan.join(layout.rows.select("number", F.col("row.doc_id").alias("doc_id")), "number").collect()
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in out), key=str) == sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in docs), key=str)
     loads, slots = {}, {}
     for x in out:
@@ -120,15 +125,24 @@ def test_reshard(spark):
         slots.setdefault(x["shard"], []).append(x["slot"])
     assert set(loads) == set(range(16)) and max(loads.values()) - min(loads.values()) <= 800
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert reshard.reshard(frame.limit(0), F.col("source"), 3).count() == 0
+    assert reshard.reshard(frame.limit(0), F.col("source"), 3).plan.count() == 0
 
 
 def test_rewrite(spark, tmp_path):
-    frame = spark.createDataFrame([(i, "t" * (i % 9), 0) for i in range(100)], "doc_id long, text string, source int")
-    plan = reshard.reshard(frame, F.col("source"), 4, 4)
-    assert reshard.rewrite(frame, plan, str(tmp_path / "o")) == [0, 1, 2, 3]
-    back = spark.read.parquet(str(tmp_path / "o"))
-    assert back.count() == 100 and back.join(plan, ["doc_id", "shard"]).count() == 100
+    rows = [(i, "t" * (i % 9), 0, 7) for i in range(100)] + [(5, "same", 1, 0)] * 8 + [(5, "same", 2, 0)] * 8 + [(None, None, 1, 0)] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source int, shard int")
+    layout = reshard.reshard(frame, F.col("source"), 4, 4)
+    folder = str(tmp_path / "o")
+    changed = reshard.rewrite(layout, folder)
+    assert changed == [0, 1, 2, 3]
+    plan = sorted(((r["shard"], r["slot"], r["size"], r["old_shard"]) for r in layout.plan.collect()))
+    got = reshard.files(layout, folder, changed).collect()
+    assert sorted((r["shard"], r["slot"], len(r["row"]["text"] or "") + 1, r["old_shard"]) for r in got) == plan
+    assert sorted((tuple(r["row"]) for r in got), key=str) == sorted(rows, key=str)
+    still = reshard.reshard(frame.where("source = 1"), F.col("source") * 0, 1, 1)
+    assert reshard.rewrite(still, str(tmp_path / "p")) == [] and reshard.files(still, "", []).count() == 11
+    partly = reshard.reshard(spark.createDataFrame([(i, "x" * 9, i % 3) for i in range(90)], "doc_id long, text string, source int"), F.col("source"), 3, 3)
+    assert reshard.rewrite(partly, str(tmp_path / "q")) == [] and reshard.files(partly, "", []).count() == 90
 
 
 def test_canonical_urls(spark):

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import brown, quality
 
@@ -41,7 +42,14 @@ def test_classifier_on_held_out_rows(spark):
     held = {i: q for i, q in labels if zlib.crc32(str(i).encode()) % 4 == 2}
     got = {r["doc_id"]: r["predicted"] for r in out}
     assert sum(got[i] == q for i, q in held.items()) / len(held) > 0.97
-    assert quality.keep_good(frame, marks).columns == frame.columns
+    kept = quality.keep_good(frame.withColumn("predicted", F.lit("p")).withColumn("row", F.lit(3)), marks)
+    assert kept.columns == [*frame.columns, "predicted", "row"]
+    given = {(r["doc_id"], r["text"], r["lang"], r["score"]) for r in frame.collect()}
+    assert {(r["doc_id"], r["text"], r["lang"], r["score"]) for r in kept.collect()} <= given and kept.where("predicted <> 'p' or row <> 3").count() == 0
+    letters = random.Random(3)
+    odd = spark.createDataFrame([(1, " ".join("".join(letters.choice("qxzjkvwyph") for _ in range(6)) for _ in range(200)) + "."), (2, docs[1][1]), (3, docs[1][1] * 300)], "doc_id long, text string")
+    low, high, long = (r["score"] for r in quality.score(odd, quality.train(frame, marks)).orderBy("doc_id").collect())
+    assert low < 0.3 < 0.7 < high and 0 <= long <= 1
     assert quality.keep_good(frame.limit(0), marks).count() == 0
     assert quality.keep_good(frame, marks.limit(0)).count() == len(docs) + 3  # nothing to learn from: all stay
 
