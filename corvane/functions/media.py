@@ -37,5 +37,21 @@ def splice_is_valid(pairs: Column, duration: Column) -> Column:
     return F.forall(pairs, lambda p: p["start"].isNotNull() & p["end"].isNotNull() & ~F.isnan(p["start"]) & ~F.isnan(p["end"]) & (p["start"] >= 0) & (p["end"] > p["start"]) & (p["end"] <= duration))
 
 
+def numbered(pairs: Column) -> Column:
+    """Pairs with their order from 1, as they stand."""
+    return F.transform(pairs, lambda p, i: p.withField("order", i + 1))
+
+
+def without_pair(pairs: Column, pair_id: Column) -> Column:
+    return numbered(F.filter(pairs, lambda p: p["id"] != pair_id))
+
+
+def swapped(pairs: Column, pair_id: Column, order: Column) -> Column:
+    """Pairs after one takes a place and the one that had it takes its own."""
+    old = F.filter(pairs, lambda p: p["id"] == pair_id)[0]["order"]
+    moved = F.transform(pairs, lambda p: p.withField("order", F.when(p["id"] == pair_id, order).when(p["order"] == order, old).otherwise(p["order"])))
+    return F.array_sort(moved, lambda a, b: a["order"] - b["order"])
+
+
 def splice_duration(pairs: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["end"] - p["start"])

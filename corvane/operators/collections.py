@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.text import dirname
+
 
 def first_occurrence(members: DataFrame) -> DataFrame:
     """Of a file's several places in a collection, the first; rows without a file go."""
@@ -30,6 +32,18 @@ def prepended(members: DataFrame, added: DataFrame) -> DataFrame:
     return both.withColumn("idx", (F.row_number().over(w) - 1).cast("int")).drop("_old")
 
 
+def in_order(members: DataFrame, descending: bool = False) -> DataFrame:
+    """Members by their place in the collection."""
+    return members.orderBy("collection_id", F.col("idx").desc() if descending else F.col("idx").asc(), "file_id")
+
+
+def by_folder(paths: DataFrame) -> DataFrame:
+    """(folder, first_pos, pos, path) from (pos, path): folders by first appearance, their paths in order."""
+    rows = paths.withColumn("folder", dirname(F.col("path")))
+    first = rows.groupBy("folder").agg(F.min("pos").alias("first_pos"))
+    return rows.join(first, "folder").select("folder", "first_pos", "pos", "path").orderBy("first_pos", "pos")
+
+
 def preview(members: DataFrame, most: int = 8) -> DataFrame:
     """The first files of each collection, as text; an ordered fold would hold whole collections, so only the first rows are gathered."""
     w = Window.partitionBy("collection_id").orderBy("idx")

@@ -29,6 +29,42 @@ def closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     raise ValueError(f"the hierarchy is deeper than {MOST_ROUNDS}")
 
 
+def below(edges: DataFrame, ids: list) -> DataFrame:
+    """(root, tag): the asked tags and everything under each, once. Only what hangs under them is walked; cycles end."""
+    links = edges.select("child", "parent")
+    spark = edges.sparkSession
+    fresh = seen = spark.createDataFrame([(i, i) for i in dict.fromkeys(ids)], "root string, tag string")
+    for _ in range(MOST_ROUNDS):
+        step = fresh.join(links, fresh["tag"] == links["parent"]).select("root", F.col("child").alias("tag")).distinct()
+        fresh = cut(step.join(seen, ["root", "tag"], "left_anti"))
+        if fresh.isEmpty():
+            return seen
+        seen = seen.unionByName(fresh)
+    raise ValueError(f"the hierarchy is deeper than {MOST_ROUNDS}")
+
+
+def with_tags_chosen(rows: DataFrame, members: DataFrame, edges: DataFrame, choice, owner: str, tag: str = "tag_id") -> DataFrame:
+    """rows whose tags (members: owner, tag) pass a TagChoice, by semi and anti joins on the pairs that were asked for."""
+
+    def holding_all(pairs: DataFrame, what: str, n: int) -> DataFrame:
+        return pairs.groupBy(owner).agg(F.count_distinct(what).alias("n")).where(F.col("n") == n).select(owner)
+
+    held = members.select(owner, F.col(tag).alias("_tag"))
+    if choice.none_of:
+        rows = rows.join(held.where(F.col("_tag").isin(*choice.none_of)).select(owner), owner, "left_anti")
+    if choice.any_of:
+        rows = rows.join(held.where(F.col("_tag").isin(*choice.any_of)).select(owner), owner, "left_semi")
+    if choice.all_of:
+        rows = rows.join(holding_all(held.where(F.col("_tag").isin(*choice.all_of)), "_tag", len(set(choice.all_of))), owner, "left_semi")
+    if choice.none_of_desc:
+        under = below(edges, list(choice.none_of_desc))
+        rows = rows.join(held.join(under.select(F.col("tag").alias("_tag")).distinct(), "_tag").select(owner), owner, "left_anti")
+    if choice.all_of_desc:
+        under = below(edges, list(choice.all_of_desc)).withColumnRenamed("tag", "_tag")
+        rows = rows.join(holding_all(held.join(under, "_tag"), "root", len(set(choice.all_of_desc))), owner, "left_semi")
+    return rows
+
+
 def propagate(members: DataFrame, closed: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:
     """(owner, tag): each owner's tags and all their ancestors, once each."""
     return members.join(closed, members[tag] == closed["tag"]).select(owner, F.col("ancestor").alias(tag)).distinct()
@@ -84,6 +120,14 @@ def merged_members(members: DataFrame, merges: DataFrame, owner: str, tag: str =
     return members.join(m, members[tag] == m["gone"], "left").select(owner, F.coalesce("kept", tag).alias(tag)).distinct()
 
 
+def ancestor_labels(closed: DataFrame, tags: DataFrame, counts: DataFrame, tag_ids: list) -> DataFrame:
+    """(tag, ancestor, label, n_files, place): ancestors of some tags without themselves, those with most files first; counts: (tag_id, n_files)."""
+    rows = closed.where(F.col("tag").isin(*tag_ids) & (F.col("depth") > 0)).join(tags.select(F.col("tag_id").alias("ancestor"), "label"), "ancestor")
+    rows = rows.join(counts.select(F.col("tag_id").alias("ancestor"), "n_files"), "ancestor", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("n_files"), "ancestor"))
+    return rows.select("tag", "ancestor", "label", "n_files", place.cast("long").alias("place"))
+
+
 def merge_candidates(edges: DataFrame, closed: DataFrame, tag_ids: list) -> DataFrame:
     """Relatives (relative, kind) of tags to be merged, without those tags and without ancestors of other candidates of the same kind."""
     found = relations(edges, tag_ids).where(~F.col("relative").isin(*tag_ids)).select("relative", "kind").distinct()
@@ -120,6 +164,23 @@ def inherit_category(tags: DataFrame, closed: DataFrame) -> DataFrame:
     return out.select("tag_id", F.col("got.color").alias("color"), F.col("got.icon").alias("icon"), F.col("got.rank").alias("sort_rank"))
 
 
+def tree(labels: DataFrame) -> DataFrame:
+    """(label, path, depth) from labels with parents (label, parent_label), case aside: roots have none, and each label
+    stands under every path of its parents; the least spelling of a label counts."""
+    rows = labels.select(F.lower("label").alias("key"), "label", F.lower("parent_label").alias("up"))
+    spelled = rows.groupBy("key").agg(F.min("label").alias("label"), F.max("up").alias("any_up"))
+    links = rows.where("up is not null and up <> key").select("key", "up").distinct().join(spelled.select("key", "label"), "key")
+    level = cut(spelled.where("any_up is null").select("key", "label", F.col("label").alias("path"), F.lit(0).alias("depth")))
+    seen = level
+    for depth in range(1, MOST_ROUNDS + 1):
+        above = level.select(F.col("key").alias("up"), F.col("path").alias("_path"))
+        level = cut(links.join(above, "up").select("key", "label", F.concat("_path", F.lit("/"), "label").alias("path"), F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            return seen.select("label", "path", "depth")
+        seen = seen.unionByName(level)
+    raise ValueError(f"the hierarchy is deeper than {MOST_ROUNDS}")
+
+
 def paths_to_tags(paths: DataFrame, col: str = "path") -> DataFrame:
     """(label, parent_label, depth): the hierarchy in slash-separated paths; the tag before is the parent, roots have none."""
     parts = F.filter(F.split(col, "/"), lambda p: p != "")

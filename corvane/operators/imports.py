@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.collections import first_occurrence, reindexed
 from corvane.operators.joins import known_hashes
 
 
@@ -55,6 +56,33 @@ def completed(batches: DataFrame, results: DataFrame) -> DataFrame:
     return batches.join(state, "batch_id").where("pending = 0").drop("pending")
 
 
+def completed_batches(batches: DataFrame, imports: DataFrame, batch_tags: DataFrame, file_tags: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(batches, collections, members, file_tags) after batches with nothing pending are closed.
+
+    imports: (batch_id, pos, file_id, status). A batch with a title becomes a collection of its complete and duplicate
+    files in order, each once, with an id made from the batch's; its tags go to the files that were there before.
+    """
+    pending = imports.where("status = 'PENDING'").select("batch_id").distinct().withColumn("_pending", F.lit(True))
+    settled = batches.where("not is_completed").join(pending, "batch_id", "left").where("_pending is null").select("batch_id", "collection_title")
+    own = imports.join(settled, "batch_id").where("file_id is not null and status in ('COMPLETE', 'DUPLICATE')")
+    titled = own.where("coalesce(collection_title, '') <> ''")
+    collection = F.concat(F.lit("C"), F.col("batch_id").cast("string"))
+    members = reindexed(first_occurrence(titled.select(collection.alias("collection_id"), "file_id", F.col("pos").alias("idx"))))
+    collections = titled.groupBy("batch_id", "collection_title").agg(F.count_distinct("file_id").alias("n_files")).select(collection.alias("collection_id"), F.col("collection_title").alias("title"), "n_files")
+    repeats = own.where("status = 'DUPLICATE'").select("batch_id", "file_id").join(batch_tags, "batch_id").select("file_id", "tag_id")
+    made = collections.select(F.expr("substring(collection_id, 2)").cast(dict(batches.dtypes)["batch_id"]).alias("batch_id"), "collection_id")
+    done = batches.join(settled.select("batch_id").withColumn("_done", F.lit(True)), "batch_id", "left").join(made, "batch_id", "left")
+    out = done.withColumns({"is_completed": F.col("is_completed") | F.coalesce("_done", F.lit(False)), "completed_at": F.when(F.col("_done"), now).otherwise(F.col("completed_at"))})
+    return out.select(*batches.columns, "collection_id"), collections, members, file_tags.select("file_id", "tag_id").unionByName(repeats).distinct()
+
+
+def reingested(file_tags: DataFrame, found: DataFrame, collection_id=None) -> tuple[DataFrame, DataFrame | None]:
+    """(file_tags, members) after a folder is read again: found (file_id, pos, tag_ids) adds tags and, with an id, makes a collection in that order."""
+    more = found.select("file_id", F.explode("tag_ids").alias("tag_id"))
+    members = reindexed(first_occurrence(found.select(F.lit(collection_id).alias("collection_id"), "file_id", F.col("pos").alias("idx")))) if collection_id is not None else None
+    return file_tags.select("file_id", "tag_id").unionByName(more).distinct(), members
+
+
 def next_batch(batches: DataFrame) -> DataFrame:
     """The one to run: started ones first, the latest of them, then the oldest."""
     return batches.where("not is_completed").orderBy(F.col("started_at").desc_nulls_last(), F.col("date_created").asc_nulls_first(), "batch_id").limit(1)

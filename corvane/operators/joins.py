@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.search import with_tags
 from corvane.session import broadcast_blocks, union
 
 
@@ -48,6 +49,26 @@ def collections_of(members: DataFrame, files: DataFrame) -> DataFrame:
     return members.join(files.select("file_id").distinct(), "file_id", "left_semi").select("collection_id").distinct()
 
 
+def collections_with_tags(collections: DataFrame, members: DataFrame, files: DataFrame, collection_tags: DataFrame, tags: DataFrame) -> DataFrame:
+    """Collections that hold any of the files, each with an array of its tags (tag_id, label)."""
+    hit = collections.join(collections_of(members, files), "collection_id", "left_semi")
+    return with_tags(hit, collection_tags, tags, "collection_id")
+
+
+def relinked_imports(imports: DataFrame, moves: DataFrame) -> DataFrame:
+    """Import rows (file_id, path, thumb_path ...) of moved files (file_id, new_path) with the new path and the picture beside it."""
+    named = moves.groupBy("file_id").agg(F.max("new_path").alias("_new"))
+    thumb = F.concat(F.regexp_replace("_new", r"\.[^./]*$", ""), F.lit("-thumb.jpg"))
+    out = imports.join(named, "file_id", "left")
+    return out.withColumns({"path": F.coalesce("_new", "path"), "thumb_path": F.coalesce(thumb, "thumb_path")}).select(*imports.columns)
+
+
+def by_label(rows: DataFrame, tags: DataFrame, label: str = "label") -> DataFrame:
+    """rows with tag_id, the tag of that very label (the least id), null where there is none."""
+    known = tags.groupBy(F.col("label").alias("_label")).agg(F.min("tag_id").alias("tag_id"))
+    return rows.join(known, rows[label] == known["_label"], "left").drop("_label")
+
+
 def _gap() -> Column:
     return F.sqrt(F.aggregate(F.zip_with("vector", "known_vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.predicates import missing_original
+
 
 def insert(rows: DataFrame, new: DataFrame, defaults: dict | None = None) -> DataFrame:
     for name, value in (defaults or {}).items():
@@ -19,11 +21,17 @@ def delete(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return rows.join(ids.select(id_col), id_col, "left_anti").select(*rows.columns)
 
 
-def update(rows: DataFrame, changes: DataFrame, id_col: str) -> DataFrame:
-    """Columns of changes that are not null replace those of the row with the same id."""
-    named = changes.select(id_col, *(F.col(c).alias(f"_new_{c}") for c in changes.columns if c != id_col))
+def update(rows: DataFrame, changes: DataFrame, id_col: str, nulls: tuple = ()) -> DataFrame:
+    """Columns of changes that are not null replace those of the row with the same id; those named in nulls do so even where null."""
+    named = changes.select(id_col, F.lit(True).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in changes.columns if c != id_col))
     out = rows.join(named, id_col, "left")
-    return out.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c != id_col and c in changes.columns else F.col(c) for c in rows.columns))
+
+    def value(c: str) -> Column:
+        if c == id_col or c not in changes.columns:
+            return F.col(c)
+        return (F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) if c in nulls else F.coalesce(f"_new_{c}", c)).alias(c)
+
+    return out.select(*map(value, rows.columns))
 
 
 def upsert(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -60,6 +68,17 @@ def replaced(array: Column, gone: str, kept: str, opposite: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(array, lambda x: ~((x == gone) & clash)), lambda x: F.when(x == gone, kept).otherwise(x)))
 
 
+def concat_without(parts: list[Column], unwanted: Column, start: int, most: int) -> Column:
+    """Arrays laid end to end, without some values, cut to `most` from place `start` (from 0)."""
+    return F.slice(F.filter(F.concat(*parts), lambda x: ~F.coalesce(F.array_contains(unwanted, x), F.lit(False))), start + 1, most)
+
+
+def divided(rows: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass a test and all others, null among them."""
+    passed = F.coalesce(test, F.lit(False))
+    return rows.where(passed), rows.where(~passed)
+
+
 def with_row_status(imports: Column, path: str, status: str, **fields) -> Column:
     """The import rows with that path, changed in place."""
 
@@ -79,6 +98,16 @@ def delete_files(files: DataFrame, members: DataFrame, tombstones: DataFrame, go
     return left, delete(members, gone, "file_id"), tombstones.select("hash").union(hashes).distinct()
 
 
+def delete_external(tombstones: DataFrame, found: DataFrame) -> DataFrame:
+    """Tombstones with the hashes of files (path, hash) that are deleted outside the library, once each."""
+    return upsert(tombstones.select("hash"), found.where("hash is not null").select("hash").distinct(), "hash")
+
+
+def originals_filled(rows: DataFrame, chosen: Column, pairs: dict[str, str]) -> DataFrame:
+    """Chosen rows with what is missing of the originals (column -> original) taken from the present values."""
+    return rows.withColumns({o: F.when(chosen & missing_original(c, o), F.col(c)).otherwise(F.col(o)) for c, o in pairs.items()})
+
+
 def delete_or_archive(files: DataFrame, chosen: DataFrame) -> DataFrame:
     """(file_id, action): archived ones are deleted, others archived."""
     return files.join(chosen.select("file_id"), "file_id", "left_semi").select("file_id", F.when(F.coalesce("is_archived", F.lit(False)), "delete").otherwise("archive").alias("action"))

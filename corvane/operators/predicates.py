@@ -35,6 +35,16 @@ def filled(col: Column) -> Column:
     return F.coalesce(col, F.lit("")) != ""
 
 
+def missing_info(columns: list[str]) -> Column:
+    """Any of the columns is missing or empty."""
+    return reduce(Column.__or__, (~filled(F.col(c).cast("string")) for c in columns))
+
+
+def missing_original(column: str, original: str) -> Column:
+    """There is a value but no original of it."""
+    return F.col(column).isNotNull() & ~filled(F.col(original).cast("string"))
+
+
 def truth(col: Column, wanted: bool) -> Column:
     """A missing flag counts as false."""
     return F.coalesce(col, F.lit(False)) == wanted

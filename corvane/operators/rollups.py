@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators import graph
+
 
 def tag_rollup(tags: DataFrame, file_tags: DataFrame, files: DataFrame) -> DataFrame:
     """For every tag: files that hold it or a descendant, their bytes, and the file whose picture stands for it (the oldest).
 
-    file_tags: (file_id, tag_id) with ancestors. Tags without files get 0, 0 and null.
+    file_tags: (file_id, tag_id) with ancestors, each pair once. Tags without files get 0, 0 and null.
     """
-    held = file_tags.select("file_id", "tag_id").distinct().join(files.select("file_id", "size", "date_created"), "file_id")
+    held = file_tags.select("file_id", "tag_id").join(files.select("file_id", "size", "date_created"), "file_id")
     sums = held.groupBy("tag_id").agg(F.count("*").alias("n_files"), F.sum("size").alias("total_size"), F.min(F.struct("date_created", "file_id")).alias("first"))
     out = tags.select("tag_id").join(sums, "tag_id", "left")
     return out.select("tag_id", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("total_size", F.lit(0)).alias("total_size"), F.col("first.file_id").alias("thumb_file"))
@@ -32,6 +34,14 @@ def collection_rollup(members: DataFrame, files: DataFrame, file_tags: DataFrame
     return out
 
 
+def collection_tags(members: DataFrame, file_tags: DataFrame, closed: DataFrame) -> DataFrame:
+    """(collection_id, tag_ids, tag_ids_with_ancestors): the tags of a collection's files by first appearance, and all above them, sorted."""
+    held = members.select("collection_id", "file_id", "idx").join(file_tags, "file_id").groupBy("collection_id", "tag_id").agg(F.min("idx").alias("idx"))
+    own = held.groupBy("collection_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "tag_id"))), lambda x: x["tag_id"]).alias("tag_ids"))
+    wide = graph.propagate(held.select("collection_id", "tag_id"), closed, "collection_id").groupBy("collection_id").agg(F.sort_array(F.collect_list("tag_id")).alias("tag_ids_with_ancestors"))
+    return own.join(wide, "collection_id", "left")
+
+
 def rating_after_edit(update_manual: Column, update_rating: Column, was_manual: Column, was_rating: Column, derived: Column) -> Column:
     """A rating set by hand wins, then one set by hand before, then the derived one."""
     return F.when(F.coalesce(update_manual, F.lit(False)), F.coalesce(update_rating, was_rating)).when(F.coalesce(was_manual, F.lit(False)), was_rating).otherwise(derived)
@@ -43,6 +53,12 @@ def duplicate_labels(tags: DataFrame) -> DataFrame:
     return tags.groupBy(F.lower("label").alias("key")).agg(F.count("*").alias("n_tags"), best.alias("survivor")).where("n_tags > 1")
 
 
+def duplicate_groups(tags: DataFrame) -> DataFrame:
+    """The tags whose label, case aside, several have: all their columns with key and how many there are."""
+    several = tags.groupBy(F.lower("label").alias("key")).agg(F.count("*").alias("n_tags")).where("n_tags > 1")
+    return tags.join(several, F.lower(tags["label"]) == several["key"])
+
+
 def merge_plan(tags: DataFrame) -> DataFrame:
     """(gone, kept) for all duplicate labels."""
     w = Window.partitionBy(F.lower("label"))

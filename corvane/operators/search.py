@@ -7,6 +7,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions import text
+
 #: Ids up to which a list stands in the plan; longer ones are joined.
 INLINE_IDS = 1_000
 
@@ -44,25 +46,30 @@ def neighbours(df: DataFrame, key: str, descending: bool, number: int, size: int
     return ordered(df, key, descending, id_col).select(key, id_col).offset(max(0, (number - 1) * size - each_side)).limit(2 * each_side + 1).select(id_col)
 
 
-def before(key: str, id_col: str, mark: tuple) -> Column:
-    """Whether a row stands before (key value, id) in ascending order."""
+def before(key: str, id_col: str, mark: tuple, descending: bool = False) -> Column:
+    """Whether a row stands before (key value, id) in the order of ordered()."""
     value, own = mark
+    k, i = F.col(key), F.col(id_col)
+    if descending:
+        if value is None:
+            return k.isNotNull() | (i > own)
+        return F.coalesce((k > F.lit(value)) | ((k == F.lit(value)) & (i > own)), F.lit(False))
     if value is None:
-        return F.col(key).isNull() & (F.col(id_col) < own)
-    return F.col(key).isNull() | (F.col(key) < F.lit(value)) | ((F.col(key) == F.lit(value)) & (F.col(id_col) < own))
+        return k.isNull() & (i < own)
+    return k.isNull() | (k < F.lit(value)) | ((k == F.lit(value)) & (i < own))
 
 
-def ranks(df: DataFrame, key: str, id_col: str, ids: list) -> DataFrame:
+def ranks(df: DataFrame, key: str, id_col: str, ids: list, descending: bool = False) -> DataFrame:
     """Rank from 0 of each of a few rows: how many stand before it, counted in one pass without sorting."""
     marks = [(r[key], r[id_col]) for r in df.where(F.col(id_col).isin(*ids)).select(key, id_col).collect()]  # one row per asked id
     if not marks:
         return df.select(id_col, F.lit(0).cast("long").alias("rank")).limit(0)
-    counts = df.agg(*(F.count_if(before(key, id_col, m)).alias(f"r{i}") for i, m in enumerate(marks)))
+    counts = df.agg(*(F.count_if(before(key, id_col, m, descending)).alias(f"r{i}") for i, m in enumerate(marks)))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(m[1]).alias(id_col), F.col(f"r{i}").alias("rank")) for i, m in enumerate(marks)))).alias("x")).select("x.*")
 
 
-def shift_select(df: DataFrame, key: str, id_col: str, clicked, selected: list) -> DataFrame:
-    """(id, action): what a click with the shift key selects and deselects, in ascending order of (key, id).
+def shift_select(df: DataFrame, key: str, id_col: str, clicked, selected: list, descending: bool = False) -> DataFrame:
+    """(id, action): what a click with the shift key selects and deselects, in the order of (key, id).
 
     Boundaries are compared, not ranked, so nothing is sorted as a whole.
     """
@@ -79,15 +86,15 @@ def shift_select(df: DataFrame, key: str, id_col: str, clicked, selected: list)
     place = F.struct(F.col(key).isNotNull().alias("filled"), F.col(key).alias("k"), F.col(id_col).alias("i"))
     chosen = F.col(id_col).isin(*selected)
     ends = df.agg(F.min(F.when(chosen, place)).alias("first"), F.max(F.when(chosen, place)).alias("last"), F.max(F.when(F.col(id_col) == clicked, place)).alias("clicked")).first()
-    first, last, at = (tuple(ends[c]) if ends[c] else None for c in ("first", "last", "clicked"))
+    first, last, at = (tuple(ends[c]) if ends[c] else None for c in (("last", "first", "clicked") if descending else ("first", "last", "clicked")))
     if first is None or at is None:
         return rows([(clicked, "select")])
     if first == at:
         return rows([(clicked, "deselect")])
-    later = before(key, id_col, (first[1], first[2]))
+    later = before(key, id_col, (first[1], first[2]), descending)
     is_after = bool(df.where(F.col(id_col) == clicked).where(later).head(1))
     low, high = (at, last) if is_after else (first, at)
-    inside = ~before(key, id_col, low[1:]) & (before(key, id_col, high[1:]) | (F.col(id_col) == high[2]))
+    inside = ~before(key, id_col, low[1:], descending) & (before(key, id_col, high[1:], descending) | (F.col(id_col) == high[2]))
     part = df.where(inside).select(id_col)
     wanted = spark.createDataFrame([(i,) for i in dict.fromkeys(selected)], f"{id_col} {kind}")
     return part.where(~chosen).withColumn("action", F.lit("select")).unionByName(wanted.join(part, id_col, "left_anti").withColumn("action", F.lit("deselect")))
@@ -105,5 +112,25 @@ def chip_order(tags: DataFrame) -> DataFrame:
     return tags.orderBy(F.desc("is_new"), F.col("sort_rank").desc_nulls_last(), F.col("color").isNotNull().desc(), F.col("color").desc_nulls_last(), F.col("icon").isNotNull().desc(), F.col("icon").desc_nulls_last(), F.desc("count"), "tag_id")
 
 
+def tag_search(tags: DataFrame, query: str, included: list = (), excluded: list = (), most: int = 50) -> DataFrame:
+    """Tags (tag_id, label, aliases, last_searched, count) with a score that hold every term of the query, the best ones.
+
+    Order: score, searched last, count, id. All that match are scored before the cut.
+    """
+    q, label, aliases = query.strip(), F.col("label"), F.col("aliases")
+    rows = tags.where((F.coalesce(label, F.lit("")) != "") & text.matches_all_terms(q, label, aliases))
+    if included:
+        rows = rows.where(F.col("tag_id").isin(*included))
+    if excluded:
+        rows = rows.where(~F.col("tag_id").isin(*excluded))
+    scored = rows.withColumn("score", text.relevance(q, label, aliases))
+    return scored.orderBy(F.desc("score"), F.col("last_searched").desc_nulls_last(), F.coalesce("count", F.lit(0)).desc(), "tag_id").limit(most)
+
+
+def touched(tags: DataFrame, tag_id: str, now: Column) -> DataFrame:
+    """tags after one was picked: it was searched last."""
+    return tags.withColumn("last_searched", F.when(F.col("tag_id") == tag_id, now).otherwise(F.col("last_searched")))
+
+
 def pages_of(rows: int, size: int) -> int:
     return ceil(rows / size)

@@ -10,49 +10,11 @@ from pyspark.sql import functions as F
 
 from corvane.functions import media, text
 from corvane.operators import collections, graph, imports, joins, mutate, predicates, rollups, search
-from corvane.plans import streams
+from corvane.plans import changes, formulas, searches, streams  # noqa: F401 - registered by import
+from corvane.plans.registry import ORACLES, QUERIES, closed, closed_ctes, query
 from corvane.session import table
 from corvane.sources.adapters import ctes, view
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-#: The closure as a recursive expression, self included.
-CLOSURE = """closed AS (SELECT DISTINCT tag, ancestor FROM (
-  SELECT tag_id AS tag, tag_id AS ancestor FROM tags UNION ALL SELECT tag, ancestor FROM up)),
-up AS (SELECT child AS tag, parent AS ancestor FROM edges UNION SELECT u.tag, e.parent FROM up u JOIN edges e ON u.ancestor = e.child)"""
-
-
-def closed_ctes(*more: str) -> str:
-    parts = CLOSURE.split("),\nup AS (")
-    return f"WITH RECURSIVE {ctes('tags', 'edges', *more)},\nup AS ({parts[1]},\n{parts[0]})"
-
-
-def query(sql: str | None = None) -> Callable:
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def closed(s: SparkSession, d: str) -> DataFrame:
-    return graph.closure(view(s, d, "edges"), view(s, d, "tags"))
-
-
-def tagged_files(s: SparkSession, d: str) -> DataFrame:
-    """Files with their tags and the tags' ancestors as arrays."""
-    own = view(s, d, "file_tags")
-    wide = graph.propagate(own, closed(s, d), "file_id")
-    a = graph.materialised(own, "file_id")
-    b = graph.materialised(wide, "file_id").withColumnRenamed("tag_ids", "tag_ids_with_ancestors")
-    none = F.array().cast("array<string>")
-    out = view(s, d, "files").join(a, "file_id", "left").join(b, "file_id", "left")
-    return out.withColumns({c: F.coalesce(c, none) for c in ("tag_ids", "tag_ids_with_ancestors")})
-
-
 # Search
 
 
@@ -65,8 +27,7 @@ ORDER BY size DESC, file_id DESC LIMIT 100 OFFSET 100"""
 )
 def file_search_page(s, d):
     q = predicates.FileQuery(ranges={"date_created": (datetime(1993, 1, 1), datetime(1997, 12, 31))}, compares={"rating": (">=", 3)})
-    wide = graph.propagate(view(s, d, "file_tags"), closed(s, d), "file_id").where("tag_id = 'R1'")
-    rows = predicates.apply(view(s, d, "files"), q.terms()).join(wide.select("file_id"), "file_id", "left_semi")
+    rows = graph.with_tags_chosen(predicates.apply(view(s, d, "files"), q.terms()), view(s, d, "file_tags"), view(s, d, "edges"), predicates.TagChoice(all_of_desc=("R1",)), "file_id")
     return search.page(rows, "size", True, 2, 100, "file_id").select("file_id", "size", "rating", "ext")
 
 
@@ -105,7 +66,9 @@ def carousel_window(s, d):
 
 def _tag_query(name: str, choice: predicates.TagChoice, test: str) -> None:
     def run(s, d):
-        return predicates.apply(tagged_files(s, d), predicates.FileQuery(tags=choice).terms()).select("file_id", F.size("tag_ids").cast("long").alias("n_tags"))
+        own = view(s, d, "file_tags")
+        hit = graph.with_tags_chosen(predicates.apply(view(s, d, "files"), predicates.FileQuery().terms()), own, view(s, d, "edges"), choice, "file_id").select("file_id")
+        return hit.join(own.groupBy("file_id").agg(F.count("*").alias("n_tags")), "file_id")
 
     run.__name__ = name
     sql = f"""{closed_ctes("files", "file_tags")}, own AS (SELECT file_id, list(tag_id) AS t FROM file_tags GROUP BY 1),
@@ -117,8 +80,9 @@ SELECT f.file_id, CAST(len(t) AS BIGINT) AS n_tags FROM files f JOIN own USING (
 _tag_query("tag_exclude", predicates.TagChoice(none_of=("K1", "K2", "P5")), "NOT list_has_any(t, ['K1', 'K2', 'P5'])")
 _tag_query("tag_exclude_desc", predicates.TagChoice(none_of_desc=("R0", "R1")), "NOT list_has_any(a, ['R0', 'R1'])")
 _tag_query("tag_include_or", predicates.TagChoice(any_of=("K1", "P7", "P11")), "list_has_any(t, ['K1', 'P7', 'P11'])")
-_tag_query("tag_include_and", predicates.TagChoice(all_of=("P7",), any_of=("P7", "P8")), "list_contains(t, 'P7')")
-_tag_query("tag_include_desc", predicates.TagChoice(all_of_desc=("R2", "W")), "list_has_all(a, ['R2', 'W'])")
+_tag_query("tag_include_and", predicates.TagChoice(all_of=("K102", "P1784")), "list_has_all(t, ['K102', 'P1784'])")
+_tag_query("tag_include_and_not", predicates.TagChoice(all_of=("K84", "P145"), none_of=("P8",)), "list_has_all(t, ['K84', 'P145']) AND NOT list_contains(t, 'P8')")
+_tag_query("tag_include_desc", predicates.TagChoice(all_of_desc=("R2", "B:Brand#1")), "list_has_all(a, ['R2', 'B:Brand#1'])")
 
 
 @query(f"WITH {ctes('files', 'file_tags')} SELECT file_id FROM files JOIN (SELECT file_id, count(*) AS n FROM file_tags GROUP BY 1) USING (file_id) WHERE n >= 6 AND NOT is_archived")
@@ -187,13 +151,9 @@ SELECT c.tag, t.label, coalesce(n.n, 0) AS n_files, row_number() OVER (PARTITION
 FROM closed c JOIN tags t ON c.ancestor = t.tag_id LEFT JOIN n USING (tag_id) WHERE c.tag <> c.ancestor AND c.tag IN ('K1', 'P1', 'S1')"""
 )
 def ancestor_labels(s, d):
-    from pyspark.sql import Window
-
     c = closed(s, d)
     counts = graph.propagate(view(s, d, "file_tags"), c, "file_id").groupBy("tag_id").agg(F.count("*").alias("n_files"))
-    rows = c.where(F.col("tag").isin("K1", "P1", "S1") & (F.col("depth") > 0)).join(view(s, d, "tags"), F.col("ancestor") == F.col("tag_id")).join(counts, "tag_id", "left")
-    rows = rows.withColumn("n_files", F.coalesce("n_files", F.lit(0)))
-    return rows.select("tag", "label", "n_files", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("n_files"), "tag_id")).cast("long").alias("place"))
+    return graph.ancestor_labels(c, view(s, d, "tags"), counts, ["K1", "P1", "S1"]).select("tag", "label", "n_files", "place")
 
 
 @query(
@@ -483,38 +443,35 @@ def next_batch(s, d):
     return imports.next_batch(rows).select("batch_id", F.coalesce("started_at", F.lit("")).alias("started_at"))
 
 
-@query(f"WITH {ctes('files')} SELECT original_path AS path, len(string_split(original_path, '/')) AS depth FROM files ORDER BY depth, path LIMIT 200")
-def path_depth_sort(s, d):
-    return path_depth_sort_all(s, d).limit(200)
-
-
 @query(f"WITH {ctes('files')} SELECT original_path AS path, len(string_split(original_path, '/')) AS depth FROM files ORDER BY depth, path")
-def path_depth_sort_all(s, d):
+def path_depth_sort(s, d):
     rows = view(s, d, "files").select(F.col("original_path").alias("path"), text.path_depth(F.col("original_path")).cast("long").alias("depth"))
     return rows.orderBy("depth", "path")
 
 
-@query(f"WITH {ctes('tags')} SELECT tag_id FROM tags ORDER BY length(label) % 3 = 0 DESC, CASE WHEN length(label) % 4 <> 0 THEN length(label) % 5 END DESC NULLS LAST, length(tag_id) DESC, tag_id LIMIT 40")
+@query(
+    f"""WITH {ctes('tags')}, c AS (SELECT tag_id, length(label) % 3 = 0 AS is_new, CASE WHEN length(label) % 4 <> 0 THEN length(label) % 5 END AS sort_rank, CASE length(tag_id) % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' END AS color,
+  CASE WHEN length(label) % 7 < 4 THEN concat('icon', CAST(length(label) % 7 AS VARCHAR)) END AS icon, length(tag_id) AS count FROM tags)
+SELECT tag_id FROM c ORDER BY is_new DESC, sort_rank DESC NULLS LAST, color IS NOT NULL DESC, color DESC NULLS LAST, icon IS NOT NULL DESC, icon DESC NULLS LAST, count DESC, tag_id"""
+)
 def chip_order(s, d):
-    return chip_order_all(s, d).limit(40)
-
-
-@query(f"WITH {ctes('tags')} SELECT tag_id FROM tags ORDER BY length(label) % 3 = 0 DESC, CASE WHEN length(label) % 4 <> 0 THEN length(label) % 5 END DESC NULLS LAST, length(tag_id) DESC, tag_id")
-def chip_order_all(s, d):
-    n = F.length("label")
-    rows = view(s, d, "tags").select("tag_id", (n % 3 == 0).alias("is_new"), F.when(n % 4 != 0, n % 5).alias("sort_rank"), F.lit(None).cast("string").alias("color"), F.lit(None).cast("string").alias("icon"), F.length("tag_id").alias("count"))
+    n, i = F.length("label"), F.length("tag_id")
+    rows = view(s, d, "tags").select(
+        "tag_id", (n % 3 == 0).alias("is_new"), F.when(n % 4 != 0, n % 5).alias("sort_rank"), F.when(i % 3 == 0, "red").when(i % 3 == 1, "blue").alias("color"),
+        F.when(n % 7 < 4, F.concat(F.lit("icon"), (n % 7).cast("string"))).alias("icon"), i.alias("count"),
+    )
     return search.chip_order(rows).select("tag_id")
 
 
 @query(
-    f"""WITH {ctes('tags')}, c AS (SELECT tag_id, label, CASE WHEN lower(label) = 'world' OR lower(tag_id) = 'world' THEN 100 WHEN starts_with(lower(label), 'customer#0') OR starts_with(lower(tag_id), 'customer#0') THEN 50
-  WHEN contains(lower(label), 'customer#0') THEN 25 ELSE 10 END AS score FROM tags WHERE contains(lower(label), 'customer#0') OR contains(lower(tag_id), 'customer#0'))
-SELECT tag_id, label, score FROM c ORDER BY score DESC, length(label) DESC, tag_id LIMIT 50"""
+    f"""WITH {ctes('tag_facts')}, c AS (SELECT tag_id, label, count, last_searched, CASE WHEN lower(label) = 'red plate' OR lower(alias) = 'red plate' THEN 100 WHEN starts_with(lower(label), 'red plate') OR starts_with(lower(alias), 'red plate') THEN 50
+  WHEN contains(lower(label), 'red plate') OR contains(lower(alias), 'red plate') THEN 25 ELSE 10 END AS score
+  FROM tag_facts WHERE (contains(lower(label), 'red') OR contains(lower(alias), 'red')) AND (contains(lower(label), 'plate') OR contains(lower(alias), 'plate')) AND tag_id NOT IN ('P1', 'P2'))
+SELECT tag_id, label, score FROM c ORDER BY score DESC, last_searched DESC NULLS LAST, count DESC, tag_id LIMIT 50"""
 )
 def tag_search(s, d):
-    q, aliases = "Customer#0", F.array("tag_id")
-    rows = view(s, d, "tags").where(text.matches_all_terms(q, F.col("label"), aliases)).withColumn("score", text.relevance(q, F.col("label"), aliases))
-    return rows.orderBy(F.desc("score"), F.desc(F.length("label")), "tag_id").limit(50).select("tag_id", "label", "score")
+    rows = view(s, d, "tag_facts").withColumn("aliases", F.array("alias"))
+    return search.tag_search(rows, " Red plate", excluded=["P1", "P2"]).select("tag_id", "label", "score")
 
 
 # Arrays
@@ -560,12 +517,17 @@ def tombstone_upsert(s, d):
 
 
 @query(
-    f"""WITH {ctes('files', 'coll_orders')} SELECT collection_id, count(*) AS n_files FROM coll_orders WHERE file_id % 4 <> 0 GROUP BY 1"""
+    f"""WITH {ctes('files', 'coll_orders', 'tombstones')} SELECT 'members' AS kind, CAST(collection_id AS VARCHAR) AS id, count(*) AS n FROM coll_orders WHERE file_id % 4 <> 0 GROUP BY 2
+UNION ALL SELECT 'files', CAST(file_id AS VARCHAR), 1 FROM files WHERE file_id % 4 <> 0
+UNION ALL SELECT DISTINCT 'tombstones', hash, 1 FROM (SELECT hash FROM tombstones UNION ALL SELECT md5(CAST(file_id AS VARCHAR)) FROM files WHERE file_id % 4 = 0)"""
 )
 def delete_files(s, d):
     files = view(s, d, "files").withColumn("hash", F.md5(F.col("file_id").cast("string")))
-    _, members, _ = mutate.delete_files(files, view(s, d, "coll_orders"), view(s, d, "tombstones"), files.where("file_id % 4 = 0"))
-    return members.groupBy("collection_id").agg(F.count("*").alias("n_files"))
+    left, members, tombs = mutate.delete_files(files, view(s, d, "coll_orders"), view(s, d, "tombstones"), files.where("file_id % 4 = 0"))
+    one = F.lit(1).cast("long").alias("n")
+    out = members.groupBy("collection_id").agg(F.count("*").alias("n")).select(F.lit("members").alias("kind"), F.col("collection_id").cast("string").alias("id"), "n")
+    out = out.unionByName(left.select(F.lit("files").alias("kind"), F.col("file_id").cast("string").alias("id"), one))
+    return out.unionByName(tombs.select(F.lit("tombstones").alias("kind"), F.col("hash").alias("id"), one))
 
 
 @query(f"WITH {ctes('files')} SELECT file_id, CASE WHEN is_archived THEN 'delete' ELSE 'archive' END AS action FROM files WHERE file_id % 5 = 0")
@@ -587,24 +549,15 @@ def broken_ext(s, d):
     return rows.select("file_id", "was", text.fixed_extension(F.col("was"), F.col("original_path")).alias("ext"))
 
 
-@query(
-    f"""WITH {ctes('tags')} SELECT tag_id, '(^' || regexp_replace(regexp_replace(label, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g'), '[\\s\\-_]+', '[\\\\s\\\\-_\\\\.]+', 'g') || '$)|(^' || tag_id || '$)' AS pattern FROM tags WHERE tag_id NOT LIKE '%:%'"""
-)
-def tag_to_regex(s, d):
-    rows = view(s, d, "tags").where("tag_id not like '%:%'")
-    return rows.select("tag_id", text.tag_pattern(F.col("label"), F.array("tag_id")).alias("pattern"))
-
-
 @query(
     f"""WITH {ctes('tags')} SELECT tag_id, '(^' || regexp_replace(regexp_replace(label, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g'), '[\\s\\-_]+', '[\\\\s\\\\-_\\\\.]+', 'g') || '$)|(^' || tag_id || '$)' AS pattern FROM tags"""
 )
-def tag_to_regex_all(s, d):
+def tag_to_regex(s, d):
     return view(s, d, "tags").select("tag_id", text.tag_pattern(F.col("label"), F.array("tag_id")).alias("pattern"))
 
 
 @query(
-    """SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(html, '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS decoded
-FROM pages WHERE NOT regexp_matches(replace(html, '&#39;', ''), '&#[0-9]+;')"""
+    """SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(html, '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS decoded FROM pages"""
 )
 def entity_decode(s, d):
     return table(s, d, "pages").select("page_id", F.md5(text.decode_entities(F.col("html"))).alias("decoded"))
@@ -666,23 +619,11 @@ def batch_build(s, d):
     return out.select("folder", "label", F.coalesce("parent_label", F.lit("")).alias("parent_label"), "depth", "collection_title")
 
 
-@query(
-    """WITH k AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), f AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 1),
-p AS (SELECT f.vec_id AS face_id, k.vec_id AS tag_id, list_distance(f.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS distance FROM f, k)
-SELECT face_id, CAST(tag_id AS VARCHAR) AS tag_id, round(distance, 5) AS distance FROM p WHERE distance <= 1.2 QUALIFY row_number() OVER (PARTITION BY face_id ORDER BY distance, CAST(tag_id AS VARCHAR)) = 1"""
-)
-def nearest_face(s, d):
-    rows = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    faces = rows.where("vec_id % 20 = 1").select(F.col("vec_id").alias("face_id"), F.col("v").alias("vector"))
-    known = rows.where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("tag_id"), F.col("v").alias("known_vector"))
-    return joins.nearest(faces, known, 1.2).withColumn("distance", F.round("distance", 5))
-
-
 @query(
     """WITH p AS (SELECT f.vec_id AS face_id, k.vec_id AS tag_id, list_distance(f.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS distance FROM embeddings f JOIN embeddings k ON f.vec_id % 20 = 0 AND f.vec_id <> k.vec_id)
 SELECT face_id, CAST(tag_id AS VARCHAR) AS tag_id, round(distance, 5) AS distance FROM p WHERE distance <= 1.2 QUALIFY row_number() OVER (PARTITION BY face_id ORDER BY distance, CAST(tag_id AS VARCHAR)) = 1"""
 )
-def nearest_face_all(s, d):
+def nearest_face(s, d):
     rows = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     faces = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("face_id"), F.col("v").alias("vector"))
     known = rows.select(F.col("vec_id").cast("string").alias("tag_id"), F.col("v").alias("known_vector"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import extension
 from corvane.operators.joins import basename
+from corvane.session import cut
 
 
 def listing(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
@@ -40,6 +41,15 @@ def with_json_sidecars(rows: DataFrame, folder: str) -> DataFrame:
     return rows.join(notes, rows["path"] == notes["_of"], "left").drop("_of")
 
 
+def with_folder_sidecars(rows: DataFrame, folder: str, name: str = "[[Collection]].json") -> DataFrame:
+    """rows with folder_tags, the labels of the one side file that stands for the whole folder."""
+    schema = "tags array<struct<label:string,aliases:array<string>,parentLabels:array<string>>>"
+    notes = rows.sparkSession.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder)
+    notes = notes.select(F.url_decode(F.col("_metadata.file_path")).alias("_file"), F.transform("tags", lambda t: t["label"]).alias("folder_tags")).where(basename(F.col("_file")) == name)
+    notes = notes.select(F.regexp_replace("_file", r"/[^/]*$", "").alias("_folder"), "folder_tags")
+    return rows.withColumn("_of", F.regexp_replace("path", r"/[^/]*$", "")).join(notes, F.col("_of") == F.col("_folder"), "left").drop("_of", "_folder")
+
+
 def storage_path(folder, content_hash, ext):
     """folder/ab/cd/abcd....ext"""
     return F.concat_ws("/", folder, F.substring(content_hash, 1, 2), F.substring(content_hash, 3, 2), F.concat(content_hash, F.lit("."), ext))
@@ -47,11 +57,18 @@ def storage_path(folder, content_hash, ext):
 
 def choose_storage(rows: DataFrame, places: list[tuple[str, int]]) -> DataFrame:
     """rows (key, size) with the first place that still has room, filled in the order given; null where none has."""
-    upto = F.sum("size").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    out, base, chosen = rows.withColumn("_upto", upto), 0, F.lit(None).cast("string")
+    # Sizes are added up within ranges of keys, and the sums of the ranges before each (one row a range) on top.
+    width = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(rows.repartitionByRange(width, "key").withColumn("_range", F.spark_partition_id()))
+    bases = ranged.groupBy("_range").agg(F.sum("size").alias("_sum"))
+    bases = bases.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.sum("size").over(Window.partitionBy("_range").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    out = ranged.withColumn("_inside", inside).join(F.broadcast(bases), "_range").withColumn("_upto", F.col("_base") + F.col("_inside"))
+    room, chosen = sum(free for _, free in places), F.lit(None).cast("string")
     for name, free in reversed(places):
-        chosen = F.when(F.col("_upto") < sum(f for n, f in places[: [p[0] for p in places].index(name) + 1]), F.lit(name)).otherwise(chosen)
-    return out.withColumn("storage", chosen).drop("_upto")
+        chosen = F.when(F.col("_upto") < room, F.lit(name)).otherwise(chosen)
+        room -= free
+    return out.withColumn("storage", chosen).select(*rows.columns, "storage")
 
 
 def playlist(files: DataFrame, ids: list, active: int = 0, end: int = 100) -> DataFrame:

@@ -17,6 +17,11 @@ def latest_state(events: DataFrame, key: str, order: list[str], value: list[str]
     return events.groupBy(key).agg(newest.alias("last"), F.count("*").alias("n_events")).select(key, "last.*", "n_events")
 
 
+def throttled(writer, every: str | None):
+    """A stream writer that starts a batch at most so often ("2 seconds"); without an interval it stops when it has caught up."""
+    return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+
+
 def fold(spark: SparkSession, events: DataFrame, key: str, order: list[str], value: list[str], checkpoint: str) -> DataFrame:
     """Run the stream until it has caught up; the state of all keys, from Parquet.
 
@@ -29,25 +34,31 @@ def fold(spark: SparkSession, events: DataFrame, key: str, order: list[str], val
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{home}/batch-{number:09d}")
 
-    state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    throttled(state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint), None).start().awaitTermination()
     spark.createDataFrame([], state.schema).withColumn("_batch", F.lit(0).cast("long")).write.mode("overwrite").parquet(f"{home}/empty")
     rows = spark.read.option("recursiveFileLookup", "true").parquet(home)
     names = state.columns
     return rows.groupBy(key).agg(F.max_by(F.struct(*(F.col(c) for c in names if c != key)), "_batch").alias("last")).select(key, "last.*")
 
 
-def import_stream(rows: DataFrame, store: str, checkpoint: str) -> None:
-    """Append rows with new hashes to the store (a Parquet folder), micro-batch by micro-batch.
+def import_stream(rows: DataFrame, store: str, checkpoint: str, every: str | None = None):
+    """Append rows with new hashes to the store (a Parquet folder of one folder a batch), micro-batch by micro-batch.
 
-    A batch that is run again writes the same folder again, so nothing is stored twice.
+    Whatever the store holds counts as known, but for the folder of the very batch that runs: a batch that is run again
+    writes its folder again, so nothing is lost or stored twice. With an interval the running query is returned, a batch
+    at most so often; without one it runs until it has caught up.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earlier = [f"{store}/batch-{n:09d}" for n in range(number)]  # not its own folder, which is there if the batch is run again
-        known = spark.read.schema(batch.schema).parquet(*earlier).select("hash") if number else None
-        fresh = batch.dropDuplicates(["hash"])
-        fresh = fresh.join(known, "hash", "left_anti").select(*batch.columns) if known is not None else fresh
-        fresh.write.mode("overwrite").parquet(f"{store}/batch-{number:09d}")
-
-    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        spark, own = batch.sparkSession, f"batch-{number:09d}"
+        spark.createDataFrame([], batch.schema).write.mode("append").parquet(f"{store}/known")  # so that there is something to read
+        known = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(store)
+        known = known.where(~F.col("_metadata.file_path").contains(f"/{own}/")).select("hash")
+        fresh = batch.dropDuplicates(["hash"]).join(known, "hash", "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{store}/{own}")
+
+    query = throttled(rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), every).start()
+    if every:
+        return query
+    query.awaitTermination()
+    return None
