@@ -2,8 +2,7 @@
 
 Bucket-pointer refinement over the suffixes that matter. Every string of
 `length` bytes holds exactly one anchor: the gram of `gram` bytes with the least
-hash in it. Suffixes are first put into buckets by the gram at their anchor, and
-a bucket pointer, the identifier of the bytes round the anchor, refines them:
+hash in it. Suffixes are first put into buckets by the gram at their anchor:
 
 1. Map: anchors of each batch of documents, with the identifier of all bytes of
    the strings they stand for. Inside a batch all but the first document with
@@ -11,9 +10,15 @@ a bucket pointer, the identifier of the bytes round the anchor, refines them:
    entry a batch.
 2. Buckets: entries meet by gram. Equal identifiers are whole matches; buckets
    of one document are final; what is left asks for its bytes.
-3. Refinement: the bytes of what is left meet by gram; each round splits the
-   buckets by the identifiers (eight bytes) at a later offset, drops buckets of
-   one document, and reuses the updated bucket numbers in the next round.
+3. Refinement: every offset of those bytes gets a bucket pointer by its first
+   eight bytes. Each round sorts by the pairs of an offset's pointer and the
+   pointer at a later offset, which gives new pointers for twice as many bytes,
+   and the next round sorts by these. Buckets of one document drop out.
+
+Grams that stand in very many documents with different bytes around them are
+found in a sample of documents; their strings are then entries of their own, by
+the identifier of their bytes, so that no bucket grows with the corpus. Which
+way a gram goes changes nothing in the result.
 
 Identifiers in step 2 have 112 bits; step 3 compares the bytes themselves.
 """
@@ -24,10 +29,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, shuffle_width
+from corvane.llm.common import materialize, packed, shuffle_width
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: The identifier of a gram keeps so many bits.
@@ -85,7 +90,7 @@ def _ident(words: np.ndarray, at: np.ndarray | slice, size: int, seed: np.ndarra
 
 
 def anchors(data: bytes, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, start, n, pos, h, c) of every anchor of the documents laid end to end in data.
+    """(document, start, n, pos, h, c, start in data, words of data) of every anchor of the documents laid end to end in data.
 
     The anchor at byte pos stands for the n strings that start at `start` and on; h identifies its gram and c all the
     bytes of its strings and where it stands in them.
@@ -93,7 +98,7 @@ def anchors(data: bytes, sizes: np.ndarray, length: int, gram: int) -> tuple[np.
     total, width = len(data), length - gram + 1
     empty = np.empty(0, np.int64)
     if total < length:
-        return (empty,) * 6
+        return (empty,) * 8
     words = eights(data)
     n = total - gram + 1
     seed = np.uint64(gram)
@@ -114,7 +119,7 @@ def anchors(data: bytes, sizes: np.ndarray, length: int, gram: int) -> tuple[np.
     base = np.cumsum(counts) - counts
     at = np.arange(len(starts)) - np.repeat(base - first, counts)
     if not len(at):
-        return (empty,) * 6
+        return (empty,) * 8
     pos = at + place[at]
     new = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1]) | (starts[1:] != starts[:-1])])
     lo, run = at[new], np.diff(np.r_[new, len(at)])
@@ -122,7 +127,7 @@ def anchors(data: bytes, sizes: np.ndarray, length: int, gram: int) -> tuple[np.
     shape = ((pos - lo).astype(np.uint64) << np.uint64(8)) + run.astype(np.uint64)
     c = _ident(words, lo, length, shape * M3 + np.uint64(1))
     c = _ident(words, lo + run - 1, length, c)
-    return doc, lo - first[doc], run, pos - first[doc], h[pos] >> (np.uint64(64) - GRAM_BITS), c
+    return doc, lo - first[doc], run, pos - first[doc], h[pos] >> (np.uint64(64) - GRAM_BITS), c, lo, words
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -151,49 +156,102 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def refine(bucket: np.ndarray, strings: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Which strings also stand in a document of smaller order; strings: (n, length) bytes, equal only inside a bucket."""
-    hit = np.zeros(len(bucket), bool)
-    live = np.arange(len(bucket))
-    later = [0, length - 8, *range(8, length - 8, 8)]  # both ends first: there the strings of a bucket differ most
-    for k, off in enumerate(later):
-        word = np.ascontiguousarray(strings[live, off : off + 8]).view("<u8").ravel()
-        by = np.lexsort((order[live], word, bucket[live]))
-        live, word = live[by], word[by]
-        new = _groups(bucket[live], word)
-        number = np.cumsum(new) - 1
-        least = order[live][new][number]
-        last = np.r_[np.flatnonzero(new)[1:], len(live)] - 1
-        several = order[live][last] > order[live][new] if len(live) else np.empty(0, bool)
-        bucket = bucket.copy()
-        bucket[live] = number
-        if k == len(later) - 1:
-            hit[live[order[live] > least]] = True
-        live = live[several[number]] if len(live) else live
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Bucket numbers of values: equal ones share a number."""
+    return np.unique(values, return_inverse=True)[1].reshape(values.shape)
+
+
+def refine(context: np.ndarray, of: np.ndarray, off: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Which strings also stand in a document of smaller order; string i is the `length` bytes of context[of[i]] from off[i] on."""
+    hit, live = np.zeros(len(of), bool), np.arange(len(of))
+    if not len(of):
+        return hit
+    padded = np.zeros((len(context), context.shape[1] + 7), np.uint8)
+    padded[:, : context.shape[1]] = context
+    first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8, axis=1)).view("<u8")[..., 0]
+    pointer, row, have = _ranks(first), of, 8
+    while have < length:
+        step = min(have, length - have)  # the pointer there tells the bytes up to have + step
+        width = pointer.shape[1] - step
+        pointer = _ranks(pointer[:, :width].astype(np.uint64) << np.uint64(32) | pointer[:, step:].astype(np.uint64))
+        have += step
+        bucket = pointer[row, off[live]]
+        by = np.lexsort((order[live], bucket))
+        new = _groups(bucket[by])
+        number = np.empty(len(live), np.int64)
+        number[by] = np.cumsum(new) - 1
+        ordered = order[live][by]
+        least, most = ordered[new], ordered[np.r_[np.flatnonzero(new)[1:], len(by)] - 1]
+        if have == length:
+            hit[live] = order[live] > least[number]
+            break
+        open_ = (most > least)[number]
+        live = live[open_]
+        kept, row = np.unique(row[open_], return_inverse=True)
+        pointer = pointer[kept]
+        if not len(live):
+            break
     return hit
 
 
-def with_uids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """docs (all columns) with _uid, and the shift: documents compare by _uid >> shift.
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(row, id, text, uid) of docs, row holding all columns but the text; and the shift: documents compare by uid >> shift.
 
-    Without a shift _uid is the id. Where rows share an id but not the text, or have none, an ordinal by text is added;
-    rows without an id come after all others, and rows of equal id never remove from each other.
+    Without a shift uid is the id. Where rows share an id but not the text, or have none, ids are ranked and an ordinal
+    by text is added; rows without an id come after all others, and rows of equal id never remove from each other.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
-    texts = ids.groupBy("id").agg(F.count_distinct("h").alias("n"))
-    top, ties, nulls = texts.agg(F.max("id"), F.max("n"), F.max(F.col("id").isNull().cast("int"))).first()
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ids = rows.select("id", F.xxhash64("text").alias("h"))
+    ties, nulls = ids.groupBy("id").agg(F.count_distinct("h").alias("n")).agg(F.max("n"), F.max(F.col("id").isNull().cast("int"))).first()
     if not nulls and (ties or 1) == 1:
-        return docs.withColumn("_uid", F.col(id_col).cast("long")), 0
+        return rows.withColumn("uid", F.col("id")), 0
+    order = [F.col("id").asc_nulls_last(), F.col("h")]
+    ranged = ids.distinct().repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.select("id", "h", F.monotonically_increasing_id().alias("place")), "ids")
+    part, inside = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes, base, total = [(r["part"], r["n"]) for r in ranged.groupBy(part.alias("part")).count().withColumnRenamed("count", "n").orderBy("part").collect()], [], 0  # one row a partition
+    for number, n in sizes:
+        base.append((number, total))
+        total += n
+    bases = docs.sparkSession.createDataFrame(base, "part long, base long")
+    ranked = ranged.withColumn("part", part).join(F.broadcast(bases), "part").select("id", "h", (F.col("base") + inside).alias("rank"))
     shift = int(ties).bit_length()
-    ranked = ids.distinct().withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("h")) - 1)
-    ranked = ranked.withColumn("_uid", F.shiftleft(F.coalesce("id", F.lit((top or 0) + 1)), shift) + F.col("n"))
-    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
-    joined = keyed.join(ranked, keyed[id_col].cast("long").eqNullSafe(ranked["id"]) & (keyed["_hash"] == ranked["h"]))
-    return joined.select(*(keyed[c] for c in docs.columns), ranked["_uid"]), shift
+    if total << shift >= 1 << 63:
+        raise ValueError("too many rows without an id of their own")
+    first = ranked.where("id is not null").groupBy("id").agg(F.min("rank").alias("first"))
+    lone = ranked.where("id is null").agg(F.min("rank")).first()[0] or 0
+    placed = ranked.where("id is not null").join(first, "id").unionByName(ranked.where("id is null").withColumn("first", F.lit(lone).cast("long")))
+    placed = placed.select(F.col("id").alias("_id"), "h", F.shiftleft("first", shift).bitwiseOR(F.col("rank") - F.col("first")).alias("uid"))
+    keyed = rows.withColumn("_h", F.xxhash64("text"))
+    return keyed.join(placed, keyed["id"].eqNullSafe(placed["_id"]) & (keyed["_h"] == placed["h"])).select("row", "id", "text", "uid"), shift
+
+
+#: A gram that stands in at least this share of the documents, or in so many of them, with different bytes around it is hot.
+HOT_SHARE, HOT_DOCUMENTS = 0.01, 2_000_000
+
+
+def hot_grams(docs: DataFrame, documents: int, length: int, gram: int) -> np.ndarray:
+    """Identifiers of hot grams, ascending, from a sample in which one at the bound is expected 50 times (all documents, if they are few)."""
+    import pyarrow as pa
+
+    share = min(HOT_SHARE, HOT_DOCUMENTS / max(documents, 1))
+    part = min(1.0, 50 / share / max(documents, 1))
+    some = docs.where(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < int(part * (1 << 30)))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            *_, h, c, _, _ = anchors(b"".join(texts), np.array([len(t) for t in texts], np.int64), length, gram)
+            both = np.unique(np.stack([h.astype(np.uint64), c.astype(np.uint64)], 1), axis=0) if len(h) else np.empty((0, 2), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64))], ["h", "c"])
+
+    seen = some.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.count_distinct("c").alias("n")).where("n >= 25").select("h").toArrow()  # a 25th of the sample's anchors at most
+    return np.sort(seen.column("h").to_numpy().astype(np.uint64))
 
 
-def find_repeats(docs: DataFrame, shift: int, buckets: int, doc_buckets: int, length: int, gram: int, batch_bytes: int) -> DataFrame:
-    """Steps 1 and 2: rows (kind, dbucket, data) from docs (_uid, text); kind 0: spans to remove, kind 1: what asks for its bytes."""
+def find_repeats(docs: DataFrame, shift: int, hot: np.ndarray, buckets: int, doc_buckets: int, length: int, gram: int, batch_bytes: int) -> DataFrame:
+    """Steps 1 and 2: rows (kind, dbucket, data) from docs (uid, text); kind 0: spans to remove, kind 1: what asks for its bytes."""
     import pyarrow as pa
 
     mask_bucket = np.uint64(buckets)
@@ -214,9 +272,20 @@ def find_repeats(docs: DataFrame, shift: int, buckets: int, doc_buckets: int, le
         def work_out() -> None:
             uids = np.array([u for u, _ in chunk], np.int64)
             sizes = np.array([len(t) for _, t in chunk], np.int64)
-            doc, start, n, pos, h, c = anchors(b"".join(t for _, t in chunk), sizes, length, gram)
-            e = np.empty(len(doc), ENTRY)
-            e["h"], e["c"], e["uid"], e["pos"], e["lo"], e["n"] = h, c, uids[doc] if len(doc) else doc, pos, pos - start, n
+            doc, start, n, pos, h, c, at, words = anchors(b"".join(t for _, t in chunk), sizes, length, gram)
+            is_hot = np.isin(h, hot) if len(hot) else np.zeros(len(doc), bool)
+            if is_hot.any():  # each string on its own
+                of = np.repeat(np.flatnonzero(is_hot), n[is_hot])
+                k = np.arange(len(of)) - np.repeat(np.cumsum(n[is_hot]) - n[is_hot], n[is_hot])
+                e = np.empty(len(of), ENTRY)
+                e["h"] = _ident(words, at[of] + k, length, np.full(len(of), M3)) >> (np.uint64(64) - GRAM_BITS)
+                e["c"] = _ident(words, at[of] + k, length, np.full(len(of), M2))
+                e["uid"], e["pos"], e["lo"], e["n"] = uids[doc[of]], pos[of], pos[of] - start[of] - k, 1
+                entries.append(e)
+            cool = ~is_hot
+            e = np.empty(int(cool.sum()), ENTRY)
+            e["h"], e["c"], e["pos"], e["lo"], e["n"] = h[cool], c[cool], pos[cool], (pos - start)[cool], n[cool]
+            e["uid"] = uids[doc[cool]] if len(e) else doc
             entries.append(e)
             chunk.clear()
 
@@ -241,7 +310,7 @@ def find_repeats(docs: DataFrame, shift: int, buckets: int, doc_buckets: int, le
             return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array([k % buckets for k in keys], pa.int64()), pa.array(data, pa.binary())], ["kind", "dbucket", "bucket", "data"])
 
         for batch in rows:
-            for uid, text in zip(batch.column("_uid").to_pylist(), batch.column("text").to_pylist()):
+            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
                 chunk.append((uid, (text or "").encode()))
                 chunk_size += len(chunk[-1][1])
                 size += len(chunk[-1][1])
@@ -285,28 +354,29 @@ def find_repeats(docs: DataFrame, shift: int, buckets: int, doc_buckets: int, le
         return pa.concat_tables([through.cast(found.schema), found])
 
     scanned = docs.mapInArrow(scan, "kind int, dbucket long, bucket long, data binary")
-    return scanned.groupBy("bucket").applyInArrow(meet, "kind int, dbucket long, data binary")
+    return scanned.repartition(max(1, buckets // 4), "bucket").groupBy("bucket").applyInArrow(meet, "kind int, dbucket long, data binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, batch_bytes: int = 8 << 20, bucket_bytes: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text"):
-    """(texts, spans, shift) for remove_repeats(): texts (_uid, dbucket and the columns of docs) and spans to remove (dbucket, data)."""
+def repeated_spans(rows: DataFrame, shift: int, length: int = 50, gram: int = 20, batch_bytes: int = 8 << 20, bucket_bytes: int = 3 << 20):
+    """(texts, spans) for remove_repeats(): rows (uid, text and others) with dbucket, and spans to remove (dbucket, data)."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    keyed, shift = with_uids(docs, id_col, text_col)
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    doc_buckets = max(1, total // bucket_bytes, shuffle_width(spark)) | 1
+    spark = rows.sparkSession
+    total, documents = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    total = total or 0
+    # Buckets by bytes, so that a task holds as much whatever the corpus.
     buckets = max(1, total // bucket_bytes, shuffle_width(spark))
-    plain = keyed.select("_uid", F.col(text_col).alias("text"))
-    found = materialize(find_repeats(plain, shift, buckets, doc_buckets, length, gram, batch_bytes), "repeats")
-    texts = keyed.withColumn("dbucket", F.pmod(F.col("_uid"), F.lit(doc_buckets)))
-    texts = texts.repartition(min(doc_buckets, max(shuffle_width(spark), doc_buckets // 4)), "dbucket")
+    doc_buckets = buckets | 1
+    plain = rows.select("uid", "text")
+    hot = hot_grams(plain, documents, length, gram)
+    found = materialize(find_repeats(plain, shift, hot, buckets, doc_buckets, length, gram, batch_bytes), "repeats")
+    texts = rows.withColumn("dbucket", F.pmod("uid", F.lit(doc_buckets))).repartition(max(1, doc_buckets // 4), "dbucket")
 
     def answer(texts: pa.Table, asked: pa.Table) -> pa.Table:
         asks = unpack_all(asked.column("data").to_pylist(), ASK)
         asks = asks[np.argsort(asks["h"], kind="stable")]
-        where = {u: i for i, u in enumerate(texts.column("_uid").to_pylist())}
-        column = texts.column(text_col)
+        where = {u: i for i, u in enumerate(texts.column("uid").to_pylist())}
+        column = texts.column("text")
         encoded: dict[int, bytes] = {}
         keys, data = [], []
         out = []
@@ -347,10 +417,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, batch_byte
             counts = part["n"].astype(np.int64)
             of = np.repeat(np.arange(len(part)), counts)
             off = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-            strings_of = np.lib.stride_tricks.sliding_window_view(context, length, axis=1)[of, off]
-            # Equal strings have their anchor at the same place.
-            bucket = (np.cumsum(_groups(part["h"])) - 1)[of] * 256 + part["lo"][of].astype(np.int64) - off
-            hit = refine(bucket, strings_of, part["uid"][of] >> shift, length)
+            hit = refine(context, of, off, part["uid"][of] >> shift, length)
             spans = np.empty(int(hit.sum()), SPAN)
             spans["uid"] = part["uid"][of[hit]]
             spans["start"] = part["pos"][of[hit]] - part["lo"][of[hit]] + off[hit]
@@ -366,8 +433,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, batch_byte
         return pa.table({"dbucket": pa.array([int(key[e]) for e in edges], pa.int64()), "data": pa.array([pack(p) for p in parts], pa.binary())})
 
     asked = found.where("kind = 1").groupBy("dbucket")
-    answers = texts.groupBy("dbucket").cogroup(asked).applyInArrow(answer, "bucket long, data binary")
-    refined = answers.groupBy("bucket").applyInArrow(settle, "dbucket long, data binary")
+    answers = texts.select("uid", "text", "dbucket").groupBy("dbucket").cogroup(asked).applyInArrow(answer, "bucket long, data binary")
+    refined = answers.repartition(max(1, buckets // 4), "bucket").groupBy("bucket").applyInArrow(settle, "dbucket long, data binary")
     return texts, found.where("kind = 0").select("dbucket", "data").unionByName(refined)
 
 
@@ -395,17 +462,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: st
 
     if not 8 <= gram <= length - 8 or length > 120:
         raise ValueError("gram must be 8 to length - 8, length at most 120")
-    names = docs.columns
     slim = docs.select(id_col, text_col) if digest else docs
-    texts, spans = repeated_spans(slim, length, gram, id_col=id_col, text_col=text_col, **sizes)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else docs.schema
+    rows, shift = numbered(slim, id_col, text_col)
+    texts, spans = repeated_spans(rows, shift, length, gram, **sizes)
+    if digest:
+        texts = texts.select("id", "text", "uid", "dbucket")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else texts.select("row", "text").schema
 
     def cut(texts: pa.Table, spans: pa.Table) -> pa.Table:
         gone = _merged(unpack_all(spans.column("data").to_pylist(), SPAN))
         edges = np.flatnonzero(_groups(gone["uid"])) if len(gone) else np.empty(0, np.int64)
         mine = {int(gone["uid"][e]): p for e, p in zip(edges, np.split(gone, edges[1:]))} if len(edges) else {}
         rows, kept_texts = [], []
-        for doc, uid, text in zip(texts.column(id_col).to_pylist(), texts.column("_uid").to_pylist(), texts.column(text_col).to_pylist()):
+        for doc, uid, text in zip(texts.column("id").to_pylist(), texts.column("uid").to_pylist(), texts.column("text").to_pylist()):
             data, removed, own = (text or "").encode(), 0, mine.get(uid, ())
             parts, at = [], 0
             for start, end in zip(own["start"].tolist(), own["end"].tolist()) if len(own) else ():
@@ -420,13 +489,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: st
         if digest:
             cols = list(zip(*rows)) or [[]] * 5
             return pa.table({k: pa.array(c, t) for (k, t), c in zip((("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())), cols)})
-        i = texts.schema.get_field_index(text_col)
-        return texts.set_column(i, text_col, pa.array(kept_texts, pa.string())).select(names)
+        return pa.table({"row": texts.column("row"), "text": pa.array(kept_texts, pa.string())})
 
-    return texts.groupBy("dbucket").cogroup(spans.groupBy("dbucket")).applyInArrow(cut, schema)
+    out = texts.groupBy("dbucket").cogroup(spans.groupBy("dbucket")).applyInArrow(cut, schema)
+    return out if digest else out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def keep_texts(docs: DataFrame, length: int = 50, gram: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """remove_repeats() without the rows whose whole text went; null, empty and blank texts stay as they are."""
-    marked = docs.withColumn("_blank", F.trim(F.coalesce(F.col(text_col), F.lit(""))) == "")
-    return remove_repeats(marked, length, gram, id_col, text_col).where(F.col("_blank") | (F.trim(text_col) != "")).select(*docs.columns)
+    rows = packed(docs, id_col, text_col).withColumn("blank", F.trim(F.coalesce("text", F.lit(""))) == "")
+    rows = rows.select(F.struct(*(F.col("row")[c].alias(c) for c in docs.columns if c != text_col)).alias("row"), "id", "text", "blank")
+    out = remove_repeats(rows, length, gram, "id", "text").where(F.col("blank") | (F.trim("text") != ""))
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -5,7 +5,9 @@ import itertools
 import random
 import re
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvane.llm import simhash, suffix_dedup
@@ -132,7 +134,7 @@ def brute(docs, size=50):
     for i, t in docs:
         b = (t or "").encode()
         for p in range(len(b) - size + 1):
-            seen[b[p : p + size]] = min(seen.get(b[p : p + size], 1 << 62), i)
+            seen[b[p : p + size]] = min(seen.get(b[p : p + size], i), i)
     for i, t in docs:
         b = (t or "").encode()
         gone = bytearray(len(b))
@@ -172,6 +174,40 @@ def test_repeats_with_shared_and_missing_ids(spark):
     assert got == sorted(brute(docs), key=str)
 
 
+def test_repeats_with_large_ids_hot_grams_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 0.3)
+    r = random.Random(9)
+    passage = "This passage of well over fifty bytes stands in two documents. "
+    docs = [(100, passage + "First end."), ((1 << 62) + 5, "Second. " + passage), ((1 << 62) + 5, passage + "third"), ((1 << 63) - 1, passage), (-(1 << 63), "x" * 70)]
+    docs += [(200 + i, "".join(r.choice("abcd ") for _ in range(60)) + "the very hot gram in the midst" + "".join(r.choice("abcd ") for _ in range(60))) for i in range(60)]
+    docs += [(300 + i, docs[5 + i][1][20:] + "tail") for i in range(0, 60, 7)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    hot = suffix_dedup.hot_grams(frame.withColumn("uid", F.col("doc_id")), len(docs), 50, 20)
+    assert len(hot)
+    got = sorted(tuple(x) for x in suffix_dedup.remove_repeats(frame, digest=True).collect())
+    assert got == sorted(brute(docs))
+    names = ["uid", "dbucket", "row", "id", "blank", "_h", "h", "bucket"]
+    wide = spark.createDataFrame([(i, passage + str(i), *(f"{c}{i}" for c in names)) for i in range(3)], ["doc_id", "text", *names])
+    out = suffix_dedup.keep_texts(wide).orderBy("doc_id").collect()
+    assert [(*x[:1], *x[2:]) for x in out] == [(i, *(f"{c}{i}" for c in names)) for i in range(3)]
+    one = simhash.dedup(wide.withColumns({"hash": F.lit("mine"), "text": F.lit(passage)})).collect()
+    assert len(one) == 1 and one[0]["hash"] == "mine" and one[0]["row"] == "row0"
+
+
+def test_refinement_by_bucket_pointers():
+    r = np.random.default_rng(4)
+    context = r.integers(0, 2, (40, 100)).astype(np.uint8)
+    context[20:, 10:70] = context[:20, 5:65]
+    of, off = (x.ravel() for x in np.mgrid[0:40, 0:31])
+    order = r.integers(0, 30, 40)[of]
+    strings = [context[i, k : k + 50].tobytes() for i, k in zip(of, off)]
+    least = {}
+    for t, o in zip(strings, order):
+        least[t] = min(o, least.get(t, 99))
+    want = np.array([o > least[t] for t, o in zip(strings, order)])
+    assert want.any() and (suffix_dedup.refine(context, of, off, order, 50) == want).all()
+
+
 def test_texts_without_repeats(spark):
     passage = "This passage of well over fifty bytes stands in two documents. "
     docs = [(1, passage + "First end.", "en"), (2, "Second start. " + passage, "en"), (3, passage, "en"), (4, None, None), (5, "", "x")]
