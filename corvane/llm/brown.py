@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import crc32_mod, deflated, inflated, materialize, shared_dir, shuffle_width, summed
+from corvane.llm.common import arrow_batches, crc32_mod, deflated, inflated, materialize, shared_dir, shuffle_width, summed
 from corvane.llm.tokens import batches
 
 SINGLE = 1 << 15  # marks codes of words seen once
@@ -99,6 +99,7 @@ def blocks_of(rows: DataFrame, block_bytes: int) -> DataFrame:
             if size >= block_bytes:
                 yield block(number, parts)
                 number, parts, size = number + 1, [], 0
+                pa.default_memory_pool().release_unused()
         if parts:
             yield block(number, parts)
 
@@ -507,10 +508,12 @@ def scores(blocks: DataFrame, model: Model) -> DataFrame:
     return own.groupBy("block").cogroup(_with_counts(model).groupBy("block")).applyInArrow(run, schema)
 
 
-def blocks_and_model(docs: DataFrame, n_classes: int = 48, core_words: int = 1_024, rounds: int = 12, settled: float = 2e-3, folds: int = 10, held_out_fold: int = 0, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+def blocks_and_model(docs: DataFrame, n_classes: int = 48, core_words: int = 1_024, rounds: int = 12, settled: float = 2e-3, folds: int = 10, held_out_fold: int = 0, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_mod(id_col, folds) == held_out_fold).alias("held_out"), F.col(text_col).alias("text"))
-    blocks = materialize(blocks_of(rows, block_bytes), "blocks")
-    return blocks, train(blocks, n_classes, core_words, rounds, settled)
+    with arrow_batches(docs.sparkSession, 1_000):
+        blocks = materialize(blocks_of(rows, block_bytes), "blocks")
+    with arrow_batches(docs.sparkSession, 4):
+        return blocks, train(blocks, n_classes, core_words, rounds, settled)
 
 
 def score(docs: DataFrame, **options) -> DataFrame:

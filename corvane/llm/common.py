@@ -38,6 +38,18 @@ def _shuffles_freed(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Jobs that start inside hand Python so many rows at a time, where rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, free: bool = True, to: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation.
 
@@ -46,7 +58,7 @@ def materialize(df: DataFrame, name: str, free: bool = True, to: str | None = No
     spark = df.sparkSession
     path = to or f"{shared_dir(spark)}-{name}"
     with _shuffles_freed(spark) if free else contextlib.nullcontext():
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", str(32 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
