@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _shuffles_freed(spark: SparkSession):
+def shuffles_freed(spark: SparkSession):
     """Shuffle files of the writes inside are deleted as soon as each write ends, not when the driver collects garbage."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
@@ -57,7 +57,7 @@ def materialize(df: DataFrame, name: str, free: bool = True, to: str | None = No
     """
     spark = df.sparkSession
     path = to or f"{shared_dir(spark)}-{name}"
-    with _shuffles_freed(spark) if free else contextlib.nullcontext():
+    with shuffles_freed(spark) if free else contextlib.nullcontext():
         df.write.mode("overwrite").option("parquet.block.size", str(32 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize
+from corvane.llm.common import materialize, shuffles_freed
 
 
 def even_capacities(total: int, shards: int) -> list[int]:
@@ -142,11 +142,9 @@ def rewrite(layout: Layout, folder: str) -> list[int]:
     if not changed:
         return changed
     to = layout.plan.where(F.col("shard").isin(*changed)).select("number", "shard", "slot", "old_shard")
-    out = layout.rows.select("number", "row").join(to, "number")
-    # Several files a shard, so that a large one is no single task.
-    spread = max(1, int(layout.rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // max(1, len(changed)))
-    out = out.withColumn("_part", F.pmod("slot", F.lit(spread))).repartition("shard", "_part").drop("_part")
-    out.write.partitionBy("shard").parquet(folder)
+    # Every task of the join writes to all shards, so that a large shard is no single task and rows are shuffled once.
+    with shuffles_freed(layout.rows.sparkSession):
+        layout.rows.select("number", "row").join(to, "number").write.partitionBy("shard").parquet(folder)
     return changed
 
 
