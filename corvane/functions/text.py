@@ -150,7 +150,7 @@ def parameters(blob: Column) -> Column:
     )
     return F.struct(
         F.regexp_replace(F.substring_index(head, PROMPT_END, 1), r"(?m)[\n\r]$", "").alias("prompt"),
-        F.when(head.contains(PROMPT_END), F.regexp_replace(_after(head, PROMPT_END), r"[\n\r]|(?i:Negative prompt:\s)", "")).otherwise(F.when(blob.isNotNull(), "")).alias("negative_prompt"),
+        F.when(head.contains(PROMPT_END), F.regexp_replace(_after(head, PROMPT_END), r"[\n\r]|(?i:Negative prompt:\s)", "")).alias("negative_prompt"),
         *(number(name).alias(c) for c, name in NUMBERS.items()),
         *(field_value(rest, name).alias(c) for c, name in TEXTS.items()),
         F.get(size, F.lit(0)).try_cast("int").alias("width"), F.get(size, F.lit(1)).try_cast("int").alias("height"),

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from corvane.operators import graph
 
 
-def tag_rollup(tags: DataFrame, file_tags: DataFrame, files: DataFrame) -> DataFrame:
+def tag_rollup(tags: DataFrame, file_tags: DataFrame, files: DataFrame, once: bool = False) -> DataFrame:
     """For every tag: files that hold it or a descendant, their bytes, and the file whose picture stands for it (the oldest).
 
-    file_tags: (file_id, tag_id) with ancestors, each pair once. Tags without files get 0, 0 and null.
+    file_tags: (file_id, tag_id) with ancestors; once: no pair stands there twice, as after propagate(). Tags without files get 0, 0 and null.
     """
-    held = file_tags.select("file_id", "tag_id").join(files.select("file_id", "size", "date_created"), "file_id")
+    pairs = file_tags.select("file_id", "tag_id")
+    held = (pairs if once else pairs.distinct()).join(files.select("file_id", "size", "date_created"), "file_id")
     sums = held.groupBy("tag_id").agg(F.count("*").alias("n_files"), F.sum("size").alias("total_size"), F.min(F.struct("date_created", "file_id")).alias("first"))
     out = tags.select("tag_id").join(sums, "tag_id", "left")
     return out.select("tag_id", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("total_size", F.lit(0)).alias("total_size"), F.col("first.file_id").alias("thumb_file"))

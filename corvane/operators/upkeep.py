@@ -122,7 +122,7 @@ def regenerated(t: TagTables, files: DataFrame) -> Derived:
     """All that follows from the edges, in one go: closure, what files and collections hold with ancestors, counts of tags."""
     closed = graph.closure(t.edges, t.tags)
     wide = graph.propagate(t.file_tags, closed, "file_id")
-    return Derived(closed, wide, graph.propagate(t.collection_tags, closed, "collection_id"), rollups.tag_rollup(t.tags, wide, files))
+    return Derived(closed, wide, graph.propagate(t.collection_tags, closed, "collection_id"), rollups.tag_rollup(t.tags, wide, files, once=True))
 
 
 def changed(before: DataFrame, after: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:

@@ -321,7 +321,7 @@ a AS (SELECT h.tag_id, count(*) AS n, sum(size) AS s, arg_min(file_id, (date_cre
 SELECT t.tag_id, coalesce(n, 0) AS n_files, CAST(coalesce(s, 0) AS BIGINT) AS total_size, coalesce(f, -1) AS thumb_file FROM tags t LEFT JOIN a USING (tag_id)"""
 )
 def tag_rollup(s, d):
-    out = rollups.tag_rollup(view(s, d, "tags"), graph.propagate(view(s, d, "file_tags"), closed(s, d), "file_id"), view(s, d, "files"))
+    out = rollups.tag_rollup(view(s, d, "tags"), graph.propagate(view(s, d, "file_tags"), closed(s, d), "file_id"), view(s, d, "files"), once=True)
     return out.withColumn("thumb_file", F.coalesce("thumb_file", F.lit(-1)))
 
 

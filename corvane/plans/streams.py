@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.session import table
+from corvane.session import shared_folder, table
 from corvane.streaming import events as ev
 
 
-def shared(spark: SparkSession) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/corvane').rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def event_fold(spark: SparkSession, folder: str) -> DataFrame:
     """The last event of each user, folded from a stream of the events table."""
-    home = shared(spark)
+    home = shared_folder(spark)
     rows = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
     rows.write.parquet(f"{home}/in")
     stream = ev.read_events(spark, f"{home}/in", rows.schema.simpleString()[7:-1].replace(":", " "))
@@ -27,7 +21,7 @@ def event_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_import(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct hashes stored by a stream of import rows."""
-    home = shared(spark)
+    home = shared_folder(spark)
     rows = table(spark, folder, "documents").select("doc_id", F.md5("text").alias("hash"))
     rows.write.parquet(f"{home}/in")
     stream = ev.read_events(spark, f"{home}/in", "doc_id long, hash string")

@@ -264,7 +264,7 @@ def test_sources(spark, tmp_path):
 
 def test_nearest_face_is_searched_among_all_rows(spark, tmp_path):
     spark.createDataFrame([(0, [0.0, 0.0]), (7, [0.1, 0.0]), (20, [5.0, 5.0]), (33, [5.0, 5.2]), (40, [9.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r["face_id"]: (r["tag_id"], round(r["distance"], 4)) for r in catalog.queries()["nearest_face_all"](spark, str(tmp_path)).collect()}
+    got = {r["face_id"]: (r["tag_id"], round(r["distance"], 4)) for r in catalog.queries()["nearest_face"](spark, str(tmp_path)).collect()}
     assert got == {0: ("7", 0.1), 20: ("33", 0.2)}
 
 
@@ -278,12 +278,11 @@ def test_entity_decode_keeps_all_pages(spark, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_whole_orders_and_patterns(spark):
     q = catalog.queries()
-    paths = [(r["depth"], r["path"]) for r in q["path_depth_sort_all"](spark, SF).collect()]
+    paths = [(r["depth"], r["path"]) for r in q["path_depth_sort"](spark, SF).collect()]
     assert len(paths) == catalog.view(spark, SF, "files").count() > 200 and paths == sorted(paths)
     n = catalog.view(spark, SF, "tags").count()
-    chips = [r["tag_id"] for r in q["chip_order_all"](spark, SF).collect()]
-    assert len(set(chips)) == n > 40 and chips[:40] == [r["tag_id"] for r in q["chip_order"](spark, SF).collect()]
-    assert q["tag_to_regex_all"](spark, SF).count() == n > q["tag_to_regex"](spark, SF).count()
+    assert len({r["tag_id"] for r in q["chip_order"](spark, SF).collect()}) == n > 40
+    assert q["tag_to_regex"](spark, SF).count() == n
 
 
 def test_fold_over_several_runs(spark, tmp_path):
@@ -304,3 +303,73 @@ def test_import_batch_run_again_keeps_its_rows(spark, tmp_path):
     events.import_stream(events.read_events(spark, f"{tmp_path}/in", schema), f"{tmp_path}/store", f"{tmp_path}/state")
     stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/store").collect()
     assert sorted(r["hash"] for r in stored) == ["a", "b", "c"]
+
+
+def test_import_into_a_store_that_holds_rows(spark, tmp_path):
+    schema = "id long, hash string"
+    spark.createDataFrame([(1, "a"), (2, "b")], schema).write.parquet(f"{tmp_path}/store/old")
+    spark.createDataFrame([(3, "b"), (4, "c"), (5, "c")], schema).write.parquet(f"{tmp_path}/in")
+    events.import_stream(events.read_events(spark, f"{tmp_path}/in", schema), f"{tmp_path}/store", f"{tmp_path}/state")
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/store").collect()
+    assert sorted(r["hash"] for r in stored) == ["a", "b", "c"]
+
+
+def test_throttled_import(spark, tmp_path):
+    schema = "id long, hash string"
+    spark.createDataFrame([(3, "b"), (4, "c")], schema).write.parquet(f"{tmp_path}/in")
+    query = events.import_stream(events.read_events(spark, f"{tmp_path}/in", schema), f"{tmp_path}/store", f"{tmp_path}/state", every="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/store").count() == 2
+
+
+def test_descending_ranks_and_selections(spark):
+    df = spark.createDataFrame([(i, None if i == 4 else i % 3) for i in range(10)], "id int, k int")
+    order = [r["id"] for r in search.ordered(df, "k", True, "id").collect()]
+    assert {r["id"]: r["rank"] for r in search.ranks(df, "k", "id", list(range(10)), True).collect()} == {i: n for n, i in enumerate(order)}
+    got = search.shift_select(df, "k", "id", order[6], [order[2], 99], True).collect()
+    assert {(r["id"], r["action"]) for r in got} == {*((i, "select") for i in order[3:7]), (99, "deselect")}
+
+
+def test_settings_over_defaults():
+    from corvane import config
+
+    got = config.load('{"file": {"search": {"pageSize": "250"}}, "imports": {"folderDelimiter": "::"}, "mine": 1}')
+    assert (config.page_size(got, "file"), config.page_size(got, "batch"), got["imports"]["folderDelimiter"], got["mine"]) == (250, 20, "::", 1)
+    assert config.load("not json") == config.load(None) == config.DEFAULTS
+
+
+def test_storage_of_places_with_one_name(spark):
+    from corvane.sources import files
+
+    held = spark.createDataFrame([(i, 1) for i in range(40)], "key int, size long").repartition(7)
+    got = [r["storage"] for r in files.choose_storage(held, [("x", 11), ("y", 10), ("x", 10)]).orderBy("key").collect()]
+    assert got == ["x"] * 10 + ["y"] * 10 + ["x"] * 10 + [None] * 10
+
+
+def test_folder_sidecars(spark, tmp_path):
+    from corvane.sources import files
+
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.jpg").write_bytes(b"1")
+    (tmp_path / "s" / "[[Collection]].json").write_text('{"tags": [{"label": "whole"}]}')
+    rows = files.listing(spark, str(tmp_path), ["jpg"])
+    assert files.with_folder_sidecars(rows, str(tmp_path)).first()["folder_tags"] == ["whole"]
+
+
+def test_sort_keys():
+    from corvane.operators import entities
+
+    assert entities.checked_key("tag", "label") == "label"
+    with pytest.raises(ValueError):
+        entities.checked_key("batch", "rating")
+    assert entities.EntityQuery().active() == 0 and entities.TagQuery(has_regex=True, compares={"count": (">", 1)}).active() == 2
+
+
+def test_parameters_are_read_from_the_settings_only(spark):
+    blob = 'Seed: of life, Model: T Ford\nNegative prompt: Steps of stone\nSteps: 20, Seed: 7, Model: m, Hires scale: 2, Clip skip: , Hashes: {"vae": "v1"}, Template: red cat, Negative Template: dog\r'
+    p = spark.createDataFrame([(blob,), (None,), ("",), ("no settings",)], "b string").select(text.parameters(F.col("b")).alias("p"))
+    a, b, c, d = (r[0] for r in p.collect())
+    assert (a["prompt"], a["negative_prompt"], a["seed"], a["model"], a["hires_scale"], a["clip_skip"], a["vae_hash"]) == ("Seed: of life, Model: T Ford", "Steps of stone", 7.0, "m", 2.0, 0.0, "v1")
+    assert (a["template"], a["negative_template"]) == ("red cat,", "dog")
+    assert b["prompt"] is None and c["prompt"] == "" and d["prompt"] == "" and d["seed"] is None
