@@ -260,8 +260,8 @@ UNION ALL SELECT 'member', 'C' || batch_id, file_id || ':' || (row_number() OVER
 def complete_batches(s, d):
     was = view(s, d, "batches")
     none = s.createDataFrame([], "file_id long, tag_id string")
-    batches, made, members, tagged = imports.completed_batches(was, view(s, d, "batch_files"), view(s, d, "batch_tags"), none, F.lit("1999-01-01").cast("timestamp"))
-    closed_now = batches.where("is_completed and completed_at = timestamp '1999-01-01'")
+    batches, made, members, tagged = imports.completed_batches(was, view(s, d, "batch_files"), view(s, d, "batch_tags"), none, F.lit("2031-01-01").cast("timestamp"))
+    closed_now = batches.where("is_completed and completed_at = timestamp '2031-01-01'")
     out = closed_now.select(F.lit("batch").alias("kind"), F.col("batch_id").cast("string").alias("a"), F.coalesce("collection_id", F.lit("")).alias("b"))
     out = out.union(made.select(F.lit("collection"), "collection_id", F.concat_ws(":", "title", "n_files"))).union(members.select(F.lit("member"), "collection_id", F.concat_ws(":", "file_id", "idx")))
     return out.union(tagged.select(F.lit("tag"), F.col("file_id").cast("string"), "tag_id"))
