@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import dirname
+from corvane.session import cut
 
 
 def first_occurrence(members: DataFrame) -> DataFrame:
@@ -52,15 +53,20 @@ def preview(members: DataFrame, most: int = 8) -> DataFrame:
     return lists.select("collection_id", F.array_join(F.transform("x", lambda r: r["file_id"].cast("string")), ",").alias("file_ids"))
 
 
-def sets_of(members: DataFrame) -> DataFrame:
-    """(collection_id, n, key): size and a digest of the set of files."""
-    own = members.where("file_id is not null").select("collection_id", "file_id").distinct()
-    return own.groupBy("collection_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.col("file_id").cast("string"))), ","), 256).alias("key"))
+def sets_of(own: DataFrame) -> DataFrame:
+    """(collection_id, n, a, b): size and two digests of the set of files, added up without gathering it; own: distinct members."""
+    return own.groupBy("collection_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("file_id")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "file_id")).alias("b"))
 
 
 def equal_sets(members: DataFrame) -> DataFrame:
-    """(collection_id, kept): each collection and the least one with the same files."""
-    return sets_of(members).withColumn("kept", F.min("collection_id").over(Window.partitionBy("key"))).select("collection_id", "kept")
+    """(collection_id, kept): each collection and the least one with the same files. Sets of equal digests are compared file by file."""
+    own = members.where("file_id is not null").select("collection_id", "file_id").distinct()
+    sets = cut(sets_of(own))
+    least = sets.groupBy("n", "a", "b").agg(F.min("collection_id").alias("kept"))
+    pairs = sets.join(least, ["n", "a", "b"]).select("collection_id", "kept", "n")
+    other = own.select(F.col("collection_id").alias("kept"), "file_id")
+    same = pairs.where("collection_id <> kept").join(own, "collection_id").join(other, ["kept", "file_id"]).groupBy("collection_id", "kept", "n").agg(F.count("*").alias("c")).where("c = n")
+    return sets.select("collection_id").join(same.select("collection_id", "kept"), "collection_id", "left").select("collection_id", F.coalesce("kept", "collection_id").alias("kept"))
 
 
 def proper_subsets(members: DataFrame) -> DataFrame:
@@ -82,5 +88,5 @@ def proper_subsets(members: DataFrame) -> DataFrame:
 def repaired(members: DataFrame) -> DataFrame:
     """Equal sets once, no empty ones, places clean, no proper subsets."""
     kept = equal_sets(members).where("collection_id = kept").select("collection_id")
-    clean = cleaned(members.join(kept, "collection_id", "left_semi"))
+    clean = cut(cleaned(members.join(kept, "collection_id", "left_semi")))
     return clean.join(proper_subsets(clean), "collection_id", "left_anti")
