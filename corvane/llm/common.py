@@ -80,6 +80,18 @@ def shuffle_width(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def trim() -> None:
+    """Give memory that this Python worker no longer uses back to the system; workers live on from task to task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def deflated(values: np.ndarray) -> bytes:
     import zstandard
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize
+from corvane.llm.common import materialize, trim
 from corvane.llm.tokens import batches, encoder_for
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -67,6 +67,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id:
     step = 4 * max_tokens
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         encoder = encoder_for(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches(rows):

@@ -32,7 +32,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, packed, shuffle_width
+from corvane.llm.common import materialize, packed, shuffle_width, trim
+from corvane.llm.tokens import batches
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: The identifier of a gram keeps so many bits.
@@ -240,11 +241,10 @@ def hot_grams(docs: DataFrame, documents: int, length: int, gram: int) -> np.nda
     some = docs.where(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < int(part * (1 << 30)))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in batches(rows, CHUNK):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             *_, h, c, _, _ = anchors(b"".join(texts), np.array([len(t) for t in texts], np.int64), length, gram)
-            both = np.unique(np.stack([h.astype(np.uint64), c.astype(np.uint64)], 1), axis=0) if len(h) else np.empty((0, 2), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64))], ["h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.uint64).view(np.int64)), pa.array(c.astype(np.uint64).view(np.int64))], ["h", "c"])
 
     seen = some.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.count_distinct("c").alias("n")).where("n >= 25").select("h").toArrow()  # a 25th of the sample's anchors at most
     return np.sort(seen.column("h").to_numpy().astype(np.uint64))
@@ -324,6 +324,7 @@ def find_repeats(docs: DataFrame, shift: int, hot: np.ndarray, buckets: int, doc
             work_out()
         if entries:
             yield settle()
+        trim()
 
     def meet(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
@@ -350,6 +351,7 @@ def find_repeats(docs: DataFrame, shift: int, hot: np.ndarray, buckets: int, doc
         a = out_rows(0, spans, np.mod(spans["uid"], doc_buckets))
         b = out_rows(1, asks, np.mod(asks["uid"], doc_buckets))
         kinds, keys, data = ([*x, *y] for x, y in zip(a, b))
+        trim()
         found = pa.table({"kind": pa.array(kinds, pa.int32()), "dbucket": pa.array(keys, pa.int64()), "data": pa.array(data, pa.binary())})
         return pa.concat_tables([through.cast(found.schema), found])
 
@@ -397,6 +399,7 @@ def repeated_spans(rows: DataFrame, shift: int, length: int = 50, gram: int = 20
             for e, part in zip(edges, np.split(rows, edges[1:])):
                 keys.append(int(key[e]))
                 data.append(_deflate(part))
+        trim()
         return pa.table({"bucket": pa.array(keys, pa.int64()), "data": pa.array(data, pa.binary())})
 
     def settle(table: pa.Table) -> pa.Table:
@@ -406,12 +409,8 @@ def repeated_spans(rows: DataFrame, shift: int, length: int = 50, gram: int = 20
         gone = []
         edges = np.flatnonzero(_groups(rows["h"]))
         at = 0
-        while at < len(edges):  # whole grams together, about 100,000 strings a turn
-            to, strings = at, 0
-            while to < len(edges) and strings < 100_000:
-                end = edges[to + 1] if to + 1 < len(edges) else len(rows)
-                strings += int(rows["n"][edges[to] : end].sum())
-                to += 1
+        while at < len(edges):  # whole grams together, about 4,000 contexts a turn
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + 4_000)))
             a, b = edges[at], edges[to] if to < len(edges) else len(rows)
             part, context = rows[a:b], held[a:b]
             counts = part["n"].astype(np.int64)
@@ -430,6 +429,7 @@ def repeated_spans(rows: DataFrame, shift: int, length: int = 50, gram: int = 20
         spans, key = spans[by], key[by]
         edges = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.empty(0, np.int64)
         parts = np.split(spans, edges[1:]) if len(edges) else []
+        trim()
         return pa.table({"dbucket": pa.array([int(key[e]) for e in edges], pa.int64()), "data": pa.array([pack(p) for p in parts], pa.binary())})
 
     asked = found.where("kind = 1").groupBy("dbucket")
