@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.operators import graph, imports, joins, mutate, predicates, rollups, upkeep
+from corvane.operators import graph, imports, joins, mutate, rollups, upkeep
 from corvane.plans.registry import closed, closed_ctes, query
 from corvane.session import table
 from corvane.sources.adapters import ctes, view
@@ -86,7 +87,7 @@ f AS (SELECT DISTINCT file_id, kept AS tag_id FROM file_tags JOIN k ON tag_id =
 def repair_tags(s, d):
     t = tag_tables(s, d)
     rows = t.tags.select("tag_id", F.replace("label", F.lit("red"), F.lit("r&#101;d")).alias("label"), F.lit(0).alias("count"))
-    out = upkeep.repaired(upkeep.replace(t, tags=rows))
+    out = upkeep.repaired(replace(t, tags=rows))
     return counted(tags=out.tags, edges=out.edges, files=out.file_tags, collections=out.collection_tags, batches=out.batch_tags)
 
 
