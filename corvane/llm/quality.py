@@ -133,6 +133,10 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, bins: bool = False) -> floa
     return float(min(0.99, max(0.01, min(ratios))))
 
 
+#: How strongly weights are drawn to zero.
+DECAY = 3e-3
+
+
 def descend(weights: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float, steps: int, rate: float, seed: int) -> list[np.ndarray]:
     """Adam on the non-negative risk with the sigmoid loss, from these weights; p, u: positives and unlabelled, scaled."""
     rng = np.random.default_rng(seed)
@@ -162,6 +166,7 @@ def descend(weights: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: floa
             else:  # the part that can't be negative is: step back from it
                 g = [-(b + c) for b, c in zip(g_unl, g_neg)]
             t += 1
+            g = [x + DECAY * w for x, w in zip(g, weights)]
             for i in range(4):
                 m[i] = 0.9 * m[i] + 0.1 * g[i]
                 v[i] = 0.999 * v[i] + 0.001 * g[i] ** 2
