@@ -508,7 +508,7 @@ def scores(blocks: DataFrame, model: Model) -> DataFrame:
     return own.groupBy("block").cogroup(_with_counts(model).groupBy("block")).applyInArrow(run, schema)
 
 
-def blocks_and_model(docs: DataFrame, n_classes: int = 96, core_words: int = 1_024, rounds: int = 12, settled: float = 1e-4, folds: int = 10, held_out_fold: int = 0, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+def blocks_and_model(docs: DataFrame, n_classes: int = 48, core_words: int = 1_024, rounds: int = 12, settled: float = 1e-4, folds: int = 10, held_out_fold: int = 0, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_mod(id_col, folds) == held_out_fold).alias("held_out"), F.col(text_col).alias("text"))
     with arrow_batches(docs.sparkSession, 1_000):
         blocks = materialize(blocks_of(rows, block_bytes), "blocks")

@@ -38,16 +38,18 @@ def shuffles_freed(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
     """Jobs that start inside hand Python so many rows at a time, where rows are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def materialize(df: DataFrame, name: str, free: bool = True, to: str | None = None) -> DataFrame:
@@ -57,7 +59,8 @@ def materialize(df: DataFrame, name: str, free: bool = True, to: str | None = No
     """
     spark = df.sparkSession
     path = to or f"{shared_dir(spark)}-{name}"
-    with shuffles_freed(spark) if free else contextlib.nullcontext():
+    # Texts are large rows: a thousand of them at a time are enough for Python.
+    with arrow_batches(spark, min(1_000, int(spark.conf.get(ARROW_ROWS)))), shuffles_freed(spark) if free else contextlib.nullcontext():
         df.write.mode("overwrite").option("parquet.block.size", str(32 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -150,9 +150,13 @@ def rewrite(layout: Layout, folder: str) -> list[int]:
 
 def files(layout: Layout, folder: str, changed: list[int]) -> DataFrame:
     """row, shard, slot and old_shard of every row, read from the rewritten folder and, for shards that stay, from where they are."""
-    kept = layout.plan.where(~F.col("shard").isin(*changed)) if changed else layout.plan
-    stays = layout.rows.select("number", "row").join(kept.select("number", "shard", "slot", "old_shard"), "number")
+    names = ["row", "shard", "slot", "old_shard"]
+    whole = layout.rows.select("number", "row", F.col("old_shard").alias("_from"))
+    stay = sorted({r["shard"] for r in layout.plan.select("shard").distinct().collect()} - set(changed))  # at most one row per shard
+    # An unchanged shard has rows of its own only, so no others are read.
+    here = whole.where(F.col("_from").isin(*stay)).join(layout.plan.where(F.col("shard").isin(*stay)).drop("size", "text_crc32"), "number").select(names)
     if not changed:
-        return stays.select("row", "shard", "slot", "old_shard")
-    schema = layout.rows.select("number", "row").join(layout.plan.select("number", "slot", "old_shard", "shard"), "number").schema
-    return layout.rows.sparkSession.read.schema(schema).parquet(folder).select("row", "shard", "slot", "old_shard").unionByName(stays.select("row", "shard", "slot", "old_shard"))
+        return here
+    schema = whole.select("number", "row").join(layout.plan.select("number", "slot", "old_shard", "shard"), "number").schema
+    moved = layout.rows.sparkSession.read.schema(schema).parquet(folder).select(names)
+    return moved.unionByName(here) if stay else moved

@@ -228,10 +228,12 @@ def near_duplicates(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str
 
 def one_of_each(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of docs that each component of grouped names, once; columns stay."""
-    kept = grouped.select("component.doc_id", "component._h").distinct()
-    rows = packed(docs, id_col, text_col).select("row", "id", F.xxhash64("text").alias("hash"))
-    out = rows.join(kept, rows["id"].cast("long").eqNullSafe(kept["doc_id"]) & (rows["hash"] == kept["_h"]), "left_semi")
-    return unpacked(out.groupBy("id", "hash").agg(F.first("row").alias("row")), docs.columns)
+    # The join and the grouping have the same plain keys, so whole rows are shuffled once.
+    kept = grouped.select(F.coalesce("component.doc_id", F.lit(0)).alias("key"), F.col("component.doc_id").isNull().alias("none"), F.col("component._h").alias("hash")).distinct()
+    number = F.col("id").cast("long")
+    rows = packed(docs, id_col, text_col).select("row", F.coalesce(number, F.lit(0)).alias("key"), number.isNull().alias("none"), F.xxhash64("text").alias("hash"))
+    out = rows.join(kept, ["key", "none", "hash"], "left_semi").groupBy("key", "none", "hash").agg(F.first("row").alias("row"))
+    return unpacked(out, docs.columns)
 
 
 def dedup(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
