@@ -53,7 +53,7 @@ def place(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memo: int = 1_000_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and with_ids the packed ids.
 
     A document is its ids and then end_id, so null and empty texts make one piece of one token. Rows that share an id
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id:
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        encoder = encoder_for(tokenizer_path)
+        encoder = encoder_for(tokenizer_path, memo)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches(rows):
             out: list[tuple] = []
@@ -108,13 +108,13 @@ def pack(parts: DataFrame, max_tokens: int = 2048, group_size: int = 50_000) ->
     return keyed.groupBy("_group").applyInPandas(packed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_000_000) -> DataFrame:
     """Where each piece of each document goes: PIECES, sequence_id, offset. The pieces are tokenised once and kept in the shared folder.
 
     Null and empty texts are one piece of the end id; rows that share an id, have none or are repeated keep pieces of their
     own; no rows give none. Other columns of docs aren't read.
     """
-    return pack(materialize(pieces(docs, tokenizer_path, max_tokens, 0, id_col, text_col), "pieces"), max_tokens)
+    return pack(materialize(pieces(docs, tokenizer_path, max_tokens, 0, id_col, text_col, memo=memo), "pieces"), max_tokens)
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,13 +49,13 @@ class WordEncoder:
 
 
 #: Encoders of this worker process: tasks that follow each other find the words known.
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder_for(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder_for(path: str, memo: int = 1_000_000) -> WordEncoder:
+    if (path, memo) not in _ENCODERS:
+        _ENCODERS[path, memo] = WordEncoder(path, memo)
+    return _ENCODERS[path, memo]
 
 
 def batches(rows, size: int = 4 << 20):
