@@ -52,7 +52,7 @@ def arrow_batches(spark: SparkSession, rows: int):
         spark.conf.set(ARROW_ROWS, before)
 
 
-def materialize(df: DataFrame, name: str, free: bool = True, to: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = True, to: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation.
 
     A path in `to` is written over: what stood there, which df must not read, is no longer needed.
@@ -61,7 +61,7 @@ def materialize(df: DataFrame, name: str, free: bool = True, to: str | None = No
     path = to or f"{shared_dir(spark)}-{name}"
     # Texts are large rows: a thousand of them at a time are enough for Python.
     with arrow_batches(spark, min(1_000, int(spark.conf.get(ARROW_ROWS)))), shuffles_freed(spark) if free else contextlib.nullcontext():
-        df.write.mode("overwrite").option("parquet.block.size", str(32 << 20)).parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", str(32 << 20)).option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -97,7 +97,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 1
         F.coalesce(F.pmod(old_shard, F.lit(old_shards)), F.lit(0)).cast("int").alias("old_shard"),
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
     )
-    whole = materialize(rows, "rows")
+    whole = materialize(rows, "rows", compression="zstd")
     rows = whole.drop("row")
     found = {r["old_shard"]: (r["bytes"], r["n"]) for r in rows.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}  # one row per old shard
     old = [found.get(i, (0, 0))[0] for i in range(old_shards)]
@@ -144,7 +144,7 @@ def rewrite(layout: Layout, folder: str) -> list[int]:
     to = layout.plan.where(F.col("shard").isin(*changed)).select("number", "shard", "slot", "old_shard")
     # Every task of the join writes to all shards, so that a large shard is no single task and rows are shuffled once.
     with shuffles_freed(layout.rows.sparkSession):
-        layout.rows.select("number", "row").join(to, "number").write.partitionBy("shard").parquet(folder)
+        layout.rows.select("number", "row").join(to, "number").write.partitionBy("shard").option("compression", "zstd").parquet(folder)
     return changed
 
 
