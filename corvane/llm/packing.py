@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, trim
-from corvane.llm.tokens import batches, encoder_for
+from corvane.llm.tokens import batches, encoder_for, forget_encoders
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,9 +53,11 @@ def place(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memo: int = 1_000_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memo: int = 1_000_000, keep: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and with_ids the packed ids.
 
+    memo: words an encoder remembers; keep: whether it outlives the task, for those that follow in the same worker.
+
     A document is its ids and then end_id, so null and empty texts make one piece of one token. Rows that share an id
     or are repeated make pieces of their own.
     """
@@ -80,6 +82,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id:
             cols = list(zip(*out))
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [f.strip().split()[0] for f in schema.split(",")])
+        if not keep:
+            del encoder
+            forget_encoders()
+            trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
@@ -108,13 +114,13 @@ def pack(parts: DataFrame, max_tokens: int = 2048, group_size: int = 50_000) ->
     return keyed.groupBy("_group").applyInPandas(packed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_000_000, keep: bool = True) -> DataFrame:
     """Where each piece of each document goes: PIECES, sequence_id, offset. The pieces are tokenised once and kept in the shared folder.
 
     Null and empty texts are one piece of the end id; rows that share an id, have none or are repeated keep pieces of their
-    own; no rows give none. Other columns of docs aren't read.
+    own; no rows give none. Other columns of docs aren't read. memo and keep: as in pieces().
     """
-    return pack(materialize(pieces(docs, tokenizer_path, max_tokens, 0, id_col, text_col, memo=memo), "pieces"), max_tokens)
+    return pack(materialize(pieces(docs, tokenizer_path, max_tokens, 0, id_col, text_col, memo=memo, keep=keep), "pieces"), max_tokens)
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from corvane.llm.common import LOWER_TABLE, crc32_mod, deflated, materialize, summed
+from corvane.llm.common import LOWER_TABLE, crc32_mod, deflated, materialize, summed, trim
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = 20
@@ -200,6 +200,7 @@ def featured(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_c
         for batch in rows:
             found = [features(t, common) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], ["id", "x"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, x array<float>")
 
@@ -308,6 +309,7 @@ def _marked(docs: DataFrame, model: Model | None, threshold: float, text_col: st
             texts = batch.column(0).field(at).to_pylist()
             s = model.score(np.array([features(t, model.common) for t in texts]).reshape(len(texts), FEATURES)) if model else np.ones(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["row", "score", "predicted"])
+        trim()
 
     schema = StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return rows.mapInArrow(run, schema)

@@ -58,6 +58,11 @@ def encoder_for(path: str, memo: int = 1_000_000) -> WordEncoder:
     return _ENCODERS[path, memo]
 
 
+def forget_encoders() -> None:
+    """Free this worker's encoders and what they remember, where later stages need the memory more than the words."""
+    _ENCODERS.clear()
+
+
 def batches(rows, size: int = 4 << 20):
     """Arrow batches cut so that their texts (column "text") hold about so many bytes each."""
     import pyarrow.compute as pc
