@@ -5,42 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import cut
-
-MOST_ROUNDS = 32
-
-
-def closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(tag, ancestor, depth) with every tag's self at depth 0; least depth where there are several paths. Cycles end.
-
-    Semi-naive rounds: only pairs found last are followed. nodes (tag_id) adds tags without edges.
-    """
-    links = edges.select("child", "parent").distinct()
-    tags = links.select(F.col("child").alias("tag")).union(links.select("parent"))
-    tags = (tags.union(nodes.select("tag_id")) if nodes is not None else tags).distinct()
-    seen = cut(tags.select("tag", F.col("tag").alias("ancestor"), F.lit(0).alias("depth")))
-    fresh = seen
-    for depth in range(1, MOST_ROUNDS + 1):
-        step = fresh.join(links, fresh["ancestor"] == links["child"]).select("tag", F.col("parent").alias("ancestor")).distinct()
-        fresh = cut(step.join(seen, ["tag", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if fresh.isEmpty():
-            return seen
-        seen = seen.unionByName(fresh)
-    raise ValueError(f"the hierarchy is deeper than {MOST_ROUNDS}")
-
+from corvane.operators.reach import Delta, closure, closure_delta, components, held_delta, reached, with_delta  # noqa: F401 - part of this module's interface
+from corvane.session import cut, union
 
 def below(edges: DataFrame, ids: list) -> DataFrame:
     """(root, tag): the asked tags and everything under each, once. Only what hangs under them is walked; cycles end."""
-    links = edges.select("child", "parent")
-    spark = edges.sparkSession
-    fresh = seen = spark.createDataFrame([(i, i) for i in dict.fromkeys(ids)], "root string, tag string")
-    for _ in range(MOST_ROUNDS):
-        step = fresh.join(links, fresh["tag"] == links["parent"]).select("root", F.col("child").alias("tag")).distinct()
-        fresh = cut(step.join(seen, ["root", "tag"], "left_anti"))
-        if fresh.isEmpty():
-            return seen
-        seen = seen.unionByName(fresh)
-    raise ValueError(f"the hierarchy is deeper than {MOST_ROUNDS}")
+    start = edges.sparkSession.createDataFrame([(i, i) for i in dict.fromkeys(ids)], "root string, node string")
+    return reached(start, edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))).select("root", F.col("node").alias("tag"))
 
 
 def with_tags_chosen(rows: DataFrame, members: DataFrame, edges: DataFrame, choice, owner: str, tag: str = "tag_id") -> DataFrame:
@@ -107,8 +78,27 @@ def without_tags(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select(F.col("tag_id").alias("child")), "child", "left_anti").join(gone.select(F.col("tag_id").alias("parent")), "parent", "left_anti").select("child", "parent")
 
 
+def resolved_merges(merges: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(gone, kept) where kept is what is left in the end: chains and merges that share a tag come together as components.
+
+    In each component the tag stays that goes in no merge; of several that with the highest count (counts: tag_id, count),
+    then the least id, and the others go too. Where none is left, the merges are a cycle and a ValueError is raised.
+    """
+    pairs = merges.select("gone", "kept").where("gone <> kept").distinct()
+    parts = components(pairs.select(F.col("gone").alias("a"), F.col("kept").alias("b")))
+    marked = parts.join(pairs.select(F.col("gone").alias("node"), F.lit(True).alias("_goes")).distinct(), "node", "left")
+    if counts is not None:
+        marked = marked.join(counts.select(F.col("tag_id").alias("node"), F.col("count").alias("_count")), "node", "left")
+    rank = F.coalesce("_count", F.lit(0)) if counts is not None else F.lit(0)
+    stays = F.min(F.when(F.col("_goes").isNull(), F.struct((-rank).alias("c"), "node")))["node"]
+    chosen = cut(marked.groupBy("root").agg(stays.alias("kept")))
+    if not chosen.where("kept is null").isEmpty():
+        raise ValueError("merges lead back to a tag that goes")
+    return cut(parts.join(chosen, "root").select(F.col("node").alias("gone"), "kept").where("gone <> kept"))
+
+
 def merged_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
-    """Edges after merges (gone, kept): ends renamed, loops dropped, once each."""
+    """Edges after merges (gone, kept), each tag once in gone: ends renamed, loops dropped, once each. For chains see resolved_merges()."""
     m = merges.select("gone", "kept")
     out = edges.join(m, edges["child"] == m["gone"], "left").select(F.coalesce("kept", "child").alias("child"), "parent")
     out = out.join(m, out["parent"] == m["gone"], "left").select("child", F.coalesce("kept", "parent").alias("parent"))
@@ -166,19 +156,19 @@ def inherit_category(tags: DataFrame, closed: DataFrame) -> DataFrame:
 
 def tree(labels: DataFrame) -> DataFrame:
     """(label, path, depth) from labels with parents (label, parent_label), case aside: roots have none, and each label
-    stands under every path of its parents; the least spelling of a label counts."""
+    stands under every path of its parents; the least spelling of a label counts. No path holds a label twice, so what
+    hangs in a cycle under a root ends before it would come again; cycles that no root leads to have no path."""
     rows = labels.select(F.lower("label").alias("key"), "label", F.lower("parent_label").alias("up"))
     spelled = rows.groupBy("key").agg(F.min("label").alias("label"), F.max("up").alias("any_up"))
-    links = rows.where("up is not null and up <> key").select("key", "up").distinct().join(spelled.select("key", "label"), "key")
-    level = cut(spelled.where("any_up is null").select("key", "label", F.col("label").alias("path"), F.lit(0).alias("depth")))
-    seen = level
-    for depth in range(1, MOST_ROUNDS + 1):
-        above = level.select(F.col("key").alias("up"), F.col("path").alias("_path"))
-        level = cut(links.join(above, "up").select("key", "label", F.concat("_path", F.lit("/"), "label").alias("path"), F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            return seen.select("label", "path", "depth")
-        seen = seen.unionByName(level)
-    raise ValueError(f"the hierarchy is deeper than {MOST_ROUNDS}")
+    links = cut(rows.where("up is not null and up <> key").select("key", "up").distinct().join(spelled.select("key", "label"), "key"))
+    level = cut(spelled.where("any_up is null").select("key", "label", F.col("label").alias("path"), F.array("key").alias("keys"), F.lit(0).alias("depth")))
+    found = []
+    while not level.isEmpty():
+        found.append(level.select("label", "path", "depth"))
+        above = level.select(F.col("key").alias("up"), F.col("path").alias("_path"), F.col("keys").alias("_keys"), "depth")
+        step = links.join(above, "up").where(~F.array_contains("_keys", F.col("key")))
+        level = cut(step.select("key", "label", F.concat("_path", F.lit("/"), "label").alias("path"), F.array_append("_keys", F.col("key")).alias("keys"), (F.col("depth") + 1).alias("depth")))
+    return union(found) if found else level.select("label", "path", "depth")
 
 
 def paths_to_tags(paths: DataFrame, col: str = "path") -> DataFrame:
@@ -186,8 +176,3 @@ def paths_to_tags(paths: DataFrame, col: str = "path") -> DataFrame:
     parts = F.filter(F.split(col, "/"), lambda p: p != "")
     rows = paths.select(F.posexplode(parts).alias("depth", "label"), parts.alias("parts"))
     return rows.select("label", F.when(F.col("depth") > 0, F.get("parts", F.col("depth") - 1)).alias("parent_label"), "depth").distinct()
-
-
-def first_per(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The first row of each key in an order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.collections import first_occurrence, reindexed
@@ -12,16 +12,21 @@ from corvane.operators.joins import known_hashes
 def statuses(rows: DataFrame, files: DataFrame, tombstones: DataFrame, ignore_deleted: bool | Column = True) -> DataFrame:
     """rows (batch_id, pos, hash, error flag) with result: ERROR, DUPLICATE, DELETED or COMPLETE.
 
-    A stored hash is a duplicate, then one deleted before is refused where the batch says so; of equal hashes to be
-    imported the first by batch and place is complete and the others are duplicates.
+    A file that failed or could not be hashed (null) is an error. A stored hash is a duplicate, then one deleted before is
+    refused where the batch says so; of equal hashes to be imported the first by batch and place is complete and the others
+    are duplicates.
     """
     refuse = ignore_deleted if isinstance(ignore_deleted, Column) else F.lit(ignore_deleted)
     marked = known_hashes(rows, files, tombstones)
     failed = F.coalesce(F.col("failed"), F.lit(False)) if "failed" in rows.columns else F.lit(False)
-    early = F.when(failed, "ERROR").when(F.col("is_duplicate"), "DUPLICATE").when(F.col("is_deleted") & refuse, "DELETED")
+    early = F.when(failed | F.col("hash").isNull(), "ERROR").when(F.col("is_duplicate"), "DUPLICATE").when(F.col("is_deleted") & refuse, "DELETED")
     marked = marked.withColumn("_early", early)
-    first = F.row_number().over(Window.partitionBy("hash", F.col("_early").isNull()).orderBy("batch_id", "pos"))
-    return marked.withColumn("result", F.coalesce("_early", F.when(first == 1, "COMPLETE").otherwise("DUPLICATE"))).drop("_early")
+    # The first file of each hash, by an aggregate that adds up before the shuffle; no hash, however common, is one task's window.
+    place = F.struct("batch_id", "pos")
+    firsts = marked.where("_early is null").groupBy("hash").agg(F.min(place).alias("_first"))
+    firsts = firsts.select(F.col("_first.batch_id").alias("batch_id"), F.col("_first.pos").alias("pos"), F.lit(True).alias("_is_first"))
+    out = marked.join(firsts, ["batch_id", "pos"], "left")
+    return out.withColumn("result", F.coalesce("_early", F.when(F.col("_is_first"), "COMPLETE").otherwise("DUPLICATE"))).select(*rows.columns, "is_duplicate", "is_deleted", "result")
 
 
 def folder_tags(folders: DataFrame, root_index: int = 0, mode: str = "hierarchical", collection: str = "withTag", flatten_to: int | None = None) -> DataFrame:
@@ -50,12 +55,6 @@ def effective_tags(rows: DataFrame, batch_tags: DataFrame, file_tags: DataFrame)
     return own.unionByName(file_tags.select("batch_id", "pos", "tag_id")).distinct()
 
 
-def completed(batches: DataFrame, results: DataFrame) -> DataFrame:
-    """batches whose rows are all settled, with the files for their collection (complete or duplicate)."""
-    state = results.groupBy("batch_id").agg(F.count_if(F.col("result") == "PENDING").alias("pending"), F.count_if(F.col("result").isin("COMPLETE", "DUPLICATE")).alias("n_collected"))
-    return batches.join(state, "batch_id").where("pending = 0").drop("pending")
-
-
 def completed_batches(batches: DataFrame, imports: DataFrame, batch_tags: DataFrame, file_tags: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(batches, collections, members, file_tags) after batches with nothing pending are closed.
 

@@ -35,9 +35,10 @@ def update(rows: DataFrame, changes: DataFrame, id_col: str, nulls: tuple = ())
 
 
 def upsert(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New keys are added, known ones left as they are."""
+    """New keys are added, known ones left as they are. Null is a key like any other: it is added once."""
     fresh = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in new.columns if c != key] or [key]))).where("_n = 1").drop("_n")
-    return rows.unionByName(fresh.join(rows.select(key), key, "left_anti").select(*new.columns), allowMissingColumns=True)
+    known = rows.select(F.col(key).alias("_known")).distinct()
+    return rows.unionByName(fresh.join(known, fresh[key].eqNullSafe(known["_known"]), "left_anti").select(*new.columns), allowMissingColumns=True)
 
 
 def steps(start: DataFrame, *changes: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -55,12 +55,18 @@ def deleted(t: TagTables, gone: DataFrame) -> TagTables:
 
 def merged(t: TagTables, merges: DataFrame) -> TagTables:
     """After merges (gone, kept): holders keep the kept tag once, edges are renamed, the gone tags go, and what is
-    written in merges as label, aliases or regex stands in the kept tag."""
+    written in merges as label, aliases or regex stands in the kept tag.
+
+    Merges may follow each other and share tags (see graph.resolved_merges()): no row names a tag that is gone. Values come
+    from the merge that names the tag that is left, of several from the one with the least gone tag.
+    """
+    asked, counts = merges, t.tags.select("tag_id", "count") if "count" in t.tags.columns else None
+    merges = graph.resolved_merges(merges, counts)
     held = {n: graph.merged_members(getattr(t, n), merges, owner) for n, owner in (("file_tags", "file_id"), ("collection_tags", "collection_id"), ("batch_tags", "batch_id"))}
     tags = mutate.delete(t.tags, merges.select(F.col("gone").alias("tag_id")), "tag_id")
-    values = [c for c in ("label", "aliases", "regex") if c in merges.columns]
+    values = [c for c in ("label", "aliases", "regex") if c in asked.columns]
     if values:
-        first = merges.groupBy(F.col("kept").alias("tag_id")).agg(*(F.min_by(c, "gone").alias(c) for c in values))
+        first = asked.groupBy(F.col("kept").alias("tag_id")).agg(*(F.min_by(c, "gone").alias(c) for c in values))
         tags = mutate.update(tags, first, "tag_id")
     return TagTables(tags=tags, edges=graph.merged_edges(t.edges, merges), **held)
 
@@ -125,6 +131,18 @@ def regenerated(t: TagTables, files: DataFrame) -> Derived:
     return Derived(closed, wide, graph.propagate(t.collection_tags, closed, "collection_id"), rollups.tag_rollup(t.tags, wide, files, once=True))
 
 
+def closure_after(before: TagTables, closed: DataFrame, after: TagTables) -> tuple[DataFrame, graph.Delta]:
+    """((tag, ancestor), delta): the closure after a change of tags and edges, made from the one before it by what changed."""
+    ends = ["child", "parent"]
+    was, now = before.edges.select(*ends).distinct(), after.edges.select(*ends).distinct()
+    delta = graph.closure_delta(closed, was, now.join(was, ends, "left_anti"), was.join(now, ends, "left_anti"))
+    self_of = lambda tags: tags.select(F.col("tag_id").alias("tag"), F.col("tag_id").alias("ancestor"))
+    old, new = self_of(before.tags), self_of(after.tags)
+    named = ["tag", "ancestor"]
+    delta = graph.Delta(delta.added.unionByName(new.join(closed.select(*named), named, "left_anti")).distinct(), delta.removed.unionByName(old.join(new, named, "left_anti")).distinct())
+    return graph.with_delta(closed, delta), delta
+
+
 def changed(before: DataFrame, after: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:
     """Owners whose sets of tags differ between two frames of (owner, tag)."""
     a, b = before.select(owner, tag).distinct(), after.select(owner, tag).distinct()

@@ -158,7 +158,7 @@ def ancestor_labels(s, d):
 
 @query(
     f"""WITH {ctes('doc_files', 'tombstones')}, stored AS (SELECT hash FROM doc_files WHERE file_id % 3 = 0)
-SELECT file_id, hash IN (SELECT hash FROM stored) AS is_duplicate, hash IN (SELECT hash FROM tombstones) AS is_deleted FROM doc_files"""
+SELECT file_id, EXISTS (SELECT 1 FROM stored s WHERE s.hash = f.hash) AS is_duplicate, EXISTS (SELECT 1 FROM tombstones t WHERE t.hash = f.hash) AS is_deleted FROM doc_files f"""
 )
 def dedup_probe(s, d):
     rows = view(s, d, "doc_files")
@@ -235,6 +235,44 @@ def descendant_closure(s, d):
     return closed(s, d).groupBy(F.col("ancestor").alias("tag")).agg(F.count("*").alias("n_descendants"))
 
 
+#: Edits of the hierarchy that leave and take diamonds: one edge in some classes goes, groups come under others, a new tag stands between.
+EDITS_SQL = """gone AS (SELECT child, parent FROM edges WHERE (child LIKE 'N%' AND length(child) = 2) OR (parent LIKE 'Y:%' AND length(parent) % 2 = 0)),
+new AS (SELECT 'R1' AS child, 'R2' AS parent UNION SELECT DISTINCT parent, 'R0' FROM edges WHERE parent LIKE 'B:%' UNION SELECT 'N3', 'R4' UNION SELECT 'between', 'N15' UNION SELECT child, 'between' FROM edges WHERE parent = 'N16'),
+e2 AS (SELECT child, parent FROM edges EXCEPT SELECT * FROM gone UNION SELECT * FROM new EXCEPT SELECT * FROM gone),
+up2 AS (SELECT child AS tag, parent AS ancestor FROM e2 UNION SELECT u.tag, e.parent FROM up2 u JOIN e2 e ON u.ancestor = e.child),
+closed2 AS (SELECT tag_id AS tag, tag_id AS ancestor FROM tags UNION SELECT 'between', 'between' UNION SELECT tag, ancestor FROM up2)"""
+
+
+def edited(s, d):
+    """(closure before, its delta, added edges, removed edges) of the edits in EDITS_SQL."""
+    e = view(s, d, "edges")
+    gone = e.where("(child like 'N%' and length(child) = 2) or (parent like 'Y:%' and length(parent) % 2 = 0)")
+    few = s.createDataFrame([("R1", "R2"), ("N3", "R4"), ("between", "N15")], "child string, parent string")
+    new = few.unionByName(e.where("parent like 'B:%'").select(F.col("parent").alias("child"), F.lit("R0").alias("parent"))).unionByName(e.where("parent = 'N16'").select("child", F.lit("between").alias("parent")))
+    before = closed(s, d).select("tag", "ancestor")
+    return before, graph.closure_delta(before, e, new, gone)
+
+
+@query(
+    closed_ctes()
+    + f""", {EDITS_SQL} SELECT 'added' AS change, * FROM (SELECT tag, ancestor FROM closed2 EXCEPT SELECT tag, ancestor FROM closed) UNION ALL SELECT 'removed', * FROM (SELECT tag, ancestor FROM closed EXCEPT SELECT tag, ancestor FROM closed2)"""
+)
+def closure_delta(s, d):
+    _, delta = edited(s, d)
+    return delta.added.withColumn("change", F.lit("added")).unionByName(delta.removed.withColumn("change", F.lit("removed")))
+
+
+@query(
+    closed_ctes("file_tags")
+    + f""", {EDITS_SQL}, w1 AS (SELECT DISTINCT file_id, ancestor AS tag_id FROM file_tags JOIN closed ON tag_id = tag), w2 AS (SELECT DISTINCT file_id, ancestor AS tag_id FROM file_tags JOIN closed2 ON tag_id = tag)
+SELECT 'added' AS change, * FROM (SELECT * FROM w2 EXCEPT SELECT * FROM w1) UNION ALL SELECT 'removed', * FROM (SELECT * FROM w1 EXCEPT SELECT * FROM w2)"""
+)
+def file_closure_delta(s, d):
+    before, delta = edited(s, d)
+    own = graph.held_delta(view(s, d, "file_tags"), before, graph.with_delta(before, delta), delta, "file_id")
+    return own.added.withColumn("change", F.lit("added")).unionByName(own.removed.withColumn("change", F.lit("removed")))
+
+
 @query(closed_ctes("file_tags") + " SELECT file_id, string_agg(DISTINCT ancestor, ',' ORDER BY ancestor) AS tags FROM file_tags JOIN closed ON tag_id = tag GROUP BY 1")
 def file_closure(s, d):
     wide = graph.materialised(graph.propagate(view(s, d, "file_tags"), closed(s, d), "file_id"), "file_id")
@@ -599,7 +637,7 @@ def splice_check(s, d):
 
 @query(
     f"""WITH {ctes('import_rows')}, stored AS (SELECT DISTINCT hash FROM import_rows WHERE batch_id % 9 = 0), dead AS (SELECT DISTINCT hash FROM import_rows WHERE batch_id % 8 = 0),
-r AS (SELECT batch_id, pos, hash, CASE WHEN hash IN (SELECT hash FROM stored) THEN 'DUPLICATE' WHEN hash IN (SELECT hash FROM dead) AND batch_id % 2 = 0 THEN 'DELETED' END AS early FROM import_rows)
+r AS (SELECT batch_id, pos, hash, CASE WHEN hash IS NULL THEN 'ERROR' WHEN hash IN (SELECT hash FROM stored WHERE hash IS NOT NULL) THEN 'DUPLICATE' WHEN hash IN (SELECT hash FROM dead WHERE hash IS NOT NULL) AND batch_id % 2 = 0 THEN 'DELETED' END AS early FROM import_rows)
 SELECT batch_id, pos, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY hash, early IS NULL ORDER BY batch_id, pos) = 1 THEN 'COMPLETE' ELSE 'DUPLICATE' END) AS result FROM r"""
 )
 def import_ladder(s, d):

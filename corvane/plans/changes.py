@@ -104,6 +104,22 @@ def tag_merge_kept(s, d):
     return out.tags.select(F.lit("tag").alias("kind"), F.col("tag_id").alias("a"), F.col("label").alias("b")).union(out.edges.select(F.lit("edge"), "child", "parent")).union(files.select(F.lit("files"), "tag_id", "b"))
 
 
+@query(
+    f"""WITH {ctes('tags', 'edges', *ALL)}, {HOLDERS}, m AS (SELECT 'P' || p_partkey AS gone, 'P' || (p_partkey - p_partkey % 50 + 4) AS kept FROM part WHERE p_partkey % 50 BETWEEN 1 AND 3),
+t AS (SELECT tag_id FROM tags WHERE tag_id NOT IN (SELECT gone FROM m)), e AS (SELECT DISTINCT coalesce(a.kept, child) AS child, coalesce(b.kept, parent) AS parent FROM edges LEFT JOIN m a ON child = a.gone LEFT JOIN m b ON parent = b.gone),
+f AS (SELECT DISTINCT file_id, coalesce(kept, tag_id) AS tag_id FROM file_tags LEFT JOIN m ON tag_id = gone), c AS (SELECT DISTINCT collection_id, coalesce(kept, tag_id) AS tag_id FROM coll_tags LEFT JOIN m ON tag_id = gone), b AS (SELECT DISTINCT batch_id, coalesce(kept, tag_id) AS tag_id FROM batch_tags LEFT JOIN m ON tag_id = gone) """
+    + counted_sql(tags=("t", "tag_id"), edges=("e", "child"), files=("f", "tag_id"), collections=("c", "tag_id"), batches=("b", "tag_id"))
+)
+def tag_merge_chain(s, d):
+    """Every first, second and third of fifty tags is merged into the next one, so the fourth is left of four."""
+    k = F.col("p_partkey")
+    name = lambda x: F.concat(F.lit("P"), x.cast("string"))
+    merges = table(s, d, "part").where((k % 50).between(1, 3)).select(name(k).alias("gone"), name(k + 1).alias("kept"))
+    out = upkeep.merged(tag_tables(s, d), merges)
+    held = {n: getattr(out, f"{t}_tags").select("tag_id") for n, t in (("files", "file"), ("collections", "collection"), ("batches", "batch"))}
+    return counted(tags=out.tags, edges=out.edges, **held)
+
+
 @query(
     closed_ctes()
     + """, ed(tag, other, kind, action) AS (VALUES ('N1', 'W', 'child', 'add'), ('N1', 'S1', 'child', 'add'), ('N2', 'S1', 'child', 'add'), ('R2', 'N3', 'parent', 'add'), ('P5', 'Y:STANDARD', 'parent', 'add'), ('K1', 'N1', 'parent', 'remove'), ('R1', 'R1', 'parent', 'add'), ('S2', 'S3', 'parent', 'add')),
@@ -153,14 +169,16 @@ def label_existence(s, d):
 
 
 @query(
-    f"""WITH RECURSIVE {ctes('tags', 'edges')}, l AS (SELECT lower(a.label) AS key, lower(b.label) AS up FROM edges JOIN tags a ON a.tag_id = child JOIN tags b ON b.tag_id = parent WHERE a.tag_id NOT LIKE 'P%' AND a.tag_id NOT LIKE 'K%'
-  UNION SELECT 'world', NULL), sp AS (SELECT lower(label) AS key, min(label) AS label FROM tags WHERE tag_id NOT LIKE 'P%' AND tag_id NOT LIKE 'K%' GROUP BY 1),
-t AS (SELECT 'world' AS key, 'World' AS label, 'World' AS path, 0 AS depth UNION ALL SELECT l.key, sp.label, t.path || '/' || sp.label, t.depth + 1 FROM t JOIN l ON l.up = t.key JOIN sp ON sp.key = l.key) SELECT DISTINCT label, path, depth FROM t"""
+    f"""WITH RECURSIVE {ctes('tags', 'edges')}, r AS (SELECT lower(a.label) AS key, lower(b.label) AS up FROM edges JOIN tags a ON a.tag_id = child JOIN tags b ON b.tag_id = parent
+  UNION SELECT lower(label), NULL FROM tags WHERE tag_id NOT IN (SELECT child FROM edges)), l AS (SELECT * FROM r WHERE up IS NOT NULL AND up <> key), sp AS (SELECT lower(label) AS key, min(label) AS label FROM tags GROUP BY 1),
+t AS (SELECT key, label, label AS path, [key] AS keys, 0 AS depth FROM sp WHERE key NOT IN (SELECT key FROM r WHERE up IS NOT NULL)
+  UNION ALL SELECT l.key, sp.label, t.path || '/' || sp.label, list_append(t.keys, l.key), t.depth + 1 FROM t JOIN l ON l.up = t.key JOIN sp ON sp.key = l.key WHERE NOT list_contains(t.keys, l.key)) SELECT label, path, depth FROM t"""
 )
 def label_tree(s, d):
-    tags = view(s, d, "tags").where("tag_id not like 'P%' and tag_id not like 'K%'")
-    e = view(s, d, "edges").join(tags.select(F.col("tag_id").alias("child"), "label"), "child").join(tags.select(F.col("tag_id").alias("parent"), F.upper("label").alias("parent_label")), "parent")
-    return graph.tree(e.select("label", "parent_label").unionByName(s.createDataFrame([("World", None)], "label string, parent_label string")))
+    tags, e = view(s, d, "tags"), view(s, d, "edges")
+    under = e.join(tags.select(F.col("tag_id").alias("child"), "label"), "child").join(tags.select(F.col("tag_id").alias("parent"), F.upper("label").alias("parent_label")), "parent")
+    tops = tags.join(e.select(F.col("child").alias("tag_id")), "tag_id", "left_anti").select("label", F.lit(None).cast("string").alias("parent_label"))
+    return graph.tree(under.select("label", "parent_label").unionByName(tops))
 
 
 # Rollups

@@ -125,8 +125,11 @@ def storage_paths(s, d):
 
 
 @query(
-    f"""WITH {ctes('media')}, u AS (SELECT file_id, sum(size) OVER (ORDER BY file_id) AS upto FROM media)
-SELECT file_id, CASE WHEN upto < 1000000000 THEN 'a' WHEN upto < 3000000000 THEN 'b' WHEN upto < 3500000000 THEN 'a2' END AS storage FROM u"""
+    f"""WITH RECURSIVE {ctes('media')}, u AS MATERIALIZED (SELECT file_id, size, row_number() OVER (ORDER BY file_id) AS k FROM media),
+f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS file_id, CAST(NULL AS VARCHAR) AS storage, CAST(1000000000 AS BIGINT) AS a, CAST(2000000000 AS BIGINT) AS b, CAST(500000000 AS BIGINT) AS a2
+  UNION ALL SELECT u.k, u.file_id, CASE WHEN a > size THEN 'a' WHEN b > size THEN 'b' WHEN a2 > size THEN 'a2' END, CASE WHEN a > size THEN a - size ELSE a END,
+    CASE WHEN a <= size AND b > size THEN b - size ELSE b END, CASE WHEN a <= size AND b <= size AND a2 > size THEN a2 - size ELSE a2 END FROM f JOIN u ON u.k = f.k + 1)
+SELECT file_id, storage FROM f WHERE k > 0"""
 )
 def storage_choice(s, d):
     rows = view(s, d, "media").select(F.col("file_id").alias("key"), "size")

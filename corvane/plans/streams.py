@@ -20,17 +20,17 @@ def event_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_import(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct hashes stored by a stream of import rows."""
+    """Rows stored by a stream of import rows: each hash once, and every row that has none."""
     home = shared_folder(spark)
-    rows = table(spark, folder, "documents").select("doc_id", F.md5("text").alias("hash"))
+    rows = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 13 != 9, F.md5("text")).alias("hash"))
     rows.write.parquet(f"{home}/in")
     stream = ev.read_events(spark, f"{home}/in", "doc_id long, hash string")
     ev.import_stream(stream, f"{home}/store", f"{home}/state")
-    return spark.read.schema("doc_id long, hash string").option("recursiveFileLookup", "true").parquet(f"{home}/store").select("hash")
+    return spark.read.schema("doc_id long, hash string").option("recursiveFileLookup", "true").parquet(f"{home}/store").select(F.coalesce("hash", F.concat(F.lit("none of "), "doc_id")).alias("hash"))
 
 
 QUERIES = {"event_fold": event_fold, "stream_import": stream_import}
 ORACLES = {
     "event_fold": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, count(*) AS n_events FROM events GROUP BY 1",
-    "stream_import": "SELECT DISTINCT md5(text) AS hash FROM documents",
+    "stream_import": "SELECT DISTINCT CASE WHEN doc_id % 13 <> 9 THEN md5(text) ELSE 'none of ' || doc_id END AS hash FROM documents",
 }

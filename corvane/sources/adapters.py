@@ -43,10 +43,10 @@ VIEWS = {
         SELECT l_orderkey AS batch_id,
                CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS INT) AS pos,
                concat('/in/', CAST(l_orderkey AS STRING), '/', CAST(l_partkey AS STRING), '.jpg') AS path, CAST(round(l_extendedprice * 100) AS BIGINT) AS size,
-               md5(concat(CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING))) AS hash,
+               CASE WHEN l_partkey % 19 <> 4 THEN md5(concat(CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING))) END AS hash,
                CASE l_returnflag WHEN 'A' THEN 'PENDING' WHEN 'R' THEN 'DUPLICATE' ELSE 'COMPLETE' END AS status FROM {lineitem}""",
     "doc_files": """
-        SELECT doc_id AS file_id, md5(text) AS hash, n_chars AS size, lang AS ext, concat('/data/', source, '/', lang, '/', CAST(doc_id AS STRING), '.TXT') AS original_path FROM {documents}""",
+        SELECT doc_id AS file_id, CASE WHEN doc_id % 13 <> 9 THEN md5(text) END AS hash, n_chars AS size, lang AS ext, concat('/data/', source, '/', lang, '/', CAST(doc_id AS STRING), '.TXT') AS original_path FROM {documents}""",
     "media": """
         SELECT o_orderkey AS file_id, CAST(o_orderdate AS DATE) AS date_created, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 50 AS INT) AS date_modified, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INT) AS date_imported,
                CAST(200 + o_orderkey % 900 AS INT) AS height, CAST(300 + o_orderkey % 1100 AS INT) AS width, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 5000 AS BIGINT) * 1000 END AS bitrate,

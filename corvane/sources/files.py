@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corvane.functions.text import extension
 from corvane.operators.joins import basename
@@ -55,20 +57,79 @@ def storage_path(folder, content_hash, ext):
     return F.concat_ws("/", folder, F.substring(content_hash, 1, 2), F.substring(content_hash, 3, 2), F.concat(content_hash, F.lit("."), ext))
 
 
-def choose_storage(rows: DataFrame, places: list[tuple[str, int]]) -> DataFrame:
-    """rows (key, size) with the first place that still has room, filled in the order given; null where none has."""
-    # Sizes are added up within ranges of keys, and the sums of the ranges before each (one row a range) on top.
-    width = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Ranges that one task goes through at a time where places are nearly full.
+EXACT_RANGES = 16
+
+
+def choose_storage(rows: DataFrame, places: list[tuple[str, int]], ranges: int | None = None) -> DataFrame:
+    """rows (key, size) in the order of their keys, each with the first place whose free bytes are more than its size; null where none has.
+
+    What a file takes is gone for those after it, so the rooms that a range of keys finds decide what it leaves. Where the
+    first place with room for the least file of a range has more than the whole range needs, the range takes its sum; only
+    ranges where a place fills up, or is left with room for small files, are gone through row by row to know what they leave. With
+    the rooms at its start known, each range then assigns its own rows. Rows without a size get no place; rows of one key
+    are taken in any order.
+    """
+    spark = rows.sparkSession
+    width = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = cut(rows.repartitionByRange(width, "key").withColumn("_range", F.spark_partition_id()))
-    bases = ranged.groupBy("_range").agg(F.sum("size").alias("_sum"))
-    bases = bases.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.sum("size").over(Window.partitionBy("_range").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    out = ranged.withColumn("_inside", inside).join(F.broadcast(bases), "_range").withColumn("_upto", F.col("_base") + F.col("_inside"))
-    room, chosen = sum(free for _, free in places), F.lit(None).cast("string")
-    for name, free in reversed(places):
-        chosen = F.when(F.col("_upto") < room, F.lit(name)).otherwise(chosen)
-        room -= free
-    return out.withColumn("storage", chosen).select(*rows.columns, "storage")
+    sums = ranged.where("size is not null").groupBy("_range").agg(F.sum("size").cast("long").alias("sum"), F.min("size").cast("long").alias("least"))
+    found = {r["_range"]: (r["sum"], r["least"]) for r in sums.collect()}  # a row a range
+    rooms, starts, at, order = [free for _, free in places], {}, 0, sorted(found)
+    while at < len(order):
+        total, least = found[order[at]]
+        first = next((k for k, free in enumerate(rooms) if free > least), None)
+        if first is None or rooms[first] > total:
+            starts[order[at]] = list(rooms)
+            if first is not None:
+                rooms[first] -= total
+            at += 1
+            continue
+        some = order[at : at + EXACT_RANGES]
+        for number, before, after in _rooms_left(ranged.where(F.col("_range").isin(some)), rooms):
+            starts[number], rooms = list(before), list(after)
+        at += len(some)
+    known = spark.createDataFrame([(k, v) for k, v in starts.items()], "_range int, _rooms array<long>")
+    out = ranged.join(F.broadcast(known), "_range", "left")
+    schema = StructType([*rows.schema.fields, StructField("storage", StringType())])
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", kind="stable")
+        free = list(pdf["_rooms"].iloc[0]) if pdf["_rooms"].iloc[0] is not None else []
+        chosen = [_take(free, size) for size in pdf["size"]]
+        return pdf.drop(columns=["_range", "_rooms"]).assign(storage=[None if k is None else places[k][0] for k in chosen])
+
+    return out.groupBy("_range").applyInPandas(assign, schema)
+
+
+def _take(free: list[int], size) -> int | None:
+    """The first place with more room than size, which is taken from it."""
+    if size is None or size != size:
+        return None
+    k = next((k for k, room in enumerate(free) if room > size), None)
+    if k is not None:
+        free[k] -= int(size)
+    return k
+
+
+def _rooms_left(rows: DataFrame, rooms: list[int]) -> list[tuple[int, list[int], list[int]]]:
+    """(range, rooms before, rooms after) of some ranges that follow each other, gone through in one task that holds a batch of rows."""
+
+    def run(frames):
+        free, number, before = list(rooms), None, None
+        for pdf in frames:
+            for own, size in zip(pdf["_range"], pdf["size"]):
+                if own != number:
+                    if number is not None:
+                        yield pd.DataFrame({"_range": [number], "before": [before], "after": [list(free)]})
+                    number, before = own, list(free)
+                _take(free, size)
+        if number is not None:
+            yield pd.DataFrame({"_range": [number], "before": [before], "after": [list(free)]})
+
+    sizes = rows.where("size is not null").select("_range", "key", "size").repartitionByRange(1, "_range", "key").sortWithinPartitions("_range", "key").select("_range", F.col("size").cast("long").alias("size"))
+    got = sizes.mapInPandas(run, "_range int, before array<long>, after array<long>").collect()  # a row a range
+    return sorted((r["_range"], r["before"], r["after"]) for r in got)
 
 
 def playlist(files: DataFrame, ids: list, active: int = 0, end: int = 100) -> DataFrame:

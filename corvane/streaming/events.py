@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 
 def read_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -41,23 +43,48 @@ def fold(spark: SparkSession, events: DataFrame, key: str, order: list[str], val
     return rows.groupBy(key).agg(F.max_by(F.struct(*(F.col(c) for c in names if c != key)), "_batch").alias("last")).select(key, "last.*")
 
 
+class FirstOfHash(StatefulProcessor):
+    """Passes the first row of each hash on, and none where the store held the hash before the stream began."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInitialState(self, key, initial, timers) -> None:
+        self.seen.update((True,))
+
+    def handleInputRows(self, key, rows, timers):
+        rows = pd.concat(list(rows))
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield rows.sort_values(self.names, kind="stable")[:1]
+
+
 def import_stream(rows: DataFrame, store: str, checkpoint: str, every: str | None = None):
     """Append rows with new hashes to the store (a Parquet folder of one folder a batch), micro-batch by micro-batch.
 
-    Whatever the store holds counts as known, but for the folder of the very batch that runs: a batch that is run again
-    writes its folder again, so nothing is lost or stored twice. With an interval the running query is returned, a batch
-    at most so often; without one it runs until it has caught up.
+    Which hashes are known is state of the stream, keyed by hash: it is loaded from the store once, when the stream first
+    starts, and a batch looks up its own hashes only, so its time doesn't grow with the store. Of rows that share a new
+    hash in one batch the least stays. Rows without a hash can't be known and are all kept. A batch that is run again finds the
+    state it began with and writes its folder again, so nothing is lost or stored twice. With an interval the running
+    query is returned, a batch at most so often; without one it runs until it has caught up.
     """
+    spark = rows.sparkSession
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.createDataFrame([], rows.schema).write.mode("append").parquet(f"{store}/known")  # so that there is something to read
+    known = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(store).where("hash is not null").select("hash").distinct()
+    processor = FirstOfHash(rows.columns)
+    fresh = rows.where("hash is not null").groupBy("hash").transformWithStateInPandas(processor, rows.schema, "Append", "None", known.groupBy("hash"))
+    # One query over one source: the rows without a hash go beside the state.
+    out = fresh.unionByName(rows.where("hash is null"))
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, own = batch.sparkSession, f"batch-{number:09d}"
-        spark.createDataFrame([], batch.schema).write.mode("append").parquet(f"{store}/known")  # so that there is something to read
-        known = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(store)
-        known = known.where(~F.col("_metadata.file_path").contains(f"/{own}/")).select("hash")
-        fresh = batch.dropDuplicates(["hash"]).join(known, "hash", "left_anti").select(*batch.columns)
-        fresh.write.mode("overwrite").parquet(f"{store}/{own}")
-
-    query = throttled(rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), every).start()
+        batch.write.mode("overwrite").parquet(f"{store}/batch-{number:09d}")
+
+    query = throttled(out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), every).start()
     if every:
         return query
     query.awaitTermination()

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,6 +231,8 @@ def test_import_statuses(spark):
     files, dead = (spark.createDataFrame([(h,)], "hash string") for h in ("stored", "dead"))
     got = {(r["batch_id"], r["pos"]): r["result"] for r in imports.statuses(rows, files, dead, F.col("batch_id") == 1).collect()}
     assert got == {(1, 0): "COMPLETE", (1, 1): "DUPLICATE", (1, 2): "DELETED", (1, 3): "DUPLICATE", (2, 0): "COMPLETE"}
+    unread = spark.createDataFrame([(3, 0, None), (3, 1, None), (3, 2, "x")], rows.schema)
+    assert [r["result"] for r in imports.statuses(unread, files, dead).orderBy("pos").collect()] == ["ERROR", "ERROR", "COMPLETE"]
 
 
 def test_folder_modes(spark):
@@ -314,6 +317,21 @@ def test_import_into_a_store_that_holds_rows(spark, tmp_path):
     assert sorted(r["hash"] for r in stored) == ["a", "b", "c"]
 
 
+def test_import_keeps_rows_without_a_hash(spark, tmp_path):
+    schema = "id long, hash string"
+    for part in ([(1, None), (2, "a"), (3, None), (4, "a"), (5, None)], [(6, None), (7, "a"), (8, "b")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        events.import_stream(events.read_events(spark, f"{tmp_path}/in", schema), f"{tmp_path}/store", f"{tmp_path}/state")
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/store").collect()
+    assert sorted(r["id"] for r in stored) == [1, 2, 3, 5, 6, 8]
+
+
+def test_null_keys_are_upserted_once(spark):
+    rows = mutate.upsert(spark.createDataFrame([("a",)], "hash string"), spark.createDataFrame([(None,), (None,), ("a",), ("b",)], "hash string"), "hash")
+    again = mutate.upsert(rows, spark.createDataFrame([(None,)], "hash string"), "hash")
+    assert sorted(str(r["hash"]) for r in again.collect()) == ["None", "a", "b"]
+
+
 def test_throttled_import(spark, tmp_path):
     schema = "id long, hash string"
     spark.createDataFrame([(3, "b"), (4, "c")], schema).write.parquet(f"{tmp_path}/in")
@@ -344,7 +362,26 @@ def test_storage_of_places_with_one_name(spark):
 
     held = spark.createDataFrame([(i, 1) for i in range(40)], "key int, size long").repartition(7)
     got = [r["storage"] for r in files.choose_storage(held, [("x", 11), ("y", 10), ("x", 10)]).orderBy("key").collect()]
-    assert got == ["x"] * 10 + ["y"] * 10 + ["x"] * 10 + [None] * 10
+    assert got == ["x"] * 10 + ["y"] * 9 + ["x"] * 9 + [None] * 12  # a place must have more room than a file needs
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_storage_fills_the_first_place_with_room(spark, seed):
+    from corvane.sources import files
+
+    r = random.Random(seed)
+    sizes = [r.choice([1, 3, 700, 700, 40, r.randrange(2_000)]) for _ in range(400)]
+    places = [("a", 1_000), ("b", r.randrange(100_000)), ("c", 5_000), ("d", 60_000)]
+    free, want = [f for _, f in places], []
+    for size in sizes:
+        k = next((k for k, room in enumerate(free) if room > size), None)
+        if k is not None:
+            free[k] -= size
+        want.append(None if k is None else places[k][0])
+    held = spark.createDataFrame(list(enumerate(sizes)), "key int, size long").repartition(5)
+    got = [x["storage"] for x in files.choose_storage(held, places, ranges=40).orderBy("key").collect()]
+    assert got == want and min(free) >= 0
+    assert [x["storage"] for x in files.choose_storage(spark.createDataFrame([(1, None)], "key int, size long"), places).collect()] == [None]
 
 
 def test_folder_sidecars(spark, tmp_path):
