@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import graph
+from corvane.session import cut
 
 
 def tag_rollup(tags: DataFrame, file_tags: DataFrame, files: DataFrame, once: bool = False) -> DataFrame:
@@ -20,6 +21,90 @@ def tag_rollup(tags: DataFrame, file_tags: DataFrame, files: DataFrame, once: bo
     return out.select("tag_id", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("total_size", F.lit(0)).alias("total_size"), F.col("first.file_id").alias("thumb_file"))
 
 
+#: Oldest files that are kept for each tag, so that the picture of a tag survives most deletions without a search.
+RUNNERS = 8
+
+
+def _oldest(held: DataFrame, most: int) -> DataFrame:
+    """(tag_id, date_created, file_id): the `most` oldest files of each tag; each task passes on so many at most."""
+    order = Window.partitionBy("tag_id").orderBy("date_created", "file_id")
+    return held.select("tag_id", "date_created", "file_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tag_id").agg(F.array_sort(F.collect_list(F.struct("date_created", "file_id"))).alias("oldest"))
+
+
+def rollup_state(tags: DataFrame, wide: DataFrame, files: DataFrame, runners: int = RUNNERS) -> DataFrame:
+    """(tag_id, n_files, total_size, oldest): tag_rollup() in a form that rolled() keeps up to date. wide: (file_id, tag_id) with ancestors, once each."""
+    held = wide.select("file_id", "tag_id").join(files.select("file_id", "size", "date_created"), "file_id")
+    sums = held.groupBy("tag_id").agg(F.count("*").alias("n_files"), F.sum("size").alias("total_size"))
+    out = tags.select("tag_id").distinct().join(sums, "tag_id", "left").join(_listed(_oldest(held, runners)), "tag_id", "left")
+    return out.select("tag_id", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("total_size", F.lit(0)).alias("total_size"), "oldest")
+
+
+def rolled(state: DataFrame, delta: graph.Delta, files_before: DataFrame, files_after: DataFrame, wide_after: DataFrame, runners: int = RUNNERS) -> DataFrame:
+    """rollup_state() after (file_id, tag_id) pairs came and went.
+
+    Counts and bytes change by what came less what went. The list of oldest files loses those that went and takes in new ones
+    that are older than its last, as others may be missing from it beyond that; a list that holds all files of its tag takes in
+    any. Only a tag whose list runs empty while it still has files is looked up in wide_after. A file whose size or
+    date changes went with its old values and came with the new. Tags that only the delta names get a row.
+    """
+    of = lambda pairs, files: pairs.select("file_id", "tag_id").join(files.select("file_id", "size", "date_created"), "file_id")
+    came, went = of(delta.added, files_after), of(delta.removed, files_before)
+    signed = came.withColumn("_sign", F.lit(1)).unionByName(went.withColumn("_sign", F.lit(-1)))
+    sums = signed.groupBy("tag_id").agg(F.sum("_sign").alias("_n"), F.sum(F.col("size") * F.col("_sign")).alias("_size"))
+    both = cut(state.join(sums, "tag_id", "full").select(
+        "tag_id", "oldest", (F.coalesce("n_files", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n_files"), (F.coalesce("total_size", F.lit(0)) + F.coalesce("_size", F.lit(0))).alias("total_size"),
+        F.col("_n").isNotNull().alias("_touched"), (F.coalesce(F.size("oldest"), F.lit(0)) >= F.coalesce("n_files", F.lit(0))).alias("_all"),
+    ))
+    touched = both.where("_touched")
+    left = touched.select("tag_id", F.explode("oldest").alias("x")).select("tag_id", "x.date_created", "x.file_id").join(went.select("tag_id", "file_id"), ["tag_id", "file_id"], "left_anti")
+    last = touched.select("tag_id", F.when(~F.col("_all"), F.element_at("oldest", -1)).alias("_last"))
+    place = F.struct("date_created", "file_id")
+    new = _oldest(came, runners).join(last, "tag_id").where(F.col("_last").isNull() | (place <= F.col("_last"))).select("tag_id", "date_created", "file_id")
+    merged = _listed(_oldest(left.unionByName(new), runners)).withColumnRenamed("oldest", "_merged")
+    out = cut(both.join(merged, "tag_id", "left").select("tag_id", "n_files", "total_size", F.when(F.col("_touched"), F.col("_merged")).otherwise(F.col("oldest")).alias("oldest")))
+    empty = out.where("n_files > 0 and oldest is null").select("tag_id")
+    refill = of(wide_after.join(empty, "tag_id", "left_semi"), files_after)
+    found = _listed(_oldest(refill, runners)).withColumnRenamed("oldest", "_found")
+    return cut(out.join(found, "tag_id", "left").select("tag_id", "n_files", "total_size", F.coalesce("oldest", "_found").alias("oldest")))
+
+
+def rollup_of(state: DataFrame) -> DataFrame:
+    """(tag_id, n_files, total_size, thumb_file) of rollup_state()."""
+    return state.select("tag_id", "n_files", "total_size", F.get("oldest", F.lit(0))["file_id"].alias("thumb_file"))
+
+
+def collection_state(members: DataFrame, files: DataFrame) -> DataFrame:
+    """(collection_id, n_files, total_size, n_rated, rating_sum): the sums behind collection_rollup()."""
+    held = members.select("collection_id", "file_id").join(files.select("file_id", "size", "rating"), "file_id").withColumn("_sign", F.lit(1))
+    return _collection_sums(held)
+
+
+def _collection_sums(held: DataFrame) -> DataFrame:
+    rated = F.when(F.col("rating") > 0, F.col("_sign"))
+    return held.groupBy("collection_id").agg(
+        F.sum("_sign").alias("n_files"), F.sum(F.col("size") * F.col("_sign")).alias("total_size"), F.coalesce(F.sum(rated), F.lit(0)).alias("n_rated"),
+        F.coalesce(F.sum(rated * F.col("rating")), F.lit(0)).cast("double").alias("rating_sum"),
+    )
+
+
+def collections_rolled(state: DataFrame, delta: graph.Delta, files_before: DataFrame, files_after: DataFrame) -> DataFrame:
+    """collection_state() after (collection_id, file_id) members came and went; collections left without files go."""
+    of = lambda pairs, files, sign: pairs.select("collection_id", "file_id").join(files.select("file_id", "size", "rating"), "file_id").withColumn("_sign", F.lit(sign))
+    sums = _collection_sums(of(delta.added, files_after, 1).unionByName(of(delta.removed, files_before, -1)))
+    names = ("n_files", "total_size", "n_rated", "rating_sum")
+    both = state.unionByName(sums).groupBy("collection_id").agg(*(F.sum(c).alias(c) for c in names))
+    return both.where("n_files > 0")
+
+
+def collection_rollup_of(state: DataFrame) -> DataFrame:
+    """(collection_id, n_files, total_size, rating) of collection_state()."""
+    return state.select("collection_id", "n_files", "total_size", F.when(F.col("n_rated") > 0, F.col("rating_sum") / F.col("n_rated")).otherwise(0.0).alias("rating"))
+
+
 def mean_rating(rating: Column) -> Column:
     """Mean of the rated ones (over 0), else 0."""
     return F.coalesce(F.avg(F.when(rating > 0, rating)), F.lit(0.0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators import graph, mutate, rollups
+from corvane.session import cut
 
 
 @dataclass(frozen=True)
@@ -143,6 +144,84 @@ def closure_after(before: TagTables, closed: DataFrame, after: TagTables) -> tup
     return graph.with_delta(closed, delta), delta
 
 
+@dataclass(frozen=True)
+class Library:
+    """All tables of a library with what is derived from them, so that one call changes both.
+
+    files (file_id, hash, size, rating, date_created ...), members (collection_id, file_id ...), tombstones (hash); closed
+    (tag, ancestor), wide (file_id, tag_id with ancestors), tag_state and collection_state as in rollups.
+    """
+
+    files: DataFrame
+    members: DataFrame
+    tombstones: DataFrame
+    tags: TagTables
+    closed: DataFrame
+    wide: DataFrame
+    tag_state: DataFrame
+    collection_state: DataFrame
+
+
+def library(files: DataFrame, members: DataFrame, tombstones: DataFrame, tags: TagTables) -> Library:
+    """The library with everything derived anew, once; the calls below keep it so."""
+    closed = graph.closure(tags.edges, tags.tags).select("tag", "ancestor")
+    wide = cut(graph.propagate(tags.file_tags, closed, "file_id"))
+    return Library(files, members, tombstones, tags, closed, wide, cut(rollups.rollup_state(tags.tags, wide, files)), cut(rollups.collection_state(members, files)))
+
+
+def files_deleted(lib: Library, gone: DataFrame) -> Library:
+    """After files (file_id) are deleted: members, own and derived tags, counts of tags and collections, and tombstones follow.
+
+    Collections left without files go; nothing is derived anew but what the deleted files took part in.
+    """
+    ids = cut(gone.select("file_id").distinct())
+    left, members, tombstones = mutate.delete_files(lib.files, lib.members, lib.tombstones, ids)
+    lost, taken = lib.wide.join(ids, "file_id", "left_semi"), lib.members.select("collection_id", "file_id").join(ids, "file_id", "left_semi")
+    wide = lib.wide.join(ids, "file_id", "left_anti")
+    own = lib.tags.file_tags
+    return replace(
+        lib, files=left, members=members, tombstones=tombstones, tags=replace(lib.tags, file_tags=own.join(ids, "file_id", "left_anti").select(*own.columns)), wide=wide,
+        tag_state=rollups.rolled(lib.tag_state, graph.Delta(lost.limit(0), lost), lib.files, left, wide), collection_state=cut(rollups.collections_rolled(lib.collection_state, graph.Delta(taken.limit(0), taken), lib.files, left)),
+    )
+
+
+def files_retagged(lib: Library, files: DataFrame, added: list, removed: list) -> Library:
+    """After tags are put on and then taken off some files (file_id): their ancestors and the counts of all tags concerned follow."""
+    ids = cut(files.select("file_id").distinct().join(lib.files.select("file_id"), "file_id", "left_semi"))
+    own = retagged(lib.tags.file_tags, ids, added, removed)
+    names = ["file_id", "tag_id"]
+    was = cut(lib.wide.join(ids, "file_id", "left_semi").select(*names))
+    now = cut(graph.propagate(own.join(ids, "file_id", "left_semi"), lib.closed, "file_id"))
+    delta = graph.Delta(cut(now.join(was, names, "left_anti")), cut(was.join(now, names, "left_anti")))
+    return _with_wide(replace(lib, tags=replace(lib.tags, file_tags=cut(own))), delta)
+
+
+def tags_changed(lib: Library, after: TagTables) -> Library:
+    """After a change of tags and edges (created(), edited(), deleted(), merged() ...): closure, files' ancestors and counts follow by what changed.
+
+    Where the change took tags from files or gave them others, as a merge does, these files are looked at too.
+    """
+    names = ["file_id", "tag_id"]
+    closed, delta = closure_after(lib.tags, lib.closed, after)
+    closed = cut(closed)
+    before, now = lib.tags.file_tags.select(*names).distinct(), after.file_tags.select(*names).distinct()
+    moved = cut(changed(before, now, "file_id"))
+    by_closure = graph.held_delta(before.join(moved, "file_id", "left_anti"), lib.closed, closed, delta, "file_id")
+    was = cut(lib.wide.join(moved, "file_id", "left_semi").select(*names))
+    again = cut(graph.propagate(now.join(moved, "file_id", "left_semi"), closed, "file_id"))
+    wide_delta = graph.Delta(cut(by_closure.added.unionByName(again.join(was, names, "left_anti"))), cut(by_closure.removed.unionByName(was.join(again, names, "left_anti"))))
+    gone = lib.tags.tags.select("tag_id").join(after.tags.select("tag_id"), "tag_id", "left_anti")
+    out = _with_wide(replace(lib, tags=after, closed=closed), wide_delta)
+    fresh = after.tags.select("tag_id").join(out.tag_state.select("tag_id"), "tag_id", "left_anti")
+    empty = fresh.select("tag_id", F.lit(0).cast("long").alias("n_files"), F.lit(0).cast("long").alias("total_size"), F.lit(None).cast(dict(out.tag_state.dtypes)["oldest"]).alias("oldest"))
+    return replace(out, tag_state=cut(out.tag_state.join(gone, "tag_id", "left_anti").unionByName(empty)))
+
+
+def _with_wide(lib: Library, delta: graph.Delta) -> Library:
+    wide = cut(graph.with_delta(lib.wide, delta))
+    return replace(lib, wide=wide, tag_state=rollups.rolled(lib.tag_state, delta, lib.files, lib.files, wide))
+
+
 def changed(before: DataFrame, after: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:
     """Owners whose sets of tags differ between two frames of (owner, tag)."""
     a, b = before.select(owner, tag).distinct(), after.select(owner, tag).distinct()

@@ -199,6 +199,46 @@ def duplicate_label_groups(s, d):
     return rollups.duplicate_groups(view(s, d, "tags")).select("key", "tag_id", "label", "n_tags")
 
 
+#: A library after retagging, deletion of the oldest files and of others, and a change of the hierarchy.
+LIBRARY_SQL = """f2 AS (SELECT * FROM files WHERE file_id % 11 <> 0 AND date_created >= TIMESTAMP '1992-06-01'),
+ft2 AS (SELECT file_id, tag_id FROM file_tags WHERE NOT (file_id % 7 = 0 AND (tag_id = 'P2' OR tag_id = 'K7')) UNION SELECT file_id, 'P1' FROM files WHERE file_id % 7 = 0),
+e2 AS (SELECT child, parent FROM edges WHERE NOT (child LIKE 'N1%' AND parent LIKE 'R%') UNION SELECT child, 'between' FROM edges WHERE child LIKE 'N1%' UNION SELECT 'between', 'R3'),
+up2 AS (SELECT child AS tag, parent AS ancestor FROM e2 UNION SELECT u.tag, e.parent FROM up2 u JOIN e2 e ON u.ancestor = e.child),
+t2 AS (SELECT tag_id FROM tags UNION ALL SELECT 'between'), closed2 AS (SELECT tag_id AS tag, tag_id AS ancestor FROM t2 UNION SELECT tag, ancestor FROM up2)"""
+
+
+def changed_library(s, d) -> upkeep.Library:
+    files = view(s, d, "files").withColumn("hash", F.md5(F.col("file_id").cast("string")))
+    lib = upkeep.library(files, view(s, d, "coll_orders"), view(s, d, "tombstones"), tag_tables(s, d))
+    lib = upkeep.files_retagged(lib, files.where("file_id % 7 = 0"), ["P1"], ["P2", "K7"])
+    lib = upkeep.files_deleted(lib, files.where("file_id % 11 = 0 or date_created < timestamp '1992-06-01'"))
+    t = lib.tags
+    moved = t.edges.where("child like 'N1%' and parent like 'R%'")
+    edges = t.edges.join(moved, ["child", "parent"], "left_anti").unionByName(moved.select("child", F.lit("between").alias("parent"))).unionByName(s.createDataFrame([("between", "R3")], "child string, parent string"))
+    return upkeep.tags_changed(lib, replace(t, edges=edges, tags=t.tags.unionByName(s.createDataFrame([("between", "Between")], "tag_id string, label string"))))
+
+
+@query(
+    closed_ctes("files", "file_tags")
+    + f""", {LIBRARY_SQL}, h AS (SELECT DISTINCT c.ancestor AS tag_id, ft.file_id FROM ft2 ft JOIN closed2 c ON ft.tag_id = c.tag),
+a AS (SELECT h.tag_id, count(*) AS n, sum(size) AS s, arg_min(file_id, (date_created, file_id)) AS f FROM h JOIN f2 USING (file_id) GROUP BY 1)
+SELECT t2.tag_id, coalesce(n, 0) AS n_files, CAST(coalesce(s, 0) AS BIGINT) AS total_size, coalesce(f, -1) AS thumb_file FROM t2 LEFT JOIN a USING (tag_id)"""
+)
+def tag_rollup_delta(s, d):
+    return rollups.rollup_of(changed_library(s, d).tag_state).withColumn("thumb_file", F.coalesce("thumb_file", F.lit(-1)))
+
+
+@query(
+    f"""WITH {ctes('files', 'coll_orders')} SELECT collection_id, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS total_size, round(coalesce(avg(CASE WHEN rating > 0 THEN rating END), 0), 6) AS rating
+FROM coll_orders JOIN files USING (file_id) WHERE file_id % 11 <> 0 GROUP BY 1"""
+)
+def collection_rollup_delta(s, d):
+    files, members = view(s, d, "files"), view(s, d, "coll_orders")
+    gone = members.where("file_id % 11 = 0").select("collection_id", "file_id")
+    out = rollups.collections_rolled(rollups.collection_state(members, files), graph.Delta(gone.limit(0), gone), files, files)
+    return rollups.collection_rollup_of(out).withColumn("rating", F.round("rating", 6))
+
+
 # Files
 
 
