@@ -227,15 +227,23 @@ def near_duplicates(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str
 
 
 def one_of_each(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of docs that each component of grouped names, once; columns stay."""
+    """The row of docs that each component of grouped names, once; columns stay.
+
+    Of rows that share id and text but not the other columns, the one with the least hash of these stays (maps take no
+    part in it), so the choice doesn't hang on how rows lie in partitions.
+    """
     # The join and the grouping have the same plain keys, so whole rows are shuffled once.
     kept = grouped.select(F.coalesce("component.doc_id", F.lit(0)).alias("key"), F.col("component.doc_id").isNull().alias("none"), F.col("component._h").alias("hash")).distinct()
     number = F.col("id").cast("long")
     rows = packed(docs, id_col, text_col).select("row", F.coalesce(number, F.lit(0)).alias("key"), number.isNull().alias("none"), F.xxhash64("text").alias("hash"))
-    out = rows.join(kept, ["key", "none", "hash"], "left_semi").groupBy("key", "none", "hash").agg(F.first("row").alias("row"))
+    out = rows.join(kept, ["key", "none", "hash"], "left_semi").groupBy("key", "none", "hash").agg(F.min_by("row", F.xxhash64(*(F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind))).alias("row"))
     return unpacked(out, docs.columns)
 
 
 def dedup(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each group of near-duplicates, the one that near_duplicates() names; columns stay."""
+    """One row of docs for each group of near-duplicates, the one that near_duplicates() names; columns stay.
+
+    Texts without words, null ones among them, are one group; of rows that share id and text the one that one_of_each()
+    picks stays. An empty table stays empty, and no name of a column can clash.
+    """
     return one_of_each(docs, near_duplicates(docs, tau, shingle, id_col, text_col), id_col, text_col)
