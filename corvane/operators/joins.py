@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.patterns import tags_by_pattern  # noqa: F401 - part of this module's interface
 from corvane.operators.search import with_tags
 from corvane.session import broadcast_blocks, union
 
@@ -34,13 +35,6 @@ def relink(files: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(places, "name").where("old_path <> new_path").select("file_id", "old_path", "new_path")
 
 
-def tags_by_pattern(names: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(name, tag_id) wherever a tag's pattern occurs in a name, case aside; each distinct name meets the patterns in blocks."""
-    own = names.select("name").distinct()
-    met = [own.join(block, F.expr("name rlike concat('(?im)', pattern)")) for block in broadcast_blocks(patterns.select("tag_id", "pattern"))]
-    return union(met).select("name", "tag_id")
-
-
 def holding_any(file_tags: DataFrame, tag_ids: list) -> DataFrame:
     return file_tags.where(F.col("tag_id").isin(*tag_ids)).select("file_id").distinct()
 

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import media, text
-from corvane.operators import collections, graph, imports, joins, mutate, predicates, rollups, search
+from corvane.operators import collections, graph, imports, joins, mutate, patterns, places, predicates, rollups, search
 from corvane.plans import changes, formulas, searches, streams  # noqa: F401 - registered by import
 from corvane.plans.registry import ORACLES, QUERIES, closed, closed_ctes, query
-from corvane.session import table
+from corvane.session import table, union
 from corvane.sources.adapters import ctes, view
 
 # Search
@@ -201,6 +201,34 @@ def regex_tagging(s, d):
     return joins.tags_by_pattern(view(s, d, "doc_files").select(F.col("original_path").alias("name")), patterns)
 
 
+#: Labels as names of files: with other marks between the words, some in capitals, some with more words.
+NAMES_SQL = """CASE length(label) % 4 WHEN 0 THEN label WHEN 1 THEN replace(upper(label), ' ', '_') WHEN 2 THEN replace(label, ' ', ' - ') ELSE label || ' extra' END"""
+
+
+@query(
+    f"""WITH {ctes('tags')}, n AS (SELECT DISTINCT {NAMES_SQL} AS name FROM tags), k AS (SELECT tag_id, label, regexp_replace(lower(label), '[ \\-_.]+', ' ', 'g') AS form FROM tags)
+SELECT name, tag_id FROM n JOIN k ON regexp_replace(lower(name), '[ \\-_.]+', ' ', 'g') = form
+UNION SELECT name, 'hash9' FROM n WHERE regexp_matches(name, '(?i)#0*9[0-9]') UNION SELECT name, 'brushed' FROM n WHERE regexp_matches(name, '(?i)(brushed|plated).*(tin|steel)')"""
+)
+def label_patterns(s, d):
+    """The pattern of every tag, and two free ones, against names made from all labels."""
+    tags = view(s, d, "tags")
+    names = tags.select(F.expr(NAMES_SQL).alias("name"))
+    own = tags.select("tag_id", text.tag_pattern(F.col("label"), F.array().cast("array<string>")).alias("pattern"))
+    more = s.createDataFrame([("hash9", "#0*9[0-9]"), ("brushed", "(brushed|plated).*(tin|steel)")], "tag_id string, pattern string")
+    return joins.tags_by_pattern(names, own.unionByName(more))
+
+
+@query(
+    f"""WITH {ctes('files')} SELECT 'path' AS ask, file_id FROM files WHERE regexp_matches(original_path, '(?i)/building/.*customer#0000001.*mp4')
+UNION ALL SELECT 'either', file_id FROM files WHERE regexp_matches(original_path, '(?i)(germany|/france/).*[05]\\.MP4$') UNION ALL SELECT 'short', file_id FROM files WHERE regexp_matches(original_path, '(?i)/.9\\.j')"""
+)
+def trigram_search(s, d):
+    index = patterns.trigram_index(view(s, d, "files").select("file_id", "original_path"), "file_id", "original_path")
+    asks = {"path": "/building/.*customer#0000001.*mp4", "either": r"(germany|/france/).*[05]\.MP4$", "short": r"/.9\.j"}
+    return union([patterns.search(index, p).select(F.lit(k).alias("ask"), "file_id") for k, p in asks.items()])
+
+
 SETS = f"""WITH {ctes('coll_parts_raw')}, m AS (SELECT DISTINCT collection_id, file_id FROM coll_parts_raw), n AS (SELECT collection_id, count(*) AS n FROM m GROUP BY 1)"""
 
 
@@ -425,6 +453,33 @@ def rank_of_row(s, d):
     return search.ranks(view(s, d, "files"), "size", "file_id", [1, 10, 100])
 
 
+def _order_index(s, d, ranges=None):
+    rows = view(s, d, "files").where("not is_archived").withColumn("bytes", F.when(F.col("file_id") % 13 != 0, F.col("size") % 1000))
+    return places.order_index(rows, "bytes", "file_id", ranges)
+
+
+PLACES_SQL = f"""WITH {ctes('files')}, f AS (SELECT file_id, CASE WHEN file_id % 13 <> 0 THEN size % 1000 END AS bytes FROM files WHERE NOT is_archived),
+o AS (SELECT *, row_number() OVER (ORDER BY bytes NULLS FIRST, file_id) - 1 AS up, count(*) OVER () AS n FROM f)"""
+
+
+@query(
+    PLACES_SQL
+    + """ SELECT 'early' AS ask, up AS place, file_id, bytes FROM o WHERE up BETWEEN 40 AND 59 UNION ALL SELECT 'deep', up, file_id, bytes FROM o WHERE up BETWEEN 980 AND 999
+UNION ALL SELECT 'deep from the end', n - 1 - up, file_id, bytes FROM o WHERE n - 1 - up BETWEEN 980 AND 999 UNION ALL SELECT 'around', up, file_id, bytes FROM o WHERE up BETWEEN 750 AND 1250"""
+)
+def deep_pages(s, d):
+    index = _order_index(s, d)
+    asks = {"early": index.page(3, 20), "deep": index.page(50, 20), "deep from the end": index.page(50, 20, descending=True), "around": index.neighbours(11, 100)}
+    return union([rows.select(F.lit(k).alias("ask"), "place", "file_id", "bytes") for k, rows in asks.items()])
+
+
+@query(PLACES_SQL + " SELECT 'up' AS way, file_id, up AS rank FROM o WHERE file_id % 20 = 1 UNION ALL SELECT 'down', file_id, n - 1 - up FROM o WHERE file_id % 20 = 1")
+def index_ranks(s, d):
+    index = _order_index(s, d)
+    asked = view(s, d, "files").where("file_id % 20 = 1").select("file_id")
+    return index.ranks(asked).withColumn("way", F.lit("up")).unionByName(index.ranks(asked, descending=True).withColumn("way", F.lit("down")))
+
+
 @query(
     f"""WITH {ctes('files')}, f AS (SELECT file_id, row_number() OVER (ORDER BY date_created, file_id) AS r FROM files WHERE NOT is_archived),
 b AS (SELECT (SELECT r FROM f WHERE file_id = 33) AS c, (SELECT min(r) FROM f WHERE file_id IN (3, 7, 99)) AS lo, (SELECT max(r) FROM f WHERE file_id IN (3, 7, 99)) AS hi),
