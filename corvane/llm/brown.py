@@ -9,7 +9,8 @@
    move one by one on the driver against exact counts of each other. All other
    words move at once in Spark, each to the class its neighbours' present
    classes fit best. The likelihood is counted anew after every round; a round
-   that lowers it is undone.
+   that lowers it is undone, and from then on half as many words, a quarter, an
+   eighth move at a time, until a round gains next to nothing.
 4. Class transitions over all training texts, smoothed with the class
    distribution and a Good-Turing share for unseen words, times the emission of
    the word from its class, give the score of every text.
@@ -330,15 +331,17 @@ def neighbourhoods(blocks: DataFrame, model: Model) -> DataFrame:
     return own.groupBy("block").cogroup(model.answers.groupBy("block")).applyInArrow(run, "bucket long, block long, near binary, stats binary")
 
 
-def moved(near: DataFrame, model: Model, fit: np.ndarray) -> DataFrame:
-    """Answers after all words outside the core went to the class that fits their neighbours best.
+def moved(near: DataFrame, model: Model, fit: np.ndarray, parts: int = 1, turn: int = 0) -> DataFrame:
+    """Answers after words outside the core went to the class that fits their neighbours best: all, or one in `parts` of them, by hash and turn.
 
-    fit: (2, codes, classes), what a word before and a word after of each code say for each class.
+    fit: (2, codes, classes), what a word before and a word after of each code say for each class: by how much, to first
+    order, the likelihood of the class bigrams grows with an occurrence of the word there, class totals included.
     """
     import pyarrow as pa
 
     core, n_classes, f = model.core, model.n_classes, len(model.core)
     fit = fit.astype(np.float32)
+    asks = model.asks if parts == 1 else model.asks.join(model.answers.select("bucket", "block", F.col("codes").alias("present")), ["bucket", "block"])
 
     def run(near: pa.Table, asks: pa.Table) -> pa.Table:
         own, places = _of_bucket(core, asks.column("bucket")[0].as_py())
@@ -360,11 +363,19 @@ def moved(near: DataFrame, model: Model, fit: np.ndarray) -> DataFrame:
                 scores[numbers[at:to]] += np.add.reduceat(said, starts[at:to] - starts[at], axis=0)
                 at = to
         codes = np.r_[f + scores.argmax(1) if len(scores) else np.empty(0, np.int64), f + n_classes + 1].astype(np.int64)
+        if parts > 1:
+            bucket = asks.column("bucket")[0].as_py()
+            stays = np.flatnonzero((np.arange(len(scores), dtype=np.uint64) * np.uint64(2_654_435_761) + np.uint64(40_503 * bucket) >> np.uint64(16)) % np.uint64(parts) != np.uint64(turn % parts))
+            present = np.full(len(codes), f + n_classes + 1)
+            for numbers, said in zip(asks.column("numbers").to_pylist(), asks.column("present").to_pylist()):
+                numbers = inflated(numbers, "<i4")
+                present[numbers[numbers >= 0]] = inflated(said, "<u2")[numbers >= 0] & (SINGLE - 1)
+            codes[stays] = present[stays]
         codes[own] = places
         return _answers(asks, codes)
 
     placed = near.where("bucket is not null").select("bucket", "block", "near")
-    return placed.groupBy("bucket").cogroup(model.asks.groupBy("bucket")).applyInArrow(run, ANSWER)
+    return placed.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(run, ANSWER)
 
 
 def _fit(table: np.ndarray, class_of: np.ndarray, n_classes: int) -> np.ndarray:
@@ -373,8 +384,16 @@ def _fit(table: np.ndarray, class_of: np.ndarray, n_classes: int) -> np.ndarray:
     return np.stack([tie[:, :n_classes][class_of], tie[:n_classes, :].T[class_of]])
 
 
-def train(blocks: DataFrame, n_classes: int, core_words: int, rounds: int, settled: float) -> Model:
-    """Vocabulary and classes of the training texts of blocks; model.counts are the transitions of the classes kept."""
+#: Least share of the words outside the core, as a fraction of one, that moves at once.
+MOST_PARTS = 8
+
+
+def train(blocks: DataFrame, n_classes: int, core_words: int, settled: float) -> Model:
+    """Vocabulary and classes of the training texts of blocks; model.counts are the transitions of the classes kept.
+
+    Every round kept gains more than `settled` of a likelihood that can't pass zero, and only a few are undone, so rounds end.
+    model.likelihoods has those of the rounds kept, which never fall.
+    """
     if not 0 < n_classes <= 250 or not 0 < core_words <= 4_096:
         raise ValueError("n_classes must be 1 to 250, core_words 1 to 4,096")
     model = Model(n_classes)
@@ -401,33 +420,56 @@ def train(blocks: DataFrame, n_classes: int, core_words: int, rounds: int, settl
     model.core_classes = np.arange(f) % n_classes
     pairs = core_pairs(blocks, [w for w, _, _ in core]) if f else np.zeros((0, 0), np.int64)
     n = size + 1
-    kept = None
-    for number in range(rounds + 1):
+    kept, parts, turn, slot = None, 1, 0, 0
+    while True:
         # Only the answers of this round and the one before are needed, and no older neighbourhoods: their folders are written over.
         near = materialize(neighbourhoods(blocks, model), "near", to=f"{home}-near")
-        stats = summed(near.where("bucket is null"), "stats", n * n + 2 * f * size)
-        counts, left, right = np.split(stats, [n * n, n * n + f * size])
-        counts = counts.reshape(n, n)
-        now = likelihood(counts[:size, :size].astype(float))
-        if number:
-            model.likelihoods.append(now)
-            if kept is not None and now <= kept[0]:  # the round made it worse
-                _, model.counts, model.core_classes, model.answers = kept
-                break
-            gained, kept = now - kept[0] if kept else np.inf, (now, counts, model.core_classes, model.answers)
-            model.counts = counts
-            if number == rounds or gained <= settled * abs(now):
-                break
+        if kept is None or kept.answers is not model.answers:
+            stats = summed(near.where("bucket is null"), "stats", n * n + 2 * f * size)
+            counts, left, right = np.split(stats, [n * n, n * n + f * size])
+            counts = counts.reshape(n, n)
+            now = likelihood(counts[:size, :size].astype(float))
+            if turn:
+                if kept is not None and now <= kept.likelihood:  # the round made it worse: fewer words at once, from where it stood
+                    parts, model.core_classes, model.answers, slot = 2 * parts, kept.core_classes, kept.answers, kept.slot
+                    if parts > MOST_PARTS:
+                        break
+                    continue
+                gained = now - kept.likelihood if kept else np.inf
+                kept = Kept(now, counts, left, right, model.core_classes, model.answers, slot)
+                model.likelihoods.append(now)
+                if gained <= settled * abs(now):
+                    break
+        else:
+            counts, left, right = kept.counts, kept.left, kept.right
         table, left, right = counts[:size, :size].astype(float), left.reshape(f, size), right.reshape(f, size)
-        for _ in range(20 if not number else 3):
+        moves = f + 1
+        while moves:  # each move raises the likelihood, so the core comes to rest
             model.core_classes, table, moves = exchange(model.core_classes, pairs, left, right, table, n_classes)
-            if moves <= f // 200:
-                break
-        if types > f or not number:
-            model.answers = materialize(moved(near, model, _fit(table, model.class_of_code(), n_classes)), "answers", to=f"{home}-answers-{(number + 1) % 2}")
+        if types > f or not turn:
+            slot = 1 - slot
+            model.answers = materialize(moved(near, model, _fit(table, model.class_of_code(), n_classes), parts, turn), "answers", to=f"{home}-answers-{slot}")
+        else:  # nothing but the core: its classes have come to rest
+            model.answers = model.answers.select("*")
+        turn += 1
+    if kept is not None:
+        model.counts, model.core_classes, model.answers = kept.counts, kept.core_classes, kept.answers
     return model
 
 
+@dataclass
+class Kept:
+    """The classes of the best round so far, with what was counted under them."""
+
+    likelihood: float
+    counts: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    core_classes: np.ndarray
+    answers: DataFrame
+    slot: int
+
+
 def _with_counts(model: Model) -> DataFrame:
     return model.answers.join(model.asks.select("bucket", "block", "counts"), ["bucket", "block"])
 
@@ -508,12 +550,12 @@ def scores(blocks: DataFrame, model: Model) -> DataFrame:
     return own.groupBy("block").cogroup(_with_counts(model).groupBy("block")).applyInArrow(run, schema)
 
 
-def blocks_and_model(docs: DataFrame, n_classes: int = 48, core_words: int = 1_024, rounds: int = 12, settled: float = 1e-4, folds: int = 10, held_out_fold: int = 0, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+def blocks_and_model(docs: DataFrame, n_classes: int = 48, core_words: int = 1_024, settled: float = 3e-4, folds: int = 10, held_out_fold: int = 0, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_mod(id_col, folds) == held_out_fold).alias("held_out"), F.col(text_col).alias("text"))
     with arrow_batches(docs.sparkSession, 1_000):
         blocks = materialize(blocks_of(rows, block_bytes), "blocks")
     with arrow_batches(docs.sparkSession, 4):
-        return blocks, train(blocks, n_classes, core_words, rounds, settled)
+        return blocks, train(blocks, n_classes, core_words, settled)
 
 
 def score(docs: DataFrame, **options) -> DataFrame:
@@ -523,6 +565,6 @@ def score(docs: DataFrame, **options) -> DataFrame:
     Null and empty texts are one end. Repeated rows count as often as they stand there. Of words that fit two classes
     alike the least class counts. Without training texts every word is unseen; without rows there are none. core_words
     bounds only which words move one by one; every word takes part in every round. Rounds end when the likelihood
-    gains less than the share `settled`, or after `rounds`.
+    gains less than the share `settled`.
     """
     return scores(*blocks_and_model(docs, **options))
