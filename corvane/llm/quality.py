@@ -3,10 +3,10 @@
 A small network minimises the non-negative unbiased risk
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 over trusted positives and unlabelled text. Features are shares and lengths of the
-text and how common its letter sequences are in the whole corpus. A first fit on
-the driver, with positives and a start of unlabelled texts of bounded number, is
-carried on over all documents: each task descends on its own documents as the
-unlabelled ones, and the weights are averaged. The class prior comes from the
+text and how common its letter sequences are in the whole corpus. All documents are
+the unlabelled text: they are counted into the cells of a fixed division of feature
+space, and the fit on the driver draws from the cells' means by their counts, so what
+it holds is bounded and no document is left out. The class prior comes from the
 scores of all documents: the least ratio of the shares of unlabelled and
 positive texts above a score. Scoring covers all rows.
 """
@@ -137,34 +137,38 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, bins: bool = False) -> floa
 DECAY = 3e-3
 
 
-def descend(weights: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float, steps: int, rate: float, seed: int) -> list[np.ndarray]:
-    """Adam on the non-negative risk with the sigmoid loss, from these weights; p, u: positives and unlabelled, scaled."""
+def loss_gradient(weights: list[np.ndarray], x: np.ndarray, sign: float, weight: float) -> tuple[float, list[np.ndarray]]:
+    """Of weight * mean sigmoid(-sign * output), with its gradient by the weights."""
+    pre = x @ weights[0] + weights[1]
+    act = np.maximum(pre, 0)
+    out = act @ weights[2] + weights[3][0]
+    loss = 1 / (1 + np.exp(np.clip(sign * out, -30, 30)))
+    d = -sign * loss * (1 - loss) * weight / len(x)
+    back = np.outer(d, weights[2]) * (pre > 0)
+    return float(loss.mean() * weight), [x.T @ back, back.sum(0), act.T @ d, np.array([d.sum()])]
+
+
+def risk_gradient(weights: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """The non-negative risk of positives and unlabelled, and the direction to descend: its gradient, or, where the part
+    that can't be negative is, a step back from that part."""
+    r_pos, g_pos = loss_gradient(weights, xp, 1.0, prior)
+    r_unl, g_unl = loss_gradient(weights, xu, -1.0, 1.0)
+    r_neg, g_neg = loss_gradient(weights, xp, -1.0, -prior)
+    if r_unl + r_neg >= 0:
+        return r_pos + r_unl + r_neg, [a + b + c for a, b, c in zip(g_pos, g_unl, g_neg)]
+    return r_pos, [-(b + c) for b, c in zip(g_unl, g_neg)]
+
+
+def descend(weights: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float, steps: int, rate: float, seed: int, share: np.ndarray | None = None) -> list[np.ndarray]:
+    """Adam on the non-negative risk with the sigmoid loss, from these weights; p, u: positives and unlabelled, scaled; share: how often each of u is drawn."""
     rng = np.random.default_rng(seed)
     weights = [w.copy() for w in weights]
     m, v, t = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-
-    def grads(x: np.ndarray, sign: float, weight: float) -> tuple[float, list[np.ndarray]]:
-        """Of weight * mean sigmoid(-sign * output)."""
-        pre = x @ weights[0] + weights[1]
-        act = np.maximum(pre, 0)
-        out = act @ weights[2] + weights[3][0]
-        loss = 1 / (1 + np.exp(np.clip(sign * out, -30, 30)))
-        d = -sign * loss * (1 - loss) * weight / len(x)
-        back = np.outer(d, weights[2]) * (pre > 0)
-        return float(loss.mean() * weight), [x.T @ back, back.sum(0), act.T @ d, np.array([d.sum()])]
-
     size = 512
     while t < steps:
-        up = rng.permutation(len(u))
-        for at in range(0, len(u), size):
-            xu, xp = u[up[at : at + size]], p[rng.integers(0, len(p), size)]
-            _, g_pos = grads(xp, 1.0, prior)
-            r_unl, g_unl = grads(xu, -1.0, 1.0)
-            r_neg, g_neg = grads(xp, -1.0, -prior)
-            if r_unl + r_neg >= 0:
-                g = [a + b + c for a, b, c in zip(g_pos, g_unl, g_neg)]
-            else:  # the part that can't be negative is: step back from it
-                g = [-(b + c) for b, c in zip(g_unl, g_neg)]
+        up = rng.permutation(len(u)) if share is None else rng.choice(len(u), max(len(u), size), p=share)
+        for at in range(0, len(up), size):
+            _, g = risk_gradient(weights, p[rng.integers(0, len(p), size)], u[up[at : at + size]], prior)
             t += 1
             g = [x + DECAY * w for x, w in zip(g, weights)]
             for i in range(4):
@@ -174,8 +178,8 @@ def descend(weights: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: floa
     return weights
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, hidden: int = 24, steps: int = 2400, seed: int = 7, mean: np.ndarray | None = None, scale: np.ndarray | None = None) -> Model:
-    """A fit in memory; without a prior, a first fit at one half ranks texts to estimate it."""
+def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, hidden: int = 24, steps: int = 2400, seed: int = 7, mean: np.ndarray | None = None, scale: np.ndarray | None = None, share: np.ndarray | None = None) -> Model:
+    """A fit in memory; without a prior, a first fit at one half ranks texts to estimate it. share: as in descend()."""
     if prior is None:
         first = fit(pos, unl, 0.5, hidden, max(1, steps // 3), seed, mean, scale)
         prior = estimate_prior(first.score(pos), first.score(unl))
@@ -183,7 +187,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, hidden: in
     mean, scale = both.mean(0) if mean is None else mean, both.std(0) + 1e-3 if scale is None else scale
     rng = np.random.default_rng(seed)
     start = [rng.normal(0, np.sqrt(2 / FEATURES), (FEATURES, hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
-    weights = descend(start, (pos - mean) / scale, (unl - mean) / scale, prior, steps, 3e-3, seed)
+    weights = descend(start, (pos - mean) / scale, (unl - mean) / scale, prior, steps, 3e-3, seed, share)
     return Model(mean, scale, tuple(weights), prior)
 
 
@@ -193,7 +197,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def featured(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x): the features of every row."""
+    """(id, x): the features of every row; null and empty texts are texts without words, repeated rows stay apart, null ids stay null, other columns are left aside."""
     import pyarrow as pa
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,35 +210,42 @@ def featured(docs: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_c
 
 
 def _sampled(rows: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
-    """Features of the rows whose ids are the n first by hash: at most n ids, so they are broadcast."""
+    """Features of the rows whose ids are the n first by hash, one of each: at most n ids, so they are broadcast. Of rows that share an id the least features count."""
     chosen = ids.where(F.col("id").isNotNull()).distinct().orderBy(F.xxhash64("id"), "id").limit(n)
-    got = rows.join(F.broadcast(chosen), "id", "left_semi").select("x").limit(4 * n).toArrow()  # rows may share ids
+    got = rows.join(F.broadcast(chosen), "id", "left_semi").groupBy("id").agg(F.min("x").alias("x")).orderBy("id").select("x").toArrow()  # n rows at most
     return _matrix(got.column("x").combine_chunks()) if got.num_rows else np.empty((0, FEATURES))
 
 
-def _averaged(rows: DataFrame, model: Model, pos: np.ndarray, rate: float, seed: int) -> Model:
-    """The model after each task went once through its documents as the unlabelled ones; weights averaged by documents."""
+#: Planes that divide feature space, each cell being a side of every one.
+PLANES = 14
+#: Sums of scaled features are kept in whole numbers of this fraction, so that they don't depend on the order of rows.
+UNIT = 1 << 20
+
+
+def cells_of(z: np.ndarray) -> np.ndarray:
+    """The cell of each row of scaled features, by planes that are the same in every run."""
+    rng = np.random.default_rng(11)
+    normals, offsets = rng.normal(size=(FEATURES, PLANES)), rng.normal(scale=0.5, size=PLANES)
+    return ((z @ normals > offsets) << np.arange(PLANES)).sum(1)
+
+
+def cells(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, how many documents) of every cell of feature space that holds any: the mean of all its documents."""
     import pyarrow as pa
 
-    shapes = [w.shape for w in model.weights]
-    p = (pos - model.mean) / model.scale
+    width = FEATURES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, n = list(model.weights), 0
+        total = np.zeros((1 << PLANES, width), np.int64)
         for batch in batches:
             if batch.num_rows:
-                weights = descend(weights, p, (_matrix(batch.column(0)) - model.mean) / model.scale, model.prior, 1, rate, seed + n)
-                n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.concatenate([w.ravel() for w in weights]).tolist()], pa.list_(pa.float64()))], ["n", "w"])
+                z = np.clip((_matrix(batch.column(0)) - mean) / scale, -100, 100)
+                np.add.at(total, cells_of(z), np.c_[np.ones(len(z), np.int64), np.rint(z * UNIT).astype(np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array([deflated(total.ravel())], pa.binary())], ["n"])
 
-    each = rows.select("x").mapInArrow(run, "n long, w array<double>").select("n", F.posexplode("w").alias("i", "w"))
-    got = each.groupBy("i").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).orderBy("i").collect()  # one row a weight
-    flat, weights = np.array([r["w"] for r in got], float), []
-    for shape in shapes:
-        size = int(np.prod(shape))
-        weights.append(flat[:size].reshape(shape))
-        flat = flat[size:]
-    return replace(model, weights=tuple(weights))
+    total = summed(rows.select("x").mapInArrow(run, "n binary"), "n", width << PLANES).reshape(-1, width)
+    total = total[total[:, 0] > 0]
+    return total[:, 1:] / UNIT / total[:, :1] * scale + mean, total[:, 0]
 
 
 def _counted(rows: DataFrame, model: Model) -> np.ndarray:
@@ -250,23 +261,24 @@ def _counted(rows: DataFrame, model: Model) -> np.ndarray:
     return summed(rows.select("x").mapInArrow(run, "n binary"), "n", BINS)
 
 
-def train_on(rows: DataFrame, labels: DataFrame, common: np.ndarray, sample: int = 20_000, rounds: int = 2, folds: int = 4, held_out_fold: int = 2, id_col: str = "doc_id", label_col: str = "quality") -> Model | None:
+def train_on(rows: DataFrame, labels: DataFrame, common: np.ndarray, sample: int = 20_000, folds: int = 4, held_out_fold: int = 2, id_col: str = "doc_id", label_col: str = "quality") -> Model | None:
     """Fit on rows (as from featured()): at most `sample` labelled positives outside the held-out fold, and all documents as unlabelled ones.
 
-    The fit on the driver starts from `sample` of them; scales, the prior and the descent that follows are over all.
-    Labels outside 1 are never read as negatives. None where there are no positives or no documents to learn from.
+    The unlabelled documents come in as the means and counts of cells; scales and the prior are over all rows too. Labels
+    other than 1 are never read as negatives. None where there are no positives or no documents to learn from. Of rows that
+    share an id one is a trusted positive; as unlabelled ones all count.
     """
     trusted = labels.where((F.col(label_col) == 1) & (crc32_mod(id_col, folds) != held_out_fold)).select(F.col(id_col).cast("long").alias("id"))
-    pos, start = _sampled(rows, trusted, sample), _sampled(rows, rows.select("id"), sample)
-    if not len(pos) or not len(start):
+    pos = _sampled(rows, trusted, sample)
+    if not len(pos):
         return None
     at = [F.col("x")[i].cast("double") for i in range(FEATURES)]
     sums = rows.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(at)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(at))).first()
     mean, scale = np.array(sums[:FEATURES]), np.array(sums[FEATURES:]) + 1e-3
-    ranked = fit(pos, start, 0.5, steps=800, mean=mean, scale=scale)
-    model = fit(pos, start, estimate_prior(ranked.score(pos), _counted(rows, ranked), bins=True), mean=mean, scale=scale)
-    for number in range(rounds):
-        model = _averaged(rows, model, pos, 3e-4, 100 * number)
+    unl, n = cells(rows, mean, scale)
+    share = n / n.sum()
+    ranked = fit(pos, unl, 0.5, steps=800, mean=mean, scale=scale, share=share)
+    model = fit(pos, unl, estimate_prior(ranked.score(pos), _counted(rows, ranked), bins=True), mean=mean, scale=scale, share=share)
     return replace(model, least=float(pos[:, COMMON].min()), common=common)
 
 
@@ -277,7 +289,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(rows: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
-    """(id, score, predicted) of rows (as from featured())."""
+    """(id, score, predicted) of rows (as from featured()), each row by itself, so repeats and rows without an id score as any other.
+
+    Texts without words get the score of their marker; without a model all score 1; an empty table gives no rows.
+    """
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -156,3 +156,51 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out["doc_id"]) == {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert out.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_risk_gradient_by_differences():
+    r = np.random.default_rng(4)
+    w = [r.normal(size=(quality.FEATURES, 5)), r.normal(size=5), r.normal(size=5), r.normal(size=1)]
+    xp, xu = r.normal(1, 1, (40, quality.FEATURES)), r.normal(0, 1, (60, quality.FEATURES))
+
+    def plain(weights, x, sign):
+        out = np.maximum(x @ weights[0] + weights[1], 0) @ weights[2] + weights[3][0]
+        return (1 / (1 + np.exp(sign * out))).mean()
+
+    def risk(weights, prior):
+        return prior * plain(weights, xp, 1), plain(weights, xu, -1) - prior * plain(weights, xp, -1)
+
+    for prior in (0.1, 0.97):
+        good, bad = risk(w, prior)
+        value, grad = quality.risk_gradient(w, xp, xu, prior)
+        assert abs(value - (good + max(0.0, bad))) < 1e-12
+        # Where the second part is below zero the step goes up its slope, else down that of the whole.
+        target = (lambda v: sum(risk(v, prior))) if bad >= 0 else (lambda v: -risk(v, prior)[1])
+        for i, part in enumerate(w):
+            for at in list(np.ndindex(part.shape))[:12]:
+                up, down = [x.copy() for x in w], [x.copy() for x in w]
+                up[i][at] += 1e-6
+                down[i][at] -= 1e-6
+                assert abs((target(up) - target(down)) / 2e-6 - grad[i][at]) < 1e-5
+
+
+def test_prior_over_bins():
+    r = np.random.default_rng(5)
+    pos, unl = r.beta(8, 2, 3000), np.concatenate([r.beta(8, 2, 3000), r.beta(2, 8, 7000)])
+    bins = np.bincount(quality.bin_of(unl), minlength=quality.BINS)
+    assert abs(quality.estimate_prior(pos, bins, bins=True) - quality.estimate_prior(pos, unl)) < 0.01
+    want = min((np.mean(unl >= c) / np.mean(pos >= c) + np.sqrt(1 / 3000 + 1 / 10_000) / np.mean(pos >= c)) for c in np.quantile(pos, np.linspace(0, 0.5, 101), method="lower"))
+    assert abs(quality.estimate_prior(pos, unl) - want) < 1e-12 and 0.3 <= want < 0.36
+
+
+def test_cells_hold_all_documents(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(500, quality.FEATURES)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<float>")
+    mean, scale = x.mean(0), x.std(0)
+    means, n = quality.cells(rows.repartition(7), mean, scale)
+    again, m = quality.cells(rows.repartition(2), mean, scale)
+    assert n.sum() == 500 and np.array_equal(n, m) and np.array_equal(means, again)
+    cell = quality.cells_of((x - mean) / scale)
+    want = [x[cell == c].mean(0) for c in np.unique(cell)]
+    assert np.allclose(means, want, atol=1e-4)
