@@ -42,7 +42,7 @@ class LineRules:
     max_nav_bars: int = 3  # "|" or ">" separators standing alone: a menu or table row
     max_shout_share: float = 0.5  # words that end in two exclamation marks
     unended_words: int = 4  # a line of so many words or more in which none ends a sentence is no prose
-    boilerplate_words: int = 25  # a boilerplate phrase condemns lines of up to so many words
+    boilerplate_words: int = 10  # a boilerplate phrase condemns lines of up to so many words; in longer ones it may be part of a sentence
     max_lost_share: float = 0.5  # of the characters in words; above, the document goes
 
 
