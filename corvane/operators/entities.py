@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import graph, predicates, search
 from corvane.operators.predicates import TagChoice
+from corvane.session import among
 
 #: The keys each entity may be sorted by.
 SORT_KEYS = {
@@ -20,7 +21,7 @@ SORT_KEYS = {
     "deleted_file": (),
 }
 #: What a list is sorted by where nothing is asked, always descending.
-DEFAULT_KEY = {"collection": "date_created", "batch": "date_created", "file": "date_created", "tag": "date_created", "deleted_file": "hash"}
+DEFAULT_KEY = {"collection": "date_created", "batch": "date_created", "file": "date_created", "tag": "date_created", "collection_file": "date_created", "deleted_file": "hash"}
 
 
 def checked_key(entity: str, key: str) -> str:
@@ -39,11 +40,16 @@ class EntityQuery:
     ids: tuple = ()
     tags: TagChoice = TagChoice()
 
-    def terms(self, id_col: str) -> list[Column]:
+    def chosen(self, rows: DataFrame, id_col: str) -> DataFrame:
+        """Rows that pass all terms but those on tags."""
+        return predicates.apply(among(rows, id_col, self.ids) if self.ids else rows, self.terms())
+
+    def terms(self) -> list[Column]:
+        """The terms on columns; ids and tags are chosen by joins."""
         out = [t for c, (low, high) in self.ranges.items() for t in predicates.between(F.col(c), low, high)]
         out += [predicates.compare(F.col(c), op, v) for c, (op, v) in self.compares.items()]
         out += [predicates.matches(F.col(c), p) for c, p in self.patterns.items() if p]
-        return out + ([F.col(id_col).isin(*self.ids)] if self.ids else [])
+        return out
 
     def active(self) -> int:
         """How many arguments differ from their defaults."""
@@ -55,8 +61,8 @@ class BatchQuery(EntityQuery):
     is_completed: bool = False  # always asked
     import_path: str = ""  # occurs in the path of some import of the batch
 
-    def terms(self, id_col: str) -> list[Column]:
-        return [*super().terms(id_col), F.col("is_completed") == self.is_completed]
+    def terms(self) -> list[Column]:
+        return [*super().terms(), F.col("is_completed") == self.is_completed]
 
 
 @dataclass(frozen=True)
@@ -64,8 +70,8 @@ class TagQuery(EntityQuery):
     alias_pattern: str = ""
     has_regex: bool | None = None
 
-    def terms(self, id_col: str) -> list[Column]:
-        out = super().terms(id_col)
+    def terms(self) -> list[Column]:
+        out = super().terms()
         if self.alias_pattern:
             out.append(F.exists("aliases", lambda a: predicates.matches(a, self.alias_pattern)))
         if self.has_regex is not None:
@@ -75,12 +81,12 @@ class TagQuery(EntityQuery):
 
 def collections(rows: DataFrame, member_tags: DataFrame, edges: DataFrame, query: EntityQuery) -> DataFrame:
     """Collections; member_tags: (collection_id, tag_id)."""
-    return graph.with_tags_chosen(predicates.apply(rows, query.terms("collection_id")), member_tags, edges, query.tags, "collection_id")
+    return graph.with_tags_chosen(query.chosen(rows, "collection_id"), member_tags, edges, query.tags, "collection_id")
 
 
 def batches(rows: DataFrame, batch_tags: DataFrame, imports: DataFrame, edges: DataFrame, query: BatchQuery) -> DataFrame:
     """Import batches; imports: (batch_id, path)."""
-    out = predicates.apply(rows, query.terms("batch_id"))
+    out = query.chosen(rows, "batch_id")
     if query.import_path:
         out = out.join(imports.where(predicates.matches(F.col("path"), query.import_path)).select("batch_id"), "batch_id", "left_semi")
     return graph.with_tags_chosen(out, batch_tags, edges, query.tags, "batch_id")
@@ -89,7 +95,7 @@ def batches(rows: DataFrame, batch_tags: DataFrame, imports: DataFrame, edges: D
 def tags(rows: DataFrame, edges: DataFrame, query: TagQuery) -> DataFrame:
     """Tags; a choice of tags is judged on the tag itself and on its ancestors."""
     own = rows.select("tag_id", F.col("tag_id").alias("own"))
-    return graph.with_tags_chosen(predicates.apply(rows, query.terms("tag_id")), own, edges, query.tags, "tag_id", "own")
+    return graph.with_tags_chosen(query.chosen(rows, "tag_id"), own, edges, query.tags, "tag_id", "own")
 
 
 def listed(rows: DataFrame, entity: str, spec: dict | None = None, id_col: str = "id", key: str | None = None, descending: bool = True, number: int | None = None, size: int | None = None) -> DataFrame:

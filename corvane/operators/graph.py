@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.reach import Delta, closure, closure_delta, components, held_delta, reached, with_delta  # noqa: F401 - part of this module's interface
-from corvane.session import cut, union
+from corvane.session import among, cut, union
 
 def below(edges: DataFrame, ids: list) -> DataFrame:
     """(root, tag): the asked tags and everything under each, once. Only what hangs under them is walked; cycles end."""
@@ -22,11 +22,11 @@ def with_tags_chosen(rows: DataFrame, members: DataFrame, edges: DataFrame, choi
 
     held = members.select(owner, F.col(tag).alias("_tag"))
     if choice.none_of:
-        rows = rows.join(held.where(F.col("_tag").isin(*choice.none_of)).select(owner), owner, "left_anti")
+        rows = rows.join(among(held, "_tag", choice.none_of).select(owner), owner, "left_anti")
     if choice.any_of:
-        rows = rows.join(held.where(F.col("_tag").isin(*choice.any_of)).select(owner), owner, "left_semi")
+        rows = rows.join(among(held, "_tag", choice.any_of).select(owner), owner, "left_semi")
     if choice.all_of:
-        rows = rows.join(holding_all(held.where(F.col("_tag").isin(*choice.all_of)), "_tag", len(set(choice.all_of))), owner, "left_semi")
+        rows = rows.join(holding_all(among(held, "_tag", choice.all_of), "_tag", len(set(choice.all_of))), owner, "left_semi")
     if choice.none_of_desc:
         under = below(edges, list(choice.none_of_desc))
         rows = rows.join(held.join(under.select(F.col("tag").alias("_tag")).distinct(), "_tag").select(owner), owner, "left_anti")
@@ -48,8 +48,8 @@ def materialised(pairs: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame
 
 def relations(edges: DataFrame, tag_ids: list) -> DataFrame:
     """(tag, relative, kind): children and parents of some tags."""
-    down = edges.where(F.col("parent").isin(*tag_ids)).select(F.col("parent").alias("tag"), F.col("child").alias("relative"), F.lit("child").alias("kind"))
-    up = edges.where(F.col("child").isin(*tag_ids)).select(F.col("child").alias("tag"), F.col("parent").alias("relative"), F.lit("parent").alias("kind"))
+    down = among(edges, "parent", tag_ids).select(F.col("parent").alias("tag"), F.col("child").alias("relative"), F.lit("child").alias("kind"))
+    up = among(edges, "child", tag_ids).select(F.col("child").alias("tag"), F.col("parent").alias("relative"), F.lit("parent").alias("kind"))
     return down.unionByName(up).distinct()
 
 
@@ -112,7 +112,7 @@ def merged_members(members: DataFrame, merges: DataFrame, owner: str, tag: str =
 
 def ancestor_labels(closed: DataFrame, tags: DataFrame, counts: DataFrame, tag_ids: list) -> DataFrame:
     """(tag, ancestor, label, n_files, place): ancestors of some tags without themselves, those with most files first; counts: (tag_id, n_files)."""
-    rows = closed.where(F.col("tag").isin(*tag_ids) & (F.col("depth") > 0)).join(tags.select(F.col("tag_id").alias("ancestor"), "label"), "ancestor")
+    rows = among(closed, "tag", tag_ids).where(F.col("depth") > 0).join(tags.select(F.col("tag_id").alias("ancestor"), "label"), "ancestor")
     rows = rows.join(counts.select(F.col("tag_id").alias("ancestor"), "n_files"), "ancestor", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
     place = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("n_files"), "ancestor"))
     return rows.select("tag", "ancestor", "label", "n_files", place.cast("long").alias("place"))
@@ -120,7 +120,7 @@ def ancestor_labels(closed: DataFrame, tags: DataFrame, counts: DataFrame, tag_i
 
 def merge_candidates(edges: DataFrame, closed: DataFrame, tag_ids: list) -> DataFrame:
     """Relatives (relative, kind) of tags to be merged, without those tags and without ancestors of other candidates of the same kind."""
-    found = relations(edges, tag_ids).where(~F.col("relative").isin(*tag_ids)).select("relative", "kind").distinct()
+    found = among(relations(edges, tag_ids), "relative", tag_ids, keep=False).select("relative", "kind").distinct()
     other = found.select(F.col("relative").alias("o"), F.col("kind").alias("k"))
     covers = closed.where("depth > 0").join(other, closed["tag"] == other["o"]).select(F.col("ancestor").alias("relative"), F.col("k").alias("kind")).distinct()
     return found.join(covers, ["relative", "kind"], "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators.patterns import tags_by_pattern  # noqa: F401 - part of this module's interface
 from corvane.operators.search import with_tags
-from corvane.session import broadcast_blocks, union
+from corvane.session import among, broadcast_blocks, union
 
 
 def basename(path: Column) -> Column:
@@ -36,7 +36,7 @@ def relink(files: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def holding_any(file_tags: DataFrame, tag_ids: list) -> DataFrame:
-    return file_tags.where(F.col("tag_id").isin(*tag_ids)).select("file_id").distinct()
+    return among(file_tags, "tag_id", tag_ids).select("file_id").distinct()
 
 
 def collections_of(members: DataFrame, files: DataFrame) -> DataFrame:

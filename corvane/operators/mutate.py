@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corvane.operators.predicates import missing_original
 
@@ -74,6 +75,21 @@ def concat_without(parts: list[Column], unwanted: Column, start: int, most: int)
     return F.slice(F.filter(F.concat(*parts), lambda x: ~F.coalesce(F.array_contains(unwanted, x), F.lit(False))), start + 1, most)
 
 
+def unset(rows: DataFrame, path: str) -> DataFrame:
+    """rows without a field, at the top or within structs (a.b.c); where it isn't there, or is left from an older schema, nothing else changes."""
+    top, *inner = path.split(".")
+    if top not in rows.columns:
+        return rows
+    if not inner:
+        return rows.drop(top)
+    kind = rows.schema[top].dataType
+    for name in inner:
+        if not isinstance(kind, StructType) or name not in kind.names:
+            return rows
+        kind = kind[name].dataType
+    return rows.withColumn(top, F.col(top).dropFields(".".join(inner)))
+
+
 def divided(rows: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that pass a test and all others, null among them."""
     passed = F.coalesce(test, F.lit(False))

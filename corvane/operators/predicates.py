@@ -6,9 +6,11 @@ from dataclasses import dataclass, field, fields
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import among
+
 COMPARISONS = {"=": "__eq__", "!=": "__ne__", ">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__"}
 
 
@@ -65,7 +67,7 @@ def has_all(array: Column, ids: list) -> Column:
 
 @dataclass(frozen=True)
 class TagChoice:
-    """Ids by how they are asked for; the *_desc lists are judged on ancestors, self included."""
+    """Ids by how they are asked for; the *_desc lists are judged on ancestors, self included. See graph.with_tags_chosen()."""
 
     any_of: tuple = ()
     all_of: tuple = ()
@@ -73,20 +75,6 @@ class TagChoice:
     none_of: tuple = ()
     none_of_desc: tuple = ()
 
-    def terms(self, own: Column, closure: Column) -> list[Column]:
-        out = []
-        if self.none_of_desc:
-            out.append(~has_any(closure, list(self.none_of_desc)))
-        if self.none_of:
-            out.append(~has_any(own, list(self.none_of)))
-        if self.any_of:
-            out.append(has_any(own, list(self.any_of)))
-        if self.all_of_desc:
-            out.append(has_all(closure, list(self.all_of_desc)))
-        if self.all_of:
-            out.append(has_all(own, list(self.all_of)))
-        return out
-
 
 @dataclass(frozen=True)
 class FileQuery:
@@ -105,15 +93,18 @@ class FileQuery:
     deselected: dict = field(default_factory=dict)  # column -> values that must not stand there
     path_pattern: str = ""
 
-    def terms(self, id_col: str = "file_id") -> list[Column]:
+    def chosen(self, rows: DataFrame, id_col: str = "file_id") -> DataFrame:
+        """Rows that pass all terms but those on tags."""
+        rows = among(rows, id_col, self.ids) if self.ids else rows
+        rows = among(rows, id_col, self.excluded_ids, keep=False) if self.excluded_ids else rows
+        return apply(rows, self.terms())
+
+    def terms(self) -> list[Column]:
+        """The terms on columns; ids and tags are chosen by joins."""
         out = [t for c, (low, high) in self.ranges.items() for t in between(F.col(c), low, high)]
         out += [compare(F.col(c), op, v) for c, (op, v) in self.compares.items()]
         if self.number_of_tags:
             out.append(compare(F.size("tag_ids"), *self.number_of_tags))
-        if self.ids:
-            out.append(F.col(id_col).isin(*self.ids))
-        if self.excluded_ids:
-            out.append(not_in(F.col(id_col), list(self.excluded_ids)))
         if self.has_params:
             out.append(filled(F.col("diffusion_params")))
         if self.is_corrupted is not None:
@@ -124,7 +115,7 @@ class FileQuery:
         out += [not_in(F.col(c), list(v)) for c, v in self.deselected.items() if v]
         if self.path_pattern:
             out.append(matches(F.col("original_path"), self.path_pattern))
-        return out + self.tags.terms(F.col("tag_ids"), F.col("tag_ids_with_ancestors"))
+        return out
 
     def active(self) -> int:
         """How many arguments differ from their defaults."""

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-
-#: Ids up to which a list stands in the plan; longer ones are joined.
-INLINE_IDS = 1_000
-
+from corvane.session import among
 
 def ordered(df: DataFrame, key: str, descending: bool, id_col: str) -> DataFrame:
     """A total order: key, then id, in the same direction; nulls first ascending, last descending."""
@@ -26,7 +21,7 @@ def by_ids(df: DataFrame, ids: list, id_col: str, number: int | None = None, siz
     """The rows of these ids in the order of the list, with their place from 0 in column position; other filters don't count."""
     spark = df.sparkSession
     wanted = spark.createDataFrame([(i, k) for k, i in enumerate(dict.fromkeys(ids))], f"_id {dict(df.dtypes)[id_col]}, position int")
-    rows = df.where(F.col(id_col).isin(*ids)) if len(ids) <= INLINE_IDS else df
+    rows = among(df, id_col, ids)
     out = rows.join(F.broadcast(wanted) if len(ids) <= 1_000_000 else wanted, rows[id_col] == wanted["_id"]).drop("_id").orderBy("position")
     return out.offset(max(0, number - 1) * size).limit(size) if number and size else out
 
@@ -60,8 +55,8 @@ def before(key: str, id_col: str, mark: tuple, descending: bool = False) -> Colu
 
 
 def ranks(df: DataFrame, key: str, id_col: str, ids: list, descending: bool = False) -> DataFrame:
-    """Rank from 0 of each of a few rows: how many stand before it, counted in one pass without sorting."""
-    marks = [(r[key], r[id_col]) for r in df.where(F.col(id_col).isin(*ids)).select(key, id_col).collect()]  # one row per asked id
+    """Rank from 0 of each of a few rows: how many stand before it, counted in one pass without sorting. Many ranks: places.order_index()."""
+    marks = [(r[key], r[id_col]) for r in among(df, id_col, ids).select(key, id_col).collect()]  # one row per asked id
     if not marks:
         return df.select(id_col, F.lit(0).cast("long").alias("rank")).limit(0)
     counts = df.agg(*(F.count_if(before(key, id_col, m, descending)).alias(f"r{i}") for i, m in enumerate(marks)))
@@ -84,8 +79,9 @@ def shift_select(df: DataFrame, key: str, id_col: str, clicked, selected: list,
     if list(selected) == [clicked]:
         return rows([(clicked, "deselect")])
     place = F.struct(F.col(key).isNotNull().alias("filled"), F.col(key).alias("k"), F.col(id_col).alias("i"))
-    chosen = F.col(id_col).isin(*selected)
-    ends = df.agg(F.min(F.when(chosen, place)).alias("first"), F.max(F.when(chosen, place)).alias("last"), F.max(F.when(F.col(id_col) == clicked, place)).alias("clicked")).first()
+    ends = among(df, id_col, [*selected, clicked])
+    chosen = F.col(id_col) != clicked if clicked not in selected else F.lit(True)
+    ends = ends.agg(F.min(F.when(chosen, place)).alias("first"), F.max(F.when(chosen, place)).alias("last"), F.max(F.when(F.col(id_col) == clicked, place)).alias("clicked")).first()
     first, last, at = (tuple(ends[c]) if ends[c] else None for c in (("last", "first", "clicked") if descending else ("first", "last", "clicked")))
     if first is None or at is None:
         return rows([(clicked, "select")])
@@ -97,7 +93,7 @@ def shift_select(df: DataFrame, key: str, id_col: str, clicked, selected: list,
     inside = ~before(key, id_col, low[1:], descending) & (before(key, id_col, high[1:], descending) | (F.col(id_col) == high[2]))
     part = df.where(inside).select(id_col)
     wanted = spark.createDataFrame([(i,) for i in dict.fromkeys(selected)], f"{id_col} {kind}")
-    return part.where(~chosen).withColumn("action", F.lit("select")).unionByName(wanted.join(part, id_col, "left_anti").withColumn("action", F.lit("deselect")))
+    return among(part, id_col, selected, keep=False).withColumn("action", F.lit("select")).unionByName(wanted.join(part, id_col, "left_anti").withColumn("action", F.lit("deselect")))
 
 
 def with_tags(rows: DataFrame, row_tags: DataFrame, tags: DataFrame, id_col: str = "file_id") -> DataFrame:
@@ -120,9 +116,9 @@ def tag_search(tags: DataFrame, query: str, included: list = (), excluded: list
     q, label, aliases = query.strip(), F.col("label"), F.col("aliases")
     rows = tags.where((F.coalesce(label, F.lit("")) != "") & text.matches_all_terms(q, label, aliases))
     if included:
-        rows = rows.where(F.col("tag_id").isin(*included))
+        rows = among(rows, "tag_id", included)
     if excluded:
-        rows = rows.where(~F.col("tag_id").isin(*excluded))
+        rows = among(rows, "tag_id", excluded, keep=False)
     scored = rows.withColumn("score", text.relevance(q, label, aliases))
     return scored.orderBy(F.desc("score"), F.col("last_searched").desc_nulls_last(), F.coalesce("count", F.lit(0)).desc(), "tag_id").limit(most)
 
@@ -130,7 +126,3 @@ def tag_search(tags: DataFrame, query: str, included: list = (), excluded: list
 def touched(tags: DataFrame, tag_id: str, now: Column) -> DataFrame:
     """tags after one was picked: it was searched last."""
     return tags.withColumn("last_searched", F.when(F.col("tag_id") == tag_id, now).otherwise(F.col("last_searched")))
-
-
-def pages_of(rows: int, size: int) -> int:
-    return ceil(rows / size)

@@ -27,7 +27,7 @@ ORDER BY size DESC, file_id DESC LIMIT 100 OFFSET 100"""
 )
 def file_search_page(s, d):
     q = predicates.FileQuery(ranges={"date_created": (datetime(1993, 1, 1), datetime(1997, 12, 31))}, compares={"rating": (">=", 3)})
-    rows = graph.with_tags_chosen(predicates.apply(view(s, d, "files"), q.terms()), view(s, d, "file_tags"), view(s, d, "edges"), predicates.TagChoice(all_of_desc=("R1",)), "file_id")
+    rows = graph.with_tags_chosen(q.chosen(view(s, d, "files")), view(s, d, "file_tags"), view(s, d, "edges"), predicates.TagChoice(all_of_desc=("R1",)), "file_id")
     return search.page(rows, "size", True, 2, 100, "file_id").select("file_id", "size", "rating", "ext")
 
 
@@ -41,7 +41,7 @@ def file_search_filters(s, d):
         ranges={"size": (5_000_000, 30_000_000)}, compares={"rating": ("<", 5)}, is_corrupted=False, deselected={"ext": ("1-URGENT", "5-LOW"), "video_codec": ("P",)},
         path_pattern="/building/.*mp4", excluded_ids=(5, 15, 25),
     )
-    return predicates.apply(view(s, d, "files"), q.terms()).select("file_id", "size", "rating", "original_path")
+    return q.chosen(view(s, d, "files")).select("file_id", "size", "rating", "original_path")
 
 
 @query(f"WITH {ctes('files')} SELECT file_id, size, position FROM files JOIN (VALUES (42, 0), (7, 1), (100, 2), (3, 3)) v(i, position) ON file_id = i")
@@ -51,12 +51,12 @@ def file_search_ids_mode(s, d):
 
 @query(f"WITH {ctes('files')} SELECT count(*) AS n_rows, CAST(ceil(count(*) / 100.0) AS BIGINT) AS n_pages FROM files WHERE rating >= 3 AND NOT is_archived")
 def file_count_full(s, d):
-    return search.count_full(predicates.apply(view(s, d, "files"), predicates.FileQuery(compares={"rating": (">=", 3)}).terms()), 100)
+    return search.count_full(predicates.FileQuery(compares={"rating": (">=", 3)}).chosen(view(s, d, "files")), 100)
 
 
 @query(f"WITH {ctes('files')} SELECT count(*) AS n_rows, CAST(ceil(count(*) / 10.0) AS BIGINT) AS n_pages FROM (SELECT 1 FROM files WHERE NOT is_archived LIMIT 50)")
 def file_count_capped(s, d):
-    return search.count_capped(predicates.apply(view(s, d, "files"), predicates.FileQuery().terms()), 10, 2, 5)
+    return search.count_capped(predicates.FileQuery().chosen(view(s, d, "files")), 10, 2, 5)
 
 
 @query(f"WITH {ctes('files')} SELECT file_id FROM files WHERE NOT is_archived ORDER BY size DESC, file_id DESC LIMIT 501 OFFSET 150")
@@ -67,7 +67,7 @@ def carousel_window(s, d):
 def _tag_query(name: str, choice: predicates.TagChoice, test: str) -> None:
     def run(s, d):
         own = view(s, d, "file_tags")
-        hit = graph.with_tags_chosen(predicates.apply(view(s, d, "files"), predicates.FileQuery().terms()), own, view(s, d, "edges"), choice, "file_id").select("file_id")
+        hit = graph.with_tags_chosen(predicates.FileQuery().chosen(view(s, d, "files")), own, view(s, d, "edges"), choice, "file_id").select("file_id")
         return hit.join(own.groupBy("file_id").agg(F.count("*").alias("n_tags")), "file_id")
 
     run.__name__ = name
@@ -81,14 +81,14 @@ _tag_query("tag_exclude", predicates.TagChoice(none_of=("K1", "K2", "P5")), "NOT
 _tag_query("tag_exclude_desc", predicates.TagChoice(none_of_desc=("R0", "R1")), "NOT list_has_any(a, ['R0', 'R1'])")
 _tag_query("tag_include_or", predicates.TagChoice(any_of=("K1", "P7", "P11")), "list_has_any(t, ['K1', 'P7', 'P11'])")
 _tag_query("tag_include_and", predicates.TagChoice(all_of=("K102", "P1784")), "list_has_all(t, ['K102', 'P1784'])")
-_tag_query("tag_include_and_not", predicates.TagChoice(all_of=("K84", "P145"), none_of=("P8",)), "list_has_all(t, ['K84', 'P145']) AND NOT list_contains(t, 'P8')")
+_tag_query("tag_include_and_not", predicates.TagChoice(all_of=("K49", "P150"), none_of=("P8",)), "list_has_all(t, ['K49', 'P150']) AND NOT list_contains(t, 'P8')")
 _tag_query("tag_include_desc", predicates.TagChoice(all_of_desc=("R2", "B:Brand#1")), "list_has_all(a, ['R2', 'B:Brand#1'])")
 
 
 @query(f"WITH {ctes('files', 'file_tags')} SELECT file_id FROM files JOIN (SELECT file_id, count(*) AS n FROM file_tags GROUP BY 1) USING (file_id) WHERE n >= 6 AND NOT is_archived")
 def num_of_tags(s, d):
     held = graph.materialised(view(s, d, "file_tags"), "file_id")
-    return predicates.apply(view(s, d, "files").join(held, "file_id"), predicates.FileQuery(number_of_tags=(">=", 6)).terms()).select("file_id")
+    return predicates.FileQuery(number_of_tags=(">=", 6)).chosen(view(s, d, "files").join(held, "file_id")).select("file_id")
 
 
 @query(f"WITH {ctes('import_rows')} SELECT batch_id FROM import_rows GROUP BY 1 HAVING bool_or(regexp_matches(path, '(?i)/1[0-9]*7\\.JPG$'))")

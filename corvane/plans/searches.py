@@ -22,7 +22,7 @@ def media_search(s, d):
         ranges={"date_modified": (date(1993, 6, 1), date(1998, 1, 31)), "date_imported": (date(1993, 1, 1), None), "height": (300, 900), "width": (None, 1200)},
         compares={"bitrate": (">", 400_000), "duration": (">=", 10), "frame_rate": ("!=", 30)}, has_params=True, deselected={"audio_codec": ("mp3", "opus"), "video_codec": ("VP9",)},
     )
-    return predicates.apply(view(s, d, "media"), q.terms()).select("file_id", F.col("date_modified").cast("string").alias("date_modified"), "height", "bitrate")
+    return q.chosen(view(s, d, "media")).select("file_id", F.col("date_modified").cast("string").alias("date_modified"), "height", "bitrate")
 
 
 @query(
@@ -31,13 +31,13 @@ UNION ALL SELECT file_id, 'unmodified' FROM media WHERE NOT is_archived AND coal
 )
 def is_modified(s, d):
     rows = view(s, d, "media")
-    ask = lambda wanted, kind: predicates.apply(rows, predicates.FileQuery(is_modified=wanted).terms()).select("file_id", F.lit(kind).alias("kind"))
+    ask = lambda wanted, kind: predicates.FileQuery(is_modified=wanted).chosen(rows).select("file_id", F.lit(kind).alias("kind"))
     return ask(True, "modified").unionByName(ask(False, "unmodified"))
 
 
 @query(f"WITH {ctes('media')} SELECT file_id FROM media WHERE is_archived AND file_id IN (10, 20, 25, 30)")
 def ids_in(s, d):
-    return predicates.apply(view(s, d, "media"), predicates.FileQuery(ids=(10, 20, 25, 30), is_archived=True).terms()).select("file_id")
+    return predicates.FileQuery(ids=(10, 20, 25, 30), is_archived=True).chosen(view(s, d, "media")).select("file_id")
 
 
 COLLECTION_TAGS = "coll_tags AS (SELECT DISTINCT collection_id, tag_id FROM coll_orders JOIN file_tags USING (file_id))"
@@ -78,7 +78,7 @@ def batch_search(s, d):
 
 @query(f"WITH {ctes('batches')} SELECT batch_id, CAST(CAST(date_created AS DATE) AS VARCHAR) AS day FROM batches WHERE NOT is_completed ORDER BY batches.date_created DESC, batch_id DESC LIMIT 20")
 def batch_page(s, d):
-    rows = predicates.apply(view(s, d, "batches"), entities.BatchQuery().terms("batch_id"))
+    rows = entities.BatchQuery().chosen(view(s, d, "batches"), "batch_id")
     return search.page(rows, entities.checked_key("batch", "date_created"), True, 1, 20, "batch_id").select("batch_id", F.to_date("date_created").cast("string").alias("day"))
 
 
@@ -122,7 +122,7 @@ SELECT file_id FROM files WHERE NOT is_archived AND file_id IN (SELECT file_id F
 )
 def picked_tags(s, d):
     picked = [("R1", "includeDesc"), ("B:Brand#1", "excludeDesc"), *((f"K{i}", "includeOr") for i in range(1, 13)), ("P3", "exclude")]
-    rows = predicates.apply(view(s, d, "files"), predicates.FileQuery().terms())
+    rows = predicates.FileQuery().chosen(view(s, d, "files"))
     return graph.with_tags_chosen(rows, view(s, d, "file_tags"), view(s, d, "edges"), entities.choice_of(picked), "file_id").select("file_id")
 
 

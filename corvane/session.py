@@ -36,5 +36,19 @@ def broadcast_blocks(df: DataFrame, rows: int = 100_000) -> list[DataFrame]:
     return [F.broadcast(df if parts == 1 else df.where(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == i)) for i in range(parts)]
 
 
+#: Ids up to which a list stands in the plan; longer ones are joined.
+INLINE_IDS = 1_000
+
+
+def among(rows: DataFrame, column: str, ids, keep: bool = True) -> DataFrame:
+    """Rows whose column is one of ids, or with keep false none of them (null is none). A long list is joined, not written into the plan."""
+    ids = [i for i in dict.fromkeys(ids) if i is not None]
+    if len(ids) <= INLINE_IDS:
+        inside = F.col(column).isin(*ids)
+        return rows.where(inside if keep else ~F.coalesce(inside, F.lit(False)))
+    asked = rows.sparkSession.createDataFrame([(i,) for i in ids], f"{column} {dict(rows.dtypes)[column]}")
+    return rows.join(asked, column, "left_semi" if keep else "left_anti").select(*rows.columns)
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -410,3 +410,33 @@ def test_parameters_are_read_from_the_settings_only(spark):
     assert (a["prompt"], a["negative_prompt"], a["seed"], a["model"], a["hires_scale"], a["clip_skip"], a["vae_hash"]) == ("Seed: of life, Model: T Ford", "Steps of stone", 7.0, "m", 2.0, 0.0, "v1")
     assert (a["template"], a["negative_template"]) == ("red cat,", "dog")
     assert b["prompt"] is None and c["prompt"] == "" and d["prompt"] == "" and d["seed"] is None
+
+
+def test_long_lists_of_ids_are_joined(spark):
+    from corvane.session import INLINE_IDS, among
+
+    rows = spark.createDataFrame([(i if i % 50 else None, i % 7) for i in range(3_000)], "file_id long, k int").withColumn("is_archived", F.lit(False))
+    for ids in ([5, 6, 6, None, 99_999], list(range(0, 2 * INLINE_IDS + 10, 2))):
+        asked = set(ids) - {None}
+        want = [r["file_id"] for r in rows.collect() if r["file_id"] in asked]
+        assert sorted(r["file_id"] for r in among(rows, "file_id", ids).collect()) == sorted(want)
+        assert among(rows, "file_id", ids, keep=False).count() == 3_000 - len(want)
+        assert predicates.FileQuery(ids=tuple(ids)).chosen(rows).count() == len(want)
+        assert predicates.FileQuery(excluded_ids=tuple(ids)).chosen(rows).count() == 3_000 - len(want)
+        plain = among(rows, "file_id", ids)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Join" in plain) == (len(asked) > INLINE_IDS)
+
+
+def test_fields_are_unset(spark):
+    df = spark.createDataFrame([(1, (2, (3, 4)))], "a int, thumb struct<path:int,old:struct<x:int,y:int>>")
+    assert mutate.unset(df, "a").columns == ["thumb"]
+    assert mutate.unset(df, "thumb.old.x").select("thumb.old.*").columns == ["y"]
+    assert mutate.unset(df, "thumb.old").select("thumb.*").columns == ["path"]
+    assert all(mutate.unset(df, p).schema == df.schema for p in ("b", "thumb.new", "thumb.path.z", "a.b"))
+
+
+def test_lists_of_collection_files_have_a_default_key(spark):
+    from corvane.operators import entities
+
+    rows = spark.createDataFrame([(1, 5), (2, 9)], "id int, date_created int")
+    assert [r["id"] for r in entities.listed(rows, "collection_file").collect()] == [2, 1]
