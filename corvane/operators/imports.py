@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions import text
 from corvane.operators.collections import first_occurrence, reindexed
-from corvane.operators.joins import known_hashes
+from corvane.operators.joins import known_hashes, tags_by_pattern
+from corvane.session import cut
 
 
 def statuses(rows: DataFrame, files: DataFrame, tombstones: DataFrame, ignore_deleted: bool | Column = True) -> DataFrame:
@@ -29,15 +33,25 @@ def statuses(rows: DataFrame, files: DataFrame, tombstones: DataFrame, ignore_de
     return out.withColumn("result", F.coalesce("_early", F.when(F.col("_is_first"), "COMPLETE").otherwise("DUPLICATE"))).select(*rows.columns, "is_duplicate", "is_deleted", "result")
 
 
-def folder_tags(folders: DataFrame, root_index: int = 0, mode: str = "hierarchical", collection: str = "withTag", flatten_to: int | None = None) -> DataFrame:
+def folder_tags(
+    folders: DataFrame, root_index: int = 0, mode: str = "hierarchical", collection: str = "withTag", flatten_to: int | None = None, delimiter: str | None = None, decode: bool = False, title_as_tag: bool = True
+) -> DataFrame:
     """(folder, label, parent_label, depth, collection_title) from folder paths.
 
     mode: none, cascading (flat tags) or hierarchical (each part under the one before). collection: none, withTag (the
-    last part names a collection and is a tag too) or withoutTag.
+    last part names a collection and is a tag too) or withoutTag. decode reads character references in the parts. With a
+    delimiter a part may name several tags, each under each of those before. Without title_as_tag no label is the title.
     """
-    parts = F.array_distinct(F.filter(F.split("folder", "/"), lambda p: p != ""))
-    parts = F.slice(parts, root_index + 1, flatten_to if flatten_to else 1 << 20)
-    rows = folders.select("folder").distinct().withColumn("_parts", parts)
+    parts = F.filter(F.split("folder", "/"), lambda p: p != "")
+    if decode:
+        parts = F.slice(parts, root_index + 1, flatten_to if flatten_to else 1 << 20)
+        # Character references are read part by part, on each part once.
+        each = folders.select("folder").distinct().select("folder", F.posexplode_outer(parts).alias("_at", "_part")).withColumn("_part", text.decode_entities(F.col("_part")))
+        rows = each.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("_at", "_part"))).alias("_parts"))
+        rows = rows.withColumn("_parts", F.array_distinct(F.filter(F.transform("_parts", lambda p: p["_part"]), lambda p: p.isNotNull())))
+    else:
+        parts = F.slice(F.array_distinct(parts), root_index + 1, flatten_to if flatten_to else 1 << 20)
+        rows = folders.select("folder").distinct().withColumn("_parts", parts)
     title = F.lit(None).cast("string") if collection == "none" else F.when(F.size("_parts") > 0, F.element_at("_parts", -1))
     rows = rows.withColumn("collection_title", title)
     if collection == "withoutTag" or (mode == "cascading" and collection != "none"):
@@ -46,7 +60,38 @@ def folder_tags(folders: DataFrame, root_index: int = 0, mode: str = "hierarchic
         rows = rows.withColumn("_parts", F.array().cast("array<string>"))
     out = rows.select("folder", "collection_title", F.posexplode_outer("_parts").alias("depth", "label"), "_parts")
     parent = F.when(F.col("depth") > 0, F.get("_parts", F.col("depth") - 1)) if mode == "hierarchical" else F.lit(None).cast("string")
-    return out.select("folder", "label", parent.alias("parent_label"), "depth", "collection_title")
+    out = out.select("folder", "label", parent.alias("parent_label"), "depth", "collection_title")
+    if delimiter:
+        pieces = lambda c: F.filter(F.transform(F.split(c, re.escape(delimiter)), lambda x: F.trim(x)), lambda x: x != "")
+        out = out.withColumn("label", F.explode_outer(pieces("label"))).withColumn("parent_label", F.explode_outer(pieces("parent_label")))
+    return out if title_as_tag else out.where(F.coalesce(F.col("label") != F.col("collection_title"), F.lit(True)))
+
+
+def planned_tags(found: DataFrame, parts: DataFrame, tags: DataFrame, patterns: DataFrame, closed: DataFrame) -> DataFrame:
+    """(folder, label, parent_label): what tags a scan gives each folder, from the labels found (folder, label, parent_label).
+
+    parts (folder, name) are the names whose matching tags are put in, of folders and of their collections. Of labels
+    whose tag is an ancestor of another one's in the folder only the lower stay. Last, a label that patterns (tag_id, pattern)
+    match is replaced by those tags' labels, but for one that is among its parents, and parents that they match get those tags'
+    labels beside them. Names meet the patterns once, however many folders they stand in.
+    """
+    labels = tags.groupBy("tag_id").agg(F.min("label").alias("_new"))
+    by_label = tags.groupBy("label").agg(F.min("tag_id").alias("tag_id"))
+    asked = found.select(F.explode(F.array("label", "parent_label")).alias("name")).union(parts.select("name")).where("name is not null").distinct()
+    hits = cut(tags_by_pattern(asked, patterns).join(labels, "tag_id").select("name", F.col("_new").alias("_match")).distinct())
+    own = found.where("label is not null").select("folder", "label", "parent_label").distinct()
+    more = parts.join(hits, "name").select("folder", F.col("_match").alias("label")).distinct().join(own.select("folder", "label"), ["folder", "label"], "left_anti")
+    every = cut(own.unionByName(more.withColumn("parent_label", F.lit(None).cast("string"))))
+    known = every.select("folder", "label").distinct().join(by_label, "label")
+    low = known.select("folder", F.col("tag_id").alias("tag")).join(closed.select("tag", "ancestor").where("tag <> ancestor"), "tag").select("folder", F.col("ancestor").alias("tag_id")).distinct()
+    covered = known.join(low, ["folder", "tag_id"], "left_semi").select("folder", "label")
+    left = every.join(covered, ["folder", "label"], "left_anti")
+    above = left.where("parent_label is not null").select("folder", F.col("label").alias("_of"), F.col("parent_label").alias("_match")).distinct()
+    changed = left.join(hits.withColumnRenamed("name", "label"), "label", "left").withColumn("_hit", F.col("_match").isNotNull()).withColumn("_of", F.col("label"))
+    kept = changed.where("not _hit").unionByName(changed.where("_hit").join(above, ["folder", "_of", "_match"], "left_anti"), allowMissingColumns=True)
+    named = kept.select("folder", F.coalesce("_match", "label").alias("label"), "parent_label")
+    wider = named.join(hits.select(F.col("name").alias("parent_label"), F.col("_match").alias("_up")), "parent_label").where("_up <> label").select("folder", "label", F.col("_up").alias("parent_label"))
+    return named.unionByName(wider).distinct()
 
 
 def effective_tags(rows: DataFrame, batch_tags: DataFrame, file_tags: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from corvane.functions import text
 from corvane.operators import graph, imports, joins, mutate, rollups, upkeep
 from corvane.plans.registry import closed, closed_ctes, query
-from corvane.session import table
+from corvane.session import shared_folder, table
+from corvane.sources import batches
 from corvane.sources.adapters import ctes, view
 
 
@@ -337,6 +338,47 @@ def reingest(s, d):
     return tags.unionByName(members.select("file_id", F.concat(F.lit("member"), "idx").alias("tag_id")))
 
 
+#: Folders of files whose names hold character references, several tags in one part, and labels written otherwise.
+FOLDERS_SQL = """SELECT DISTINCT '/lib/' || c_mktsegment || ' &amp; co/' || replace(lower(n_name), ' ', '_') || ';;' || r_name || '/' || replace(c_name, '#', '&#35;') AS folder
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+@query(
+    closed_ctes()
+    + """, f AS (SELECT DISTINCT c_mktsegment || ' & co' AS a, replace(lower(n_name), ' ', '_') AS b, r_name AS r, n_name, c_name, '/lib/' || c_mktsegment || ' &amp; co/' || replace(lower(n_name), ' ', '_') || ';;' || r_name || '/' || replace(c_name, '#', '&#35;') AS folder
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT folder, 'lib' AS label, NULL AS parent_label FROM f UNION SELECT folder, a, 'lib' FROM f UNION SELECT folder, c_name, b FROM f UNION SELECT folder, c_name, r FROM f UNION SELECT folder, c_name, n_name FROM f
+UNION SELECT folder, n_name, a FROM f WHERE n_name <> r AND NOT EXISTS (SELECT 1 FROM tags t JOIN closed c ON c.ancestor = t.tag_id JOIN tags l ON l.tag_id = c.tag WHERE t.label = f.b AND l.label = c_name)"""
+)
+def batch_plan(s, d):
+    """What a scan of all customers' folders makes of them: references read, parts with several tags, labels replaced by the tags they mean."""
+    folders = s.sql(FOLDERS_SQL.replace("FROM customer JOIN nation", "FROM {customer} JOIN {nation}").replace("JOIN region", "JOIN {region}"), **{t: table(s, d, t) for t in ("customer", "nation", "region")})
+    found = imports.folder_tags(folders, mode="hierarchical", collection="withTag", delimiter=";;", decode=True)
+    tags = view(s, d, "tags").where("tag_id rlike '^[RNK]'")
+    patterns = tags.select("tag_id", text.tag_pattern(F.col("label"), F.array().cast("array<string>")).alias("pattern"))
+    titles = found.select("folder", F.col("collection_title").alias("name")).distinct()
+    return imports.planned_tags(found, titles, tags, patterns, closed(s, d))
+
+
+#: A batch over the largest files: some go, some change, some are new.
+@query(
+    f"""WITH {ctes('files')}, m AS (SELECT max(file_id) AS m FROM files) SELECT file_id, size, ext FROM files, m WHERE file_id <= m * 0.9
+UNION ALL SELECT file_id, size + 1, 'changed' FROM files, m WHERE file_id > m * 0.9 AND file_id % 3 = 0 UNION ALL SELECT file_id, size, ext FROM files, m WHERE file_id > m * 0.9 AND file_id % 3 = 1
+UNION ALL SELECT file_id + 100000000, size, 'new' FROM files, m WHERE file_id > m * 0.9 AND file_id % 3 = 2"""
+)
+def batch_rewrite(s, d):
+    """An ordered batch on the last tenth of the files: deletions, updates and inserts, some ids twice. Files without a hit stay as they are."""
+    rows = view(s, d, "files").select("file_id", "size", "ext")
+    stored = batches.create(rows, shared_folder(s), "file_id", 8)
+    k, late = F.col("file_id"), rows.where(F.col("file_id") > rows.agg(F.max("file_id")).first()[0] * 0.9)
+    op = lambda seq, name, part: part.select(F.lit(seq).alias("seq"), F.lit(name).alias("op"), "file_id", "size", "ext")
+    changes = op(1, "delete", late.where(k % 3 == 0)).unionByName(op(2, "insert", late.where(k % 3 == 0).withColumns({"size": F.col("size") + 1, "ext": F.lit("changed")})))
+    changes = changes.unionByName(op(3, "update", late.where(k % 3 == 2).withColumn("ext", F.lit("?")))).unionByName(op(4, "delete", late.where(k % 3 == 2)))
+    changes = changes.unionByName(op(5, "insert", late.where(k % 3 == 2).withColumns({"file_id": k + 100_000_000, "ext": F.lit("new")})))
+    after = batches.apply_batch(stored, changes)
+    return after.rows()
+
+
 @query(
     f"""WITH {ctes('batch_files', 'batch_tags')}, f AS (SELECT batch_id, pos, 'own' AS tag_id FROM batch_files WHERE pos = 0) SELECT batch_id, pos, tag_id FROM batch_files JOIN batch_tags USING (batch_id) UNION SELECT * FROM f"""
 )
