@@ -48,10 +48,15 @@ def resolve(records: DataFrame) -> DataFrame:
     greater record_id counts as later; a response at the revisit's own time is not earlier. outcome: "resolved"; "no
     validator" (neither entity tags nor modification dates on both sides), "mismatch", or "no response" (also for a null
     URL or date), and then there is no body. Entity tags compare weakly and go before dates. Repeated revisits give
-    repeated rows; repeated responses of one record_id count once.
+    repeated rows. Of responses that share a record_id the earliest counts, of those the least URL, then the least hash of
+    body and headers.
     """
     base = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url_key"), F.col("date").cast("long").alias("at"), "status", plain_headers(F.col("headers")).alias("headers"), "body")
-    full = base.where((F.col("kind") == "response") & (F.col("status") == 200) & F.col("body").isNotNull() & F.col("url_key").isNotNull() & F.col("at").isNotNull()).dropDuplicates(["record_id"])
+    full = base.where((F.col("kind") == "response") & (F.col("status") == 200) & F.col("body").isNotNull() & F.col("url_key").isNotNull() & F.col("at").isNotNull())
+    # Of responses that share an id one counts, the same wherever full is worked out.
+    whole = [c for c in base.columns if c != "record_id"]
+    rank = F.struct("at", "url_key", F.xxhash64("body", F.array_sort(F.map_entries("headers"))))
+    full = full.groupBy("record_id").agg(F.min_by(F.struct(*whole), rank).alias("row")).select("record_id", *(F.col("row")[c].alias(c) for c in whole))
     # Written once, so that a revisit's number is the same wherever it is asked for.
     revisits = materialize(base.where("kind = 'revisit'").select("record_id", "url_key", "at", F.col("headers").alias("own")).withColumn("row", F.monotonically_increasing_id()), "revisits")
     bounds = base.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()

@@ -185,3 +185,13 @@ def test_revisits_match_brute_force(spark):
             seen = [(d, j) for j, k, u, d, *_ in rows if k == "response" and u == url and d < at]
             want[i] = max(seen)[1] if seen else None
     assert {x["record_id"]: x["target_id"] for x in revisits.resolve(df).collect()} == want
+
+
+def test_responses_that_share_an_id(spark):
+    head = {"ETag": '"a"'}
+    rows = [(1, "response", "http://e.com/x", 9, 200, head, "late"), (1, "response", "http://e.com/x", 3, 200, head, "early"), (1, "response", "http://e.com/x", 3, 200, head, "other"), (2, "revisit", "http://e.com/x", 12, 304, head, None), (3, "revisit", "http://e.com/x", 2, 304, head, None)]
+    frame = spark.createDataFrame(rows, "record_id long, kind string, url string, date long, status int, headers map<string,string>, body string")
+    got = {tuple((r["record_id"], r["outcome"], r["body"]) for r in revisits.resolve(frame.repartition(k)).orderBy("record_id").collect()) for k in (1, 3, 5)}
+    assert len(got) == 1
+    ((two, three),) = got
+    assert two[:2] == (2, "resolved") and two[2] in ("early", "other") and three == (3, "no response", None)
