@@ -129,6 +129,18 @@ def test_pipeline_stage_finds_all_pairs_of_jaccard_08(spark):
     assert corpus_pipeline.near_dedup(spark, frame.limit(0), "").count() == 0
 
 
+def test_bitmaps_bound_the_difference_of_sets():
+    from corvane.llm import jaccard
+
+    r = np.random.default_rng(9)
+    for n, changed in ((3, 1), (50, 8), (900, 60), (5000, 900)):
+        a = r.integers(0, 1 << 62, n).astype(np.uint64)
+        b = np.r_[a[changed:], r.integers(0, 1 << 62, changed).astype(np.uint64)]
+        apart = sum(int(x).bit_count() for x in (jaccard.bitmap(a) ^ jaccard.bitmap(b)).view(np.uint64))
+        assert apart <= len(set(a.tolist()) ^ set(b.tolist())) and len(jaccard.bitmap(a)) == jaccard.BITS // 64
+    assert jaccard.bitmap(np.zeros(0, np.uint64)).tolist() == [0] * (jaccard.BITS // 64)
+
+
 def brute(docs, size=50):
     seen, out = {}, []
     for i, t in docs:
