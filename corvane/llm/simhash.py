@@ -42,7 +42,11 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1][: len(words) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+    return majority(np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     places = hashes.view(np.uint8).reshape(-1, 8).astype(np.int64) + np.arange(8) * 256
     counts = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ BYTE_BITS
     return int.from_bytes(np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").tobytes(), "little")
@@ -187,15 +191,20 @@ def links(fps: DataFrame, plan: Plan, tau: int = 4) -> DataFrame:
     return entered.join(probes, "code").where((F.col("a") < F.col("b")) & _near("a", "b", tau)).select("a", "b").distinct()
 
 
+def to_least(fps: DataFrame, plan: Plan, tau: int = 4) -> DataFrame:
+    """(a, b): fingerprints b that differ in at most tau bits from the least fingerprint a of a bucket that they probe."""
+    entered, probes = keyed(fps, plan)
+    first = entered.groupBy("code").agg(F.min("a").alias("a"))
+    return first.join(probes, "code").where((F.col("a") != F.col("b")) & _near("a", "b", tau)).select("a", "b").distinct()
+
+
 def linked(fps: DataFrame, plan: Plan, tau: int = 4) -> DataFrame:
     """(node, component) over the links of links(), without listing all of them.
 
     Every bucket is linked to its least member where that is near enough; pairs are then met only in buckets that still
     hold several components, and only between those. A group of near copies is one component by then.
     """
-    entered, probes = keyed(fps, plan)
-    first = entered.groupBy("code").agg(F.min("a").alias("a"))
-    stars = materialize(first.join(probes, "code").where((F.col("a") != F.col("b")) & _near("a", "b", tau)).select("a", "b").distinct(), "stars-met")
+    stars = materialize(to_least(fps, plan, tau), "stars-met")
     parts = components(stars)
     owned = fps.select("fp").join(parts, fps["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"))
     owned = materialize(owned, "owned")

@@ -129,6 +129,45 @@ def test_pipeline_stage_finds_all_pairs_of_jaccard_08(spark):
     assert corpus_pipeline.near_dedup(spark, frame.limit(0), "").count() == 0
 
 
+def test_jaccard_meets_fingerprints_first(spark):
+    from corvane.llm import jaccard
+
+    r = random.Random(5)
+    base = [[f"w{r.randrange(4000)}" for _ in range(400)] for _ in range(20)]
+    docs = [" ".join(b) for b in base] + [edited(b, 1, r) for b in base for _ in range(3)] + ["", "one"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    levels = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    marked = jaccard.prefixes(frame, levels, 5, (4, 5), "doc_id", "text").withColumn("first", F.struct("doc_id", "_h"))
+    print_of = {x["node"]: x["fp"] for x in marked.collect()}
+    assert len(print_of) > 70 and all(fp == np.uint64(simhash.majority(jaccard.hashed(docs[x["doc_id"]]))).astype(np.int64) for x in marked.collect() for fp in [x["fp"]])
+    met = [(x["a"], x["b"]) for x in jaccard.by_simhash(marked).collect()]
+    apart = {(a, b): ((print_of[a] ^ print_of[b]) & (1 << 64) - 1).bit_count() for a, b in itertools.permutations(print_of, 2)}
+    assert met and all(apart[p] <= jaccard.TAU for p in met)
+    near = {n for p, d in apart.items() if d <= jaccard.TAU for n in p}
+    assert len(near & {n for p in met for n in p}) > len(near) / 2  # the others are left to the prefixes
+
+
+def test_copies_changed_in_different_places_are_not_listed_pair_by_pair(spark, monkeypatch):
+    from corvane.llm import jaccard
+
+    r, rows, write = random.Random(3), {}, jaccard.materialize
+
+    def counted(df, name, *args, **kwargs):
+        out = write(df, name, *args, **kwargs)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    base = [f"w{i}" for i in range(150)]
+    docs = [edited(base, r.choice([1, 1, 2, 3, 5, 7]), r) for _ in range(300)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    kept = sorted(x["doc_id"] for x in jaccard.dedup(frame).collect())
+    sets = [jaccard.shingles(t) for t in docs]
+    near = [(a, b) for a, b in itertools.combinations(range(len(docs)), 2) if jaccard.similar(sets[a], sets[b])]
+    assert kept == sorted(set(classes(range(len(docs)), near).values())) and len(near) > 5_000
+    assert rows["pairs-met"] + rows["stars-met"] < 5 * len(docs)
+
+
 def test_bitmaps_bound_the_difference_of_sets():
     from corvane.llm import jaccard
 
