@@ -1,7 +1,9 @@
 """Small tables with the edge cases of each operator."""
 
+import functools
 import hashlib
 import html
+import math
 import os
 import random
 
@@ -271,6 +273,25 @@ def test_nearest_face_is_searched_among_all_rows(spark, tmp_path):
     assert got == {0: ("7", 0.1), 20: ("33", 0.2)}
 
 
+def test_nearest_other_meets_blocks_by_products(spark):
+    r = random.Random(2)
+    vectors = {i: [r.uniform(-1, 1) for _ in range(6)] for i in range(300)} | {300 + i: [r.uniform(-1, 1) for _ in range(3)] for i in range(60)}
+    vectors |= {400: vectors[5], 401: vectors[5], 402: [], 403: [], 404: None, 405: [1.0, None, 0.0], 406: [float("nan")] * 3, 407: [1e6 + 1] * 3, 408: [1e6] * 3}
+    rows = [(i, v) for i, v in vectors.items()] + [(None, [0.0] * 3)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    faces, known = frame.select(F.col("id").alias("face_id"), F.col("v").alias("vector")), frame.select(F.col("id").cast("string").alias("tag_id"), F.col("v").alias("known_vector"))
+    sure = {i: v for i, v in vectors.items() if v is not None and all(x is not None and x == x for x in v)}
+    want, squares = {}, lambda v, w: functools.reduce(lambda s, x: s + x, ((a - b) * (a - b) for a, b in zip(v, w)), 0.0)  # noqa: E731 - sum() rounds otherwise
+    for i, v in sure.items():
+        near = min(((math.sqrt(squares(v, w)), str(j)) for j, w in sure.items() if j != i and len(w) == len(v)), default=(9, ""))
+        if near[0] <= 1.8:
+            want[i] = (near[1], near[0])
+    out = joins.nearest_other(faces, known, 1.8)
+    assert {x["face_id"]: (x["tag_id"], x["distance"]) for x in out.collect()} == want and {want[5][1], want[407][0]} == {0.0, "408"}
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "zip_with" not in plan  # pairs are not worked out one by one
+
+
 def test_entity_decode_keeps_all_pages(spark, tmp_path):
     pages = [(1, "a &lt; b"), (2, "&#169; &#8364; &#128512;"), (3, "it&#39;s"), (4, "x")]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
