@@ -37,8 +37,11 @@ def with_tags_chosen(rows: DataFrame, members: DataFrame, edges: DataFrame, choi
 
 
 def propagate(members: DataFrame, closed: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:
-    """(owner, tag): each owner's tags and all their ancestors, once each."""
-    return members.join(closed, members[tag] == closed["tag"]).select(owner, F.col("ancestor").alias(tag)).distinct()
+    """(owner, tag): each owner's tags and all their ancestors, once each; rows of an owner lie together.
+
+    Rows are dealt by owner once, before the distinct: it then needs no shuffle of its own, nor do joins and groups by owner after it.
+    """
+    return members.join(closed, members[tag] == closed["tag"]).select(owner, F.col("ancestor").alias(tag)).repartition(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), owner).distinct()
 
 
 def materialised(pairs: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:

@@ -132,3 +132,12 @@ def test_closure_after_a_change_of_tags(spark):
 def test_trees_end_at_cycles(spark):
     rows = spark.createDataFrame([("Root", None), ("a", "root"), ("b", "A"), ("A", "B"), ("x", "y"), ("Y", "x")], "label string, parent_label string")
     assert {tuple(r) for r in graph.tree(rows).collect()} == {("Root", "Root", 0), ("A", "Root/A", 1), ("b", "Root/A/b", 2)}
+
+
+def test_propagated_tags_are_dealt_once_by_owner(spark):
+    members = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "file_id long, tag_id string")
+    closed = spark.createDataFrame([("a", "a"), ("b", "b"), ("a", "t"), ("b", "t")], "tag string, ancestor string")
+    wide = graph.propagate(members, closed, "file_id")
+    plan = wide.groupBy("file_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(file_id") == 1 and "hashpartitioning(file_id#" in plan and "tag_id" not in plan.split("hashpartitioning(file_id")[1].split(")")[0]
+    assert sorted(map(tuple, wide.collect())) == [(1, "a"), (1, "b"), (1, "t"), (2, "b"), (2, "t")]
