@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import cut
+from corvane.session import cut, union
 
 #: Rounds that follow links one by one, as most hierarchies ask for no more; beyond them the steps double.
 SHALLOW = 6
@@ -134,19 +134,20 @@ def held_delta(members: DataFrame, before: DataFrame, after: DataFrame, delta: D
     """What becomes of propagate(members): (owner, tag) pairs that a change of the closure from before to after adds and takes away.
 
     An owner gains an ancestor that none of its tags had, and loses one that none has any more. Only owners with a tag
-    whose pairs changed are looked at.
+    whose pairs changed are looked at. Pairs come marked as added, removed or kept, so that each owner's tags meet them once; of
+    the kept ones only those to an ancestor that the delta names take part.
     """
-    own = members.select(owner, F.col(tag).alias("tag"))
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        return own.join(pairs.select("tag", "ancestor"), "tag").select(owner, "ancestor").distinct()
-
-    def held(asked: DataFrame, closed: DataFrame) -> DataFrame:
-        return asked.join(own, owner).join(closed.select("tag", "ancestor"), ["tag", "ancestor"], "left_semi").select(owner, "ancestor").distinct()
-
-    more, less = cut(candidates(delta.added)), cut(candidates(delta.removed))
-    out = [asked.join(held(asked, closed), [owner, "ancestor"], "left_anti").withColumnRenamed("ancestor", tag) for asked, closed in ((more, before), (less, after))]
-    return Delta(*out)
+    names = ["tag", "ancestor"]
+    came, went = cut(delta.added.select(*names)), cut(delta.removed.select(*names))
+    both = came.unionByName(went)
+    kept = before.select(*names).join(both.select("ancestor").distinct(), "ancestor", "left_semi").join(went, names, "left_anti").select(*names)
+    marks = [pairs.select(*names, *(F.lit(name == m).alias(m) for m in ("_came", "_went", "_kept"))) for name, pairs in (("_came", came), ("_went", went), ("_kept", kept))]
+    own = cut(members.select(owner, F.col(tag).alias("tag")))
+    touched = cut(own.join(both.select("tag").distinct(), "tag", "left_semi").select(owner).distinct())
+    asked = own.join(touched, owner, "left_semi")
+    held = asked.join(cut(union(marks)), "tag").groupBy(owner, F.col("ancestor").alias(tag)).agg(*(F.bool_or(m).alias(m) for m in ("_came", "_went", "_kept")))
+    changed = cut(held.where("not _kept and _came <> _went"))
+    return Delta(changed.where("_came").select(owner, tag), changed.where("_went").select(owner, tag))
 
 
 def components(links: DataFrame) -> DataFrame:

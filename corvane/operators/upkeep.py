@@ -228,6 +228,14 @@ def changed(before: DataFrame, after: DataFrame, owner: str, tag: str = "tag_id"
     return a.join(b, [owner, tag], "left_anti").select(owner).union(b.join(a, [owner, tag], "left_anti").select(owner)).distinct()
 
 
+def closure_changed(members: DataFrame, before: DataFrame, after: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:
+    """Owners whose tags with all ancestors differ under two closures; only those with a tag whose pairs differ are looked at."""
+    names = ["tag", "ancestor"]
+    a, b = before.select(*names), after.select(*names)
+    delta = graph.held_delta(members, a, b, graph.Delta(b.join(a, names, "left_anti"), a.join(b, names, "left_anti")), owner, tag)
+    return delta.added.select(owner).union(delta.removed.select(owner)).distinct()
+
+
 def _put(rows: DataFrame, tag_ids: list) -> DataFrame:
     return rows.withColumn("tag_id", F.explode(F.array(*map(F.lit, tag_ids)).cast("array<string>")))
 

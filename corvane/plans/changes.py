@@ -262,9 +262,8 @@ SELECT DISTINCT file_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b UNION ALL (
 )
 def closure_changes(s, d):
     own, e = view(s, d, "file_tags"), view(s, d, "edges")
-    before = graph.propagate(own, closed(s, d), "file_id")
-    after = graph.propagate(own, graph.closure(e.where("child <> 'N1' and parent <> 'N1'"), view(s, d, "tags")), "file_id")
-    return upkeep.changed(before, after, "file_id")
+    before, after = closed(s, d), graph.closure(e.where("child <> 'N1' and parent <> 'N1'"), view(s, d, "tags"))
+    return upkeep.closure_changed(own, before, after, "file_id")
 
 
 @query(

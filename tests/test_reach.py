@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import graph, reach, upkeep
+from corvane.operators import graph, reach, rollups, upkeep
 
 
 def edges(spark, links):
@@ -141,3 +141,22 @@ def test_propagated_tags_are_dealt_once_by_owner(spark):
     plan = wide.groupBy("file_id").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(file_id") == 1 and "hashpartitioning(file_id#" in plan and "tag_id" not in plan.split("hashpartitioning(file_id")[1].split(")")[0]
     assert sorted(map(tuple, wide.collect())) == [(1, "a"), (1, "b"), (1, "t"), (2, "b"), (2, "t")]
+
+
+def test_owners_whose_ancestors_changed_are_found_from_the_changed_pairs(spark):
+    own = spark.createDataFrame([(1, "a"), (1, "c"), (2, "b"), (3, "c"), (4, "a")], "file_id long, tag_id string")
+    pairs = lambda rows: spark.createDataFrame(rows, "tag string, ancestor string")
+    selves = [(x, x) for x in "abct"]
+    before, after = pairs([*selves, ("a", "t"), ("c", "t")]), pairs([*selves, ("c", "t"), ("b", "t")])
+    got = upkeep.closure_changed(own, before, after, "file_id")
+    want = upkeep.changed(graph.propagate(own, before, "file_id"), graph.propagate(own, after, "file_id"), "file_id")
+    assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in want.collect()) == [2, 4]
+
+
+def test_files_keep_an_ancestor_that_another_of_their_tags_has(spark):
+    own = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "d")], "file_id long, tag_id string")
+    pairs = lambda rows: spark.createDataFrame(rows, "tag string, ancestor string")
+    before = pairs([("a", "x"), ("b", "x"), ("a", "a"), ("b", "b"), ("d", "d")])
+    delta = graph.Delta(pairs([("a", "y"), ("d", "x")]), pairs([("a", "x")]))
+    got = graph.held_delta(own, before, graph.with_delta(before, delta), delta, "file_id")
+    assert {tuple(r) for r in got.added.collect()} == {(1, "y"), (2, "y"), (3, "y")} and {tuple(r) for r in got.removed.collect()} == {(2, "x")}
