@@ -75,9 +75,19 @@ class Delta:
     removed: DataFrame
 
 
+#: Values of the last column up to which with_delta() sends past the removed pairs what cannot be among them.
+FEW = 10_000
+
+
 def with_delta(pairs: DataFrame, delta: Delta) -> DataFrame:
+    """pairs without the removed and with the added. Where the removed pairs name few ancestors or tags (the last column), only pairs with those meet them."""
     names = delta.added.columns
-    return pairs.select(*names).join(delta.removed, names, "left_anti").unionByName(delta.added)
+    rows, removed = pairs.select(*names), delta.removed
+    few = cut(removed.select(names[-1]).distinct().limit(FEW + 1))
+    if few.count() > FEW:
+        return rows.join(removed, names, "left_anti").unionByName(delta.added)
+    few = F.broadcast(few)
+    return union([rows.join(few, names[-1], "left_anti").select(*names), rows.join(few, names[-1], "left_semi").join(removed, names, "left_anti").select(*names), delta.added])
 
 
 def closure_delta(closed: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> Delta:

@@ -66,7 +66,9 @@ def rolled(state: DataFrame, delta: graph.Delta, files_before: DataFrame, files_
     new = _oldest(came, runners).join(last, "tag_id").where(F.col("_last").isNull() | (place <= F.col("_last"))).select("tag_id", "date_created", "file_id")
     merged = _listed(_oldest(left.unionByName(new), runners)).withColumnRenamed("oldest", "_merged")
     out = cut(both.join(merged, "tag_id", "left").select("tag_id", "n_files", "total_size", F.when(F.col("_touched"), F.col("_merged")).otherwise(F.col("oldest")).alias("oldest")))
-    empty = out.where("n_files > 0 and oldest is null").select("tag_id")
+    empty = cut(out.where("n_files > 0 and oldest is null").select("tag_id"))
+    if empty.isEmpty():
+        return out
     refill = of(wide_after.join(empty, "tag_id", "left_semi"), files_after)
     found = _listed(_oldest(refill, runners)).withColumnRenamed("oldest", "_found")
     return cut(out.join(found, "tag_id", "left").select("tag_id", "n_files", "total_size", F.coalesce("oldest", "_found").alias("oldest")))

@@ -188,12 +188,12 @@ def files_deleted(lib: Library, gone: DataFrame) -> Library:
 def files_retagged(lib: Library, files: DataFrame, added: list, removed: list) -> Library:
     """After tags are put on and then taken off some files (file_id): their ancestors and the counts of all tags concerned follow."""
     ids = cut(files.select("file_id").distinct().join(lib.files.select("file_id"), "file_id", "left_semi"))
-    own = retagged(lib.tags.file_tags, ids, added, removed)
+    own = cut(retagged(lib.tags.file_tags, ids, added, removed))
     names = ["file_id", "tag_id"]
     was = cut(lib.wide.join(ids, "file_id", "left_semi").select(*names))
     now = cut(graph.propagate(own.join(ids, "file_id", "left_semi"), lib.closed, "file_id"))
     delta = graph.Delta(cut(now.join(was, names, "left_anti")), cut(was.join(now, names, "left_anti")))
-    return _with_wide(replace(lib, tags=replace(lib.tags, file_tags=cut(own))), delta)
+    return _with_wide(replace(lib, tags=replace(lib.tags, file_tags=own)), delta)
 
 
 def tags_changed(lib: Library, after: TagTables) -> Library:
@@ -204,15 +204,22 @@ def tags_changed(lib: Library, after: TagTables) -> Library:
     names = ["file_id", "tag_id"]
     closed, delta = closure_after(lib.tags, lib.closed, after)
     closed = cut(closed)
-    before, now = lib.tags.file_tags.select(*names).distinct(), after.file_tags.select(*names).distinct()
+    before = lib.tags.file_tags.select(*names).distinct()
+    if lib.tags.file_tags.sameSemantics(after.file_tags):
+        return _with_state(_with_wide(replace(lib, tags=after, closed=closed), graph.held_delta(before, lib.closed, closed, delta, "file_id")), lib.tags)
+    now = after.file_tags.select(*names).distinct()
     moved = cut(changed(before, now, "file_id"))
     by_closure = graph.held_delta(before.join(moved, "file_id", "left_anti"), lib.closed, closed, delta, "file_id")
     was = cut(lib.wide.join(moved, "file_id", "left_semi").select(*names))
     again = cut(graph.propagate(now.join(moved, "file_id", "left_semi"), closed, "file_id"))
     wide_delta = graph.Delta(cut(by_closure.added.unionByName(again.join(was, names, "left_anti"))), cut(by_closure.removed.unionByName(was.join(again, names, "left_anti"))))
-    gone = lib.tags.tags.select("tag_id").join(after.tags.select("tag_id"), "tag_id", "left_anti")
-    out = _with_wide(replace(lib, tags=after, closed=closed), wide_delta)
-    fresh = after.tags.select("tag_id").join(out.tag_state.select("tag_id"), "tag_id", "left_anti")
+    return _with_state(_with_wide(replace(lib, tags=after, closed=closed), wide_delta), lib.tags)
+
+
+def _with_state(out: Library, was: TagTables) -> Library:
+    """A row of counts for each tag there is now, and none for those of was that are gone."""
+    gone = was.tags.select("tag_id").join(out.tags.tags.select("tag_id"), "tag_id", "left_anti")
+    fresh = out.tags.tags.select("tag_id").join(out.tag_state.select("tag_id"), "tag_id", "left_anti")
     empty = fresh.select("tag_id", F.lit(0).cast("long").alias("n_files"), F.lit(0).cast("long").alias("total_size"), F.lit(None).cast(dict(out.tag_state.dtypes)["oldest"]).alias("oldest"))
     return replace(out, tag_state=cut(out.tag_state.join(gone, "tag_id", "left_anti").unionByName(empty)))
 

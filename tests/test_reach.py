@@ -160,3 +160,20 @@ def test_files_keep_an_ancestor_that_another_of_their_tags_has(spark):
     delta = graph.Delta(pairs([("a", "y"), ("d", "x")]), pairs([("a", "x")]))
     got = graph.held_delta(own, before, graph.with_delta(before, delta), delta, "file_id")
     assert {tuple(r) for r in got.added.collect()} == {(1, "y"), (2, "y"), (3, "y")} and {tuple(r) for r in got.removed.collect()} == {(2, "x")}
+
+
+def test_only_pairs_with_a_removed_tag_meet_the_removed_ones(spark):
+    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "file_id long, tag_id string")
+    delta = graph.Delta(pairs.limit(0), spark.createDataFrame([(1, "a"), (9, "a")], "file_id long, tag_id string"))
+    out = graph.with_delta(pairs, delta)
+    assert sorted(map(tuple, out.collect())) == [(1, "b"), (2, "a")]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_follow_without_a_look_at_all_pairs_unless_a_list_runs_empty(spark):
+    files = spark.createDataFrame([(1, 10, 1), (2, 20, 2)], "file_id long, size long, date_created int")
+    wide = spark.createDataFrame([(1, "a"), (2, "a")], "file_id long, tag_id string")
+    state = rollups.rollup_state(spark.createDataFrame([("a",)], "tag_id string"), wide, files)
+    never = wide.where(F.raise_error(F.lit("all pairs were read")).isNull())
+    out = rollups.rolled(state, graph.Delta(wide.limit(0), wide.where("file_id = 1")), files, files, never)
+    assert [tuple(r) for r in rollups.rollup_of(out).collect()] == [("a", 1, 20, 2)]
