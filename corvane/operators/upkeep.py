@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators import graph, mutate, rollups
-from corvane.session import cut
+from corvane.session import cut, dealt
 
 
 @dataclass(frozen=True)
@@ -248,10 +248,11 @@ def _put(rows: DataFrame, tag_ids: list) -> DataFrame:
 
 
 def retagged(file_tags: DataFrame, files: DataFrame, added: list, removed: list) -> DataFrame:
-    """file_tags after tags are put on and then taken off some files (file_id)."""
-    chosen = files.select("file_id").distinct()
-    both = file_tags.select("file_id", "tag_id").unionByName(_put(chosen, added)).distinct()
-    return both.join(_put(chosen, removed), ["file_id", "tag_id"], "left_anti")
+    """file_tags after tags are put on and then taken off some files (file_id); rows are dealt once, no pair is joined."""
+    chosen, pairs = files.select("file_id").distinct(), ["file_id", "tag_id"]
+    both = file_tags.select(*pairs).unionByName(_put(chosen, added)).withColumn("_off", F.lit(False))
+    off = _put(chosen.where("file_id is not null"), removed).withColumn("_off", F.lit(True))
+    return dealt(both.unionByName(off), *pairs).groupBy(*pairs).agg(F.bool_or("_off").alias("_off")).where("not _off").select(*pairs)
 
 
 def retagged_batch(batch_tags: DataFrame, batch_id, added: list, removed: list) -> DataFrame:

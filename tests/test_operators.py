@@ -461,3 +461,12 @@ def test_lists_of_collection_files_have_a_default_key(spark):
 
     rows = spark.createDataFrame([(1, 5), (2, 9)], "id int, date_created int")
     assert [r["id"] for r in entities.listed(rows, "collection_file").collect()] == [2, 1]
+
+
+def test_tags_are_put_on_and_taken_off_without_a_join_of_pairs(spark):
+    from corvane.operators import upkeep
+
+    own = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b"), (None, "b")], "file_id long, tag_id string")
+    out = upkeep.retagged(own, spark.createDataFrame([(1,), (1,), (None,)], "file_id long"), ["n", "m"], ["b", "m"])
+    assert sorted(map(str, map(tuple, out.collect()))) == ["(1, 'a')", "(1, 'n')", "(2, 'b')", "(None, 'b')", "(None, 'm')", "(None, 'n')"]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
