@@ -113,6 +113,12 @@ def merged_members(members: DataFrame, merges: DataFrame, owner: str, tag: str =
     return members.join(m, members[tag] == m["gone"], "left").select(owner, F.coalesce("kept", tag).alias(tag)).distinct()
 
 
+def leading_where(closed: DataFrame, tag_ids: list) -> DataFrame:
+    """Pairs of the closure whose ancestor is above one of some tags: all that counts of their ancestors need."""
+    above = cut(among(closed, "tag", tag_ids).where("depth > 0").select("ancestor").distinct())
+    return closed.join(above, "ancestor", "left_semi").select(*closed.columns)
+
+
 def ancestor_labels(closed: DataFrame, tags: DataFrame, counts: DataFrame, tag_ids: list) -> DataFrame:
     """(tag, ancestor, label, n_files, place): ancestors of some tags without themselves, those with most files first; counts: (tag_id, n_files)."""
     rows = among(closed, "tag", tag_ids).where(F.col("depth") > 0).join(tags.select(F.col("tag_id").alias("ancestor"), "label"), "ancestor")

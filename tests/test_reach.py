@@ -177,3 +177,8 @@ def test_counts_follow_without_a_look_at_all_pairs_unless_a_list_runs_empty(spar
     never = wide.where(F.raise_error(F.lit("all pairs were read")).isNull())
     out = rollups.rolled(state, graph.Delta(wide.limit(0), wide.where("file_id = 1")), files, files, never)
     assert [tuple(r) for r in rollups.rollup_of(out).collect()] == [("a", 1, 20, 2)]
+
+
+def test_counts_for_some_tags_ancestors_need_their_pairs_only(spark):
+    closed = spark.createDataFrame([("a", "a", 0), ("a", "t", 1), ("b", "t", 1), ("b", "u", 1), ("t", "t", 0)], "tag string, ancestor string, depth int")
+    assert {tuple(r)[:2] for r in graph.leading_where(closed, ["a"]).collect()} == {("a", "t"), ("b", "t"), ("t", "t")}
