@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -253,17 +255,47 @@ class TrigramIndex:
     text_col: str
 
 
-def _grams(text: Column) -> Column:
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
+#: Characters of texts whose runs of three are sorted at once.
+CHARS = 2_000_000
+
+
+def _runs_of_three(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place of its text) of the distinct runs of three code points of each text, A-Z lowered, by run and then by text."""
+    points = np.frombuffer("".join(texts).translate(_LOWER).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    at = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    starts = np.flatnonzero(at[:-2] == at[2:])
+    runs, at = (points[starts] << 42) | (points[starts + 1] << 21) | points[starts + 2], at[starts]
+    order = np.argsort(runs, kind="stable")
+    runs, at = runs[order], at[order]
+    once = np.r_[True, (runs[1:] != runs[:-1]) | (at[1:] != at[:-1])]
+    return runs[once], at[once]
+
+
+def _postings(table: pa.Table) -> pa.Table:
+    """(gram, block, ids) of one block's rows (block, id, text), ids sorted. Long texts are gone through in parts."""
+    table = table.sort_by("id")
+    texts = table.column("text").to_pylist()
+    part = np.cumsum([len(x) for x in texts]) // CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    found = [(runs, at + a) for a, b in zip(cuts, cuts[1:]) for runs, at in [_runs_of_three(texts[a:b])]]
+    runs, at = np.concatenate([r for r, _ in found]), np.concatenate([a for _, a in found])
+    if len(found) > 1:
+        order = np.argsort(runs, kind="stable")  # texts stay in order within a run
+        runs, at = runs[order], at[order]
+    first = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+    names = [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in runs[first].tolist()]
+    ids = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), table.column("id").combine_chunks().take(pa.array(at)))
+    return pa.table({"gram": pa.array(names, pa.string()), "block": table.column("block").take(pa.array(np.zeros(len(names), np.int64))), "ids": ids})
 
 
 def trigram_index(rows: DataFrame, id_col: str, text_col: str, block: int = 10_000) -> TrigramIndex:
     """An index of rows by the trigrams of a text; ids are unique. A common gram is cut into blocks of about so many ids, so no list grows with the table."""
     spark = rows.sparkSession
     blocks = max(1, -(-rows.count() // block))
-    each = rows.where(F.length(text_col) >= 3).select(F.col(id_col).alias("id"), F.explode(_grams(F.col(text_col))).alias("gram"))
-    lists = each.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    kind = dict(rows.dtypes)[id_col]
+    # A block's rows lie together, so that its lists are made whole by one pass over its texts.
+    each = rows.where((F.length(text_col) >= 3) & F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    lists = each.groupBy("block").applyInArrow(_postings, f"gram string, block {dict(each.dtypes)['block']}, ids array<{kind}>")
     path = shared_folder(spark)
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lists.repartitionByRange(width, "gram", "block").sortWithinPartitions("gram", "block").write.option("parquet.block.size", 4 << 20).parquet(path)
