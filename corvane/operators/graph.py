@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.reach import Delta, closure, closure_delta, components, held_delta, reached, with_delta  # noqa: F401 - part of this module's interface
-from corvane.session import among, cut, union
+from corvane.session import BROADCAST_ROWS, among, cut, dealt, probed, union
 
 def below(edges: DataFrame, ids: list) -> DataFrame:
     """(root, tag): the asked tags and everything under each, once. Only what hangs under them is walked; cycles end."""
@@ -41,7 +41,28 @@ def propagate(members: DataFrame, closed: DataFrame, owner: str, tag: str = "tag
 
     Rows are dealt by owner once, before the distinct: it then needs no shuffle of its own, nor do joins and groups by owner after it.
     """
-    return members.join(closed, members[tag] == closed["tag"]).select(owner, F.col("ancestor").alias(tag)).repartition(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), owner).distinct()
+    return lined(members.select(owner, tag), closed, owner, tag).select(owner, F.explode("_line").alias(tag)).distinct()
+
+
+def lined(members: DataFrame, closed: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:
+    """members with _line, the list of all that closed (tag, ancestor) names above their tag, dealt by owner; null where it names none.
+
+    What moves is a tag, not its ancestors: these come from a broadcast, where tags are few, else from one of the lists
+    that tags have in common, by its number. Where lists are many too, they move with their tags.
+    """
+    few = lambda df: df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    each = cut(closed.groupBy(F.col("tag").alias("_tag")).agg(F.array_distinct(F.collect_list("ancestor")).alias("_line")))
+    rows = members.withColumn("_tag", F.col(tag))
+    if few(each):
+        return dealt(rows, owner).join(F.broadcast(each), "_tag", "left").drop("_tag")
+    above = F.array_sort(F.array_remove("_line", F.col("_tag")))
+    groups = cut(each.select(above.alias("_above")).distinct().withColumn("_group", F.monotonically_increasing_id()))
+    if not few(groups):
+        return dealt(rows.join(each.hint("shuffle_hash"), "_tag", "left").drop("_tag"), owner)
+    groups = F.broadcast(groups)
+    of = each.select("_tag", above.alias("_above"), F.array_contains("_line", F.col("_tag")).alias("_self")).join(groups, "_above").select("_tag", "_self", "_group")
+    near = dealt(rows.join(of.hint("shuffle_hash"), "_tag", "left"), owner).join(groups, "_group", "left")
+    return near.withColumn("_line", F.when(F.col("_self"), F.concat(F.array("_tag"), "_above")).otherwise(F.col("_above"))).select(*members.columns, "_line")
 
 
 def materialised(pairs: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:

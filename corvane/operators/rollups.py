@@ -15,8 +15,9 @@ def tag_rollup(tags: DataFrame, file_tags: DataFrame, files: DataFrame, once: bo
     file_tags: (file_id, tag_id) with ancestors; once: no pair stands there twice, as after propagate(). Tags without files get 0, 0 and null.
     """
     pairs = file_tags.select("file_id", "tag_id")
-    held = (pairs if once else pairs.distinct()).join(files.select("file_id", "size", "date_created"), "file_id")
-    sums = held.groupBy("tag_id").agg(F.count("*").alias("n_files"), F.sum("size").alias("total_size"), F.min(F.struct("date_created", "file_id")).alias("first"))
+    # A left join leaves the pairs as they are, so that their shuffle serves others too; pairs of no file count nothing.
+    held = (pairs if once else pairs.distinct()).join(files.select("file_id", "size", "date_created", F.lit(True).alias("_known")), "file_id", "left")
+    sums = held.groupBy("tag_id").agg(F.count("_known").alias("n_files"), F.sum("size").alias("total_size"), F.min(F.when(F.col("_known"), F.struct("date_created", "file_id"))).alias("first"))
     out = tags.select("tag_id").join(sums, "tag_id", "left")
     return out.select("tag_id", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("total_size", F.lit(0)).alias("total_size"), F.col("first.file_id").alias("thumb_file"))
 

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from corvane.functions import text
 from corvane.operators import graph, imports, joins, mutate, rollups, upkeep
 from corvane.plans.registry import closed, closed_ctes, query
-from corvane.session import shared_folder, table
+from corvane.session import dealt, shared_folder, table
 from corvane.sources import batches
 from corvane.sources.adapters import ctes, view
 
 
 def tag_tables(s, d) -> upkeep.TagTables:
-    held = view(s, d, "coll_orders").join(view(s, d, "file_tags"), "file_id").select("collection_id", "tag_id").distinct()
+    held = dealt(view(s, d, "coll_orders").join(view(s, d, "file_tags"), "file_id").select("collection_id", "tag_id"), "collection_id").distinct()
     return upkeep.TagTables(view(s, d, "tags"), view(s, d, "edges"), view(s, d, "file_tags"), held, view(s, d, "batch_tags"))
 
 

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.session import table
+from corvane.session import dealt, table
 
 VIEWS = {
     "tags": """
@@ -87,8 +87,19 @@ def _tables(name: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", VIEWS[name])))
 
 
+#: Views whose window goes by an order of lineitem: its rows are dealt by that key into small tasks first.
+BY_ORDER = ("coll_parts_raw", "batch_files")
+
+
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.sql(VIEWS[name], **{t: table(spark, folder, t) for t in _tables(name)})
+    """The view of a name. Wide views are dealt by the key that what follows asks for, so that no task sorts or holds much and rows move once."""
+    tables = {t: table(spark, folder, t) for t in _tables(name)}
+    if name in BY_ORDER:
+        tables["lineitem"] = dealt(tables["lineitem"], "l_orderkey")
+    if name == "file_tags":
+        # UNION as UNION ALL and a distinct within each file: the same rows, dealt by file instead of by pair.
+        return dealt(spark.sql(VIEWS[name].replace("UNION SELECT", "UNION ALL SELECT"), **tables), "file_id").distinct()
+    return spark.sql(VIEWS[name], **tables)
 
 
 def ctes(*names: str) -> str:
