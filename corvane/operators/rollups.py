@@ -125,10 +125,11 @@ def collection_rollup(members: DataFrame, files: DataFrame, file_tags: DataFrame
 
 def collection_tags(members: DataFrame, file_tags: DataFrame, closed: DataFrame) -> DataFrame:
     """(collection_id, tag_ids, tag_ids_with_ancestors): the tags of a collection's files by first appearance, and all above them, sorted."""
-    held = members.select("collection_id", "file_id", "idx").join(file_tags, "file_id").groupBy("collection_id", "tag_id").agg(F.min("idx").alias("idx"))
-    own = held.groupBy("collection_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "tag_id"))), lambda x: x["tag_id"]).alias("tag_ids"))
-    wide = graph.propagate(held.select("collection_id", "tag_id"), closed, "collection_id").groupBy("collection_id").agg(F.sort_array(F.collect_list("tag_id")).alias("tag_ids_with_ancestors"))
-    return own.join(wide, "collection_id", "left")
+    held = members.select("collection_id", "file_id", "idx").join(file_tags, "file_id").select("collection_id", "tag_id", "idx")
+    # Rows move to their collection once, and both lists are made there.
+    first = graph.lined(held, closed, "collection_id").groupBy("collection_id", "tag_id").agg(F.min("idx").alias("idx"), F.first("_line").alias("_line"))
+    lists = first.groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct("idx", "tag_id"))).alias("_own"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_line")))).alias("_wide"))
+    return lists.select("collection_id", F.transform("_own", lambda x: x["tag_id"]).alias("tag_ids"), F.when(F.size("_wide") > 0, F.col("_wide")).alias("tag_ids_with_ancestors"))
 
 
 def rating_after_edit(update_manual: Column, update_rating: Column, was_manual: Column, was_rating: Column, derived: Column) -> Column:
