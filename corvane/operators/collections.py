@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import dirname
-from corvane.session import cut
+from corvane.session import cut, dealt
 
 
 def first_occurrence(members: DataFrame) -> DataFrame:
@@ -73,16 +73,21 @@ def proper_subsets(members: DataFrame) -> DataFrame:
     """Collections (collection_id) whose files all stand in some larger one.
 
     An inverted index: a small collection meets larger ones only through its rarest file, so a file that is everywhere
-    brings no pairs unless nothing rarer is there; all its files are then counted.
+    brings no pairs unless nothing rarer is there. Of one file that is proof; else the larger one's 64 bits of files must hold
+    the small one's, which leaves few pairs whose files are all compared.
     """
-    own = members.where("file_id is not null").select("collection_id", "file_id").distinct()
-    sizes = own.groupBy("collection_id").agg(F.count("*").alias("n"))
-    often = own.groupBy("file_id").agg(F.count("*").alias("f"))
-    rare = own.join(often, "file_id").groupBy("collection_id").agg(F.min(F.struct("f", "file_id")).alias("x")).select(F.col("collection_id").alias("small"), F.col("x.file_id").alias("file_id")).join(sizes.withColumnsRenamed({"collection_id": "small", "n": "n_small"}), "small")
-    large = own.join(sizes, "collection_id").withColumnsRenamed({"collection_id": "large", "n": "n_large"})
-    pairs = rare.join(large, "file_id").where("n_small < n_large").select("small", "large", "n_small")
+    own = dealt(members.where("file_id is not null").select("collection_id", "file_id"), "collection_id").distinct()
+    sizes = own.groupBy("collection_id").agg(F.count("*").alias("n"), F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(file_id), 64) as int)))").alias("bits"))
+    sized = own.join(sizes.hint("shuffle_hash"), "collection_id")
+    often = sized.groupBy("file_id").agg(F.count("*").alias("f"), F.max("n").alias("most"))
+    rarest = sized.join(often, "file_id").groupBy("collection_id", "n", "bits").agg(F.min(F.struct("f", "file_id", "most")).alias("x"))
+    # Where the rarest file is in no larger collection, nothing holds this one.
+    rare = cut(rarest.where("x.most > n").select("collection_id", "n", "bits", "x.file_id"))
+    large = sized.select("file_id", F.col("collection_id").alias("large"), F.col("n").alias("n_large"), F.col("bits").alias("_bits"))
+    pairs = rare.where("n > 1").join(large, "file_id").where("n < n_large and bits & ~_bits = 0").select(F.col("collection_id").alias("small"), "large", F.col("n").alias("n_small"))
     both = pairs.join(own.withColumnRenamed("collection_id", "small"), "small").join(own.withColumnRenamed("collection_id", "large"), ["large", "file_id"], "left_semi")
-    return both.groupBy("small", "large", "n_small").agg(F.count("*").alias("c")).where("c = n_small").select(F.col("small").alias("collection_id")).distinct()
+    whole = both.groupBy("small", "large", "n_small").agg(F.count("*").alias("c")).where("c = n_small").select(F.col("small").alias("collection_id")).distinct()
+    return rare.where("n = 1").select("collection_id").unionByName(whole)
 
 
 def repaired(members: DataFrame) -> DataFrame:
