@@ -157,10 +157,16 @@ def merge_candidates(edges: DataFrame, closed: DataFrame, tag_ids: list) -> Data
 
 
 def drop_ancestors(members: DataFrame, closed: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:
-    """members without tags that are ancestors of another tag of the same owner."""
-    above = closed.where("depth > 0").select(F.col("tag").alias("_low"), F.col("ancestor").alias(tag))
-    covered = members.select(owner, F.col(tag).alias("_low")).join(above, "_low").select(owner, tag).distinct()
-    return members.join(covered, [owner, tag], "left_anti")
+    """The (owner, tag) rows of members without tags that are ancestors of another tag of the same owner.
+
+    Rows go to their owner with the list of what is above them; there a tag stays that stands in no list. No pair is sorted or joined.
+    """
+    held = lined(members.select(owner, tag), closed.where("depth > 0"), owner, tag)
+    mark = lambda t, own: F.struct(t.alias("tag"), F.lit(own).alias("own"))
+    others = F.when(F.col(owner).isNotNull() & F.col("_line").isNotNull(), F.transform("_line", lambda a: mark(a, 0))).otherwise(F.array().cast(f"array<struct<tag:{dict(members.dtypes)[tag]},own:int>>"))
+    each = held.select(owner, F.explode(F.concat(F.array(mark(F.col(tag), 1)), others)).alias("_x")).select(owner, F.col("_x.tag").alias(tag), F.col("_x.own").alias("_own"))
+    left = each.groupBy(owner, tag).agg(F.sum("_own").alias("_n"), F.min("_own").alias("_only")).where("_only = 1")
+    return left.select(owner, tag, F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))).alias("_i")).select(owner, tag)
 
 
 def inherit_category(tags: DataFrame, closed: DataFrame) -> DataFrame:
