@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators import graph, mutate, rollups
-from corvane.session import cut, dealt
+from corvane.session import cut, dealt, probed
 
 
 @dataclass(frozen=True)
@@ -49,9 +49,9 @@ def edited(t: TagTables, tag_id: str, parents: tuple | None = None, children: tu
 
 def deleted(t: TagTables, gone: DataFrame) -> TagTables:
     """Without some tags (tag_id), everywhere."""
-    ids = gone.select("tag_id")
+    ids = probed(gone.select("tag_id"))
     held = {n: getattr(t, n).join(ids, "tag_id", "left_anti").select(*getattr(t, n).columns) for n in ("file_tags", "collection_tags", "batch_tags")}
-    return TagTables(tags=mutate.delete(t.tags, ids, "tag_id"), edges=graph.without_tags(t.edges, ids), **held)
+    return TagTables(tags=mutate.delete(t.tags, gone.select("tag_id"), "tag_id"), edges=graph.without_tags(t.edges, gone), **held)
 
 
 def merged(t: TagTables, merges: DataFrame) -> TagTables:
