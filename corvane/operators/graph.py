@@ -130,8 +130,8 @@ def merged_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def merged_members(members: DataFrame, merges: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:
-    m = merges.select("gone", "kept")
-    return members.join(m, members[tag] == m["gone"], "left").select(owner, F.coalesce("kept", tag).alias(tag)).distinct()
+    m = probed(merges.select("gone", "kept"))
+    return dealt(members.join(m, members[tag] == m["gone"], "left").select(owner, F.coalesce("kept", tag).alias(tag)), owner).distinct()
 
 
 def leading_where(closed: DataFrame, tag_ids: list) -> DataFrame:
