@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators.collections import first_occurrence, reindexed
+from corvane.operators.graph import lined
 from corvane.operators.joins import known_hashes, tags_by_pattern
-from corvane.session import cut
+from corvane.session import cut, dealt, probed
 
 
 def statuses(rows: DataFrame, files: DataFrame, tombstones: DataFrame, ignore_deleted: bool | Column = True) -> DataFrame:
@@ -46,7 +47,7 @@ def folder_tags(
     if decode:
         parts = F.slice(parts, root_index + 1, flatten_to if flatten_to else 1 << 20)
         # Character references are read part by part, on each part once.
-        each = folders.select("folder").distinct().select("folder", F.posexplode_outer(parts).alias("_at", "_part")).withColumn("_part", text.decode_entities(F.col("_part")))
+        each = dealt(folders.select("folder"), "folder").distinct().select("folder", F.posexplode_outer(parts).alias("_at", "_part")).withColumn("_part", text.decode_entities(F.col("_part")))
         rows = each.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("_at", "_part"))).alias("_parts"))
         rows = rows.withColumn("_parts", F.array_distinct(F.filter(F.transform("_parts", lambda p: p["_part"]), lambda p: p.isNotNull())))
     else:
@@ -79,25 +80,27 @@ def planned_tags(found: DataFrame, parts: DataFrame, tags: DataFrame, patterns:
     by_label = tags.groupBy("label").agg(F.min("tag_id").alias("tag_id"))
     asked = found.select(F.explode(F.array("label", "parent_label")).alias("name")).union(parts.select("name")).where("name is not null").distinct()
     hits = cut(tags_by_pattern(asked, patterns).join(labels, "tag_id").select("name", F.col("_new").alias("_match")).distinct())
-    own = found.where("label is not null").select("folder", "label", "parent_label").distinct()
-    more = parts.join(hits, "name").select("folder", F.col("_match").alias("label")).distinct().join(own.select("folder", "label"), ["folder", "label"], "left_anti")
+    # Rows are dealt by what they meet on into small tasks, as their strings are much larger than they lie in a shuffle; names, matches and tags are the hashed side, so that a name in all folders is sorted nowhere.
+    own = dealt(found.where("label is not null").select("folder", "label", "parent_label"), "folder", "label").distinct()
+    more = dealt(parts.join(probed(hits), "name").select("folder", F.col("_match").alias("label")), "folder", "label").distinct().join(own.select("folder", "label"), ["folder", "label"], "left_anti")
     every = cut(own.unionByName(more.withColumn("parent_label", F.lit(None).cast("string"))))
-    known = every.select("folder", "label").distinct().join(by_label, "label")
-    low = known.select("folder", F.col("tag_id").alias("tag")).join(closed.select("tag", "ancestor").where("tag <> ancestor"), "tag").select("folder", F.col("ancestor").alias("tag_id")).distinct()
-    covered = known.join(low, ["folder", "tag_id"], "left_semi").select("folder", "label")
-    left = every.join(covered, ["folder", "label"], "left_anti")
+    known = cut(dealt(every.select("folder", "label"), "folder", "label").distinct().join(probed(by_label), "label"))
+    low = lined(known.select("folder", "tag_id"), closed.select("tag", "ancestor").where("tag <> ancestor"), "folder").select("folder", F.explode("_line").alias("tag_id")).distinct()
+    covered = dealt(known, "folder", "tag_id").join(dealt(low, "folder", "tag_id"), ["folder", "tag_id"], "left_semi").select("folder", "label")
+    left = cut(dealt(every, "folder", "label").join(dealt(covered, "folder", "label"), ["folder", "label"], "left_anti"))
     above = left.where("parent_label is not null").select("folder", F.col("label").alias("_of"), F.col("parent_label").alias("_match")).distinct()
-    changed = left.join(hits.withColumnRenamed("name", "label"), "label", "left").withColumn("_hit", F.col("_match").isNotNull()).withColumn("_of", F.col("label"))
-    kept = changed.where("not _hit").unionByName(changed.where("_hit").join(above, ["folder", "_of", "_match"], "left_anti"), allowMissingColumns=True)
+    matches = probed(hits)
+    changed = left.join(matches.withColumnRenamed("name", "label"), "label", "left").withColumn("_hit", F.col("_match").isNotNull()).withColumn("_of", F.col("label"))
+    kept = changed.where("not _hit").unionByName(dealt(changed.where("_hit"), "folder", "_of", "_match").join(dealt(above, "folder", "_of", "_match"), ["folder", "_of", "_match"], "left_anti"), allowMissingColumns=True)
     named = kept.select("folder", F.coalesce("_match", "label").alias("label"), "parent_label")
-    wider = named.join(hits.select(F.col("name").alias("parent_label"), F.col("_match").alias("_up")), "parent_label").where("_up <> label").select("folder", "label", F.col("_up").alias("parent_label"))
-    return named.unionByName(wider).distinct()
+    wider = named.join(matches.select(F.col("name").alias("parent_label"), F.col("_match").alias("_up")), "parent_label").where("_up <> label").select("folder", "label", F.col("_up").alias("parent_label"))
+    return dealt(named.unionByName(wider), "folder", "label").distinct()
 
 
 def effective_tags(rows: DataFrame, batch_tags: DataFrame, file_tags: DataFrame) -> DataFrame:
     """(batch_id, pos, tag_id): tags of the file and of its batch, once each."""
-    own = rows.select("batch_id", "pos").join(batch_tags, "batch_id").select("batch_id", "pos", "tag_id")
-    return own.unionByName(file_tags.select("batch_id", "pos", "tag_id")).distinct()
+    own = rows.select("batch_id", "pos").join(probed(batch_tags), "batch_id").select("batch_id", "pos", "tag_id")
+    return dealt(own.unionByName(file_tags.select("batch_id", "pos", "tag_id")), "batch_id").distinct()
 
 
 def completed_batches(batches: DataFrame, imports: DataFrame, batch_tags: DataFrame, file_tags: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
