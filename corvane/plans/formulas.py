@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import media, text
 from corvane.operators import mutate
 from corvane.plans.registry import query
-from corvane.session import table
+from corvane.session import dealt, table
 from corvane.sources import files
 from corvane.sources.adapters import ctes, view
 
@@ -20,7 +20,8 @@ from corvane.sources.adapters import ctes, view
   CASE WHEN p_partkey % 3 = 0 THEN 'face.pt' END AS detail_model, CASE WHEN p_partkey % 3 = 0 THEN 0.3 END AS confidence, p_partkey % 3 <> 0 AS inpaint_only_masked FROM settings_blobs JOIN part ON file_id = p_partkey"""
 )
 def settings_parse(s, d):
-    p = view(s, d, "settings_blobs").select("file_id", text.parameters(F.col("diffusion_params")).alias("p"))
+    # The table may be one small file, that is one task; a row takes long, so rows are dealt first.
+    p = dealt(view(s, d, "settings_blobs"), "file_id").select("file_id", text.parameters(F.col("diffusion_params")).alias("p"))
     names = "prompt negative_prompt steps sampler cfg_scale seed width height model_hash model is_upscaled hires_upscaler hires_scale hires_steps hires_denoising_strength subseed subseed_strength face_restoration clip_skip vae_hash".split()
     return p.select("file_id", *(f"p.{c}" for c in names), F.col("p.adetailer.model").alias("detail_model"), "p.adetailer.confidence", "p.adetailer.inpaint_only_masked")
 
@@ -30,7 +31,8 @@ def settings_parse(s, d):
   CASE WHEN p_partkey % 2 = 0 THEN 'up' ELSE 'orig' END AS kind_tag FROM settings_blobs JOIN part ON file_id = p_partkey"""
 )
 def model_tags(s, d):
-    p = view(s, d, "settings_blobs").select("file_id", text.model_tags(text.parameters(F.col("diffusion_params")), "orig", "up", "Diffusion Model").alias("t"))
+    # The table may be one small file, that is one task; a row takes long, so rows are dealt first.
+    p = dealt(view(s, d, "settings_blobs"), "file_id").select("file_id", text.model_tags(text.parameters(F.col("diffusion_params")), "orig", "up", "Diffusion Model").alias("t"))
     return p.select("file_id", "t.*")
 
 
