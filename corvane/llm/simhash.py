@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import LOWER_TABLE, hot_bound, join_by_key, materialize, packed, unpacked
-from corvane.llm.components import components
+from corvane.llm.components import joined
 
 BITS = 64
 #: Row b holds the bits of byte b, lowest first.
@@ -205,7 +205,7 @@ def linked(fps: DataFrame, plan: Plan, tau: int = 4) -> DataFrame:
     hold several components, and only between those. A group of near copies is one component by then.
     """
     stars = materialize(to_least(fps, plan, tau), "stars-met")
-    parts = components(stars)
+    parts = joined(None, stars)
     owned = fps.select("fp").join(parts, fps["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"))
     owned = materialize(owned, "owned")
     entered, probes = keyed(owned, plan)
@@ -214,8 +214,7 @@ def linked(fps: DataFrame, plan: Plan, tau: int = 4) -> DataFrame:
     spans = left.groupBy("code").agg(F.min("pa").alias("x"), F.max("pa").alias("y"))
     mixed = right.groupBy("code").agg(F.min("pb").alias("u"), F.max("pb").alias("v")).join(spans, "code").where("x <> y or u <> v or x <> u").select("code")
     met = left.join(mixed, "code", "left_semi").join(right, "code").where((F.col("pa") < F.col("pb")) & _near("a", "b", tau)).select("pa", "pb").distinct()
-    joined = components(stars.unionByName(materialize(met.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "pairs-met")))
-    return joined
+    return joined(parts, materialize(met.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "pairs-met"))
 
 
 def near_duplicates(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -46,6 +46,51 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def counted_rounds(monkeypatch):
+    """A list that gets an entry for each round of stars."""
+    from corvane.llm import components as module
+
+    rounds, star = [], module._star
+    monkeypatch.setattr(module, "_star", lambda links, large: (rounds.append(1) if large else None, star(links, large))[1])
+    return rounds
+
+
+def test_components_that_links_join_are_not_solved_again(spark, monkeypatch):
+    """Links come in four lots; what lies within a component, or is a star, takes no round."""
+    from corvane.llm.components import joined
+
+    rounds, r = counted_rounds(monkeypatch), random.Random(5)
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    lots = [
+        [(400, 400 + i) for i in range(1, 80)] + [(500, 501)],
+        [(i, i + 1) for i in range(401, 470)] + [(501, 500), (450, 450)],
+        [(-7, 450), (900, 901), (501, 460)],
+        [(i, i + 1) for i in range(395, 403)] + [(r.randrange(890, 1000), r.randrange(890, 1000)) for _ in range(90)],
+    ]
+    parts, seen, took = None, [], []
+    for lot in lots:
+        parts, seen = joined(parts, frame(lot)), seen + [(a, b) for a, b in lot if a != b]
+        got = [(x["node"], x["component"]) for x in parts.collect()]
+        assert len(got) == len(dict(got)) and dict(got) == classes({n for p in seen for n in p}, seen)
+        took.append(len(rounds))
+    assert took[:3] == [0, 0, took[2]] and took[2] <= 2 < took[3]
+    assert joined(parts, frame([])).count() == len(got) and joined(None, frame([])).count() == 0
+
+
+def test_near_dedup_takes_few_rounds_of_stars(spark, monkeypatch):
+    """Each round is a job of many stages that the driver keeps account of, and the components were solved anew after each step."""
+    from corvane.llm import jaccard
+
+    r, rounds = random.Random(3), counted_rounds(monkeypatch)
+    base = [f"w{i}" for i in range(150)]
+    docs = [edited(base, r.choice([1, 1, 2, 3, 5, 7]), r) for _ in range(120)]
+    kept = sorted(x["doc_id"] for x in jaccard.dedup(spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")).collect())
+    sets = [jaccard.shingles(t) for t in docs]
+    near = [(a, b) for a, b in itertools.combinations(range(len(docs)), 2) if jaccard.similar(sets[a], sets[b])]
+    assert kept == sorted(set(classes(range(len(docs)), near).values()))
+    assert len(rounds) <= 5
+
+
 def test_allocation_is_the_cheapest():
     r = random.Random(1)
     for tau in (2, 4):
