@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.reach import Delta, closure, closure_delta, components, held_delta, reached, with_delta  # noqa: F401 - part of this module's interface
+from corvane.operators.reach import Delta, closure, closure_delta, components, held_delta, reached, with_delta, without  # noqa: F401 - part of this module's interface
 from corvane.session import BROADCAST_ROWS, among, cut, dealt, probed, union
 
 def below(edges: DataFrame, ids: list) -> DataFrame:
@@ -44,6 +44,14 @@ def propagate(members: DataFrame, closed: DataFrame, owner: str, tag: str = "tag
     return lined(members.select(owner, tag), closed, owner, tag).select(owner, F.explode("_line").alias(tag)).distinct()
 
 
+def held(members: DataFrame, closed: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:
+    """(owner, tag, own, held): each owner's own tags and those of propagate(), once each; own: it has the tag itself, held: closed names it. Rows of an owner lie together."""
+    mark = lambda t, own: F.struct(t.alias("tag"), F.lit(own).alias("own"), F.lit(not own).alias("held"))
+    above = F.transform(F.coalesce("_line", F.array().cast("array<string>")), lambda a: mark(a, False))
+    rows = lined(members.select(owner, tag), closed, owner, tag).select(owner, F.explode(F.concat(F.array(mark(F.col(tag), True)), above)).alias("_x"))
+    return rows.groupBy(owner, F.col("_x.tag").alias(tag)).agg(F.bool_or("_x.own").alias("own"), F.bool_or("_x.held").alias("held"))
+
+
 def lined(members: DataFrame, closed: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:
     """members with _line, the list of all that closed (tag, ancestor) names above their tag, dealt by owner; null where it names none.
 
@@ -52,17 +60,17 @@ def lined(members: DataFrame, closed: DataFrame, owner: str, tag: str = "tag_id"
     """
     few = lambda df: df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     each = cut(closed.groupBy(F.col("tag").alias("_tag")).agg(F.array_distinct(F.collect_list("ancestor")).alias("_line")))
-    rows = members.withColumn("_tag", F.col(tag))
+    rows, named = members.withColumnRenamed(tag, "_tag"), [F.col("_tag").alias(tag) if c == tag else F.col(c) for c in members.columns] + [F.col("_line")]
     if few(each):
-        return dealt(rows, owner).join(F.broadcast(each), "_tag", "left").drop("_tag")
+        return dealt(rows, owner).join(F.broadcast(each), "_tag", "left").select(*named)
     above = F.array_sort(F.array_remove("_line", F.col("_tag")))
     groups = cut(each.select(above.alias("_above")).distinct().withColumn("_group", F.monotonically_increasing_id()))
     if not few(groups):
-        return dealt(rows.join(each.hint("shuffle_hash"), "_tag", "left").drop("_tag"), owner)
+        return dealt(rows.join(each.hint("shuffle_hash"), "_tag", "left").select(*named), owner)
     groups = F.broadcast(groups)
     of = each.select("_tag", above.alias("_above"), F.array_contains("_line", F.col("_tag")).alias("_self")).join(groups, "_above").select("_tag", "_self", "_group")
     near = dealt(rows.join(of.hint("shuffle_hash"), "_tag", "left"), owner).join(groups, "_group", "left")
-    return near.withColumn("_line", F.when(F.col("_self"), F.concat(F.array("_tag"), "_above")).otherwise(F.col("_above"))).select(*members.columns, "_line")
+    return near.withColumn("_line", F.when(F.col("_self"), F.concat(F.array("_tag"), "_above")).otherwise(F.col("_above"))).select(*named)
 
 
 def materialised(pairs: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:

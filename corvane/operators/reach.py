@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import cut, union
+from corvane.session import BROADCAST_ROWS, cut, probed, union
 
 #: Rounds that follow links one by one, as most hierarchies ask for no more; beyond them the steps double.
 SHALLOW = 6
@@ -90,6 +90,18 @@ def with_delta(pairs: DataFrame, delta: Delta) -> DataFrame:
     return union([rows.join(few, names[-1], "left_anti").select(*names), rows.join(few, names[-1], "left_semi").join(removed, names, "left_anti").select(*names), delta.added])
 
 
+def without(pairs: DataFrame, removed: DataFrame) -> list[DataFrame]:
+    """pairs without the removed, in one part or two: few removed pairs go to where the others lie; of more only those with a tag (the last column) that is named among them meet them."""
+    names = pairs.columns
+    if removed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return [pairs.join(F.broadcast(removed), names, "left_anti")]
+    few = cut(removed.select(names[-1]).distinct().limit(FEW + 1))
+    if few.count() > FEW:
+        return [pairs.join(removed, names, "left_anti")]
+    few = F.broadcast(few)
+    return [pairs.join(few, names[-1], "left_anti").select(*names), pairs.join(few, names[-1], "left_semi").join(removed, names, "left_anti").select(*names)]
+
+
 def closure_delta(closed: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> Delta:
     """What becomes of the closure (tag, ancestor, selves included) of edges when some (child, parent) are added and some removed.
 
@@ -102,26 +114,32 @@ def closure_delta(closed: DataFrame, edges: DataFrame, added: DataFrame, removed
     ends = ["child", "parent"]
     pairs = closed.select("tag", "ancestor")
     was = edges.select(*ends).where("child <> parent").distinct()
-    gone = was.join(removed.select(*ends), ends, "left_semi")
+    gone = cut(was.join(removed.select(*ends), ends, "left_semi"))
     kept = was.join(removed.select(*ends), ends, "left_anti")
     fresh = cut(added.select(*ends).where("child <> parent").distinct().join(removed.select(*ends), ends, "left_anti").join(was, ends, "left_anti"))
     lost = _lost(pairs, kept, gone)
-    selves = fresh.select(F.explode(F.array(*ends)).alias("tag")).distinct().join(pairs.select("tag"), "tag", "left_anti").withColumn("ancestor", F.col("tag"))
-    left = pairs.join(lost, ["tag", "ancestor"], "left_anti").unionByName(selves)
+    named = fresh.select(F.explode(F.array(*ends)).alias("tag")).distinct()
+    selves = cut(named.join(_among(pairs, "tag", named).select("tag"), "tag", "left_anti").withColumn("ancestor", F.col("tag")))
+    left = union([*without(pairs, lost), selves])
     gained = cut(_gained(left, fresh).unionByName(selves))
     return Delta(gained.join(lost, ["tag", "ancestor"], "left_anti"), cut(lost.join(gained, ["tag", "ancestor"], "left_anti")))
 
 
+def _among(pairs: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """Pairs whose column is in names (one column); where these are few, they go to the pairs, which stay where they lie."""
+    return pairs.join(probed(names.toDF(column).distinct()), column, "left_semi").select(*pairs.columns)
+
+
 def _lost(pairs: DataFrame, kept: DataFrame, gone: DataFrame) -> DataFrame:
     """Pairs of the closure that have no path left once the edges in gone are taken out."""
-    low = pairs.select("tag", F.col("ancestor").alias("child")).join(gone, "child").select("tag", F.col("parent").alias("_via"))
-    high = pairs.select(F.col("tag").alias("_via"), "ancestor")
-    doubted = cut(low.distinct().join(high, "_via").select("tag", "ancestor").where("tag <> ancestor").distinct())
+    low = pairs.select("tag", F.col("ancestor").alias("child")).join(probed(gone), "child").select("tag", F.col("parent").alias("_via"))
+    high = cut(_among(pairs, "tag", gone.select("parent"))).select(F.col("tag").alias("_via"), "ancestor")
+    doubted = cut(low.distinct().join(probed(high), "_via").select("tag", "ancestor").where("tag <> ancestor").distinct())
     # Over the edges that stay: from each doubted pair to the pair one step further up.
     onward = cut(doubted.join(kept.select(F.col("child").alias("tag"), F.col("parent").alias("_via")), "tag"))
     further = onward.select("tag", "ancestor", "_via")
     inside = doubted.select(F.col("tag").alias("_via"), "ancestor")
-    sure = further.join(pairs.select(F.col("tag").alias("_via"), "ancestor"), ["_via", "ancestor"], "left_semi").join(inside, ["_via", "ancestor"], "left_anti")
+    sure = further.join(_among(pairs, "ancestor", doubted.select("ancestor")).select(F.col("tag").alias("_via"), "ancestor"), ["_via", "ancestor"], "left_semi").join(inside, ["_via", "ancestor"], "left_anti")
     node = F.struct("tag", "ancestor")
     links = further.join(inside, ["_via", "ancestor"], "left_semi").select(F.struct(F.col("_via").alias("tag"), "ancestor").alias("src"), node.alias("dst"))
     back = reached(sure.select(F.lit(0).alias("root"), node.alias("node")), links).select("node.tag", "node.ancestor")
@@ -130,31 +148,33 @@ def _lost(pairs: DataFrame, kept: DataFrame, gone: DataFrame) -> DataFrame:
 
 def _gained(left: DataFrame, fresh: DataFrame) -> DataFrame:
     """Pairs that new edges add to a closure."""
-    above = left.select(F.col("tag").alias("parent"), "ancestor")
-    own = fresh.join(above, "parent").select("child", "ancestor").distinct()
+    above = _among(left, "tag", fresh.select("parent")).select(F.col("tag").alias("parent"), "ancestor")
+    own = cut(fresh.join(above, "parent").select("child", "ancestor").distinct())
     # New edges whose parent leads to the child of another.
     hops = own.join(fresh.select(F.col("child").alias("ancestor")).distinct(), "ancestor").select(F.col("child").alias("src"), F.col("ancestor").alias("dst"))
     through = reached(fresh.select(F.col("child").alias("root"), F.col("child").alias("node")), hops)
-    tops = through.join(own, F.col("node") == F.col("child")).select(F.col("root").alias("child"), F.col("ancestor").alias("_far")).distinct()
-    met = left.select("tag", F.col("ancestor").alias("child")).join(tops, "child").select("tag", F.col("_far").alias("ancestor")).distinct()
-    return met.join(left, ["tag", "ancestor"], "left_anti")
+    tops = cut(through.join(own, F.col("node") == F.col("child")).select(F.col("root").alias("child"), F.col("ancestor").alias("_far")).distinct())
+    met = left.select("tag", F.col("ancestor").alias("child")).join(probed(tops), "child").select("tag", F.col("_far").alias("ancestor")).distinct()
+    return met.join(_among(left, "ancestor", tops.select("_far")), ["tag", "ancestor"], "left_anti")
 
 
-def held_delta(members: DataFrame, before: DataFrame, after: DataFrame, delta: Delta, owner: str, tag: str = "tag_id") -> Delta:
+def held_delta(members: DataFrame, before: DataFrame, after: DataFrame, delta: Delta, owner: str, tag: str = "tag_id", touched: DataFrame | None = None) -> Delta:
     """What becomes of propagate(members): (owner, tag) pairs that a change of the closure from before to after adds and takes away.
 
     An owner gains an ancestor that none of its tags had, and loses one that none has any more. Only owners with a tag
     whose pairs changed are looked at. Pairs come marked as added, removed or kept, so that each owner's tags meet them once; of
-    the kept ones only those to an ancestor that the delta names take part.
+    the kept ones only those to an ancestor that the delta names take part. touched: owners (owner) that are known to be all with such a tag, or more; members, which should be stored, then stay where they lie.
     """
     names = ["tag", "ancestor"]
     came, went = cut(delta.added.select(*names)), cut(delta.removed.select(*names))
     both = came.unionByName(went)
-    kept = before.select(*names).join(both.select("ancestor").distinct(), "ancestor", "left_semi").join(went, names, "left_anti").select(*names)
+    kept = _among(before.select(*names), "ancestor", both.select("ancestor")).join(went, names, "left_anti").select(*names)
     marks = [pairs.select(*names, *(F.lit(name == m).alias(m) for m in ("_came", "_went", "_kept"))) for name, pairs in (("_came", came), ("_went", went), ("_kept", kept))]
-    own = cut(members.select(owner, F.col(tag).alias("tag")))
-    touched = cut(own.join(both.select("tag").distinct(), "tag", "left_semi").select(owner).distinct())
-    asked = own.join(touched, owner, "left_semi")
+    own = members.select(owner, F.col(tag).alias("tag"))
+    if touched is None:
+        own = cut(own)
+        touched = cut(own.join(both.select("tag").distinct(), "tag", "left_semi").select(owner).distinct())
+    asked = own.join(probed(touched), owner, "left_semi")
     held = asked.join(cut(union(marks)), "tag").groupBy(owner, F.col("ancestor").alias(tag)).agg(*(F.bool_or(m).alias(m) for m in ("_came", "_went", "_kept")))
     changed = cut(held.where("not _kept and _came <> _went"))
     return Delta(changed.where("_came").select(owner, tag), changed.where("_went").select(owner, tag))

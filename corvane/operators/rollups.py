@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import graph
-from corvane.session import cut
+from corvane.session import BROADCAST_ROWS, cut, probed, union
 
 
 def tag_rollup(tags: DataFrame, file_tags: DataFrame, files: DataFrame, once: bool = False) -> DataFrame:
@@ -38,41 +38,52 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 def rollup_state(tags: DataFrame, wide: DataFrame, files: DataFrame, runners: int = RUNNERS) -> DataFrame:
     """(tag_id, n_files, total_size, oldest): tag_rollup() in a form that rolled() keeps up to date. wide: (file_id, tag_id) with ancestors, once each."""
-    held = wide.select("file_id", "tag_id").join(files.select("file_id", "size", "date_created"), "file_id")
+    held = wide.select("file_id", "tag_id").join(files.select("file_id", "size", "date_created").hint("shuffle_hash"), "file_id")
     sums = held.groupBy("tag_id").agg(F.count("*").alias("n_files"), F.sum("size").alias("total_size"))
     out = tags.select("tag_id").distinct().join(sums, "tag_id", "left").join(_listed(_oldest(held, runners)), "tag_id", "left")
     return out.select("tag_id", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("total_size", F.lit(0)).alias("total_size"), "oldest")
 
 
-def rolled(state: DataFrame, delta: graph.Delta, files_before: DataFrame, files_after: DataFrame, wide_after: DataFrame, runners: int = RUNNERS) -> DataFrame:
+def rolled(state: DataFrame, delta: graph.Delta, files_before: DataFrame, files_after: DataFrame, wide_after: DataFrame | tuple[DataFrame, ...], runners: int = RUNNERS) -> DataFrame:
     """rollup_state() after (file_id, tag_id) pairs came and went.
 
     Counts and bytes change by what came less what went. The list of oldest files loses those that went and takes in new ones
     that are older than its last, as others may be missing from it beyond that; a list that holds all files of its tag takes in
-    any. Only a tag whose list runs empty while it still has files is looked up in wide_after. A file whose size or
-    date changes went with its old values and came with the new. Tags that only the delta names get a row.
+    any. What a list may lose or take in is among the oldest pairs of its tag that went or came, so that these meet the state by tag,
+    and where few tags are concerned the state does not move. Only a tag whose list runs empty while it still has files is looked up
+    in wide_after, a frame or the parts of one. A file whose size or date changes went with its old values and came with the new; pairs
+    that carry size and date_created are not looked up in the files. Tags that only the delta names get a row.
     """
-    of = lambda pairs, files: pairs.select("file_id", "tag_id").join(files.select("file_id", "size", "date_created"), "file_id")
+    facts = ["size", "date_created"]
+    of = lambda pairs, files: (pairs if set(facts) <= set(pairs.columns) else pairs.join(files.select("file_id", *facts).hint("shuffle_hash"), "file_id")).select("file_id", "tag_id", *facts)
     came, went = of(delta.added, files_after), of(delta.removed, files_before)
     signed = came.withColumn("_sign", F.lit(1)).unionByName(went.withColumn("_sign", F.lit(-1)))
     sums = signed.groupBy("tag_id").agg(F.sum("_sign").alias("_n"), F.sum(F.col("size") * F.col("_sign")).alias("_size"))
-    both = cut(state.join(sums, "tag_id", "full").select(
-        "tag_id", "oldest", (F.coalesce("n_files", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n_files"), (F.coalesce("total_size", F.lit(0)) + F.coalesce("_size", F.lit(0))).alias("total_size"),
-        F.col("_n").isNotNull().alias("_touched"), (F.coalesce(F.size("oldest"), F.lit(0)) >= F.coalesce("n_files", F.lit(0))).alias("_all"),
+    most = max(runners, state.agg(F.max(F.size("oldest"))).first()[0] or 0)
+    new, lost = (_listed(_oldest(pairs, n)).withColumnRenamed("oldest", name) for pairs, n, name in ((came, runners, "_came"), (went, most, "_went")))
+    changes = cut(sums.join(new, "tag_id", "left").join(lost, "tag_id", "left"))
+    if changes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = F.broadcast(cut(state.join(F.broadcast(changes.select("tag_id")), "tag_id", "left_semi").select("tag_id")))
+        fresh = changes.join(known, "tag_id", "left_anti")
+        both = state.join(F.broadcast(changes), "tag_id", "left").unionByName(fresh, allowMissingColumns=True)
+    else:
+        both = state.join(changes, "tag_id", "full")
+    listed = F.coalesce("oldest", F.array().cast(dict(state.dtypes)["oldest"]))
+    last = F.when(F.size(listed) < F.coalesce("n_files", F.lit(0)), F.element_at("oldest", -1))
+    left = F.filter(listed, lambda x: ~F.coalesce(F.array_contains(F.col("_went.file_id"), x["file_id"]), F.lit(False)))
+    fits = F.filter(F.coalesce("_came", F.array().cast(dict(state.dtypes)["oldest"])), lambda x: last.isNull() | (x <= last))
+    merged = F.slice(F.array_sort(F.concat(left, fits)), 1, runners)
+    out = cut(both.select(
+        "tag_id", (F.coalesce("n_files", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n_files"), (F.coalesce("total_size", F.lit(0)) + F.coalesce("_size", F.lit(0))).alias("total_size"),
+        F.when(F.col("_n").isNull(), F.col("oldest")).when(F.size(merged) > 0, merged).alias("oldest"),
     ))
-    touched = both.where("_touched")
-    left = touched.select("tag_id", F.explode("oldest").alias("x")).select("tag_id", "x.date_created", "x.file_id").join(went.select("tag_id", "file_id"), ["tag_id", "file_id"], "left_anti")
-    last = touched.select("tag_id", F.when(~F.col("_all"), F.element_at("oldest", -1)).alias("_last"))
-    place = F.struct("date_created", "file_id")
-    new = _oldest(came, runners).join(last, "tag_id").where(F.col("_last").isNull() | (place <= F.col("_last"))).select("tag_id", "date_created", "file_id")
-    merged = _listed(_oldest(left.unionByName(new), runners)).withColumnRenamed("oldest", "_merged")
-    out = cut(both.join(merged, "tag_id", "left").select("tag_id", "n_files", "total_size", F.when(F.col("_touched"), F.col("_merged")).otherwise(F.col("oldest")).alias("oldest")))
     empty = cut(out.where("n_files > 0 and oldest is null").select("tag_id"))
     if empty.isEmpty():
         return out
-    refill = of(wide_after.join(empty, "tag_id", "left_semi"), files_after)
-    found = _listed(_oldest(refill, runners)).withColumnRenamed("oldest", "_found")
-    return cut(out.join(found, "tag_id", "left").select("tag_id", "n_files", "total_size", F.coalesce("oldest", "_found").alias("oldest")))
+    asked = probed(empty)
+    refill = union([of(part.join(asked, "tag_id", "left_semi"), files_after) for part in ([wide_after] if isinstance(wide_after, DataFrame) else wide_after)])
+    found = probed(cut(_listed(_oldest(refill, runners)).withColumnRenamed("oldest", "_found")))
+    return out.join(found, "tag_id", "left").select("tag_id", "n_files", "total_size", F.coalesce("oldest", "_found").alias("oldest"))
 
 
 def rollup_of(state: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators import graph, mutate, rollups
-from corvane.session import cut, dealt, probed
+from corvane.session import BROADCAST_ROWS, bucketed, cut, dealt, probed, union
 
 
 @dataclass(frozen=True)
@@ -132,24 +132,34 @@ def regenerated(t: TagTables, files: DataFrame) -> Derived:
     return Derived(closed, wide, graph.propagate(t.collection_tags, closed, "collection_id"), rollups.tag_rollup(t.tags, wide, files, once=True))
 
 
-def closure_after(before: TagTables, closed: DataFrame, after: TagTables) -> tuple[DataFrame, graph.Delta]:
-    """((tag, ancestor), delta): the closure after a change of tags and edges, made from the one before it by what changed."""
+def _edge_delta(before: TagTables, after: TagTables) -> graph.Delta:
     ends = ["child", "parent"]
     was, now = before.edges.select(*ends).distinct(), after.edges.select(*ends).distinct()
-    delta = graph.closure_delta(closed, was, now.join(was, ends, "left_anti"), was.join(now, ends, "left_anti"))
+    return graph.Delta(cut(now.join(was, ends, "left_anti")), cut(was.join(now, ends, "left_anti")))
+
+
+def closure_after(before: TagTables, closed: DataFrame, after: TagTables, edges: graph.Delta | None = None) -> tuple[DataFrame, graph.Delta]:
+    """((tag, ancestor), delta): the closure after a change of tags and edges, made from the one before it by what changed (edges, where it is known)."""
+    edges = edges or _edge_delta(before, after)
+    delta = graph.closure_delta(closed, before.edges.select("child", "parent").distinct(), edges.added, edges.removed)
     self_of = lambda tags: tags.select(F.col("tag_id").alias("tag"), F.col("tag_id").alias("ancestor"))
     old, new = self_of(before.tags), self_of(after.tags)
     named = ["tag", "ancestor"]
-    delta = graph.Delta(delta.added.unionByName(new.join(closed.select(*named), named, "left_anti")).distinct(), delta.removed.unionByName(old.join(new, named, "left_anti")).distinct())
+    delta = graph.Delta(delta.added.unionByName(new.join(closed.where("tag = ancestor").select(*named), named, "left_anti")).distinct(), delta.removed.unionByName(old.join(new, named, "left_anti")).distinct())
     return graph.with_delta(closed, delta), delta
 
 
+#: Parts in which a library's pairs may lie before they are written as one table again.
+PARTS = 6
+
+
 @dataclass(frozen=True)
 class Library:
     """All tables of a library with what is derived from them, so that one call changes both.
 
     files (file_id, hash, size, rating, date_created ...), members (collection_id, file_id ...), tombstones (hash); closed
-    (tag, ancestor), wide (file_id, tag_id with ancestors), tag_state and collection_state as in rollups.
+    (tag, ancestor), tag_state and collection_state as in rollups. wide (file_id, tag_id with ancestors) is all parts together: a
+    stored table, dealt by file, without what went, and the pairs that came. A change leaves what it does not concern where it lies.
     """
 
     files: DataFrame
@@ -157,16 +167,24 @@ class Library:
     tombstones: DataFrame
     tags: TagTables
     closed: DataFrame
-    wide: DataFrame
+    parts: tuple[DataFrame, ...]
     tag_state: DataFrame
     collection_state: DataFrame
 
+    @property
+    def wide(self) -> DataFrame:
+        return union(list(self.parts))
+
+
+PAIR = ["file_id", "tag_id"]
+
 
 def library(files: DataFrame, members: DataFrame, tombstones: DataFrame, tags: TagTables) -> Library:
-    """The library with everything derived anew, once; the calls below keep it so."""
+    """The library with everything derived anew, once; the calls below keep it so. Own and derived tags of the files are one stored table; rows of file_tags whose file there is not are left out."""
     closed = graph.closure(tags.edges, tags.tags).select("tag", "ancestor")
-    wide = cut(graph.propagate(tags.file_tags, closed, "file_id"))
-    return Library(files, members, tombstones, tags, closed, wide, cut(rollups.rollup_state(tags.tags, wide, files)), cut(rollups.collection_state(members, files)))
+    table = bucketed(graph.held(tags.file_tags, closed, "file_id").join(files.select("file_id").hint("shuffle_hash"), "file_id", "left_semi"), "file_id", lies=True)
+    own, wide = table.where("own").select(*PAIR), table.where("held").select(*PAIR)
+    return Library(files, members, tombstones, replace(tags, file_tags=own), closed, (wide,), cut(rollups.rollup_state(tags.tags, wide, files)), cut(rollups.collection_state(members, files)))
 
 
 def files_deleted(lib: Library, gone: DataFrame) -> Library:
@@ -176,24 +194,23 @@ def files_deleted(lib: Library, gone: DataFrame) -> Library:
     """
     ids = cut(gone.select("file_id").distinct())
     left, members, tombstones = mutate.delete_files(lib.files, lib.members, lib.tombstones, ids)
-    lost, taken = lib.wide.join(ids, "file_id", "left_semi"), lib.members.select("collection_id", "file_id").join(ids, "file_id", "left_semi")
-    wide = lib.wide.join(ids, "file_id", "left_anti")
+    away, facts = probed(ids), probed(ids.join(lib.files.select("file_id", "size", "date_created"), "file_id"))
+    lost, taken = union([p.join(facts, "file_id") for p in lib.parts]), lib.members.select("collection_id", "file_id").join(ids, "file_id", "left_semi")
+    parts = tuple(p.join(away, "file_id", "left_anti") for p in lib.parts)
     own = lib.tags.file_tags
     return replace(
-        lib, files=left, members=members, tombstones=tombstones, tags=replace(lib.tags, file_tags=own.join(ids, "file_id", "left_anti").select(*own.columns)), wide=wide,
-        tag_state=rollups.rolled(lib.tag_state, graph.Delta(lost.limit(0), lost), lib.files, left, wide), collection_state=cut(rollups.collections_rolled(lib.collection_state, graph.Delta(taken.limit(0), taken), lib.files, left)),
+        lib, files=left, members=members, tombstones=tombstones, tags=replace(lib.tags, file_tags=own.join(away, "file_id", "left_anti").select(*own.columns)), parts=parts,
+        tag_state=rollups.rolled(lib.tag_state, graph.Delta(lost.limit(0), lost), lib.files, left, parts), collection_state=cut(rollups.collections_rolled(lib.collection_state, graph.Delta(taken.limit(0), taken), lib.files, left)),
     )
 
 
 def files_retagged(lib: Library, files: DataFrame, added: list, removed: list) -> Library:
     """After tags are put on and then taken off some files (file_id): their ancestors and the counts of all tags concerned follow."""
     ids = cut(files.select("file_id").distinct().join(lib.files.select("file_id"), "file_id", "left_semi"))
-    own = cut(retagged(lib.tags.file_tags, ids, added, removed))
-    names = ["file_id", "tag_id"]
-    was = cut(lib.wide.join(ids, "file_id", "left_semi").select(*names))
-    now = cut(graph.propagate(own.join(ids, "file_id", "left_semi"), lib.closed, "file_id"))
-    delta = graph.Delta(cut(now.join(was, names, "left_anti")), cut(was.join(now, names, "left_anti")))
-    return _with_wide(replace(lib, tags=replace(lib.tags, file_tags=own)), delta)
+    own, asked = lib.tags.file_tags.select(*PAIR), probed(ids)
+    part = cut(retagged(own.join(asked, "file_id", "left_semi"), ids, added, removed))
+    delta = _difference(lib.wide.join(asked, "file_id", "left_semi"), graph.propagate(part, lib.closed, "file_id"))
+    return _with_wide(replace(lib, tags=replace(lib.tags, file_tags=own.join(asked, "file_id", "left_anti").unionByName(part))), delta)
 
 
 def tags_changed(lib: Library, after: TagTables) -> Library:
@@ -201,32 +218,61 @@ def tags_changed(lib: Library, after: TagTables) -> Library:
 
     Where the change took tags from files or gave them others, as a merge does, these files are looked at too.
     """
-    names = ["file_id", "tag_id"]
-    closed, delta = closure_after(lib.tags, lib.closed, after)
+    edges = _edge_delta(lib.tags, after)
+    closed, delta = closure_after(lib.tags, lib.closed, after, edges)
     closed = cut(closed)
-    before = lib.tags.file_tags.select(*names).distinct()
+    before, touched = lib.tags.file_tags.select(*PAIR), _touched(lib, after, edges)
     if lib.tags.file_tags.sameSemantics(after.file_tags):
-        return _with_state(_with_wide(replace(lib, tags=after, closed=closed), graph.held_delta(before, lib.closed, closed, delta, "file_id")), lib.tags)
-    now = after.file_tags.select(*names).distinct()
+        return _with_state(_with_wide(replace(lib, tags=after, closed=closed), graph.held_delta(before, lib.closed, closed, delta, "file_id", touched=touched)), lib.tags)
+    now = after.file_tags.select(*PAIR).distinct()
     moved = cut(changed(before, now, "file_id"))
-    by_closure = graph.held_delta(before.join(moved, "file_id", "left_anti"), lib.closed, closed, delta, "file_id")
-    was = cut(lib.wide.join(moved, "file_id", "left_semi").select(*names))
-    again = cut(graph.propagate(now.join(moved, "file_id", "left_semi"), closed, "file_id"))
-    wide_delta = graph.Delta(cut(by_closure.added.unionByName(again.join(was, names, "left_anti"))), cut(by_closure.removed.unionByName(was.join(again, names, "left_anti"))))
+    by_closure = graph.held_delta(before.join(moved, "file_id", "left_anti"), lib.closed, closed, delta, "file_id", touched=touched)
+    again = _difference(lib.wide.join(moved, "file_id", "left_semi"), graph.propagate(now.join(moved, "file_id", "left_semi"), closed, "file_id"))
+    wide_delta = graph.Delta(by_closure.added.unionByName(again.added), by_closure.removed.unionByName(again.removed))
     return _with_state(_with_wide(replace(lib, tags=after, closed=closed), wide_delta), lib.tags)
 
 
+def _touched(lib: Library, after: TagTables, edges: graph.Delta) -> DataFrame | None:
+    """Files (file_id) with a tag that may have other ancestors after a change; None where too many tags were changed to ask for them.
+
+    A path over an edge that came or went starts at or below the lower end of such an edge, so these files had the lower end of
+    one among their tags with ancestors. A tag that came or went, or that an edge names for the first time, changes for who has it itself.
+    """
+    ids = lambda rows, column="tag_id": rows.select(F.col(column).alias("tag_id"))
+    came, went = ids(after.tags).join(ids(lib.tags.tags), "tag_id", "left_anti"), ids(lib.tags.tags).join(ids(after.tags), "tag_id", "left_anti")
+    low = cut(union([ids(edges.added, "child"), ids(edges.removed, "child")]).distinct())
+    named = cut(union([low, ids(edges.added, "parent"), came, went]).distinct())
+    if named.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return None
+    asked = [(part, low) for part in lib.parts] + [(lib.tags.file_tags, named)]
+    return cut(union([pairs.join(F.broadcast(names), "tag_id", "left_semi").select("file_id") for pairs, names in asked]).distinct())
+
+
+def _difference(was: DataFrame, now: DataFrame) -> graph.Delta:
+    """What came and went between two sets of (file_id, tag_id), of files that are not null. A file's tags meet as lists, where the file lies."""
+    a, b = (pairs.groupBy("file_id").agg(F.collect_set("tag_id").alias(name)) for pairs, name in ((was, "_was"), (now, "_now")))
+    lists = [F.coalesce(c, F.array().cast("array<string>")) for c in ("_was", "_now")]
+    came = F.transform(F.array_except(lists[1], lists[0]), lambda t: F.struct(t.alias("tag_id"), F.lit(True).alias("came")))
+    went = F.transform(F.array_except(lists[0], lists[1]), lambda t: F.struct(t.alias("tag_id"), F.lit(False).alias("came")))
+    both = cut(a.join(b, "file_id", "full").select("file_id", F.explode(F.concat(came, went)).alias("_x")).select("file_id", "_x.tag_id", "_x.came"))
+    return graph.Delta(both.where("came").select(*PAIR), both.where("not came").select(*PAIR))
+
+
 def _with_state(out: Library, was: TagTables) -> Library:
     """A row of counts for each tag there is now, and none for those of was that are gone."""
     gone = was.tags.select("tag_id").join(out.tags.tags.select("tag_id"), "tag_id", "left_anti")
     fresh = out.tags.tags.select("tag_id").join(out.tag_state.select("tag_id"), "tag_id", "left_anti")
     empty = fresh.select("tag_id", F.lit(0).cast("long").alias("n_files"), F.lit(0).cast("long").alias("total_size"), F.lit(None).cast(dict(out.tag_state.dtypes)["oldest"]).alias("oldest"))
-    return replace(out, tag_state=cut(out.tag_state.join(gone, "tag_id", "left_anti").unionByName(empty)))
+    return replace(out, tag_state=out.tag_state.join(gone, "tag_id", "left_anti").unionByName(empty))
 
 
 def _with_wide(lib: Library, delta: graph.Delta) -> Library:
-    wide = cut(graph.with_delta(lib.wide, delta))
-    return replace(lib, wide=wide, tag_state=rollups.rolled(lib.tag_state, delta, lib.files, lib.files, wide))
+    """With the pairs of delta put on and taken off; where the parts have become many, they and the own tags are written as one table each."""
+    parts = [left for part in lib.parts for left in graph.without(part, delta.removed)] + [delta.added.select(*PAIR)]
+    tags = lib.tags
+    if len(parts) > PARTS:
+        parts, tags = [bucketed(union(parts), "file_id")], replace(tags, file_tags=bucketed(tags.file_tags, "file_id"))
+    return replace(lib, tags=tags, parts=tuple(parts), tag_state=rollups.rolled(lib.tag_state, delta, lib.files, lib.files, tuple(parts)))
 
 
 def changed(before: DataFrame, after: DataFrame, owner: str, tag: str = "tag_id") -> DataFrame:

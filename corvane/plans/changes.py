@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text
 from corvane.operators import graph, imports, joins, mutate, rollups, upkeep
 from corvane.plans.registry import closed, closed_ctes, query
-from corvane.session import dealt, shared_folder, table
+from corvane.session import bucketed, dealt, shared_folder, table
 from corvane.sources import batches
 from corvane.sources.adapters import ctes, view
 
@@ -209,8 +209,8 @@ t2 AS (SELECT tag_id FROM tags UNION ALL SELECT 'between'), closed2 AS (SELECT t
 
 
 def changed_library(s, d) -> upkeep.Library:
-    files = view(s, d, "files").withColumn("hash", F.md5(F.col("file_id").cast("string")))
-    lib = upkeep.library(files, view(s, d, "coll_orders"), view(s, d, "tombstones"), tag_tables(s, d))
+    files = bucketed(view(s, d, "files").select("file_id", "size", "rating", "date_created"), "file_id").withColumn("hash", F.md5(F.col("file_id").cast("string")))
+    lib = upkeep.library(files, view(s, d, "coll_orders"), view(s, d, "tombstones"), replace(tag_tables(s, d), file_tags=view(s, d, "file_tags_raw")))
     lib = upkeep.files_retagged(lib, files.where("file_id % 7 = 0"), ["P1"], ["P2", "K7"])
     lib = upkeep.files_deleted(lib, files.where("file_id % 11 = 0 or date_created < timestamp '1992-06-01'"))
     t = lib.tags

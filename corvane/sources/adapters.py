@@ -34,6 +34,10 @@ VIEWS = {
     "file_tags": """
         SELECT o_orderkey AS file_id, concat('K', CAST(o_custkey AS STRING)) AS tag_id FROM {orders}
         UNION SELECT o.o_orderkey, concat('P', CAST(l.l_partkey AS STRING)) FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey""",
+    # The same pairs as they come: some several times, and those of lines without an order, for what takes each once and asks for the files itself.
+    "file_tags_raw": """
+        SELECT o_orderkey AS file_id, concat('K', CAST(o_custkey AS STRING)) AS tag_id FROM {orders}
+        UNION ALL SELECT l_orderkey, concat('P', CAST(l_partkey AS STRING)) FROM {lineitem}""",
     "coll_orders": """
         SELECT o_custkey AS collection_id, o_orderkey AS file_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS idx FROM {orders}""",
     "coll_parts_raw": """
